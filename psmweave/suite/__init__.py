@@ -1,8 +1,10 @@
 """Registered queries: every operator applied to the driver's tables."""
 
 from psmweave.suite import (  # noqa: F401  (importing registers the queries)
+    q_curves,
     q_joins,
     q_projections,
+    q_summary,
 )
 from psmweave.suite.registry import ORACLES, QUERIES
 
