@@ -172,7 +172,7 @@ def mask_duplicates(
     """
     rest = [c for c in fragments.columns if c not in (*key, mz)]
     picked = fragments.groupBy(*key, mz).agg(
-        F.min(F.struct(preference.alias("_pref"), *[F.col(t).alias(f"_t_{t}") for t in ties], *rest)).alias("_p")
+        F.min(F.struct(preference.alias("_by"), *[F.col(t).alias(f"_t_{t}") for t in ties], *rest)).alias("_p")
     )
     return picked.select(*key, mz, *[F.col(f"_p.{c}").alias(c) for c in rest]).select(
         *fragments.columns

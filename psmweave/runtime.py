@@ -54,7 +54,7 @@ def input_bytes(df: DataFrame) -> int | None:
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
         return sum(
-            int(leaves.apply(i).stats().sizeInBytes().toString())
+            int(str(leaves.apply(i).stats().sizeInBytes()))
             for i in range(leaves.size())
         )
     except Exception:  # no JVM handle (Spark Connect) or no statistics
@@ -64,3 +64,13 @@ def input_bytes(df: DataFrame) -> int | None:
 def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
     size = input_bytes(df)
     return size is not None and size <= limit
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input, often a single file split, to all cores.
+
+    Large inputs already come in many splits and are left alone.
+    """
+    if not is_small(df):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

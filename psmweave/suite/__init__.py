@@ -2,6 +2,7 @@
 
 from psmweave.suite import (  # noqa: F401  (importing registers the queries)
     q_curves,
+    q_evidence,
     q_joins,
     q_projections,
     q_summary,

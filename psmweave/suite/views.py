@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from psmweave import constants as K
 from psmweave.operators.running import rank_rows
 
 
@@ -72,7 +73,38 @@ _SCORED_COLS = [
     "concat('run_', CAST(user_id % 3 AS STRING)) AS run",
 ]
 
+_SPECTRUM_COLS = [
+    "vec_id AS spectrum_id",
+    "concat("
+    + ", ".join(
+        f"translate(CAST((vec_id * {m} + label) % 10 AS STRING), '0123456789', 'GASPVTLNDQ')"
+        for m in (1, 3, 7, 9, 11, 13, 17)
+    )
+    + ", 'K') AS peptide",
+    "CAST(2 AS INT) AS charge",
+    "300.5 + CAST(vec_id % 200 AS DOUBLE) AS precursor_mz",
+]
+
+_MASS_ROWS = ", ".join(f"('{a}', {m!r}::DOUBLE)" for a, m in K.RESIDUE_MASS.items())
+
 VIEW_SQL: dict[str, str] = {
+    "residue_mass": f"SELECT * FROM (VALUES {_MASS_ROWS}) AS t(aa, m)",
+    "spectrum_psms": "SELECT " + ", ".join(_SPECTRUM_COLS).replace("300.5", "300.5::DOUBLE")
+    + " FROM embeddings",
+    "prefixes": "SELECT spectrum_id, i AS site, length(peptide) AS n, "
+    "sum(m) OVER (PARTITION BY spectrum_id ORDER BY i) AS prefix, "
+    "sum(m) OVER (PARTITION BY spectrum_id) AS total FROM (SELECT spectrum_id, peptide, "
+    "unnest(string_split(peptide, '')) AS aa, unnest(range(1, length(peptide) + 1)) AS i "
+    "FROM spectrum_psms) JOIN residue_mass USING (aa)",
+    "frag": "SELECT spectrum_id, nl AS neutral_loss, concat(s, CAST(z AS VARCHAR)) AS ion_type, "
+    "CASE WHEN s = 'y' THEN n - site ELSE site END AS ion_index, z AS charge, site, "
+    f"(CASE WHEN s = 'y' THEN total - prefix + {K.WATER_MASS!r}::DOUBLE ELSE prefix END "
+    f"- CASE nl WHEN '' THEN 0 WHEN '-H2O' THEN {K.WATER_MASS!r}::DOUBLE "
+    f"ELSE {K.AMMONIA_MASS!r}::DOUBLE END) / z + {K.PROTON_MASS!r}::DOUBLE AS theo_mz "
+    "FROM prefixes, (SELECT unnest(['b', 'y']) AS s), (SELECT unnest([1, 2]) AS z), "
+    "(SELECT unnest(['', '-H2O', '-NH3']) AS nl) WHERE site < n",
+    "matched": "SELECT f.*, p.mz AS exp_mz, p.intensity, p.peak_no, p.mz - f.theo_mz AS delta "
+    "FROM frag f JOIN peaks p ON p.spectrum_id = f.spectrum_id AND abs(p.mz - f.theo_mz) < 0.5",
     "psm_rows": _PSM_SQL,
     "psms": "SELECT *, row_number() OVER (PARTITION BY run, spectrum_id, engine "
     "ORDER BY score DESC, psm_no) AS rank FROM (SELECT run, spectrum_id, engine, psm_no, "
@@ -211,3 +243,22 @@ def peaks(spark: SparkSession, sf: str) -> DataFrame:
             "abs(CAST(col AS DOUBLE)) * 1000 AS intensity",
         )
     )
+
+
+def spectrum_psms(spark: SparkSession, sf: str) -> DataFrame:
+    """One PSM per embedding spectrum."""
+    return table(spark, sf, "embeddings").selectExpr(*_SPECTRUM_COLS)
+
+
+def fragments(spark: SparkSession, sf: str) -> DataFrame:
+    from psmweave.operators.fragments import theoretical_fragments
+
+    return theoretical_fragments(
+        spectrum_psms(spark, sf), ["spectrum_id"], losses=("", "-H2O", "-NH3")
+    )
+
+
+def matched(spark: SparkSession, sf: str) -> DataFrame:
+    from psmweave.operators.fragments import fragment_match
+
+    return fragment_match(fragments(spark, sf), peaks(spark, sf), ["spectrum_id"], 0.5)
