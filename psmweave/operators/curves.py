@@ -352,10 +352,10 @@ def aa_score_rows(psms: DataFrame, key: Sequence[str], scores: str = "aa_scores"
         extra > 0,
         F.concat(F.array(head), F.slice(F.col(scores), extra + 2, F.size(scores))),
     ).otherwise(F.col(scores))
-    pairs = F.arrays_zip(aligned.alias("score"), F.col("aa_match").alias("correct"))
-    return psms.select(*key, F.posexplode(pairs).alias("pos", "p")).select(
-        *key, "pos", F.col("p")[0].alias("score"), F.col("p")[1].alias("correct")
+    pairs = F.zip_with(
+        aligned, F.col("aa_match"), lambda s, m: F.struct(s.alias("score"), m.alias("correct"))
     )
+    return psms.select(*key, F.posexplode(pairs).alias("pos", "p")).select(*key, "pos", "p.*")
 
 
 def precision_coverage_by_run(

@@ -95,9 +95,12 @@ def second_rank_gap(
 def share_in_group(counts: DataFrame, group: Sequence[str], value: str = "n") -> DataFrame:
     """Value divided by its group's total (W9); ``counts`` is already aggregated."""
     total = counts.groupBy(*group).agg(F.sum(value).alias("_t"))
+    if group:
+        rows = counts.join(total, list(group))
+    else:
+        rows = counts.withColumn("_t", total.scalar())
     return (
-        counts.join(total, list(group))
-        .withColumn("share", F.when(F.col("_t") != 0, F.col(value) / F.col("_t")))
+        rows.withColumn("share", F.when(F.col("_t") != 0, F.col(value) / F.col("_t")))
         .drop("_t")
     )
 

@@ -1,9 +1,11 @@
 """Registered queries: every operator applied to the driver's tables."""
 
 from psmweave.suite import (  # noqa: F401  (importing registers the queries)
+    q_compare,
     q_curves,
     q_evidence,
     q_joins,
+    q_models,
     q_projections,
     q_summary,
 )
