@@ -7,6 +7,7 @@ from psmweave.suite import (  # noqa: F401  (importing registers the queries)
     q_joins,
     q_models,
     q_projections,
+    q_sources,
     q_summary,
 )
 from psmweave.suite.registry import ORACLES, QUERIES
