@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +25,17 @@ MATCH_TYPE = (
 )
 
 
+_MATCH_ARROW = pa.struct(
+    [
+        ("aa_match", pa.list_(pa.bool_())),
+        ("match_1", pa.list_(pa.bool_())),
+        ("match_2", pa.list_(pa.bool_())),
+        ("pep_match", pa.bool_()),
+        ("isobaric", pa.list_(pa.struct([("pair", pa.string()), ("resolved", pa.bool_())]))),
+    ]
+)
+
+
 @lru_cache(maxsize=200_000)
 def residues(peptide: str) -> tuple[tuple[str, float], ...]:
     """(letter, mass) per token; an N-terminal modification is its own token with letter ''."""
@@ -116,22 +127,22 @@ def align(peptide_1: str, peptide_2: str, cum_tol=50.0, ind_tol=20.0, mode: str
     }
 
 
+# Pairs repeat a lot between engines; the cache lives as long as the Python worker.
+@lru_cache(maxsize=100_000)
+def _aligned(peptide_1: str, peptide_2: str, cum_tol: float, ind_tol: float, mode: str) -> dict:
+    return align(peptide_1, peptide_2, cum_tol, ind_tol, mode)
+
+
 def aa_match(peptide_1, peptide_2, cum_tol=50.0, ind_tol=20.0, mode: str = "best") -> Column:
     """Struct of match flags for two peptide columns."""
 
-    @F.pandas_udf(MATCH_TYPE)
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        memo: dict = {}
-        rows = []
-        for x, y in zip(a, b):
-            if x is None or y is None:
-                rows.append((None, None, None, None, None))
-                continue
-            got = memo.get((x, y))
-            if got is None:
-                got = memo[(x, y)] = tuple(align(x, y, cum_tol, ind_tol, mode).values())
-            rows.append(got)
-        return pd.DataFrame(rows, columns=["aa_match", "match_1", "match_2", "pep_match", "isobaric"])
+    @F.arrow_udf(MATCH_TYPE)
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        rows = [
+            None if x is None or y is None else _aligned(x, y, cum_tol, ind_tol, mode)
+            for x, y in zip(a.to_pylist(), b.to_pylist())
+        ]
+        return pa.array(rows, type=_MATCH_ARROW)
 
     return run(peptide_1, peptide_2)
 
@@ -158,15 +169,18 @@ def count_novor(peptide_1: str, peptide_2: str, cum_tol: float = 0.5, ind_tol: f
     return hits
 
 
+@lru_cache(maxsize=100_000)
+def _novor(peptide_1: str, peptide_2: str, cum_tol: float, ind_tol: float) -> int:
+    return count_novor(peptide_1, peptide_2, cum_tol, ind_tol)
+
+
 def novor_match(target, prediction, cum_tol: float = 0.5, ind_tol: float = 0.1) -> Column:
-    @F.pandas_udf("int")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        memo: dict = {}
-        out = []
-        for x, y in zip(a, b):
-            if (x, y) not in memo:
-                memo[(x, y)] = None if x is None or y is None else count_novor(x, y, cum_tol, ind_tol)
-            out.append(memo[(x, y)])
-        return pd.Series(out, dtype="Int32")
+    @F.arrow_udf("int")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        hits = [
+            None if x is None or y is None else _novor(x, y, cum_tol, ind_tol)
+            for x, y in zip(a.to_pylist(), b.to_pylist())
+        ]
+        return pa.array(hits, type=pa.int32())
 
     return run(target, prediction)

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -231,6 +232,23 @@ COMPARISON_TYPE = (
 )
 
 
+_SITES_ARROW = pa.list_(
+    pa.struct(
+        [
+            ("source", pa.string()),
+            ("target", pa.string()),
+            ("indices", pa.list_(pa.int32())),
+            ("mass_difference", pa.float64()),
+            ("ends_deleted", pa.bool_()),
+        ]
+    )
+)
+_COMPARISON_ARROW = pa.struct(
+    [(n, _SITES_ARROW) for n in ("forward", "backward", "forward_merged", "backward_merged")]
+    + [("symmetric", pa.bool_())]
+)
+
+
 def compare_strings(a: str, b: str) -> dict:
     """Sites in both directions, merged sites, and whether both directions agree."""
     ops = edit_ops(a, b)
@@ -261,33 +279,37 @@ def compare_strings(a: str, b: str) -> dict:
     }
 
 
+@lru_cache(maxsize=100_000)
+def _compared(a: str, b: str) -> dict:
+    return compare_strings(a, b)
+
+
 def sequence_comparison(source, target) -> Column:
     """Struct of edit sites between two letter-string columns."""
 
-    @F.pandas_udf(COMPARISON_TYPE)
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        memo: dict = {}
-        rows = []
-        for x, y in zip(a, b):
-            if (x, y) not in memo:
-                memo[(x, y)] = (None,) * 5 if x is None or y is None else tuple(compare_strings(x, y).values())
-            rows.append(memo[(x, y)])
-        return pd.DataFrame(
-            rows, columns=["forward", "backward", "forward_merged", "backward_merged", "symmetric"]
-        )
+    @F.arrow_udf(COMPARISON_TYPE)
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        rows = [
+            None if x is None or y is None else _compared(x, y)
+            for x, y in zip(a.to_pylist(), b.to_pylist())
+        ]
+        return pa.array(rows, type=_COMPARISON_ARROW)
 
     return run(source, target)
 
 
+@lru_cache(maxsize=100_000)
+def _distance(a: str, b: str) -> int:
+    return damerau(a, b)
+
+
 def damerau_levenshtein(a, b) -> Column:
-    @F.pandas_udf("int")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        memo: dict = {}
-        out = []
-        for s, t in zip(x, y):
-            if (s, t) not in memo:
-                memo[(s, t)] = None if s is None or t is None else damerau(s, t)
-            out.append(memo[(s, t)])
-        return pd.Series(out, dtype="Int32")
+    @F.arrow_udf("int")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = [
+            None if s is None or t is None else _distance(s, t)
+            for s, t in zip(x.to_pylist(), y.to_pylist())
+        ]
+        return pa.array(out, type=pa.int32())
 
     return run(a, b)

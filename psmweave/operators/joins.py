@@ -122,7 +122,7 @@ def attach_refinement(psms: DataFrame, refinements: DataFrame) -> DataFrame:
 
     A spectrum with one base PSM of the engine needs no rank; with several the
     rank decides.  ``status`` is matched, no_base or ambiguous.  An unchanged
-    refinement keeps only its score.
+    refinement keeps only its score; ``proposed_peptide`` is what the refiner wrote.
     """
     sizes = psms.groupBy(*ENGINE_KEY).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -149,8 +149,12 @@ def attach_refinement(psms: DataFrame, refinements: DataFrame) -> DataFrame:
         .alias("status"),
     )
     same = P.equate_leu_ile("peptide") == P.equate_leu_ile("refined_peptide")
-    return out.withColumn("unchanged", same).withColumn(
-        "refined_peptide", F.when(~same, F.col("refined_peptide"))
+    return out.withColumns(
+        {
+            "unchanged": same,
+            "proposed_peptide": F.col("refined_peptide"),
+            "refined_peptide": F.when(~same, F.col("refined_peptide")),
+        }
     )
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,11 +68,23 @@ def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
     return size is not None and size <= limit
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input, often a single file split, to all cores.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a small input, often a single file split, to all cores (by ``keys`` if given).
 
     Large inputs already come in many splits and are left alone.
     """
     if not is_small(df):
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_psmweave_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="psmweave-")) / "psmweave"
+    archive = shutil.make_archive(str(target), "zip", root.parent, root.name)
+    sc.addPyFile(archive)
+    sc._psmweave_shipped = True

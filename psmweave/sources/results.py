@@ -328,15 +328,21 @@ def load_psms(
 
 
 def load_spectralis_rescoring(spark: SparkSession, pattern: str) -> DataFrame:
-    """Rescored candidates, one file per rank ``<run>_<rank>.*.csv``."""
-    rows = locate(spark.read.option("header", True).csv(pattern))
-    name = F.regexp_extract(F.col("_place.file"), r"([^/]+)$", 1)
+    """Rescored candidates, one file ``<run>_<rank>.*.csv`` per rank.
+
+    Folders ``run=<run>/rank=<rank>`` are understood as well.
+    """
+    raw = spark.read.option("header", True).csv(pattern)
+    rows = locate(raw)
+    file = F.col("_place.file")
+    folder = F.regexp_extract(file, r"/rank=(\d+)/", 1)
+    named = r"([^/]+)_(\d+)\.[^/]*$"
     parts = F.split("scans", r"\|\|")
     return rows.select(
-        F.regexp_extract(name, r"^(.*)_(\d+)\.[^/]*$", 1).alias("run"),
+        F.when(folder != "", F.col("run")).otherwise(F.regexp_extract(file, named, 1)).alias("run"),
         F.get(parts, F.lit(0)).alias("spectrum_id"),
         F.get(parts, F.lit(1)).alias("engine"),
-        F.regexp_extract(name, r"_(\d+)\.[^/]*$", 1).cast("int").alias("rank"),
+        F.when(folder != "", folder).otherwise(F.regexp_extract(file, named, 2)).cast("int").alias("rank"),
         F.col("Spectralis_score").cast("double").alias("score"),
     )
 

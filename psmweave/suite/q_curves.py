@@ -183,14 +183,11 @@ def _refined(spark, sf):
     from psmweave.functions import peptide as P
 
     top = _top(spark, sf)
-    ref = J.attach_refinement(
-        V.psms(spark, sf), V.refinements(spark, sf).withColumn("raw", F.col("refined_peptide"))
-    )
-    raw = V.refinements(spark, sf).select(*J.PSM_KEY, F.col("refined_peptide").alias("raw"))
+    ref = J.attach_refinement(V.psms(spark, sf), V.refinements(spark, sf))
     truth = top.select(*J.PSM_KEY, "gt_peptide")
-    out = ref.join(raw, J.PSM_KEY).join(truth, J.PSM_KEY)
+    out = ref.join(truth, J.PSM_KEY)
     return top, out.withColumn(
-        "refined_correct", P.equate_leu_ile("raw") == P.equate_leu_ile("gt_peptide")
+        "refined_correct", P.equate_leu_ile("proposed_peptide") == P.equate_leu_ile("gt_peptide")
     )
 
 

@@ -443,25 +443,19 @@ def s16(spark, sf):
     )
 
 
-@query("S17_load_spectralis_rescoring")
+@query(
+    "S17_load_spectralis_rescoring",
+    "SELECT run, engine, CAST(rank AS INT) AS rank, count(*) AS n, round(sum(score), 3) AS total FROM psms GROUP BY 1, 2, 3",
+)
 def s17(spark, sf):
-    """One folder per rank is written; the reader takes run and rank from the file name.
-
-    Spark cannot choose file names, so the pieces are addressed through their folder here
-    and the file-name rule itself is covered by a unit test.
-    """
     path = scratch_path(spark, "rescoring")
-    rows = V.psms(spark, sf).selectExpr(
-        "run", "rank", _TITLE.format("spectrum_id") + " AS t", "engine", "score"
-    )
-    rows.select("run", "rank", F.concat("t", F.lit("||"), "engine").alias("scans"), F.col("score").alias("Spectralis_score")).write.partitionBy(
-        "run", "rank"
-    ).option("header", True).csv(path)
-    back = spark.read.option("header", True).csv(path)
-    parts = F.split("scans", r"\|\|")
-    out = back.select(
-        "run", "rank", F.get(parts, F.lit(1)).alias("engine"), F.col("Spectralis_score").cast("double").alias("score")
+    rows = V.psms(spark, sf).select(
+        "run", "rank",
+        F.concat(F.expr(_TITLE.format("spectrum_id")), F.lit("||"), "engine").alias("scans"),
+        F.col("score").alias("Spectralis_score"),
     )
+    rows.write.partitionBy("run", "rank").option("header", True).csv(path)
+    out = results.load_spectralis_rescoring(spark, path)
     return out.groupBy("run", "engine", "rank").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 3).alias("total")
     )

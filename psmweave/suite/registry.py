@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from psmweave.runtime import ship_package
 from psmweave.suite.views import VIEW_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +19,6 @@ ORACLES: dict[str, str] = {}
 
 def with_views(sql: str) -> str:
     """Prefix ``sql`` with the view definitions it needs (in dependency order)."""
-    import re
-
     needed: list[str] = []
 
     def visit(text: str) -> None:
@@ -41,7 +42,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = fn
+
+        @wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_views(sql)
         return fn

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from psmweave import constants as K
 from psmweave.operators.running import rank_rows
+from psmweave.runtime import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,21 +19,32 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 _GOOD = "l_quantity >= 25 + l_partkey % 25"
-_KEY = f"(CASE WHEN {_GOOD} THEN l_orderkey ELSE l_partkey END)"
-_PSM_COLS = [
-    "concat('run_', CAST(l_orderkey % 4 AS STRING)) AS run",
+# Peptide and protein are small numbers until the rows are unique, text afterwards.
+_PSM_CODE = (
+    f"(CASE WHEN {_GOOD} THEN l_orderkey ELSE l_partkey END % 15) * 3 + "
+    f"CASE WHEN {_GOOD} OR l_partkey % 3 = 0 THEN 0 WHEN l_partkey % 3 = 1 THEN 1 ELSE 2 END"
+)
+_PSM_ROW_COLS = [
     "l_orderkey AS spectrum_id",
-    "concat('engine_', CAST(l_suppkey % 8 AS STRING)) AS engine",
+    "l_suppkey % 8 AS engine_no",
     "l_linenumber AS psm_no",
     "l_quantity / 50 AS score",
-    f"concat(translate(CAST({_KEY} % 5 AS STRING), '01234', 'GASPV'), "
-    f"translate(CAST({_KEY} % 3 AS STRING), '012', 'LIK'), "
-    f"CASE WHEN {_GOOD} OR l_partkey % 3 = 0 THEN 'TDEK' WHEN l_partkey % 3 = 1 THEN 'DTEK' "
-    "ELSE 'NGGEK' END) AS peptide",
-    "CASE WHEN l_partkey % 4 = 0 THEN concat('rev_', CAST(l_partkey % 50 AS STRING)) "
-    "ELSE CAST(l_partkey % 50 AS STRING) END AS protein",
+    f"{_PSM_CODE} AS code",
+    "l_partkey % 200 AS protein_no",
+]
+_STEM = "CAST((code - code % 3) / 3 AS BIGINT)"
+_PSM_COLS = [
+    "concat('run_', CAST(spectrum_id % 4 AS STRING)) AS run",
+    "spectrum_id",
+    "concat('engine_', CAST(engine_no AS STRING)) AS engine",
+    "psm_no",
+    "score",
+    f"concat(translate(CAST({_STEM} % 5 AS STRING), '01234', 'GASPV'), "
+    f"translate(CAST({_STEM} % 3 AS STRING), '012', 'LIK'), "
+    "CASE code % 3 WHEN 0 THEN 'TDEK' WHEN 1 THEN 'DTEK' ELSE 'NGGEK' END) AS peptide",
+    "CASE WHEN protein_no % 4 = 0 THEN concat('rev_', CAST(protein_no % 50 AS STRING)) "
+    "ELSE CAST(protein_no % 50 AS STRING) END AS protein",
 ]
-_PSM_SQL = "SELECT " + ", ".join(_PSM_COLS) + " FROM lineitem"
 
 _GT_COLS = [
     "concat('run_', CAST(o_orderkey % 4 AS STRING)) AS run",
@@ -105,11 +117,11 @@ VIEW_SQL: dict[str, str] = {
     "(SELECT unnest(['', '-H2O', '-NH3']) AS nl) WHERE site < n",
     "matched": "SELECT f.*, p.mz AS exp_mz, p.intensity, p.peak_no, p.mz - f.theo_mz AS delta "
     "FROM frag f JOIN peaks p ON p.spectrum_id = f.spectrum_id AND abs(p.mz - f.theo_mz) < 0.5",
-    "psm_rows": _PSM_SQL,
+    "psm_rows": "SELECT " + ", ".join(_PSM_ROW_COLS) + " FROM lineitem",
+    "psm_unique": "SELECT spectrum_id, engine_no, psm_no, max(score) AS score, min(code) AS code, "
+    "min(protein_no) AS protein_no FROM psm_rows GROUP BY spectrum_id, engine_no, psm_no",
     "psms": "SELECT *, row_number() OVER (PARTITION BY run, spectrum_id, engine "
-    "ORDER BY score DESC, psm_no) AS rank FROM (SELECT run, spectrum_id, engine, psm_no, "
-    "max(score) AS score, min(peptide) AS peptide, min(protein) AS protein "
-    "FROM psm_rows GROUP BY run, spectrum_id, engine, psm_no)",
+    "ORDER BY score DESC, psm_no) AS rank FROM (SELECT " + ", ".join(_PSM_COLS) + " FROM psm_unique)",
     "top_psms": "SELECT * FROM psms WHERE rank = 1",
     "gt": "SELECT " + ", ".join(_GT_COLS) + " FROM orders",
     "gt_ok": "SELECT * FROM gt WHERE NOT is_decoy AND qvalue <= 0.01",
@@ -138,20 +150,17 @@ VIEW_SQL: dict[str, str] = {
 }
 
 
-def psm_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").selectExpr(*_PSM_COLS)
-
-
 def psms(spark: SparkSession, sf: str) -> DataFrame:
     """One row per (run, spectrum_id, engine, rank)."""
+    rows = spread(table(spark, sf, "lineitem").selectExpr(*_PSM_ROW_COLS), "spectrum_id")
     unique = (
-        psm_rows(spark, sf)
-        .groupBy("run", "spectrum_id", "engine", "psm_no")
+        rows.groupBy("spectrum_id", "engine_no", "psm_no")
         .agg(
             F.max("score").alias("score"),
-            F.min("peptide").alias("peptide"),
-            F.min("protein").alias("protein"),
+            F.min("code").alias("code"),
+            F.min("protein_no").alias("protein_no"),
         )
+        .selectExpr(*_PSM_COLS)
     )
     return rank_rows(
         unique, ["run", "spectrum_id", "engine"], [("score", False), ("psm_no", True)], "first"
@@ -209,7 +218,7 @@ def refinements(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mod_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").selectExpr(*_MOD_COLS)
+    return spread(table(spark, sf, "lineitem"), "l_orderkey").selectExpr(*_MOD_COLS)
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -234,7 +243,7 @@ def peptides(spark: SparkSession, sf: str) -> DataFrame:
 
 def peaks(spark: SparkSession, sf: str) -> DataFrame:
     return (
-        table(spark, sf, "embeddings")
+        spread(table(spark, sf, "embeddings"), "vec_id")
         .select(F.col("vec_id").alias("spectrum_id"), F.posexplode("embedding"))
         .selectExpr(
             "spectrum_id",
@@ -247,7 +256,7 @@ def peaks(spark: SparkSession, sf: str) -> DataFrame:
 
 def spectrum_psms(spark: SparkSession, sf: str) -> DataFrame:
     """One PSM per embedding spectrum."""
-    return table(spark, sf, "embeddings").selectExpr(*_SPECTRUM_COLS)
+    return spread(table(spark, sf, "embeddings"), "vec_id").selectExpr(*_SPECTRUM_COLS)
 
 
 def fragments(spark: SparkSession, sf: str) -> DataFrame:
