@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from psmweave.operators.running import running
+from psmweave.operators.running import attach_group_values, running
 
 
 def _ratio(a, b) -> Column:
@@ -20,6 +20,10 @@ def _ratio(a, b) -> Column:
     return F.when(b != 0, a / b)
 
 
+def _fits(strategy: str) -> bool | None:
+    return {"single": True, "split": False}.get(strategy)
+
+
 def score_levels(
     df: DataFrame, group: Sequence[str], score: str = "score", correct: str = "correct"
 ) -> DataFrame:
@@ -50,8 +54,9 @@ def prefix_counts(
         inclusive,
         strategy,
     )
-    totals = levels.groupBy(*group).agg(F.sum("n").alias("total_n"), F.sum("c").alias("total_c"))
-    return out.join(totals, list(group), "inner")
+    return attach_group_values(
+        out, list(group), {"total_n": F.sum("n"), "total_c": F.sum("c")}, _fits(strategy)
+    )
 
 
 def precision_coverage(
@@ -167,7 +172,6 @@ def pr_auc(
         levels, group, [(score, True)], {"below_n": ("sum", "n"), "below_c": ("sum", "c")}, False,
         strategy,
     )
-    totals = levels.groupBy(*group).agg(F.sum("n").alias("tn"), F.sum("c").alias("tc"))
     lo, hi = F.col("below_n"), F.col("below_n") + F.col("n")
     places = F.transform(
         F.sequence(F.lit(0), F.lit(n_quantiles)),
@@ -176,7 +180,7 @@ def pr_auc(
         ),
     )
     points = (
-        run.join(totals, group)
+        attach_group_values(run, group, {"tn": F.sum("n"), "tc": F.sum("c")}, _fits(strategy))
         .filter(F.exists(places, lambda p: (p >= lo) & (p < hi)))
         .join(everything, group)
         .select(
@@ -400,9 +404,9 @@ def cumulative_share(
     """Normalised value counts, sorted by value and accumulated."""
     group = list(group)
     counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.groupBy(*group).agg(F.sum("n").alias("t"))
     out = running(counts, group, [(value, True)], {"acc": ("sum", "n")}, True, strategy)
-    return out.join(total, group).select(
+    out = attach_group_values(out, group, {"t": F.sum("n")}, _fits(strategy))
+    return out.select(
         *group, value, (F.col("n") / F.col("t")).alias("share"), (F.col("acc") / F.col("t")).alias("cumulative")
     )
 

@@ -110,6 +110,25 @@ def running(
     return out.withColumns(combined).select(*df.columns, *outputs)
 
 
+def attach_group_values(
+    df: DataFrame, group: Sequence[str], values: dict[str, Column], fits: bool | None = None
+) -> DataFrame:
+    """Add aggregates of the row's group to every row.
+
+    One pass over sorted groups while they fit a task; beyond that partial aggregation
+    and a join back, where the aggregated side has one row per group.
+    """
+    if fits is None:
+        fits = group_fits_one_task(df, group)
+    if fits:
+        w = Window.partitionBy(*group)
+        return df.withColumns({name: agg.over(w) for name, agg in values.items()})
+    totals = df.groupBy(*group).agg(*[agg.alias(name) for name, agg in values.items()])
+    return _null_safe(df, totals, group, "left") if group else df.withColumns(
+        {name: totals.select(name).scalar() for name in values}
+    )
+
+
 def rank_rows(
     df: DataFrame,
     group: Sequence[str],

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from psmweave import constants as K
 from psmweave.operators.joins import KEY
-from psmweave.operators.running import rank_rows
+from psmweave.operators.running import attach_group_values, rank_rows
 
 
 def rank_in_spectrum(psms: DataFrame, score: str = "score", key: Sequence[str] = tuple(KEY), **kw):
@@ -57,17 +57,20 @@ def rank_of_truth(
     """
     key = list(key)
     hit = F.coalesce(F.col("is_gt"), F.lit(False)) | F.col("error_type").isin(list(match_types))
-    best = candidates.groupBy(*key).agg(
-        F.count(F.when(hit, 1)).alias("_hits"),
-        *[F.max(F.when(hit, F.col(s))).alias(f"_best_{s}") for s in scores],
+    rows = attach_group_values(
+        candidates,
+        key,
+        {
+            "_hits": F.count(F.when(hit, 1)),
+            **{f"_best_{s}": F.max(F.when(hit, F.col(s))) for s in scores},
+        },
     )
     above = [
         F.count(F.when(~hit & (F.col(s) > F.col(f"_best_{s}")), 1)).alias(f"_above_{s}")
         for s in scores
     ]
     out = (
-        candidates.join(best, key)
-        .groupBy(*key)
+        rows.groupBy(*key)
         .agg(F.max("_hits").alias("_hits"), *[F.max(f"_best_{s}").alias(f"_best_{s}") for s in scores], *above)
     )
     return out.select(
@@ -94,15 +97,10 @@ def second_rank_gap(
 
 def share_in_group(counts: DataFrame, group: Sequence[str], value: str = "n") -> DataFrame:
     """Value divided by its group's total (W9); ``counts`` is already aggregated."""
-    total = counts.groupBy(*group).agg(F.sum(value).alias("_t"))
-    if group:
-        rows = counts.join(total, list(group))
-    else:
-        rows = counts.withColumn("_t", total.scalar())
-    return (
-        rows.withColumn("share", F.when(F.col("_t") != 0, F.col(value) / F.col("_t")))
-        .drop("_t")
-    )
+    rows = attach_group_values(counts, list(group), {"_t": F.sum(value)})
+    return rows.withColumn(
+        "share", F.when(F.col("_t") != 0, F.col(value) / F.col("_t"))
+    ).drop("_t")
 
 
 def gaps_islands(sites: DataFrame, key: Sequence[str], site: str = "site", seen: str = "seen"):
@@ -135,12 +133,10 @@ def optimal_set(
         F.create_map(*[F.lit(x) for i, t in enumerate(order) for x in (t, i)]), F.col("error_type")
     )
     rows = evaluated.withColumn("_class", index).filter("_class IS NOT NULL")
-    best = rows.groupBy(*key).agg(
-        F.min(F.struct("_class", (-F.col(score)).alias("neg"), "engine", "peptide")).alias("_b")
-    )
+    first = F.min(F.struct("_class", (-F.col(score)).alias("neg"), "engine", "peptide"))
     same = (F.col("_class") == 0) | (F.col("peptide") == F.col("_b.peptide"))
     return (
-        rows.join(best, key)
+        attach_group_values(rows, key, {"_b": first})
         .filter((F.col("_class") == F.col("_b._class")) & same)
         .drop("_class", "_b")
     )
@@ -158,8 +154,8 @@ def tool_selection_counts(selected: DataFrame, key: Sequence[str] = tuple(KEY))
 
 def paired_only(rows: DataFrame, key: Sequence[str] = tuple(KEY), size: int = 2) -> DataFrame:
     """Rows of spectra that have exactly ``size`` rows."""
-    pairs = rows.groupBy(*key).count().filter(F.col("count") == size).select(*key)
-    return rows.join(pairs, list(key), "left_semi")
+    counted = attach_group_values(rows, list(key), {"_n": F.count(F.lit(1))})
+    return counted.filter(F.col("_n") == size).drop("_n")
 
 
 def mask_duplicates(

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from psmweave import constants as K
 from psmweave.functions import peptide as P
@@ -65,7 +66,7 @@ def _has(params: Column, name: str) -> Column:
     return F.exists(params, lambda p: p["_name"] == name)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _decode(text: pd.Series, wide: pd.Series, packed: pd.Series) -> pd.Series:
     out = []
     for t, w, z in zip(text, wide, packed):

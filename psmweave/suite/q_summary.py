@@ -303,7 +303,7 @@ def a4b(spark, sf):
     "A16_group_engines",
     """
 SELECT run, spectrum_id, peptide, concat(CAST(spectrum_id AS VARCHAR), '||',
- array_to_string(list(engine ORDER BY engine), '|')) AS title FROM psms GROUP BY ALL
+ array_to_string(list(engine ORDER BY engine), '|')) AS title FROM psms GROUP BY run, spectrum_id, peptide
 """,
 )
 def a16(spark, sf):
