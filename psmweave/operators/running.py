@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from psmweave.runtime import MAX_GROUP_ROWS, checkpoint, is_small
+from psmweave import runtime
+from psmweave.runtime import checkpoint, is_small
 
 Order = Sequence[tuple[str, bool]]  # (column, ascending)
 
@@ -24,12 +25,12 @@ def _sort(order: Order) -> list[Column]:
     return [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
 
 
-def group_fits_one_task(df: DataFrame, group: Sequence[str], limit: int = MAX_GROUP_ROWS) -> bool:
+def group_fits_one_task(df: DataFrame, group: Sequence[str], limit: int | None = None) -> bool:
     """True when no group holds more rows than one task should sort."""
     if is_small(df):
         return True
     largest = df.groupBy(*group).count().agg(F.max("count")).first()[0]
-    return (largest or 0) <= limit
+    return (largest or 0) <= (runtime.MAX_GROUP_ROWS if limit is None else limit)
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:

@@ -106,12 +106,11 @@ def share_in_group(counts: DataFrame, group: Sequence[str], value: str = "n") ->
 def gaps_islands(sites: DataFrame, key: Sequence[str], site: str = "site", seen: str = "seen"):
     """Maximal runs of unobserved sites as (start, end).
 
-    A peptide has few sites, so its window is small; peptides spread over all tasks.
+    Position minus rank is constant inside a run.
     """
-    w = Window.partitionBy(*key).orderBy(site)
+    missing = rank_rows(sites.filter(~F.col(seen)), list(key), [(site, True)], "first", "_rn")
     return (
-        sites.filter(~F.col(seen))
-        .withColumn("_run", F.col(site) - F.row_number().over(w))
+        missing.withColumn("_run", F.col(site) - F.col("_rn"))
         .groupBy(*key, "_run")
         .agg(F.min(site).alias("start"), F.max(site).alias("end"))
         .drop("_run")

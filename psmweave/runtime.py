@@ -63,9 +63,9 @@ def input_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
     size = input_bytes(df)
-    return size is not None and size <= limit
+    return size is not None and size <= (SMALL_INPUT_BYTES if limit is None else limit)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

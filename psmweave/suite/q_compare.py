@@ -20,6 +20,49 @@ def _r(df, *cols, places=6):
     return df.withColumns({c: F.round(c, places) for c in cols})
 
 
+# Residues of every peptide with position, mass and cumulative mass.
+_WALK_SQL = """
+pl AS (SELECT peptide AS p FROM joined WHERE rank = 1 UNION SELECT gt_peptide FROM joined WHERE rank = 1),
+pm AS (SELECT p, i, m, sum(m) OVER (PARTITION BY p ORDER BY i) AS c FROM (SELECT p, unnest(string_split(p, '')) AS aa,
+  unnest(range(1, length(p) + 1)) AS i FROM {peptides}) JOIN residue_mass USING (aa)),
+pairs AS (SELECT DISTINCT {a} AS a, {b} AS b FROM joined WHERE rank = 1)
+"""
+_NOVOR_SQL = (
+    "WITH RECURSIVE "
+    + _WALK_SQL.format(peptides="pl", a="gt_peptide", b="peptide")
+    + """, walk AS (SELECT a, b, 1 AS i, 1 AS j, 0 AS hits FROM pairs UNION ALL
+ SELECT a, b, CASE WHEN abs(x.c - y.c) < 0.5 OR x.c > y.c THEN w.i + 1 ELSE w.i END,
+  CASE WHEN abs(x.c - y.c) < 0.5 OR NOT x.c > y.c THEN w.j + 1 ELSE w.j END,
+  w.hits + CASE WHEN abs(x.c - y.c) < 0.5 AND abs(x.m - y.m) < 0.1 THEN 1 ELSE 0 END
+ FROM walk w JOIN pm x ON x.p = w.a AND x.i = w.i JOIN pm y ON y.p = w.b AND y.i = w.j),
+nv AS (SELECT a, b, max(hits) AS hits FROM walk GROUP BY 1, 2)
+"""
+)
+
+
+def _prefix_sql(name: str, back: bool) -> str:
+    """Recursive forward walk; on reversed peptides it is the backward mode."""
+    turn = "reverse({})" if back else "{}"
+    rev = "(SELECT reverse(p) AS p FROM pl)" if back else "pl"
+    base = _WALK_SQL.format(peptides=rev, a=turn.format("gt_peptide"), b=turn.format("peptide"))
+    for t in ("pm", "pairs"):
+        base = base.replace(f"{t} AS", f"{t}_{name} AS")
+    if back:
+        base = base[base.index("pm_") :]
+    return (
+        base
+        + f""", w_{name} AS (SELECT a, b, 1 AS i, 1 AS j, -1 AS at, false AS ok FROM pairs_{name} UNION ALL
+ SELECT a, b, CASE WHEN g OR cy > cx THEN i + 1 ELSE i END, CASE WHEN g OR NOT cy > cx THEN j + 1 ELSE j END,
+  CASE WHEN g THEN greatest(i, j) ELSE -1 END, g AND abs(mx - my) / my * 1e6 < 20 FROM (
+  SELECT a, b, w.i, w.j, x.c AS cx, y.c AS cy, x.m AS mx, y.m AS my, abs(x.c - y.c) / y.c * 1e6 < 50 AS g
+  FROM w_{name} w JOIN pm_{name} x ON x.p = w.a AND x.i = w.i JOIN pm_{name} y ON y.p = w.b AND y.i = w.j)),
+f_{name} AS (SELECT a, b, array_to_string(list(CASE WHEN hit THEN '1' ELSE '0' END ORDER BY k), '') AS flags FROM (
+  SELECT q.a, q.b, k, EXISTS (SELECT 1 FROM w_{name} w WHERE w.a = q.a AND w.b = q.b AND w.at = k AND w.ok) AS hit
+  FROM pairs_{name} q, range(1, 40) r(k) WHERE k <= greatest(length(q.a), length(q.b))) GROUP BY 1, 2)
+"""
+    )
+
+
 def _flags(c):
     return F.array_join(F.transform(c, lambda x: F.when(x, "1").otherwise("0")), "")
 
@@ -40,7 +83,13 @@ def c1(spark, sf):
     )
 
 
-@query("C1_aa_match_modes")
+@query(
+    "C1_aa_match_modes",
+    "WITH RECURSIVE " + _prefix_sql("fw", False) + ", " + _prefix_sql("bw", True)
+    + """SELECT j.run, j.spectrum_id, j.engine, j.rank, f.flags AS forward, reverse(g.flags) AS backward
+FROM joined j JOIN f_fw f ON f.a = j.gt_peptide AND f.b = j.peptide
+JOIN f_bw g ON g.a = reverse(j.gt_peptide) AND g.b = reverse(j.peptide) WHERE j.rank = 1""",
+)
 def c1b(spark, sf):
     rows = V.joined(spark, sf).filter("rank = 1").select(*J.PSM_KEY, "peptide", "gt_peptide")
     for mode in ("forward", "backward"):
@@ -206,7 +255,11 @@ def c9(spark, sf):
     )
 
 
-@query("C10_novor_match")
+@query(
+    "C10_novor_match",
+    _NOVOR_SQL + "SELECT run, spectrum_id, engine, rank, peptide, gt_peptide, hits AS n_match FROM joined "
+    "JOIN nv ON nv.a = gt_peptide AND nv.b = peptide WHERE rank = 1",
+)
 def c10(spark, sf):
     rows = V.joined(spark, sf).filter("rank = 1").repartition("run", "spectrum_id")
     return rows.select(
@@ -259,7 +312,16 @@ def a6(spark, sf):
     return _r(out, "aa_precision", "aa_recall")
 
 
-@query("A7_peptide_pr_at_threshold")
+@query(
+    "A7_peptide_pr_at_threshold",
+    _NOVOR_SQL + """, u AS (SELECT engine, length(gt_peptide) AS t, length(peptide) AS p, hits, score >= 0.6 AS used
+ FROM joined JOIN nv ON nv.a = gt_peptide AND nv.b = peptide WHERE rank = 1)
+SELECT engine, round(sum(hits) FILTER (WHERE used) / sum(p) FILTER (WHERE used), 6) AS aa_precision,
+ round(sum(hits) FILTER (WHERE used) / sum(t), 6) AS aa_recall,
+ round(count(*) FILTER (WHERE used AND t = p AND hits = t) / count(*), 6) AS pep_recall,
+ round(count(*) FILTER (WHERE used AND t = p AND hits = t) / count(*) FILTER (WHERE used), 6) AS pep_precision
+FROM u GROUP BY 1""",
+)
 def a7(spark, sf):
     out = C.peptide_pr_at_threshold(V.joined(spark, sf).filter("rank = 1"), 0.6)
     return _r(out, "aa_precision", "aa_recall", "pep_recall", "pep_precision")

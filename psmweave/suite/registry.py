@@ -33,6 +33,8 @@ def with_views(sql: str) -> str:
         return sql
     heads = ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in needed)
     body = sql.lstrip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {heads},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {heads},\n{body[5:]}"
     return f"WITH {heads}\n{body}"
