@@ -63,6 +63,51 @@ f_{name} AS (SELECT a, b, array_to_string(list(CASE WHEN hit THEN '1' ELSE '0' E
     )
 
 
+def _walk_cte(name: str, start: str, peptides: str) -> str:
+    """Greedy ppm walk over the pairs of ``start`` (a, b, x, y), events in (ei, ej, ok)."""
+    return f"""{name} AS (SELECT a, b, x, y, 1 AS i, 1 AS j, 0 AS ei, 0 AS ej, false AS ok FROM {start} UNION ALL
+ SELECT a, b, x, y, CASE WHEN g OR cy > cx THEN i + 1 ELSE i END, CASE WHEN g OR NOT cy > cx THEN j + 1 ELSE j END,
+  CASE WHEN g THEN i ELSE 0 END, CASE WHEN g THEN j ELSE 0 END, g AND abs(mx - my) / my * 1e6 < 20 FROM (
+  SELECT a, b, w.x, w.y, w.i, w.j, q.c AS cx, r.c AS cy, q.m AS mx, r.m AS my, abs(q.c - r.c) / r.c * 1e6 < 50 AS g
+  FROM {name} w JOIN {peptides} q ON q.p = w.x AND q.i = w.i JOIN {peptides} r ON r.p = w.y AND r.i = w.j))"""
+
+
+def _flag_sql(place: str, length: str) -> str:
+    return (
+        f"(SELECT array_to_string(list(CASE WHEN coalesce((SELECT arg_max(ok, ph) FROM ev WHERE ev.a = z.a AND "
+        f"ev.b = z.b AND {place} = k), false) THEN '1' ELSE '0' END ORDER BY k), '') "
+        f"FROM range(1, 40) r(k) WHERE k <= {length})"
+    )
+
+
+# The default mode: forward, then backward down to the first difference.
+_BEST_SQL = (
+    "WITH RECURSIVE "
+    + _WALK_SQL.format(peptides="pl", a="gt_peptide", b="peptide")
+    + ", st AS (SELECT a, b, a AS x, b AS y FROM pairs), "
+    + _walk_cte("w0", "st", "pm")
+    + """, stop AS (SELECT a, b, min(k) AS s FROM pairs, range(1, 40) r(k) WHERE k <= greatest(length(a), length(b))
+  AND NOT EXISTS (SELECT 1 FROM w0 WHERE w0.a = pairs.a AND w0.b = pairs.b AND w0.ok AND greatest(ei, ej) = k) GROUP BY 1, 2),
+sx AS (SELECT a, b, reverse(substr(a, s)) AS x, reverse(substr(b, s)) AS y FROM stop),
+sl AS (SELECT x AS p FROM sx UNION SELECT y FROM sx),
+sm AS (SELECT p, i, m, sum(m) OVER (PARTITION BY p ORDER BY i) AS c FROM (SELECT p, unnest(string_split(p, '')) AS aa,
+  unnest(range(1, length(p) + 1)) AS i FROM sl WHERE p <> '') JOIN residue_mass USING (aa)), """
+    + _walk_cte("w1", "sx", "sm")
+    + """, ev AS (SELECT a, b, 0 AS ph, ei, ej, ok FROM w0 WHERE ei > 0
+ UNION ALL SELECT a, b, 1, length(a) - ei + 1, length(b) - ej + 1, ok FROM w1 WHERE ei > 0),
+fl AS (SELECT a, b, """
+    + _flag_sql("greatest(ei, ej)", "greatest(length(z.a), length(z.b))")
+    + " AS aa_match, "
+    + _flag_sql("ei", "length(z.a)")
+    + " AS gt_match, "
+    + _flag_sql("ej", "length(z.b)")
+    + """ AS peptide_match FROM pairs z),
+al AS (SELECT j.*, aa_match, gt_match, peptide_match, NOT contains(aa_match, '0') AS pep_match
+ FROM joined j JOIN fl ON fl.a = j.gt_peptide AND fl.b = j.peptide WHERE j.rank = 1)
+"""
+)
+
+
 def _flags(c):
     return F.array_join(F.transform(c, lambda x: F.when(x, "1").otherwise("0")), "")
 
@@ -71,7 +116,11 @@ def _aligned(spark, sf):
     return C.aligned(V.joined(spark, sf).filter("rank = 1"))
 
 
-@query("C1_aa_match")
+@query(
+    "C1_aa_match",
+    _BEST_SQL + "SELECT run, spectrum_id, engine, rank, peptide, gt_peptide, aa_match, gt_match, peptide_match, "
+    "pep_match FROM al",
+)
 def c1(spark, sf):
     a = F.col("aligned")
     return _aligned(spark, sf).select(
@@ -106,7 +155,28 @@ def c2(spark, sf):
     return S.count_by(pairs, "engine", "pair", "resolved")
 
 
-@query("C3_error_type")
+def _backed_sql(flags: str, peptide: str) -> str:
+    return (
+        f"NOT EXISTS (SELECT 1 FROM range(1, 40) r(k) WHERE k < length({peptide}) AND (spectrum_id + k) % 3 > 0 "
+        f"AND substr({flags}, k, 1) = '0')"
+    )
+
+
+def _gap_count_sql(peptide: str) -> str:
+    return f"(SELECT count(*) FROM range(1, 40) r(k) WHERE k < length({peptide}) AND (spectrum_id + k) % 3 = 0)"
+
+
+@query(
+    "C3_error_type",
+    _BEST_SQL + f""", ms AS (SELECT p, max(c) AS mass FROM pm GROUP BY 1)
+SELECT run, spectrum_id, engine, rank, peptide, gt_peptide, CASE WHEN peptide = gt_peptide THEN 'match'
+ WHEN pep_match THEN 'isobaric_aa'
+ WHEN abs(x.mass - y.mass) < 0.5 AND {_backed_sql("gt_match", "gt_peptide")} AND {_backed_sql("peptide_match", "peptide")}
+  AND {_gap_count_sql("peptide")} = {_gap_count_sql("gt_peptide")} THEN 'isobaric_peak'
+ WHEN round(score - gt_score, 3) < 0 THEN 'Lower score' ELSE 'Higher score' END AS error_type,
+ round(score - gt_score, 3) AS score_diff
+FROM al JOIN ms x ON x.p = al.peptide JOIN ms y ON y.p = al.gt_peptide""",
+)
 def c3(spark, sf):
     """Evidence flags come from the spectrum number, equal for both peptides of a spectrum."""
     flags = "transform(sequence(1, {n} - 1), i -> (spectrum_id + i) % 3 > 0)"
@@ -283,7 +353,13 @@ def c12(spark, sf):
     return S.count_by(C.error_category(sites, J.PSM_KEY), "engine", "category")
 
 
-@query("A5_aa_pep_precision_recall")
+@query(
+    "A5_aa_pep_precision_recall",
+    _BEST_SQL + """, h AS (SELECT *, length(replace(aa_match, '0', '')) AS hits FROM al)
+SELECT engine, round(sum(hits) / (sum(length(peptide)) + 1e-8), 6) AS aa_precision,
+ round(sum(hits) / (sum(length(gt_peptide)) + 1e-8), 6) AS aa_recall,
+ round(count(*) FILTER (WHERE pep_match) / (count(*) + 1e-8), 6) AS pep_precision FROM h GROUP BY 1""",
+)
 def a5(spark, sf):
     out = C.aa_pep_precision_recall(_aligned(spark, sf), ["engine"])
     return _r(out, "aa_precision", "aa_recall", "pep_precision")
