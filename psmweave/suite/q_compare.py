@@ -149,7 +149,16 @@ def c1b(spark, sf):
     )
 
 
-@query("C2_isobaric_pairs")
+@query(
+    "C2_isobaric_pairs",
+    _BEST_SQL + """, last AS (SELECT p.a, p.b, CASE WHEN s IS NULL THEN 0 ELSE 1 END AS ph FROM pairs p
+ LEFT JOIN stop USING (a, b)),
+lab AS (SELECT ev.a, ev.b, substr(ev.a, CAST(ei AS INT), 1) AS ca, substr(ev.b, CAST(ej AS INT), 1) AS cb FROM ev JOIN last USING (a, b, ph) WHERE ok),
+part AS (SELECT * FROM (VALUES ('I', 'L'), ('L', 'I'), ('M', 'F'), ('F', 'M'), ('K', 'Q'), ('Q', 'E'), ('D', 'N'),
+ ('N', 'D'), ('E', 'Q')) t(ca, other))
+SELECT engine, concat(lab.ca, '/', CASE WHEN lab.ca = cb THEN other ELSE cb END) AS pair, lab.ca = cb AS resolved,
+ count(*) AS n FROM al JOIN lab ON lab.a = gt_peptide AND lab.b = peptide JOIN part ON part.ca = lab.ca GROUP BY ALL""",
+)
 def c2(spark, sf):
     pairs = C.isobaric_pairs(_aligned(spark, sf), ["engine"])
     return S.count_by(pairs, "engine", "pair", "resolved")
@@ -382,7 +391,18 @@ def _aa_totals(spark, sf):
     )
 
 
-@query("A6_aa_precision_recall_at")
+_AA_SQL = _BEST_SQL + """, aa AS (SELECT engine, round(score * (1 - k / 100), 6) AS score,
+  substr(peptide_match, CAST(k AS INT), 1) = '1' AS correct FROM al, range(1, 40) r(k) WHERE k <= length(peptide)),
+tt AS (SELECT engine, sum(length(gt_peptide)) AS n_total FROM al GROUP BY 1)
+"""
+
+
+@query(
+    "A6_aa_precision_recall_at",
+    _AA_SQL + """SELECT engine, round(count(*) FILTER (WHERE score > 0.6 AND correct) / count(*) FILTER (WHERE score > 0.6), 6)
+ AS aa_precision, round(count(*) FILTER (WHERE score > 0.6 AND correct) / any_value(n_total), 6) AS aa_recall
+FROM aa JOIN tt USING (engine) GROUP BY 1""",
+)
 def a6(spark, sf):
     out = C.aa_precision_recall_at(_aa_rows(spark, sf), _aa_totals(spark, sf), 0.6)
     return _r(out, "aa_precision", "aa_recall")
@@ -412,7 +432,16 @@ def a8(spark, sf):
     return _r(C.aa_error_rate(V.joined(spark, sf).filter("rank = 1")), "aa_error_rate")
 
 
-@query("A15_aa_curve")
+@query(
+    "A15_aa_curve",
+    _AA_SQL + """, lv AS (SELECT engine, score, count(*) AS n, count(*) FILTER (WHERE correct) AS c FROM aa GROUP BY 1, 2),
+sn AS (SELECT engine, max(score) AS hi, min(score) AS lo FROM lv GROUP BY 1),
+th AS (SELECT engine, k, CASE WHEN k = 999 THEN lo ELSE hi + k * ((lo - hi) / 999) END AS threshold FROM sn, range(1000) r(k)),
+x AS (SELECT th.engine, k, threshold, coalesce(sum(n), 0) AS ci, coalesce(sum(c), 0) AS cc FROM th LEFT JOIN lv
+  ON lv.engine = th.engine AND lv.score > th.threshold GROUP BY 1, 2, 3)
+SELECT engine, k, round(threshold, 6) AS threshold, round(CASE WHEN ci > 0 THEN cc / ci END, 6) AS precision,
+ round(cc / n_total, 6) AS recall, round(ci / n_total, 6) AS coverage FROM x JOIN tt USING (engine)""",
+)
 def a15(spark, sf):
     totals = _aa_totals(spark, sf).withColumnRenamed("n_total", "n_predicted")
     out = U.prc_linspace(_aa_rows(spark, sf), totals)
