@@ -3,8 +3,8 @@
 Proteins are cut into seeds at every ``stride``-th letter; a peptide looks up
 ``stride`` consecutive seeds of its own, so every occurrence meets one aligned seed.
 Each peptide uses its rarest run of seeds, which keeps frequent words from pairing
-everything with everything.  A seed travels with just enough text around it to
-check the whole peptide.  Peptides too short for that are looked up as whole words.
+everything with everything.  The whole peptide is checked against the text around
+the seed.  Peptides too short for that are looked up as whole words.
 """
 
 from __future__ import annotations
@@ -48,32 +48,26 @@ def _pieces(proteins: DataFrame, reach: int) -> DataFrame:
             F.left(around(i, 1), F.lit(reach)).alias("right"),
         ),
     )
-    return rows.select("protein_id", F.inline(piece))
+    return rows.select("protein_id", F.posexplode(piece).alias("piece_no", "_x")).select(
+        "protein_id", "piece_no", "_x.*"
+    )
 
 
-def _seeds(pieces: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
-    """(protein, seed, text before it, text from it on) at every STRIDE-th letter.
+def _words(length: int, step: int) -> Column:
+    """Words of a piece at every ``step``-th letter, in order; one pass over its text.
 
-    Only seeds some peptide has keep their surrounding text.
+    Words may reach into the next piece.
     """
-    starts = F.sequence(F.lit(1), F.length("body"), F.lit(STRIDE))
+    text = F.concat("body", F.left("right", F.lit(length - 1)))
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}})).{{{step}}}"), F.lit(1))
+
+
+def _seeds(pieces: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(protein, piece, number, seed) for the seeds some peptide has; no other text moves."""
     rows = pieces.select(
-        "protein_id",
-        F.concat("left", "body", "right").alias("t"),
-        F.length("left").alias("b"),
-        F.explode(starts).alias("p"),
-    ).select("protein_id", "t", (F.col("b") + F.col("p")).alias("at"))
-    rows = rows.withColumn("seed", F.substring(F.col("t"), F.col("at"), F.lit(SEED)))
-    at = F.col("at")
-    return (
-        rows.join(wanted, "seed", "left_semi")
-        .select(
-            "protein_id",
-            "seed",
-            F.substring(F.col("t"), F.greatest(at - reach, F.lit(1)), F.least(F.lit(reach), at - 1)).alias("before"),
-            F.substring(F.col("t"), at, F.lit(reach + SEED)).alias("after"),
-        )
+        "protein_id", "piece_no", F.posexplode(_words(SEED, STRIDE)).alias("seed_no", "seed")
     )
+    return rows.join(wanted, "seed", "left_semi")
 
 
 def _peptide_seeds(peptides: DataFrame, counts: DataFrame) -> DataFrame:
@@ -127,26 +121,20 @@ def kmer_contains_join(
                 )
             ).alias("seed")
         ).distinct()
-        seeds = _seeds(_pieces(prot, reach), wanted, reach)
+        pieces = _pieces(prot, reach)
+        seeds = _seeds(pieces, wanted)
         counts = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
-        mine = _peptide_seeds(long, counts)
-        hit = (F.right(F.concat(F.lit(" "), "before"), F.col("off")) == F.left("_pep", F.col("off"))) & (
-            F.left("after", F.length("_pep") - F.col("off")) == F.substring(F.col("_pep"), F.col("off") + 1, F.length("_pep"))
+        candidates = _peptide_seeds(long, counts).join(seeds, "seed").drop("seed")
+        # Where the peptide would have to start in left + body + right, counted from 1.
+        text = F.concat("left", "body", "right")
+        start = F.length("left") + F.col("seed_no") * STRIDE + 1 - F.col("off")
+        hit = (start >= 1) & (F.substring(text, start, F.length("_pep")) == F.col("_pep"))
+        found.append(
+            candidates.join(pieces, ["protein_id", "piece_no"]).filter(hit).select("_pep", "protein_id")
         )
-        found.append(mine.join(seeds, "seed").filter(hit).select("_pep", "protein_id"))
     if stats.short:
-        lengths = F.array(*[F.lit(int(n)) for n in sorted(stats.short)])
-        reach = need
-        words = (
-            _pieces(prot, reach)
-            .select(
-                "protein_id",
-                F.concat("body", "right").alias("t"),
-                F.explode(F.sequence(F.lit(1), F.length("body"))).alias("p"),
-            )
-            .select("protein_id", "t", "p", F.explode(lengths).alias("k"))
-            .select("protein_id", F.substring(F.col("t"), F.col("p"), F.col("k")).alias("_pep"))
-        )
+        every = F.concat(*[F.array_distinct(_words(int(n), 1)) for n in sorted(stats.short)])
+        words = _pieces(prot, need).select("protein_id", F.explode(every).alias("_pep"))
         brief = pep.filter(F.length("_pep") < need).select("_pep").distinct()
         found.append(words.join(brief, "_pep").select("_pep", "protein_id"))
     if not found:
