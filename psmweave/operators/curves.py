@@ -278,20 +278,23 @@ def prc_coverage_grid(
     ranked = running(
         flags, group, order, {"r": ("sum", "_one"), "cc": ("sum", "_c")}, True, strategy
     ).select(*group, "r", "cc")
+    ranked = attach_group_values(ranked, group, {"n": F.count(F.lit(1))}, _fits(strategy))
     steps = points - 1
-    grid = (
-        df.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(*group, "n", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("k"))
-        .withColumn("r", F.expr(f"(CAST(k AS BIGINT) * n + {steps - 1}) div {steps}"))
-    )
+    # Row r is the last one of the steps k with steps (r - 1) / n < k <= steps r / n.
+    first = F.expr(f"({steps} * (r - 1)) div n + 1")
+    last = F.expr(f"({steps} * r) div n")
     total = F.col("n") if n_predicted is None else n_predicted
-    return grid.join(ranked, [*group, "r"]).select(
-        *group,
-        F.col("k").cast("long").alias("k"),
-        _ratio("cc", "r").alias("precision"),
-        _ratio(F.col("cc"), total).alias("recall"),
-        _ratio(F.col("r"), total).alias("coverage"),
+    return (
+        ranked.withColumns({"_first": first, "_last": last})
+        .filter("_first <= _last")
+        .withColumn("k", F.explode(F.sequence("_first", "_last")))
+        .select(
+            *group,
+            F.col("k").cast("long").alias("k"),
+            _ratio("cc", "r").alias("precision"),
+            _ratio(F.col("cc"), total).alias("recall"),
+            _ratio(F.col("r"), total).alias("coverage"),
+        )
     )
 
 
