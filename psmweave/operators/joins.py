@@ -125,28 +125,27 @@ def attach_refinement(psms: DataFrame, refinements: DataFrame) -> DataFrame:
     refinement keeps only its score; ``proposed_peptide`` is what the refiner wrote.
     """
     sizes = psms.groupBy(*ENGINE_KEY).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(F.struct("rank", "peptide", "score")).alias("_only"),
+        F.count(F.lit(1)).alias("_n"), F.min("rank").alias("_only")
     )
-    ref = refinements.join(sizes, ENGINE_KEY, "left")
     base = psms.select(
-        *PSM_KEY, F.col("peptide").alias("_p"), F.col("score").alias("_s"), F.lit(True).alias("_hit")
+        *PSM_KEY, "peptide", "score", F.lit(True).alias("_hit")
     )
-    out = ref.join(base, PSM_KEY, "left")
-    single = F.col("_n") == 1
-    hit = F.col("_hit")
-    out = out.select(
-        *ENGINE_KEY,
-        F.when(single, F.col("_only.rank")).otherwise(F.col("rank")).alias("rank"),
-        "refiner",
-        F.when(single, F.col("_only.peptide")).otherwise(F.col("_p")).alias("peptide"),
-        F.when(single, F.col("_only.score")).otherwise(F.col("_s")).alias("score"),
-        "refined_peptide",
-        "refined_score",
-        F.when(F.col("_n").isNull(), "no_base")
-        .when(single | hit, "matched")
-        .otherwise("ambiguous")
-        .alias("status"),
+    out = (
+        refinements.join(sizes, ENGINE_KEY, "left")
+        .withColumn("rank", F.when(F.col("_n") == 1, F.col("_only")).otherwise(F.col("rank")))
+        .join(base, PSM_KEY, "left")
+        .select(
+            *PSM_KEY,
+            "refiner",
+            "peptide",
+            "score",
+            "refined_peptide",
+            "refined_score",
+            F.when(F.col("_n").isNull(), "no_base")
+            .when(F.col("_hit"), "matched")
+            .otherwise("ambiguous")
+            .alias("status"),
+        )
     )
     same = P.equate_leu_ile("peptide") == P.equate_leu_ile("refined_peptide")
     return out.withColumns(
