@@ -704,3 +704,25 @@ def s31(spark, sf):
         "CASE WHEN o_orderkey % 3 = 0 THEN '.mgf' ELSE '.csv' END) AS path"
     )
     return tables.run_manifest(files)
+
+
+_REGISTERED = ["casanovo", "instanovo", "novor", "pepnet", "pepnovo", "spectralis"]
+
+
+@query(
+    "S19_engine_registry",
+    """
+SELECT run, engine, source, concat('/results/', engine, '/', run, '.', engine, ext) AS path, n_spectra
+FROM (SELECT run, count(*) AS n_spectra FROM gt GROUP BY 1), (VALUES ('casanovo', 'Casanovo4.2.0', '.mztab'),
+ ('instanovo', 'InstaNovo', '.csv'), ('novor', 'Novor', '.csv'), ('pepnet', 'PepNet', '.tsv'),
+ ('pepnovo', 'PepNovo+', '.mgf.out'), ('spectralis', 'Spectralis', '.csv')) t(engine, source, ext)
+""",
+)
+def s19(spark, sf):
+    """Expected result file of every run for each registered engine."""
+    runs = V.gt(spark, sf).groupBy("run").agg(F.count(F.lit(1)).alias("n_spectra"))
+    paths = tables.result_paths(runs, "/results", _REGISTERED)
+    sources = F.create_map(
+        *[F.lit(x) for e in _REGISTERED for x in (e, results.engine_spec(e).source)]
+    )
+    return paths.join(runs, "run").withColumn("source", F.element_at(sources, F.col("engine")))

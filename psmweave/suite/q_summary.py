@@ -704,6 +704,15 @@ def t4(spark, sf):
     ).select(*J.PSM_KEY)
 
 
+@query(
+    "T4_sample_sizes",
+    "SELECT run, spectrum_id, least(count(*), 3) AS n FROM psms GROUP BY 1, 2",
+)
+def t4b(spark, sf):
+    """How many rows the sample holds per spectrum."""
+    return S.count_by(t4(spark, sf), *J.KEY)
+
+
 @query(
     "U1_union_tables",
     "SELECT run, spectrum_id, 'psm' AS kind, peptide FROM psms UNION ALL "
