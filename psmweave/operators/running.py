@@ -29,6 +29,8 @@ def group_fits_one_task(df: DataFrame, group: Sequence[str], limit: int | None =
     """True when no group holds more rows than one task should sort."""
     if is_small(df):
         return True
+    if not group:
+        return False
     largest = df.groupBy(*group).count().agg(F.max("count")).first()[0]
     return (largest or 0) <= (runtime.MAX_GROUP_ROWS if limit is None else limit)
 
@@ -116,11 +118,11 @@ def attach_group_values(
 ) -> DataFrame:
     """Add aggregates of the row's group to every row.
 
-    One pass over sorted groups while they fit a task; beyond that partial aggregation
-    and a join back, where the aggregated side has one row per group.
+    One pass over sorted groups for small inputs; beyond that partial aggregation and a
+    join back, where the aggregated side has one row per group.
     """
     if fits is None:
-        fits = group_fits_one_task(df, group)
+        fits = is_small(df)
     if fits:
         w = Window.partitionBy(*group)
         return df.withColumns({name: agg.over(w) for name, agg in values.items()})
