@@ -6,8 +6,9 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from psmweave.llm import quality
+from psmweave.llm import decontaminate, linededup, quality, sentences, simhash, tokencount
 from psmweave.runtime import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +79,31 @@ FROM m
 @query("op10_quality_rules", QUALITY_SQL)
 def _quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_digest(table(spark, sf, "documents"))
+
+
+@query("op9_benchmark_decontamination")
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op5_simhash_near_dedup")
+def _near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op6_sentencepiece")
+def _pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.round_trip(table(spark, sf, "documents"))
+
+
+@query("op7_token_counts")
+def _token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf, "documents"))
+
+
+@query("op8_line_dedup")
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    done = linededup.dedup_lines(table(spark, sf, "documents"))
+    return done.select(
+        F.col("__row.doc_id").alias("doc_id"), F.col("kept_text").alias("text"), "n_deleted", "emptied"
+    )
