@@ -25,13 +25,15 @@ def words(text: Column) -> Column:
 
 def shingle_hashes(tokens: Column, width: int) -> Column:
     """XXH64 of every run of ``width`` words, in order; empty where there are fewer words."""
-    return F.when(
-        F.size(tokens) >= width,
-        F.transform(
-            F.sequence(F.lit(0), F.size(tokens) - width),
-            lambda i: F.xxhash64(*[tokens[i + k] for k in range(width)]),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+
+    def hashes(w: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[w[i + k] for k in range(width)])
+        )
+
+    return let(
+        tokens, lambda w: F.when(F.size(w) >= width, hashes(w)).otherwise(F.array().cast("array<bigint>"))
+    )
 
 
 def rows_of(docs: DataFrame, **columns: Column) -> DataFrame:
