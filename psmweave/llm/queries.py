@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psmweave.llm import decontaminate, linededup, quality, sentences, simhash, tokencount
+from psmweave.llm import decontaminate, linededup, pii, quality, sentences, simhash, tokencount
 from psmweave.runtime import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,8 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return done.select(
         F.col("__row.doc_id").alias("doc_id"), F.col("kept_text").alias("text"), "n_deleted", "emptied"
     )
+
+
+@query("op1_pii")
+def _personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digest(pii.extract(table(spark, sf, "documents")))
