@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psmweave.llm import decontaminate, linededup, pii, quality, sentences, simhash, tokencount
+from psmweave.llm import decontaminate, kneser_ney, linededup, pii, quality, sentences, simhash, tokencount
 from psmweave.runtime import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,12 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_pii")
 def _personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digest(pii.extract(table(spark, sf, "documents")))
+
+
+@query("op2_kneser_ney")
+def _language_model(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = kneser_ney.held_out(F.col("doc_id"))
+    model = kneser_ney.train(docs.filter(~out))
+    scores = kneser_ney.score(docs, model)
+    return scores.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
