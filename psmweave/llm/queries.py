@@ -8,7 +8,18 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psmweave.llm import decontaminate, kneser_ney, linededup, pii, quality, sentences, simhash, tokencount
+from psmweave.llm import (
+    decontaminate,
+    extract,
+    kneser_ney,
+    linededup,
+    pii,
+    quality,
+    sentences,
+    simhash,
+    tokencount,
+    toxicity,
+)
 from psmweave.runtime import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +132,19 @@ def _language_model(spark: SparkSession, sf: str) -> DataFrame:
     model = kneser_ney.train(docs.filter(~out))
     scores = kneser_ney.score(docs, model)
     return scores.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op3_html_main_text")
+def _main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.main_text(table(spark, sf, "pages"))
+
+
+@query("op4_toxicity")
+def _toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels")
+    out = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.train(docs, labels.filter(~out))
+    return toxicity.score(docs, *model).select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
