@@ -6,8 +6,9 @@ A letter string has one character per (modified) residue, see ``to_letter_string
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 from functools import lru_cache
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -93,57 +94,58 @@ def mirrored(ops: Sequence[Op]) -> list[Op]:
 
 @dataclass
 class Site:
-    source: str = ""
-    target: str = ""
-    indices: list[int] = field(default_factory=list)
+    """One stretch ``a[a_from:a_to]`` that became ``b[b_from:b_to]``; ``indices`` are places in ``b``."""
+
+    a: str
+    b: str
+    a_from: int
+    a_to: int
+    b_from: int
+    b_to: int
+    indices: list[int]
+
+    @property
+    def source(self) -> str:
+        return self.a[self.a_from : self.a_to]
+
+    @property
+    def target(self) -> str:
+        return self.b[self.b_from : self.b_to]
 
     @property
     def mass_difference(self) -> float:
         return tag_mass(self.target) - tag_mass(self.source)
 
 
-def _continues(action: str, j: int, last: str, last_j: int) -> bool:
-    """Whether an operation at ``j`` belongs to the site whose last one was (last, last_j)."""
-    if action != "delete":
-        return j - last_j <= 1
-    gap = j - last_j
-    return gap == 0 or (last == "insert" and gap == 2) or (last == "replace" and gap == 1)
+def _end(op: Op) -> tuple[int, int]:
+    """Places in both strings behind an operation."""
+    action, i, j = op
+    return i + (action != "insert"), j + (action != "delete")
+
+
+def _moves(x: Op, y: Op) -> bool:
+    """Whether a deletion and an insertion enclose just one unchanged residue, which so moved along."""
+    return y[2] - _end(x)[1] == 1 and {x[0], y[0]} == {"insert", "delete"}
 
 
 def edit_sites(a: str, b: str, ops: Sequence[Op]) -> list[Site]:
-    """Neighbouring operations grouped to sites; crossed pairs read as a transposition.
+    """Maximal chains of neighbouring operations, as the stretches they span in both strings.
 
-    Indices refer to ``b``.
+    Operations are neighbours if no unchanged residue lies between them, or a single one that they
+    move. An operation's index is its place in ``b``; a deletion that ends a move stands at the moved
+    residue.
     """
-    sites: list[Site] = []
-    last, last_j = None, 0
-    for action, i, j in ops:
-        if last is None or not _continues(action, j, last, last_j):
-            sites.append(Site())
-            last = None
-        site = sites[-1]
-        at = j
-        if last == "delete" and action == "insert":
-            # The residue between both operations moved along.
-            site.source += a[i - 1]
-            site.target += b[j - 1] + b[j]
-        elif last == "insert" and action == "delete":
-            site.source += a[i - 1] + a[i]
-            site.target += b[j - 1]
-            at = j - 1
+    chains: list[list[Op]] = []
+    for op in ops:
+        if chains and (_end(chains[-1][-1])[1] == op[2] or _moves(chains[-1][-1], op)):
+            chains[-1].append(op)
         else:
-            torn = (last == "delete" and action == "replace" and site.indices[-1] != j) or (
-                last == "replace" and action == "delete" and site.indices[-1] + 1 != j
-            )
-            if torn:
-                site = Site()
-                sites.append(site)
-            if action != "insert":
-                site.source += a[i]
-            if action != "delete":
-                site.target += b[j]
-        site.indices.append(at)
-        last, last_j = action, j
+            chains.append([op])
+    sites = []
+    for chain in chains:
+        (a_to, b_to), (_, i, j) = _end(chain[-1]), chain[0]
+        shifted = [k > 0 and op[0] == "delete" and _moves(chain[k - 1], op) for k, op in enumerate(chain)]
+        sites.append(Site(a, b, i, a_to, j, b_to, [op[2] - s for op, s in zip(chain, shifted)]))
     return sites
 
 
@@ -151,75 +153,62 @@ def _zero(x: float) -> bool:
     return round(x, 2) == 0
 
 
-def mass_neutral_groups(differences: Sequence[float], precursor: float) -> list[tuple[int, int]]:
-    """(first, last) runs of sites whose mass differences cancel or give the precursor's."""
-    groups = []
-    precursor = round(precursor, 2)
-    open_precursor = not _zero(precursor)
-    start, total = None, 0.0
-    for k, diff in enumerate(differences):
-        if open_precursor and _zero(diff - precursor):
-            open_precursor = False
-            continue
-        if open_precursor and start is not None and _zero(diff + total - precursor):
-            groups.append((start, k))
-            open_precursor, start, total = False, None, 0.0
-            continue
-        if _zero(diff):
-            continue
-        total += diff
-        if start is None:
-            start = k
-        elif _zero(total):
-            groups.append((start, k))
-            start, total = None, 0.0
-    return groups
-
-
-def _span(text: str, sites: Sequence[Site], group: tuple[int, int], ops: Sequence[Op]):
-    """Indices and text of ``b`` from the first to the last site of a group."""
-    lo, hi = sites[group[0]].indices[0], sites[group[1]].indices[-1]
-    at_end = [action for action, _, j in ops if j == hi]
-    if at_end and at_end[-1] == "delete" and hi > lo:
-        return lo, hi, text[lo:hi]
-    return lo, hi, text[lo : hi + 1]
-
-
-def merge_sites(a: str, b: str, ops: Sequence[Op], forward: list[Site], backward: list[Site]):
-    """Sites of one mass-neutral run become one site without equal ends."""
-    precursor = tag_mass(b) - tag_mass(a)
-    back_ops = mirrored(ops)
-    f_groups = mass_neutral_groups([s.mass_difference for s in forward], precursor)
-    b_groups = mass_neutral_groups([s.mass_difference for s in backward], -precursor)
-    merged_f, merged_b = [], []
-    for fg, bg in zip(f_groups, b_groups):
-        f_lo, f_hi, f_text = _span(b, forward, fg, ops)
-        b_lo, b_hi, b_text = _span(a, backward, bg, back_ops)
-        head = 0
-        while head < min(len(f_text), len(b_text)) and f_text[head] == b_text[head]:
-            head += 1
-        f_text, b_text = f_text[head:], b_text[head:]
-        tail = 0
-        while tail < min(len(f_text), len(b_text)) and f_text[-1 - tail] == b_text[-1 - tail]:
-            tail += 1
-        f_text, b_text = f_text[: len(f_text) - tail], b_text[: len(b_text) - tail]
-        merged_f.append(Site(b_text, f_text, list(range(f_lo + head, f_hi - tail + 1))))
-        merged_b.append(Site(f_text, b_text, list(range(b_lo + head, b_hi - tail + 1))))
-
-    def rebuild(sites, groups, merged):
-        out, k = [], 0
-        starts = {g[0]: (g, m) for g, m in zip(groups, merged)}
-        while k < len(sites):
-            if k in starts:
-                group, site = starts[k]
-                out.append(site)
-                k = group[1] + 1
+def neutral_runs(differences: Sequence[float], precursor: float) -> list[tuple[int, int]]:
+    """(first, last) sites between which the running mass returns to its level.
+
+    A run begins at a site that changes the mass and ends at the first later site behind which the
+    running mass differs from the level before the run by nothing, or (once) by the precursor's
+    difference. A single site of the precursor's difference accounts for it alone and belongs to no sum.
+    A run that never ends leaves the sites behind its beginning as they are.
+    """
+    shift = None if _zero(round(precursor, 2)) else round(precursor, 2)
+    runs, k = [], 0
+    while k < len(differences):
+        if shift is not None and _zero(differences[k] - shift):
+            shift = None
+        elif not _zero(differences[k]):
+            level = differences[k]
+            for last in range(k + 1, len(differences)):
+                d = differences[last]
+                if shift is not None and _zero(d - shift):
+                    shift = None
+                    continue
+                by_shift = shift is not None and _zero(d + level - shift)
+                level += d
+                if by_shift or (_zero(level) and not _zero(d)):
+                    shift = None if by_shift else shift
+                    runs.append((k, last))
+                    break
             else:
-                out.append(sites[k])
-                k += 1
-        return out
+                break
+            k = last
+        k += 1
+    return runs
 
-    return rebuild(forward, f_groups, merged_f), rebuild(backward, b_groups, merged_b)
+
+def _joined(first: Site, last: Site) -> Site:
+    """One site from the first to the last, without equal ends."""
+    whole = replace(
+        first, a_to=last.a_to, b_to=last.b_to, indices=list(range(first.indices[0], last.indices[-1] + 1))
+    )
+    head = len(commonprefix([whole.source, whole.target]))
+    rest = whole.source[head:][::-1], whole.target[head:][::-1]
+    tail = len(commonprefix(rest))
+    return Site(
+        whole.a, whole.b, whole.a_from + head, whole.a_to - tail, whole.b_from + head, whole.b_to - tail,
+        whole.indices[head : len(whole.indices) - tail],
+    )
+
+
+def merge_sites(sites: Sequence[Site], precursor: float) -> list[Site]:
+    """Sites with every mass-neutral run as one site."""
+    runs = dict(neutral_runs([s.mass_difference for s in sites], precursor))
+    out, k = [], 0
+    while k < len(sites):
+        last = runs.get(k, k)
+        out.append(sites[k] if last == k else _joined(sites[k], sites[last]))
+        k = last + 1
+    return out
 
 
 SITE_TYPE = (
@@ -254,7 +243,8 @@ def compare_strings(a: str, b: str) -> dict:
     ops = edit_ops(a, b)
     back = mirrored(ops)
     forward, backward = edit_sites(a, b, ops), edit_sites(b, a, back)
-    merged_f, merged_b = merge_sites(a, b, ops, forward, backward)
+    precursor = tag_mass(b) - tag_mass(a)
+    merged_f, merged_b = merge_sites(forward, precursor), merge_sites(backward, -precursor)
 
     def rows(sites, operations):
         last = {j: action for action, _, j in operations}
