@@ -77,6 +77,12 @@ class Vocabulary:
         for p in self.ids:
             ends.setdefault(p[-2:], set()).add(len(p))
         self.lengths = {e: sorted(n, reverse=True) for e, n in ends.items() if len(e) == 2}
+        #: What decoding writes for each id.
+        byte = {i: bytes([b]) for b, i in self.bytes_.items()}
+        silent = {i for i, k in enumerate(self.kinds) if k == CONTROL}
+        self.spelled = [b"" if i in silent else byte.get(i, p.encode()) for i, p in enumerate(self.strings)]
+        if self.spelled:
+            self.spelled[self.unknown] = " ⁇ ".encode()
         newline = not any("\n" in p for p in self.ids)
         self.cutter = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if newline else f"{MARK}*[^{MARK}]+|{MARK}+")
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):

@@ -154,16 +154,7 @@ def encode_texts(texts: list[str | None], model: bytes) -> Iterator[np.ndarray]:
 
 def decode_ids(ids: Iterable[int], v: Vocabulary) -> str:
     """The text of a sequence of ids; bytes that are no UTF-8 become U+FFFD, control pieces nothing."""
-    value = {i: b for b, i in v.bytes_.items()}
-    out: list[bytes] = []
-    for i in ids:
-        if i in value:
-            out.append(bytes([value[i]]))
-        elif i == v.unknown:
-            out.append(" ⁇ ".encode())
-        elif v.kinds[i] != pieces.CONTROL:
-            out.append(v.strings[i].encode())
-    text = b"".join(out).decode(errors="replace").replace(MARK, " ")
+    text = b"".join(map(v.spelled.__getitem__, ids)).decode(errors="replace").replace(MARK, " ")
     return text[1:] if v.dummy_prefix and text.startswith(" ") else text
 
 
