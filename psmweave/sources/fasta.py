@@ -9,44 +9,46 @@ from psmweave.functions import peptide as P
 from psmweave.sources.files import blocks
 
 
-def _found(text: Column | str, pattern: str, group: int) -> Column:
-    hit = F.regexp_extract(text, pattern, group)
-    return F.when(hit != "", hit)
-
-
-def _tag(name: str) -> Column:
-    return _found("header", rf"(?:^|\W){name}=([^=]+?)(?=\s\w+=|$)", 1)
+#: Database codes of UniProt headers, and ``dn`` for de novo entries.
+DATABASES = {"sp": "SwissProt", "tr": "TrEMBL", "dn": "DeNovo"}
 
 
 def parse_headers(df: DataFrame) -> DataFrame:
-    """Fields of FASTA headers in column ``header``.
+    """Fields of the headers in column ``header``.
 
-    Headers that are not in database notation keep their first word as id and the rest as
-    description.
+    A header is ``db|accession|entry description KEY=value KEY=value ...``: its first word is the
+    full id, whose parts are separated by bars; the rest is cut in front of every ``KEY=``, and what
+    precedes the first is the description. A first word without bars is an id without database and
+    accession. Fields that a header lacks are null.
     """
-    prefix = _found("header", r"^(tr|sp|dn|\w+)\|(\w+)\|", 1)
-    full = _found("header", r"^(tr|sp|dn|\w+\|[\w_]+(\|\S*)?)(?=\s|$)", 1)
-    described = _found("header", r" (.*?) (\w+=)", 1)
-    words = F.split(F.trim("header"), r"\s+")
-    alone = F.size(words) == 1
-    return df.select(
-        "*",
-        F.when(prefix == "tr", "TrEMBL")
-        .when(prefix == "sp", "SwissProt")
-        .when(prefix == "dn", "DeNovo")
-        .otherwise("Other")
-        .alias("name"),
-        _found("header", r"^(tr|sp|dn|\w+)\|(\w+)\|", 2).alias("protein_id"),
-        F.coalesce(
-            full, F.when(alone | described.isNotNull(), F.col("header")).otherwise(F.get(words, F.lit(0)))
-        ).alias("protein_id_full"),
-        F.when(full.isNull() & ~alone & described.isNull(), F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), " "))
-        .otherwise(described)
-        .alias("protein_description"),
-        _tag("OS").alias("organism"),
-        _tag("GN").alias("gene_name"),
-        _tag("PE").alias("protein_existence"),
-        _tag("SV").alias("sequence_version"),
+    words = F.split(F.trim("header"), r"\s+", 2)
+    parts = F.split(words[0], r"\|")
+    cut = df.select("*", parts.alias("_id"), words[0].alias("_first"), F.split(F.get(words, F.lit(1)), r"(?:^|\s+)(?=[A-Za-z]+=)").alias("_rest"))
+    listed = F.size("_id") > 2
+    names = F.create_map(*[F.lit(x) for kv in DATABASES.items() for x in kv])
+    described = F.filter("_rest", lambda x: ~x.rlike("^[A-Za-z]+="))
+    pairs = F.filter("_rest", lambda x: x.rlike("^[A-Za-z]+="))
+    tags = F.map_from_entries(
+        F.transform(
+            F.array_distinct(F.transform(pairs, lambda x: F.substring_index(x, "=", 1))),
+            lambda k: F.struct(k, F.get(F.filter(pairs, lambda x: F.substring_index(x, "=", 1) == k), F.lit(0))),
+        )
+    )
+    tagged = cut.select("*", described.alias("_described"), tags.alias("_tags"))
+
+    def tag(name: str) -> Column:
+        return F.substring(F.col("_tags")[name], len(name) + 2, 1_000_000)
+
+    return tagged.select(
+        *df.columns,
+        F.when(listed, F.coalesce(names[F.col("_id")[0]], F.lit("Other"))).otherwise("Other").alias("name"),
+        F.when(listed, F.col("_id")[1]).alias("protein_id"),
+        F.col("_first").alias("protein_id_full"),
+        F.nullif(F.get("_described", F.lit(0)), F.lit("")).alias("protein_description"),
+        tag("OS").alias("organism"),
+        tag("GN").alias("gene_name"),
+        tag("PE").alias("protein_existence"),
+        tag("SV").alias("sequence_version"),
     )
 
 

@@ -116,15 +116,18 @@ def _read_pepnovo(spark: SparkSession, path: str) -> DataFrame:
     rows = blocks(spark, path, ">>")
     part = F.split(F.trim(F.col("value")), r"\r?\n")
     head = F.get(part, F.lit(0))
-    shape = r"^\s*(\d+)\s+(\d+)\s+(.+?)(?:\s+\((SQS\s+\d+\.\d+)\))?\s*$"
+    # A head is "file scan title", and perhaps "(SQS quality)" behind it.
+    words = F.split(F.trim(head), r"\s+", 3)
+    titled = F.get(words, F.lit(2))
+    rated = F.split(titled, r"\s+\((?=SQS )")
     table = rows.filter(F.get(part, F.lit(1)).startswith("#Index") & (F.size(part) > 2))
     cells = F.split(F.trim(F.get(part, F.lit(2))), "\t")
     return table.select(
         "run",
         "_place",
-        F.regexp_extract(head, shape, 3).alias("spectrum_id"),
-        F.regexp_extract(head, shape, 2).alias("scan_in_head"),
-        F.regexp_extract(head, shape, 4).alias("sqs"),
+        rated[0].alias("spectrum_id"),
+        F.get(words, F.lit(1)).alias("scan_in_head"),
+        F.coalesce(F.rtrim(F.get(rated, F.lit(1)), F.lit(")")), F.lit("")).alias("sqs"),
         number(F.get(cells, F.lit(1))).alias("score"),
         F.get(cells, F.lit(2)).alias("score_pepnovo"),
         number(F.get(cells, F.lit(3))).alias("n_shift"),
