@@ -98,7 +98,9 @@ def align(peptide_1: str, peptide_2: str, cum_tol=50.0, ind_tol=20.0, mode: str
 
     def put(i: int, j: int, ok: bool) -> None:
         both[max(i, j)] = one[i] = two[j] = ok
-        label = isobaric_label(p[i][0], q[j][0]) if ok else None
+        # Backward, places count from the C-terminus.
+        x, y = (p[n - 1 - i], q[m - 1 - j]) if mode == "backward" else (p[i], q[j])
+        label = isobaric_label(x[0], y[0]) if ok else None
         if label:
             labels.append(label)
 

@@ -83,14 +83,14 @@ def terminal_variants(
     """Peptides whose first or last residues are replaced by strings of equal mass.
 
     An N-terminal modification belongs to the first tag: alternatives either carry the
-    whole mass as plain residues or keep the modification.
+    whole mass as plain residues or keep the modification.  A peptide with fewer residues
+    than the tag is replaced as a whole.
     """
     if terminus not in ("n", "c"):
         raise ValueError("terminus is 'n' or 'c'")
     rows = psms.select(*key, P.drop_charge("peptide").alias("peptide")).withColumns(
         {"_t": residue_tokens("peptide"), "_m": residue_masses("peptide")}
     )
-    rows = rows.filter(F.size("_t") >= n_residues)
     size = F.size("_t")
     if terminus == "n":
         rows = rows.withColumns(
@@ -117,7 +117,7 @@ def terminal_variants(
         rows = rows.withColumns(
             {
                 "_rest": F.array_join(F.slice("_t", 1, F.greatest(size - n_residues, F.lit(0))), ""),
-                "tag_mass": _sum(F.slice("_m", -n_residues, n_residues)),
+                "tag_mass": _sum(F.slice("_m", F.greatest(size - n_residues + 1, F.lit(1)), F.lit(n_residues))),
             }
         )
         build = F.concat("_rest", "alternative")

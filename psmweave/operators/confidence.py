@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from psmweave.operators.joins import KEY
@@ -177,10 +178,11 @@ def q_values(
     """Target-decoy q-value of every row (M6).
 
     fdr = (decoys + 1) / targets at or above the score; the q-value is the smallest fdr
-    at or below it, at most 1.  Equal scores share one value.
+    at or below it, at most 1.  Equal scores share one value.  A row without a score counts
+    nowhere and has no q-value.
     """
     group = list(group)
-    levels = df.groupBy(*group, score).agg(
+    levels = df.filter(F.col(score).isNotNull()).groupBy(*group, score).agg(
         F.count(F.when(~F.col(decoy), 1)).alias("_t"), F.count(F.when(F.col(decoy), 1)).alias("_d")
     )
     acc = running(
@@ -191,8 +193,12 @@ def q_values(
         F.when(F.col("_ct") > 0, (F.col("_cd") + 1) / F.col("_ct")).otherwise(F.lit(1.0)),
     )
     q = running(acc, group, [(score, True)], {"_q": ("min", "_fdr")}, True, strategy)
-    q = q.select(*group, score, F.least(F.col("_q"), F.lit(1.0)).alias("qvalue"))
-    return df.drop("qvalue").join(q, [*group, score])
+    q = q.select(
+        *[F.col(c).alias(f"_of_{c}") for c in [*group, score]], F.least(F.col("_q"), F.lit(1.0)).alias("qvalue")
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group] + [F.col(score) == F.col(f"_of_{score}")]
+    rows = df.drop("qvalue")
+    return rows.join(q, reduce(Column.__and__, same), "left").select(*rows.columns, "qvalue")
 
 
 def peptide_q_values(

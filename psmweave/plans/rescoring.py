@@ -15,7 +15,9 @@ def existing_outputs(spark: SparkSession, path: str) -> DataFrame:
     """(run, engine) pairs already written below ``path``; empty when there is nothing."""
     try:
         return spark.read.parquet(path).select(*PARTS).distinct()
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "run string, engine string")
 
 

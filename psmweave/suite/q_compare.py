@@ -164,6 +164,43 @@ def c2(spark, sf):
     return S.count_by(pairs, "engine", "pair", "resolved")
 
 
+_PARTNER_SQL = """part AS (SELECT * FROM (VALUES ('I', 'L'), ('L', 'I'), ('M', 'F'), ('F', 'M'), ('K', 'Q'), ('Q', 'E'),
+ ('D', 'N'), ('N', 'D'), ('E', 'Q')) t(ca, other))"""
+
+
+def _one_way_sql(back: bool) -> str:
+    """Labels of a single walk; on reversed peptides it is the backward one."""
+    turn = "reverse({})" if back else "{}"
+    a, b = turn.format("gt_peptide"), turn.format("peptide")
+    masses = "(SELECT reverse(p) AS p FROM pl)" if back else "pl"
+    return (
+        "WITH RECURSIVE "
+        + _WALK_SQL.format(peptides=masses, a=a, b=b)
+        + ", st AS (SELECT a, b, a AS x, b AS y FROM pairs), "
+        + _walk_cte("w0", "st", "pm")
+        + f""", lab AS (SELECT a, b, substr(a, CAST(ei AS INT), 1) AS ca, substr(b, CAST(ej AS INT), 1) AS cb
+ FROM w0 WHERE ok), {_PARTNER_SQL}
+SELECT engine, concat(lab.ca, '/', CASE WHEN lab.ca = cb THEN other ELSE cb END) AS pair, lab.ca = cb AS resolved,
+ count(*) AS n FROM joined j JOIN lab ON lab.a = {turn.format('j.gt_peptide')} AND lab.b = {turn.format('j.peptide')}
+ JOIN part ON part.ca = lab.ca WHERE j.rank = 1 GROUP BY ALL"""
+    )
+
+
+def _one_way(spark, sf, mode):
+    rows = C.aligned(V.joined(spark, sf).filter("rank = 1"), mode=mode)
+    return S.count_by(C.isobaric_pairs(rows, ["engine"]), "engine", "pair", "resolved")
+
+
+@query("C2_isobaric_pairs_forward", _one_way_sql(False))
+def c2_forward(spark, sf):
+    return _one_way(spark, sf, "forward")
+
+
+@query("C2_isobaric_pairs_backward", _one_way_sql(True))
+def c2_backward(spark, sf):
+    return _one_way(spark, sf, "backward")
+
+
 def _backed_sql(flags: str, peptide: str) -> str:
     return (
         f"NOT EXISTS (SELECT 1 FROM range(1, 40) r(k) WHERE k < length({peptide}) AND (spectrum_id + k) % 3 > 0 "

@@ -107,6 +107,24 @@ def m6(spark, sf):
     )
 
 
+_GAPS = "CASE WHEN line = 3 THEN NULL ELSE score END"
+
+
+@query(
+    "M6_q_values_null_scores",
+    "WITH " + _RESCORE_SQL + f"gp AS (SELECT * REPLACE ({_GAPS} AS score) FROM rr),\n"
+    "gs AS (SELECT * FROM gp WHERE score IS NOT NULL),\n" + _Q_SQL.format(s="score", src="gs")
+    + "SELECT gp.score, is_decoy, count(*) AS n, round(any_value(qvalue), 6) AS qvalue FROM gp LEFT JOIN q "
+    "ON q.score = gp.score GROUP BY 1, 2",
+)
+def m6_null(spark, sf):
+    """Rows without a score stay, without a q-value."""
+    q = M.q_values(_rescore_rows(spark, sf).withColumn("score", F.expr(_GAPS)))
+    return q.groupBy("score", "is_decoy").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.first("qvalue"), 6).alias("qvalue")
+    )
+
+
 @query(
     "M6_peptide_q_values",
     "WITH " + _RESCORE_SQL + "bp AS (SELECT peptide, is_decoy, max(score * price) AS score FROM rr GROUP BY 1, 2),\n"

@@ -129,3 +129,27 @@ def test_udf_columns(spark):
         E.damerau_levenshtein(F.col("a"), F.col("b")).alias("d"),
     ).collect()
     assert [tuple(r) for r in out] == [(True, 6, 1), (None, None, None)]
+
+
+def test_backward_labels_name_the_residues_that_met():
+    from psmweave.functions.aligned import align
+
+    assert align("LGG", "IN", mode="backward")["isobaric"] == [{"pair": "L/I", "resolved": False}]
+    assert align("GGL", "NI", mode="forward")["isobaric"] == []
+    assert [x["pair"] for x in align("GGLK", "NIK", mode="backward")["isobaric"]] == ["K/Q", "L/I"]
+
+
+def test_moved_residues_belong_to_a_site():
+    from psmweave.functions.edits import compare_strings
+
+    (site,) = compare_strings("PEPTIDE", "EPPTIDE")["forward"]
+    assert (site["source"], site["target"]) == ("PE", "EP") and site["mass_difference"] == 0
+
+
+def test_neutral_runs_return_to_their_level():
+    from psmweave.functions.edits import neutral_runs
+
+    assert neutral_runs([1.0, -1.0, 2.0, 3.0, -5.0], 0.0) == [(0, 1), (2, 4)]
+    assert neutral_runs([0.0, 4.0, -1.0], 3.0) == [(1, 2)]
+    assert neutral_runs([3.0, 1.0, -1.0], 3.0) == [(1, 2)]
+    assert neutral_runs([1.0, 2.0], 0.0) == []
