@@ -117,8 +117,8 @@ def test_mass_neutral_sites_merge():
     got = E.compare_strings("GVTAK", "AVTGK")
     assert [(s["source"], s["target"]) for s in got["forward"]] == [("G", "A"), ("A", "G")]
     assert [(s["source"], s["target"]) for s in got["forward_merged"]] == [("GVTA", "AVTG")]
-    assert E.mass_neutral_groups([14.02, 0.0, -14.02, 5.0], 5.0) == [(0, 2)]
-    assert E.mass_neutral_groups([14.02], 14.02) == []
+    assert E.neutral_runs([14.02, 0.0, -14.02, 5.0], 5.0) == [(0, 2)]
+    assert E.neutral_runs([14.02], 14.02) == []
 
 
 def test_udf_columns(spark):
