@@ -133,12 +133,12 @@ def kmer_contains_join(
             candidates.join(pieces, ["protein_id", "piece_no"]).filter(hit).select("_pep", "protein_id")
         )
     if stats.short:
-        every = F.concat(*[F.array_distinct(_words(int(n), 1)) for n in sorted(stats.short)])
+        every = F.concat(*[_words(int(n), 1) for n in sorted(stats.short)])
         words = _pieces(prot, need).select("protein_id", F.explode(every).alias("_pep"))
         brief = pep.filter(F.length("_pep") < need).select("_pep").distinct()
-        found.append(words.join(brief, "_pep").select("_pep", "protein_id"))
+        found.append(words.join(brief, "_pep", "left_semi").select("_pep", "protein_id"))
     if not found:
-        return pep.join(prot, F.lit(False)).select("peptide", "protein_id")
+        return proteins.select(F.lit(None).cast("string").alias("peptide"), "protein_id").limit(0)
     pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     return pep.join(pairs.distinct(), "_pep").select("peptide", "protein_id")
 

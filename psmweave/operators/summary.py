@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from psmweave.operators.joins import KEY, PSM_KEY
+from psmweave.operators.running import rank_rows
 from psmweave.operators.windows import share_in_group
 
 
@@ -409,20 +410,14 @@ def flagged_shares(found: DataFrame, missed: DataFrame, value: str) -> DataFrame
     return share_in_group(count_by(both, "found", value), ["found"])
 
 
-def group_map(df: DataFrame, key: str, value: str, per_list: int = 100_000) -> DataFrame:
-    """Values per key as lists.
+def group_map(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Values per key (A39): one row per value with its place, from 0, in the key's order.
 
-    A key with very many values is spread over numbered lists of about ``per_list``
-    values each (column ``part``), so no list has to fit one task as a whole.
+    Long rows in place of lists, as one key may hold any share of all values.
     """
-    sizes = df.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        F.ceil(F.count(F.lit(1)) / per_list).cast("long").alias("_parts")
-    )
-    return (
-        df.join(sizes, key)
-        .withColumn("part", F.pmod(F.xxhash64(value), F.col("_parts")))
-        .groupBy(key, "part")
-        .agg(F.array_sort(F.collect_list(value)).alias("values"))
+    rows = df.filter(F.col(key).isNotNull()).select(key, value)
+    return rank_rows(rows, [key], [(value, True)], "first", "position").withColumn(
+        "position", (F.col("position") - 1).cast("long")
     )
 
 

@@ -23,17 +23,15 @@ def _r(df, *cols, places=6):
 SELECT item_id, EXISTS (SELECT 1 FROM proteins p
   WHERE contains(replace(p.sequence, 'L', 'I'), replace(x.peptide, 'L', 'I'))) AS in_fasta
 FROM (SELECT item_id, peptide FROM peptides
- UNION ALL SELECT item_id + 1000000, substr(peptide, 3, 6) FROM peptides
- UNION ALL SELECT item_id + 2000000, concat(substr(peptide, 3, 12), 'XQ') FROM peptides) x
+ UNION ALL SELECT item_id + 1000000, reverse(peptide) FROM peptides
+ UNION ALL SELECT item_id + 2000000, concat(peptide, 'XQ') FROM peptides) x
 """,
 )
 def j16(spark, sf):
     p = V.peptides(spark, sf)
     rows = p.unionByName(
-        p.selectExpr("item_id + 1000000 AS item_id", "substr(peptide, 3, 6) AS peptide")
-    ).unionByName(
-        p.selectExpr("item_id + 2000000 AS item_id", "concat(substr(peptide, 3, 12), 'XQ') AS peptide")
-    )
+        p.selectExpr("item_id + 1000000 AS item_id", "reverse(peptide) AS peptide")
+    ).unionByName(p.selectExpr("item_id + 2000000 AS item_id", "concat(peptide, 'XQ') AS peptide"))
     return N.contained_in_proteome(rows, V.proteins(spark, sf)).select("item_id", "in_fasta")
 
 

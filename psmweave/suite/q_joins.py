@@ -49,16 +49,17 @@ def _with_ordinal(df):
     "J2_join_by_index",
     f"""
 WITH s AS (SELECT run, spectrum_id, {_ORD} AS ordinal FROM gt),
-r AS (SELECT run, spectrum_id % 1000 AS ordinal, engine, rank, score FROM psms)
+r AS (SELECT run, dense_rank() OVER (PARTITION BY run ORDER BY spectrum_id) - 1 AS ordinal, engine, rank, score
+ FROM psms)
 SELECT r.run, r.ordinal, r.engine, s.spectrum_id, count(*) AS n, round(sum(r.score), 4) AS score
 FROM r JOIN s USING (run, ordinal) GROUP BY ALL
 """,
 )
 def j2(spark, sf):
     spectra = _with_ordinal(V.gt(spark, sf).select("run", "spectrum_id"))
-    results = V.psms(spark, sf).selectExpr(
-        "run", "spectrum_id % 1000 AS ordinal", "engine", "rank", "score"
-    )
+    psms = V.psms(spark, sf)
+    places = _with_ordinal(psms.select("run", "spectrum_id").distinct())
+    results = psms.join(places, ["run", "spectrum_id"]).select("run", "ordinal", "engine", "rank", "score")
     return (
         J.join_by_key(results, spectra, ["run", "ordinal"])
         .groupBy("run", "ordinal", "engine", "spectrum_id")

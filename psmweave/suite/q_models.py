@@ -17,12 +17,11 @@ def _r(df, *cols, places=6):
     return df.withColumns({c: F.round(c, places) for c in cols})
 
 
-_ENGINES = ["click", "error", "purchase", "signup", "view"]
-
-
 @query("M1_gmm_clusters")
 def m1(spark, sf):
-    marked = M.gmm_by_engine(V.scored(spark, sf), _ENGINES, iterations=30)
+    scored = V.scored(spark, sf)
+    engines = sorted(r[0] for r in scored.select("engine").distinct().collect())  # a handful of tools
+    marked = M.gmm_by_engine(scored, engines, iterations=30)
     return _r(M.gmm_summary(marked), "cutoff", places=3)
 
 
@@ -37,8 +36,10 @@ def m3(spark, sf):
     scored = V.scored(spark, sf)
     _, params = M.gmm_clusters(scored, iterations=30)
     cut = M.gmm_fdr_threshold(params, 0.05)
-    kept = scored.filter(F.col("score") >= cut) if cut is not None else scored.limit(0)
-    return S.count_by(kept, "run").withColumn("threshold", F.lit(cut))
+    counts = S.count_by(scored.filter(F.col("score") >= cut), "run") if cut is not None else scored.select(
+        F.lit(None).cast("string").alias("run"), F.lit(0).cast("long").alias("n")
+    ).limit(1)
+    return counts.withColumn("threshold", F.lit(cut).cast("double"))
 
 
 _RESCORE_COLS = [

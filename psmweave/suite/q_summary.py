@@ -525,22 +525,19 @@ def a29(spark, sf):
     return out.na.fill(0)
 
 
-_MODS = ["UNIMOD:1", "UNIMOD:385", "UNIMOD:5", "UNIMOD:35", "UNIMOD:7"]
-
-
 @query(
     "A30_modification_counts",
-    f"""
-SELECT run, {_pivot_sql(_MODS, 'm')} FROM (SELECT DISTINCT run, spectrum_id, m FROM (
+    """
+SELECT run, m, count(*) AS n FROM (SELECT DISTINCT run, spectrum_id, m FROM (
  SELECT run, spectrum_id, unnest(regexp_extract_all(proforma, '\\[([^\\]]*)\\]', 1)) AS m FROM mod_rows))
-GROUP BY 1
+GROUP BY 1, 2
 """,
 )
 def a30(spark, sf):
     rows = V.mod_rows(spark, sf).select(
         "run", "spectrum_id", F.explode(P.modifications("proforma")).alias("m")
     ).distinct()
-    return S.pivot_counts(rows, ["run"], "m", _MODS)
+    return S.count_by(rows, "run", "m")
 
 
 from psmweave.suite.q_projections import _ISO_SQL, _MASS_SQL  # noqa: E402
@@ -649,16 +646,11 @@ def a38(spark, sf):
 
 @query(
     "A39_group_map",
-    "SELECT organism, count(*) AS n, array_to_string(list(protein_id ORDER BY protein_id), ',') AS ids "
-    "FROM proteins GROUP BY 1",
+    "SELECT organism, protein_id, row_number() OVER (PARTITION BY organism ORDER BY protein_id) - 1 AS position "
+    "FROM proteins WHERE organism IS NOT NULL",
 )
 def a39(spark, sf):
-    lists = S.group_map(V.proteins(spark, sf), "organism", "protein_id")
-    return lists.select(
-        "organism",
-        F.size("values").cast("long").alias("n"),
-        F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("ids"),
-    )
+    return S.group_map(V.proteins(spark, sf), "organism", "protein_id")
 
 
 # -- limits, samples, set operations -------------------------------------------------

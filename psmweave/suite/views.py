@@ -141,8 +141,8 @@ VIEW_SQL: dict[str, str] = {
     "scored": "SELECT " + ", ".join(_SCORED_COLS) + " FROM events",
     "proteins": "SELECT doc_id AS protein_id, lang AS organism, source, "
     "upper(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS sequence FROM documents",
-    "peptides": "SELECT item_id, substr(upper(regexp_replace(text, '[^a-zA-Z]', '', 'g')), 1, 30) "
-    "AS peptide FROM benchmark",
+    "peptides": "SELECT item_id, unnest(list_filter(list_transform(string_split(text, '.'), "
+    "lambda x: upper(regexp_replace(x, '[^a-zA-Z]', '', 'g'))), lambda x: x <> '')) AS peptide FROM benchmark",
     "peaks": "SELECT vec_id AS spectrum_id, i - 1 AS peak_no, "
     "100 + 10 * (i - 1) + CAST(x AS DOUBLE) AS mz, abs(CAST(x AS DOUBLE)) * 1000 AS intensity "
     "FROM (SELECT vec_id, unnest(embedding) AS x, "
@@ -235,9 +235,11 @@ def proteins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def peptides(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sentence of every item, whole."""
     return table(spark, sf, "benchmark").selectExpr(
         "item_id",
-        "substr(upper(regexp_replace(text, '[^a-zA-Z]', '')), 1, 30) AS peptide",
+        "explode(filter(transform(split(text, '[.]'), x -> upper(regexp_replace(x, '[^a-zA-Z]', ''))), "
+        "x -> x <> '')) AS peptide",
     )
 
 

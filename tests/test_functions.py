@@ -135,7 +135,7 @@ def test_backward_labels_name_the_residues_that_met():
     from psmweave.functions.aligned import align
 
     assert align("LGG", "IN", mode="backward")["isobaric"] == [{"pair": "L/I", "resolved": False}]
-    assert align("GGL", "NI", mode="forward")["isobaric"] == []
+    assert align("GGL", "NI", mode="forward")["isobaric"] == [{"pair": "L/I", "resolved": False}]
     assert [x["pair"] for x in align("GGLK", "NIK", mode="backward")["isobaric"]] == ["K/Q", "L/I"]
 
 
