@@ -12,7 +12,24 @@ from psmweave.functions import edits as E
 from psmweave.functions import peptide as P
 from psmweave.operators.fragments import ambiguous_ranges
 from psmweave.operators.joins import KEY
-from psmweave.runtime import spread
+
+
+def with_distinct(rows: DataFrame, first: str, second: str, **made: Column) -> DataFrame:
+    """Add columns that depend on two columns only, made once for each distinct pair of values.
+
+    Rows where either is null get null.
+    """
+    pairs = rows.filter(F.col(first).isNotNull() & F.col(second).isNotNull()).select(
+        F.col(first).alias("_first"), F.col(second).alias("_second")
+    )
+    renamed = {name: F.col(f"_made_{name}") for name in made}
+    done = pairs.distinct().withColumnsRenamed({"_first": first, "_second": second})
+    done = done.select(
+        F.col(first).alias("_first"), F.col(second).alias("_second"),
+        *[c.alias(f"_made_{name}") for name, c in made.items()],
+    )
+    same = (rows[first] == done["_first"]) & (rows[second] == done["_second"])
+    return rows.join(done, same, "left").withColumns(renamed).drop("_first", "_second", *[f"_made_{n}" for n in made])
 
 
 def aligned(
@@ -20,7 +37,8 @@ def aligned(
     name: str = "aligned", cum_tol: float = 50.0, ind_tol: float = 20.0,
 ) -> DataFrame:
     """Add the residue alignment of two peptide columns."""
-    return spread(pairs).withColumn(name, A.aa_match(F.col(first), F.col(second), cum_tol, ind_tol, mode))
+    match = A.aa_match(F.col(first), F.col(second), cum_tol, ind_tol, mode)
+    return with_distinct(pairs, first, second, **{name: match})
 
 
 def isobaric_pairs(rows: DataFrame, key: Sequence[str], name: str = "aligned") -> DataFrame:
@@ -104,12 +122,10 @@ def edit_distances(pairs: DataFrame, source: str = "source", target: str = "targ
     Columns are letter strings.
     """
     longest = F.greatest(F.length(source), F.length(target))
-    rows = spread(pairs).withColumns(
-        {
-            "levenshtein": F.levenshtein(source, target),
-            "damerau": E.damerau_levenshtein(F.col(source), F.col(target)),
-        }
-    )
+    rows = with_distinct(
+        pairs, source, target, levenshtein=F.levenshtein(source, target),
+        damerau=E.damerau_levenshtein(F.col(source), F.col(target)),
+    )
     return rows.withColumns(
         {
             "l_norm": F.when(longest > 0, F.col("levenshtein") / longest),
@@ -121,7 +137,8 @@ def edit_distances(pairs: DataFrame, source: str = "source", target: str = "targ
 
 def sequence_comparison(pairs: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """Add edit sites in both directions, merged and unmerged."""
-    return spread(pairs).withColumn("comparison", E.sequence_comparison(F.col(source), F.col(target)))
+    sites = E.sequence_comparison(F.col(source), F.col(target))
+    return with_distinct(pairs, source, target, comparison=sites)
 
 
 def site_rows(compared: DataFrame, key: Sequence[str], sites: str = "forward") -> DataFrame:
@@ -267,7 +284,7 @@ def peptide_pr_at_threshold(
     n_t = F.size(P.tokens(target))
     n_p = F.size(P.tokens(prediction))
     used = (n_p > 0) if threshold is None else (n_p > 0) & (F.col(score) >= threshold)
-    rows = spread(rows).withColumn("_hits", A.novor_match(F.col(target), F.col(prediction)))
+    rows = with_distinct(rows, target, prediction, _hits=A.novor_match(F.col(target), F.col(prediction)))
     hit_pep = used & (n_t == n_p) & (F.col("_hits") == n_t)
     agg = rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("targets"),

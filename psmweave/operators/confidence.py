@@ -299,7 +299,9 @@ def rescoring_train(
         for _ in range(rounds):
             labelled = _accepted(scored, "_score", decoy, train_fdr, (), strategy).filter(F.col("_ok") | F.col(decoy))
             labelled = labelled.withColumn("_label", F.when(F.col("_ok"), 1.0).otherwise(0.0))
-            model = _fit_svc(labelled.select("_label", *features), features, iterations)
+            rows = labelled.select("_label", *features).persist()
+            model = _fit_svc(rows, features, iterations)
+            rows.unpersist()
             scored = _margin(model.transform(train)).select(*key, decoy, *features, "_score")
         models.append(model)
     return FoldModels(features, models)

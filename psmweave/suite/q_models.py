@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from psmweave import constants as K
 from psmweave.operators import candidates as G
 from psmweave.operators import confidence as M
 from psmweave.operators import fragments as E
@@ -59,11 +60,8 @@ def _rescore_rows(spark, sf):
     return V.table(spark, sf, "lineitem").selectExpr(*_RESCORE_COLS)
 
 
-_FAST = {"rounds": 1, "iterations": 5}
-
-
 def _models(spark, sf):
-    return M.rescoring_train(_rescore_rows(spark, sf), ["score", "price", "discount"], **_FAST)
+    return M.rescoring_train(_rescore_rows(spark, sf), ["score", "price", "discount"])
 
 
 @query("M4_rescoring_train")
@@ -142,8 +140,10 @@ def m6b(spark, sf):
 def m7(spark, sf):
     return M.feature_subset_ablation(
         _rescore_rows(spark, sf),
-        {"score": ["score"], "all": ["score", "price", "discount", "line"]},
-        **_FAST,
+        {
+            "score": ["score"], "price": ["score", "price"], "discount": ["score", "discount"],
+            "all": ["score", "price", "discount", "line"],
+        },
     )
 
 
@@ -173,15 +173,18 @@ def m9(spark, sf):
 
 # -- candidates -----------------------------------------------------------------------
 
-_ALPHABET = ["G", "A", "S", "P", "V", "T", "L", "N", "D", "Q", "K", "E"]
-_TABLE_SQL = """
-res AS (SELECT * FROM residue_mass WHERE aa IN ({letters})),
-mt AS (SELECT a.aa || b.aa AS aa, round(a.m + b.m, 6) AS mass FROM res a, res b
- UNION ALL SELECT a.aa || b.aa || c.aa, round(a.m + b.m + c.m, 6) FROM res a, res b, res c),
+_RESIDUE_ROWS = ", ".join(f"('{r}', {G._mass(r)!r}::DOUBLE)" for r in K.MASS_TABLE_RESIDUES)
+_TABLE_SQL = f"""
+res AS (SELECT * FROM (VALUES {_RESIDUE_ROWS}) t(aa, m)),
+m2 AS (SELECT a.aa || b.aa AS aa, a.m + b.m AS m FROM res a, res b),
+m3 AS (SELECT a.aa || b.aa AS aa, a.m + b.m AS m FROM m2 a, res b),
+m4 AS (SELECT a.aa || b.aa AS aa, a.m + b.m AS m FROM m3 a, res b),
+m5 AS (SELECT a.aa || b.aa AS aa, a.m + b.m AS m FROM m4 a, res b),
+mt AS (SELECT aa, round(m, 6) AS mass FROM (FROM m2 UNION ALL FROM m3 UNION ALL FROM m4 UNION ALL FROM m5)),
 tags AS (SELECT peptide, round(sum(m), 6) AS tag_mass FROM (SELECT DISTINCT peptide,
   unnest(string_split(substr(peptide, 1, 3), '')) AS aa, unnest([1, 2, 3]) AS k FROM psms) JOIN residue_mass USING (aa)
   GROUP BY 1)
-""".format(letters=", ".join(f"'{a}'" for a in _ALPHABET))
+"""
 
 
 def _tags(spark, sf):
@@ -199,23 +202,18 @@ def _tags(spark, sf):
 )
 def j21(spark, sf):
     tags = _tags(spark, sf)
-    table = G.mass_table(spark, (2, 3), _ALPHABET)
+    table = G.mass_table(spark)
     return tags.join(G.mass_alternatives(tags, table), "tag_mass").select("peptide", "alternative")
 
 
 @query(
     "G1_mass_table",
-    "WITH " + _TABLE_SQL + "SELECT round(mass, 4) AS mass, count(*) AS n, min(aa) AS first_aa FROM mt WHERE "
-    "EXISTS (SELECT 1 FROM tags WHERE abs(tag_mass - mass) < 0.5) GROUP BY mt.mass",
+    "WITH " + _TABLE_SQL + "SELECT mass, count(*) AS n, min(aa) AS first_aa FROM mt GROUP BY mass",
 )
 def g1(spark, sf):
-    """Part of the mass table near the first three residues of the peptides."""
-    from psmweave.operators.ranges import binned_range_join
-
-    table = G.mass_table(spark, (2, 3), _ALPHABET)
-    near = binned_range_join(table, _tags(spark, sf).select("tag_mass").distinct(), "mass", "tag_mass", 0.5)
-    return near.select("mass", "aa").distinct().select(
-        F.round("mass", 4).alias("mass"),
+    """All strings of two to five residues by mass."""
+    return G.mass_table(spark).select(
+        "mass",
         F.size("aa").cast("long").alias("n"),
         F.element_at("aa", 1).alias("first_aa"),
     )
@@ -228,7 +226,7 @@ def g1(spark, sf):
 )
 def g2(spark, sf):
     psms = V.psms(spark, sf).select("peptide").distinct().withColumn("id", F.col("peptide"))
-    table = G.mass_table(spark, (2, 3), _ALPHABET)
+    table = G.mass_table(spark)
     out = G.terminal_variants(psms, table, ["id"], "n", n=1_000_000)
     return out.select(F.col("id").alias("peptide"), "variant")
 
@@ -243,13 +241,13 @@ def _with_evidence(spark, sf):
 
 @query("G3_ambiguous_variants")
 def g3(spark, sf):
-    table = G.mass_table(spark, (2, 3), _ALPHABET)
+    table = G.mass_table(spark)
     return G.ambiguous_variants(_with_evidence(spark, sf), table, J.KEY, n=5)
 
 
 @query("G4_candidate_set")
 def g4(spark, sf):
-    table = G.mass_table(spark, (2, 3), _ALPHABET)
+    table = G.mass_table(spark)
     out = G.candidate_set(_with_evidence(spark, sf), table, J.KEY, n=5)
     return S.count_by(out, *J.KEY, "source")
 
