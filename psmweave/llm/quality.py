@@ -136,11 +136,12 @@ class Estimate:
 
 
 def estimate(df: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Cost and selectivity of each rule on the first ``sample_rows`` rows, best rejection per second first.
+    """Cost and selectivity of each rule on about ``sample_rows`` random rows, best rejection per second first.
 
     Only the sample is bounded; the cascade itself then runs over every row.
     """
-    sample = df.limit(sample_rows).persist()
+    share = min(1.0, sample_rows / max(df.count(), 1))
+    sample = df.sample(share, seed=7).persist()
     try:
         rows = sample.count()
         found = []
