@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from psmweave.operators.joins import KEY
 from psmweave.operators.running import running
-from psmweave.runtime import checkpoint, is_small
+from psmweave.runtime import checkpoint
 
 # -- Gaussian mixtures ---------------------------------------------------------------
 
@@ -251,8 +251,8 @@ def _fit_svc(train: DataFrame, features: Sequence[str], iterations: int) -> Pipe
     return Pipeline(stages=stages).fit(train)
 
 
-def _accepted(df, score: str, decoy: str, fdr: float, group=(), strategy="auto") -> DataFrame:
-    return q_values(df, score, decoy, group, strategy).withColumn("_ok", ~F.col(decoy) & (F.col("qvalue") <= fdr))
+def _accepted(df, score: str, decoy: str, fdr: float, group=()) -> DataFrame:
+    return q_values(df, score, decoy, group).withColumn("_ok", ~F.col(decoy) & (F.col("qvalue") <= fdr))
 
 
 def rescoring_train(
@@ -273,7 +273,6 @@ def rescoring_train(
     targets in every round.
     """
     features = list(features)
-    strategy = "single" if is_small(df) else "auto"
     base = checkpoint(with_fold(df.select(*key, decoy, *features), key, folds, seed).na.drop(subset=features))
     models = []
     for fold in range(folds):
@@ -288,7 +287,7 @@ def rescoring_train(
         # All features and directions in one pass; at most 2 x features rows return.
         single = train.select(decoy, F.inline(choices))
         start = (
-            _accepted(single, "_score", decoy, train_fdr, ["name", "sign"], strategy)
+            _accepted(single, "_score", decoy, train_fdr, ["name", "sign"])
             .groupBy("name", "sign")
             .agg(F.count(F.when(F.col("_ok"), 1)).alias("n"))
             .orderBy(F.desc("n"), "name", F.desc("sign"))
@@ -297,7 +296,7 @@ def rescoring_train(
         scored = train.withColumn("_score", F.col(start["name"]) * start["sign"])
         model = None
         for _ in range(rounds):
-            labelled = _accepted(scored, "_score", decoy, train_fdr, (), strategy).filter(F.col("_ok") | F.col(decoy))
+            labelled = _accepted(scored, "_score", decoy, train_fdr).filter(F.col("_ok") | F.col(decoy))
             labelled = labelled.withColumn("_label", F.when(F.col("_ok"), 1.0).otherwise(0.0))
             rows = labelled.select("_label", *features).persist()
             model = _fit_svc(rows, features, iterations)

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from psmweave.functions import peptide as P
-from psmweave.runtime import spread
 
 SEED = 8
 STRIDE = 4
@@ -104,7 +103,7 @@ def kmer_contains_join(
     """
     pep = peptides.select("peptide").distinct().withColumn("_pep", _plain("peptide", equate_il))
     pep = pep.filter(F.length("_pep") > 0)
-    prot = spread(proteins.select("protein_id", _plain("sequence", equate_il).alias("_seq")))
+    prot = proteins.select("protein_id", _plain("sequence", equate_il).alias("_seq"))
     need = SEED + STRIDE - 1
     # One row: the distinct short lengths (fewer than ``need``) and the longest peptide.
     short_len = F.when(F.length("_pep") < need, F.length("_pep"))

@@ -1,9 +1,10 @@
 """Running aggregates and ranks that survive very large groups.
 
-A plain window sorts each group in one task.  With few groups (engines, runs) or
-one hot group that does not scale, so above a checked size the rows are range
-partitioned on (group, order): every part is scanned on its own and receives the
-totals of the parts before it.  Both ways give the same rows.
+A plain window sorts each group in one task.  That suits groups that are small by
+their meaning, such as the PSMs of one spectrum.  With few groups (engines, runs) or
+none it does not scale, so there the rows are range partitioned on (group, order):
+every part is scanned on its own and receives the totals of the parts before it.  Which
+way is taken depends on the group columns alone, never on the size of the input.
 """
 
 from __future__ import annotations
@@ -13,8 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from psmweave import runtime
-from psmweave.runtime import checkpoint, is_small
+from psmweave.runtime import checkpoint
 
 Order = Sequence[tuple[str, bool]]  # (column, ascending)
 
@@ -25,14 +25,18 @@ def _sort(order: Order) -> list[Column]:
     return [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
 
 
-def group_fits_one_task(df: DataFrame, group: Sequence[str], limit: int | None = None) -> bool:
-    """True when no group holds more rows than one task should sort."""
-    if is_small(df):
-        return True
-    if not group:
-        return False
-    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0]
-    return (largest or 0) <= (runtime.MAX_GROUP_ROWS if limit is None else limit)
+#: Columns that make a group small: a spectrum has some engines' hits, not a share of all rows.
+SMALL_GROUP = frozenset({"spectrum_id"})
+
+
+def small_groups(group: Sequence[str]) -> bool:
+    return not SMALL_GROUP.isdisjoint(group)
+
+
+def _way(strategy: str, group: Sequence[str]) -> str:
+    if strategy != "auto":
+        return strategy
+    return "single" if small_groups(group) else "split"
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -61,8 +65,7 @@ def running(
     order, so pass a total order or pre-aggregate ties first.
     """
     end = 0 if inclusive else -1
-    if strategy == "auto":
-        strategy = "single" if group_fits_one_task(df, group) else "split"
+    strategy = _way(strategy, group)
     if strategy == "single":
         w = Window.partitionBy(*group).orderBy(*_sort(order)).rowsBetween(
             Window.unboundedPreceding, end
@@ -118,11 +121,11 @@ def attach_group_values(
 ) -> DataFrame:
     """Add aggregates of the row's group to every row.
 
-    One pass over sorted groups for small inputs; beyond that partial aggregation and a
-    join back, where the aggregated side has one row per group.
+    One pass over sorted groups where groups are small; else partial aggregation and a join
+    back, where the aggregated side has one row per group.
     """
     if fits is None:
-        fits = is_small(df)
+        fits = small_groups(group)
     if fits:
         w = Window.partitionBy(*group)
         return df.withColumns({name: agg.over(w) for name, agg in values.items()})
@@ -141,8 +144,7 @@ def rank_rows(
     strategy: str = "auto",
 ) -> DataFrame:
     """Rank rows inside ``group``: ``dense``, ``min`` (gaps) or ``first`` (needs a total order)."""
-    if strategy == "auto":
-        strategy = "single" if group_fits_one_task(df, group) else "split"
+    strategy = _way(strategy, group)
     if strategy == "single":
         w = Window.partitionBy(*group).orderBy(*_sort(order))
         fn = {"dense": F.dense_rank, "min": F.rank, "first": F.row_number}[method]

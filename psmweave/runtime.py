@@ -1,7 +1,8 @@
-"""Session-level helpers: checkpoints, scratch locations and size checks."""
+"""Session-level helpers: checkpoints and scratch locations."""
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -9,14 +10,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Inputs below this many bytes (sum over all leaf tables of a plan) cannot hold
-#: a group that one task could not sort, so simple single-group windows are used.
-SMALL_INPUT_BYTES = 512 * 1024 * 1024
-
-#: Rows one sort group may hold before it is split over several tasks.
-MAX_GROUP_ROWS = 5_000_000
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """Directory shared by the cluster for checkpoints and scratch tables.
 
@@ -33,6 +26,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     root = tempfile.mkdtemp(prefix="psmweave-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     sc.setCheckpointDir(root)
     return root
 
@@ -51,33 +45,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of all leaf tables under ``df``; None when Spark cannot tell."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(
-            int(str(leaves.apply(i).stats().sizeInBytes()))
-            for i in range(leaves.size())
-        )
-    except Exception:  # no JVM handle (Spark Connect) or no statistics
-        return None
-
-
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    size = input_bytes(df)
-    return size is not None and size <= (SMALL_INPUT_BYTES if limit is None else limit)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a small input, often a single file split, to all cores (by ``keys`` if given).
-
-    Large inputs already come in many splits and are left alone.
-    """
-    if not is_small(df):
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, once per application."""
     sc = spark.sparkContext

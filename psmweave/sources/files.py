@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from psmweave.operators.running import rank_rows
-
 _META = "_metadata"
 
 
@@ -35,9 +33,20 @@ def locate(df: DataFrame) -> DataFrame:
 
 
 def with_ordinal(located: DataFrame, name: str = "ordinal") -> DataFrame:
-    """0-based position inside the run, from ``_place``; store it, later joins use it."""
-    out = rank_rows(located, ["run"], [("_place", True)], "first", name)
-    return out.withColumn(name, (F.col(name) - 1).cast("long"))
+    """0-based position inside the run, from ``_place``; store it, later joins use it.
+
+    Records are counted per file split; a split's first number is the sum over the splits before it,
+    and its records, which one task has read anyway, are numbered on their own.
+    """
+    split = ["run", "_file", "_block"]
+    rows = located.withColumns({"_file": F.col("_place.file"), "_block": F.col("_place.block")})
+    before = Window.partitionBy("run").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy(*split).agg(F.count(F.lit(1)).alias("_n")).select(
+        *split, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")
+    )
+    place = F.row_number().over(Window.partitionBy(*split).orderBy("_place.row"))
+    numbered = rows.withColumn(name, place).join(first, split)
+    return numbered.withColumn(name, F.col(name) - 1 + F.col("_first")).select(*located.columns, name)
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from psmweave import constants as K
 from psmweave.operators.running import rank_rows
-from psmweave.runtime import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -152,7 +151,7 @@ VIEW_SQL: dict[str, str] = {
 
 def psms(spark: SparkSession, sf: str) -> DataFrame:
     """One row per (run, spectrum_id, engine, rank)."""
-    rows = spread(table(spark, sf, "lineitem").selectExpr(*_PSM_ROW_COLS), "spectrum_id")
+    rows = table(spark, sf, "lineitem").selectExpr(*_PSM_ROW_COLS).repartition("spectrum_id")
     unique = (
         rows.groupBy("spectrum_id", "engine_no", "psm_no")
         .agg(
@@ -218,7 +217,7 @@ def refinements(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mod_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "lineitem"), "l_orderkey").selectExpr(*_MOD_COLS)
+    return table(spark, sf, "lineitem").repartition("l_orderkey").selectExpr(*_MOD_COLS)
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,7 +225,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def proteins(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").selectExpr(
+    return table(spark, sf, "documents").repartition("doc_id").selectExpr(
         "doc_id AS protein_id",
         "lang AS organism",
         "source",
@@ -245,7 +244,7 @@ def peptides(spark: SparkSession, sf: str) -> DataFrame:
 
 def peaks(spark: SparkSession, sf: str) -> DataFrame:
     return (
-        spread(table(spark, sf, "embeddings"), "vec_id")
+        table(spark, sf, "embeddings").repartition("vec_id")
         .select(F.col("vec_id").alias("spectrum_id"), F.posexplode("embedding"))
         .selectExpr(
             "spectrum_id",
@@ -258,7 +257,7 @@ def peaks(spark: SparkSession, sf: str) -> DataFrame:
 
 def spectrum_psms(spark: SparkSession, sf: str) -> DataFrame:
     """One PSM per embedding spectrum."""
-    return spread(table(spark, sf, "embeddings"), "vec_id").selectExpr(*_SPECTRUM_COLS)
+    return table(spark, sf, "embeddings").repartition("vec_id").selectExpr(*_SPECTRUM_COLS)
 
 
 def fragments(spark: SparkSession, sf: str) -> DataFrame:
