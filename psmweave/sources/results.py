@@ -13,7 +13,7 @@ from psmweave.functions import peptide as P
 from psmweave.operators.filters import best_of_two
 from psmweave.operators.joins import infer_rank, join_by_key, zip_positional
 from psmweave.operators.windows import rank_in_spectrum
-from psmweave.sources.files import blocks, lines, locate, number, with_ordinal
+from psmweave.sources.files import blocks, lines, locate, number, run_of, with_ordinal
 
 
 @dataclass
@@ -350,29 +350,65 @@ def load_spectralis_rescoring(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
+def _read_sage(spark: SparkSession, path: str) -> DataFrame:
+    """Sage's results: the run is in ``filename``, decoys have label -1."""
+    rows = spark.read.option("header", True).option("sep", "\t").csv(path)
+    return rows.select(
+        run_of(F.concat(F.lit("/"), F.col("filename"))).alias("run"),
+        F.col("scannr").alias("spectrum_id"),
+        F.col("rank").cast("int").alias("rank"),
+        F.col("peptide").alias("peptidoform"),
+        number(F.col("sage_discriminant_score")).alias("score"),
+        number(F.col("spectrum_q")).alias("qvalue"),
+        (F.col("label") == "-1").alias("is_decoy"),
+        F.split("proteins", ";").alias("protein_list"),
+    )
+
+
+def _read_percolator(spark: SparkSession, path: str) -> DataFrame:
+    """Percolator's results: every field behind the peptide is a protein; decoys have files, or folders
+    of files, of their own with ``decoy`` in the name.
+
+    Peptides stand between the residues that flank them in the protein.
+    """
+    text = lines(spark, path).filter(~F.col("value").startswith("PSMId\t") & (F.trim("value") != ""))
+    f = F.split("value", "\t")
+    file = F.regexp_extract("_place.file", r"[^/]*decoy[^/]*(/run=[^/]*)?(/part-[^/]*)?$", 0)
+    return text.select(
+        "run",
+        f[0].alias("spectrum_id"),
+        F.lit(1).alias("rank"),
+        F.regexp_replace(f[4], r"^[A-Z-]\.|\.[A-Z-]$", "").alias("peptidoform"),
+        number(f[1]).alias("score"),
+        number(f[2]).alias("qvalue"),
+        (file != "").alias("is_decoy"),
+        F.slice(f, F.lit(6), F.greatest(F.size(f) - 5, F.lit(0))).alias("protein_list"),
+    )
+
+
+def _read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """A table of this library: spectrum_id, peptidoform, score, qvalue, is_decoy, protein_list, rank."""
+    return spark.read.parquet(path)
+
+
+DB_SEARCHES = {"sage": _read_sage, "percolator": _read_percolator, "parquet": _read_stored}
+
+
 def load_db_search(
     spark: SparkSession, path: str, spectra: DataFrame, label: str = "sage", max_length: int = 30
 ) -> DataFrame:
-    """Database-search result, parquet or tab-separated, with the spectra's precursor."""
-    if label == "parquet":
-        rows = spark.read.parquet(path)
-    else:
-        rows = locate(spark.read.option("header", True).option("sep", "\t").csv(path)).drop("_place")
-    typed = rows.select(
-        "run",
-        "spectrum_id",
-        F.lit(label).alias("engine"),
-        F.col("rank").cast("int").alias("rank"),
-        P.replace_all("peptidoform", K.ENGINE_MODIFICATIONS.get(label, [])).alias("peptide"),
-        F.col("score").cast("double").alias("score"),
-        F.col("qvalue").cast("double").alias("qvalue"),
-        F.col("is_decoy").cast("boolean").alias("is_decoy"),
-        (
-            F.split(F.col("protein_list").cast("string"), ";")
-            if label != "parquet"
-            else F.col("protein_list")
-        ).alias("protein_list"),
-    ).filter(F.length(P.letters("peptide")) <= max_length)
+    """Results of a database search with the spectra's precursor (S18); ``label`` names the layout."""
+    if label not in DB_SEARCHES:
+        raise ValueError(f"unknown database search {label}; known: {', '.join(DB_SEARCHES)}")
+    typed = (
+        DB_SEARCHES[label](spark, path)
+        .select(
+            "run", "spectrum_id", F.lit(label).alias("engine"), F.col("rank").cast("int").alias("rank"),
+            P.replace_all("peptidoform", K.ENGINE_MODIFICATIONS.get(label, [])).alias("peptide"),
+            "score", "qvalue", "is_decoy", "protein_list",
+        )
+        .filter(F.length(P.letters("peptide")) <= max_length)
+    )
     return join_by_key(
         typed, spectra.select("run", "spectrum_id", "precursor_mz", "retention_time"), ["run", "spectrum_id"], True
     )

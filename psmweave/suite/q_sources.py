@@ -461,24 +461,48 @@ def s17(spark, sf):
     )
 
 
-@query(
-    "S18_load_db_search",
-    "WITH " + _PRED_SQL + """SELECT run, spectrum_id, 'sage' AS engine, replace(replace(body, 'C[UNIMOD:4]', 'C[UNIMOD:4]'),
- 'M[UNIMOD:35]', 'M[UNIMOD:35]') AS peptide, round(score, 6) AS score, id % 10 = 9 AS is_decoy,
- CAST(2 AS BIGINT) AS n_proteins, CAST(300.25 + id % 500 AS DOUBLE) AS precursor_mz FROM px""",
-)
+def _db_sql(engine):
+    return (
+        "WITH " + _PRED_SQL + f"""SELECT run, spectrum_id, '{engine}' AS engine, body AS peptide,
+ round(score, 6) AS score, 0.001::DOUBLE AS qvalue, id % 10 = 9 AS is_decoy, CAST(2 AS BIGINT) AS n_proteins,
+ CAST(300.25 + id % 500 AS DOUBLE) AS precursor_mz FROM px"""
+    )
+
+
+def _db_loaded(spark, path, preds, engine):
+    return results.load_db_search(spark, path, _pred_spectra(preds), engine).select(
+        "run", "spectrum_id", "engine", "peptide", F.round("score", 6).alias("score"), "qvalue", "is_decoy",
+        F.size("protein_list").cast("long").alias("n_proteins"), "precursor_mz",
+    )
+
+
+@query("S18_load_db_search", _db_sql("sage"))
 def s18(spark, sf):
+    """Sage's columns; the run stands in the file name column."""
     preds = _preds(spark, sf)
-    rows = preds.withColumn("p", _notation("C[+57.0215]", "M[+15.9949]"))
     path = scratch_path(spark, "sage")
-    rows.select(
-        "run", F.col("title").alias("spectrum_id"), F.lit(1).alias("rank"), F.col("p").alias("peptidoform"), "score",
-        F.lit(0.001).alias("qvalue"), F.expr("id % 10 = 9").alias("is_decoy"), F.lit("P1;P2").alias("protein_list"),
-    ).write.partitionBy("run").option("header", True).option("sep", "\t").csv(path)
-    out = results.load_db_search(spark, path, _pred_spectra(preds))
-    return out.select(
-        "run", "spectrum_id", "engine", "peptide", F.round("score", 6).alias("score"), "is_decoy",
-        F.size("protein_list").cast("long").alias("n_proteins"), "precursor_mz",
+    preds.withColumn("p", _notation("C[+57.0215]", "M[+15.9949]")).select(
+        F.col("id").alias("psm_id"), F.col("p").alias("peptide"), F.lit("sp|P1|A;sp|P2|B").alias("proteins"),
+        F.lit(2).alias("num_proteins"), F.concat("run", F.lit(".mgf")).alias("filename"), F.col("title").alias("scannr"),
+        F.lit(1).alias("rank"), F.expr("CASE WHEN id % 10 = 9 THEN -1 ELSE 1 END").alias("label"), F.col("z").alias("charge"),
+        F.col("score").alias("sage_discriminant_score"), F.lit(0.001).alias("spectrum_q"),
+    ).write.option("header", True).option("sep", "\t").csv(path)
+    return _db_loaded(spark, path, preds, "sage")
+
+
+@query("S18_load_db_search_percolator", _db_sql("percolator"))
+def s18_percolator(spark, sf):
+    """Percolator's lines: decoys in files of their own, a field for each protein."""
+    preds = _preds(spark, sf).withColumn("p", _notation("C[57.02147]", "M[15.99492]"))
+    root = scratch_path(spark, "percolator")
+    line = _tab("title", "score", F.lit("0.001"), F.lit("0.5"), F.concat(F.lit("K."), "p", F.lit(".-")), F.lit("P1"), F.lit("P2"))
+    head = _tab(*[F.lit(x) for x in ("PSMId", "score", "q-value", "posterior_error_prob", "peptide", "proteinIds")])
+    for decoy, kind in ((False, "targets"), (True, "decoys")):
+        rows = preds.filter((F.col("id") % 10 == 9) == decoy).select("run", line.alias("value"))
+        heads = preds.select("run").distinct().select("run", head.alias("value"))
+        rows.unionByName(heads).write.partitionBy("run").text(f"{root}/{kind}")
+    return _db_loaded(spark, f"{root}/targets", preds, "percolator").unionByName(
+        _db_loaded(spark, f"{root}/decoys", preds, "percolator")
     )
 
 
