@@ -5,10 +5,11 @@
    notices, comments, ... by element or by words of ``class``, ``id`` and ``role``) are dropped, unless
    the article's own container says otherwise; all others are open.
 2. The words of a page outside its article form its stream, menus included, as their text may return
-   on other pages without markup. Equal streams of a host are one. Streams are dealt to chunks of a
+   on other pages without markup. A separator of its own ends every block, and blocks of fewer than
+   ``RUN`` words are filled up, so that a short block is compared as a whole. Equal streams of a host are one. Streams are dealt to chunks of a
    host of about ``CHUNK_WORDS`` words, so a host with a third of all pages is many groups.
-3. In each chunk the streams are concatenated, with a separator of its own after each, and the suffix
-   array is sorted by prefix doubling up to ``RUN`` words. Neighbours that agree on ``RUN`` words form
+3. In each chunk the streams are concatenated and the suffix array is sorted by prefix doubling up to
+   ``RUN`` words. Neighbours that agree on ``RUN`` words form
    a repeated substring; their streams are counted over all chunks of the host.
 4. A substring in ``MIN_PAGES`` distinct streams and ``MIN_SHARE`` of the host's is boilerplate. Open
    blocks lose the words it covers; the unique runs stay. Article blocks keep every word: equal or
@@ -63,6 +64,9 @@ ARTICLE_NAMES = frozenset(
 
 OPEN, ARTICLE, DROPPED = 0, 1, 2
 
+#: Places of a stream that hold no word: the end of a block, and what fills up a short one.
+END, FILL = 0, 1
+
 
 @dataclass
 class _Element:
@@ -163,6 +167,9 @@ class Blocks(HTMLParser):
 def blocks(html: str) -> list[tuple[int, str]]:
     parser = Blocks()
     html = re.sub(r"<!\[(?!CDATA\[)[^>]*>", "", html)
+    comment = html.rfind("<!--")
+    if comment >= 0 and "-->" not in html[comment:]:
+        html = html[:comment]
     parser.feed(re.sub(r"<[A-Za-z/][^<>]*\Z", "", html))  # a tag that the end of the page cuts off
     parser.close()
     parser.flush()
@@ -183,8 +190,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         streams, texts, kept = [], [], []
         for html in batch.column(3).to_pylist():
             found = blocks(html or "")
-            outside = " ".join(t for s, t in found if s != ARTICLE)
-            streams.append(_signed(xxhash.xxh64_intdigest(outside.encode("utf-8", "surrogatepass"))) if outside else None)
+            streams.append(stream_key(found))
             undecided = any(s == OPEN for s, _ in found)
             texts.append(None if undecided else " ".join(t for s, t in found if s == ARTICLE))
             kept.append([{"state": s, "text": t} for s, t in found] if undecided else None)
@@ -194,19 +200,40 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hosts, streams, words = [], [], []
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            outside = " ".join(t for s, t in blocks(html or "") if s != ARTICLE)
-            if outside:
-                hosts.append(host)
-                streams.append(_signed(xxhash.xxh64_intdigest(outside.encode("utf-8", "surrogatepass"))))
-                words.append([_signed(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))) for w in outside.split(" ")])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(streams, pa.int64()), pa.array(words, pa.list_(pa.int64()))],
-            names=["host", "stream", "words"],
-        )
+def _hash(text: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
+
+
+def stream_words(found: list[tuple[int, str]], run: int) -> list[int]:
+    """Word hashes of all blocks outside the article."""
+    out: list[int] = []
+    for state, text in found:
+        if state != ARTICLE:
+            words = text.split(" ")
+            out += map(_hash, words)
+            out += [FILL] * (run - len(words))
+            out.append(END)
+    return out
+
+
+def stream_key(found: list[tuple[int, str]]) -> int | None:
+    """Identifies a stream; None where there is none."""
+    outside = "\n".join(t for s, t in found if s != ARTICLE)
+    return _hash(outside) if outside else None
+
+
+def _streams(run: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [blocks(html or "") for html in batch.column(1).to_pylist()]
+            keys = [stream_key(f) for f in found]
+            words = [None if k is None else stream_words(f, run) for f, k in zip(found, keys, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(keys, pa.int64()), pa.array(words, pa.list_(pa.int64()))],
+                names=["host", "stream", "words"],
+            )
+
+    return rows
 
 
 def suffix_ranks(words: np.ndarray, depth: int) -> np.ndarray:
@@ -225,17 +252,20 @@ def suffix_ranks(words: np.ndarray, depth: int) -> np.ndarray:
 def repeated_runs(streams: list[np.ndarray], run: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``(hash, streams, places)`` of every distinct run of ``run`` words: where it starts, and in which stream.
 
-    The suffix array orders the places of the concatenation; a group of equal ranks is a run.
+    The suffix array orders the places of the concatenation; a group of equal ranks is a run. Runs do
+    not reach over the end of a block.
     """
-    lengths = np.array([len(s) for s in streams])
-    text = np.concatenate([np.append(s, -i - 1) for i, s in enumerate(streams)])  # separators differ
-    starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+    lengths = np.array([len(s) + 1 for s in streams])
+    text = np.concatenate([np.append(s, END) for s in streams])
+    starts = np.cumsum(lengths) - lengths
+    ends = text == END
     rank = suffix_ranks(text, run)
+    until = np.concatenate((np.cumsum(ends), np.full(run, ends.sum() + 1)))  # a run has no end inside
+    whole = until[np.arange(len(text)) + run - 1] == until[: len(text)] - ends
     suffixes = np.argsort(rank, kind="stable")
+    suffixes = suffixes[whole[suffixes]]
     owner = np.searchsorted(starts, suffixes, "right") - 1
     place = suffixes - starts[owner]
-    whole = place + run <= lengths[owner]
-    suffixes, owner, place = suffixes[whole], owner[whole], place[whole]
     bounds = np.flatnonzero(np.concatenate(([True], np.diff(rank[suffixes]) > 0, [True]))) if len(suffixes) else []
     for a, b in zip(bounds[:-1], bounds[1:]):
         first = text[suffixes[a] : suffixes[a] + run]
@@ -263,7 +293,8 @@ def covered_places(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES,
     """``host, stream, places``: where boilerplate runs start in each distinct stream of a host."""
     hosted = pages.select(_host(pages["url"]).alias("host"), F.col("html"))
     streams = written(
-        hosted.mapInArrow(_streams, "host string, stream long, words array<long>")
+        hosted.mapInArrow(_streams(run), "host string, stream long, words array<long>")
+        .filter("stream IS NOT NULL")
         .groupBy("host", "stream")
         .agg(F.first("words").alias("words")),
         "streams",
@@ -310,7 +341,7 @@ def unique_text(found: list[tuple[int, str]], places: list[int], run: int = RUN)
         words = text.split(" ")
         if state == OPEN:
             out += [w for i, w in enumerate(words, at) if i not in covered]
-        at += len(words)
+        at += max(len(words), run) + 1
     return " ".join(out)
 
 
