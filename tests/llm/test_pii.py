@@ -70,12 +70,16 @@ def test_patterns_of_seeds_find_unseen_identifiers(spark):
 
 
 def test_a_discovered_identifier_makes_new_patterns(spark):
-    """Round 2: instances accepted by one pattern vouch for another one's context."""
-    seeds = [f"dial now +1 (555) 010-{i:04d} friend" for i in range(12)]
-    shared = [f"dial now 77-{i:04d}-x friend" for i in range(3)]
-    docs = documents(spark, seeds + shared)
-    got = pii.digest(pii.extract(docs)).filter("n_added > 0").collect()
-    assert {r.doc_id for r in got} == {12, 13, 14}
+    """The second context has too few seeds for the first round; identifiers found by the first one make up for it."""
+    phone = lambda i: f"+1 (555) 010-{i:04d}"
+    found = [f"77-{i:04d}-x" for i in range(6)]
+    first = [f"dial now {x} friend" for x in [phone(i) for i in range(40)] + found]
+    second = [f"fax it to {x} please thanks" for x in [phone(100 + i) for i in range(8)] + found + ["88-4242-y"]]
+    docs = documents(spark, first + second)
+    for rounds, ids in ((1, {*range(40, 46)}), (3, {*range(40, 46), *range(54, 61)})):
+        got = pii.digest(pii.extract(docs, rounds=rounds)).filter("n_added > 0").collect()
+        assert {r.doc_id for r in got} == ids
+        assert {r.spans.split(":")[0] for r in got} == {"phone"}
 
 
 def test_odd_rows(spark):
