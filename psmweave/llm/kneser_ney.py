@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from psmweave.llm.shards import distinct, load, mix, pack, save, shard_of, summed, unpack
 from psmweave.runtime import scratch_path
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Distinct words or pairs a task holds before it hands them to the shuffle.
 HELD = 3_000_000
 

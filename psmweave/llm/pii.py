@@ -13,8 +13,8 @@
 4. Occurrences of accepted candidates next to a pattern that reaches ``ACCEPT`` become added spans of
    that kind.
 
-Only a text's occurrences leave the scan; edges are counted before they move, so a pattern or an
-instance that holds a third of them is a few rows. Defined results: null and empty texts have no
+Only a text's occurrences leave the scan, identifiers as 128-bit hashes; edges are made distinct before
+they move, so a pattern or an instance that holds a third of them is a few rows. Defined results: null and empty texts have no
 spans; every row gets a row; rows that repeat a ``doc_id`` with other texts keep their own spans; a
 null ``doc_id`` is like any other; other columns are not read.
 """
@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,7 +147,7 @@ def occurrences(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
         if kind is not None:
             a, b, c, d = around[i], around[i + 1], around[i + 3], around[i + 4]
             out.append(
-                {"start": s, "end": e, "kind": kind, "value": text[s:e],
+                {"start": s, "end": e, "kind": kind, "value": xxhash.xxh3_128_hexdigest(text[s:e].encode()),
                  "patterns": [f"{a} {b} _", f"{b} _", f"{b} _ {c}", f"_ {c}", f"_ {c} {d}"]}
             )
     return out
