@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -489,12 +490,24 @@ def ion_counts(matched: DataFrame, lengths: DataFrame, key: Sequence[str]) -> Da
     )
 
 
-Generator = Callable[[DataFrame], DataFrame]
+@dataclass(frozen=True)
+class Annotated:
+    """What feature generators may read: PSMs, their peaks, theoretical and matched fragments, isotopes."""
+
+    psms: DataFrame
+    peaks: DataFrame
+    theoretical: DataFrame
+    matched: DataFrame
+    isotopes: DataFrame
+    key: Sequence[str]
+
+
+Generator = Callable[[Annotated], DataFrame]
 GENERATORS: dict[str, Generator] = {}
 
 
-def register_generator(name: str):
-    """Plug-in feature generators by name: annotated context in, (key, features) out."""
+def register_generator(name: str) -> Callable[[Generator], Generator]:
+    """Plug in a feature generator by name: annotated spectra in, (key, features) out."""
 
     def add(fn: Generator) -> Generator:
         GENERATORS[name] = fn
@@ -503,6 +516,53 @@ def register_generator(name: str):
     return add
 
 
+def _features(rows: DataFrame, x: Annotated) -> DataFrame:
+    return rows.select(*x.key, *[c for c in rows.columns if c not in {*x.psms.columns, "evidence", "evidence_labels"}])
+
+
+@register_generator("missing_fragmentation")
+def _missing(x: Annotated) -> DataFrame:
+    return _features(missing_frag_features(cleavage_evidence(x.psms, x.matched, x.key)), x)
+
+
+@register_generator("peaks")
+def _peaks(x: Annotated) -> DataFrame:
+    return peak_features(x.peaks, x.key)
+
+
+@register_generator("hyperscore")
+def _hyperscore(x: Annotated) -> DataFrame:
+    return hyperscore(x.matched, x.key)
+
+
+@register_generator("explained_intensity")
+def _explained(x: Annotated) -> DataFrame:
+    return explained_intensity(x.theoretical, x.matched, peak_features(x.peaks, x.key), x.key)
+
+
+@register_generator("ppm_error")
+def _ppm_error(x: Annotated) -> DataFrame:
+    return ppm_features(x.psms, x.matched, x.key)
+
+
+@register_generator("isotope_intensity")
+def _isotope_intensity(x: Annotated) -> DataFrame:
+    return isotope_intensity_features(x.psms, x.isotopes, peak_features(x.peaks, x.key), x.key)
+
+
+@register_generator("neutral_loss")
+def _neutral_loss(x: Annotated) -> DataFrame:
+    return _features(neutral_loss_evidence(x.psms, x.matched, x.key), x)
+
+
+def generate_features(x: Annotated, names: Sequence[str]) -> DataFrame:
+    """PSMs with the features of the named generators; PSMs that lack one are dropped."""
+    unknown = [n for n in names if n not in GENERATORS]
+    if unknown:
+        raise ValueError(f"unknown generators {unknown}; known: {', '.join(sorted(GENERATORS))}")
+    return feature_table(x.psms, [GENERATORS[n](x) for n in names], x.key)
+
+
 def feature_table(
     psms: DataFrame, parts: Sequence[DataFrame], key: Sequence[str], required: Sequence[str] | None = None
 ) -> DataFrame:

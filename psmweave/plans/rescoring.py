@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from psmweave.operators.confidence import FoldModels, rescoring_apply, rescoring_train
+
 PARTS = ["run", "engine"]
 
 
@@ -43,3 +45,41 @@ def incremental_rescore(
         .parquet(path)
     )
     return spark.read.parquet(path).withColumn("run", F.col("run").cast("string"))
+
+
+def stored_models(spark: SparkSession, path: str, features: Sequence[str]) -> FoldModels | None:
+    """Models saved below ``path``, or None where none have been saved."""
+    try:
+        known = spark.read.text(f"{path}/features").collect()  # one line per feature
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if sorted(r.value for r in known) != sorted(features):
+        raise ValueError(f"the models below {path} read other features; retrain them")
+    return FoldModels.load(path, features)
+
+
+def rescore_with_models(
+    inputs: DataFrame,
+    path: str,
+    model_path: str,
+    features: Sequence[str],
+    retrain: bool = False,
+    redo: bool = False,
+    **training,
+) -> DataFrame:
+    """Rescore the (run, engine) parts that have no output yet with saved fold models.
+
+    Models are trained on ``inputs`` and saved where there are none or with ``retrain``; retrained
+    models make every output out of date, so all parts are rescored then.
+    """
+    spark = inputs.sparkSession
+    models = None if retrain else stored_models(spark, model_path, features)
+    if models is None:
+        models = rescoring_train(inputs, features, **training)
+        models.save(model_path)
+        spark.createDataFrame([(f,) for f in features], "value string").write.mode("overwrite").text(
+            f"{model_path}/features"
+        )
+    return incremental_rescore(inputs, path, lambda df: rescoring_apply(df, models), redo or retrain)

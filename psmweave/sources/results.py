@@ -42,9 +42,19 @@ def _csv(header: bool = True, sep: str = ","):
     return read
 
 
+#: Result files up to which their header lines, one each, are sent to every executor.
+MAX_SENT_HEADERS = 10_000
+
+
 def _table_with_header(rows: DataFrame, header: DataFrame, sep: str) -> DataFrame:
-    """Rows of delimited text as a map, named by the header line of their own run."""
+    """Rows of delimited text as a map, named by the header line of their own run.
+
+    There are no more headers than files, whose number is known without reading them; with few files
+    the headers go to the rows, so that no row moves to its run's header.
+    """
     names = header.groupBy("run").agg(F.min("value").alias("_h"))
+    if len(header.inputFiles()) <= MAX_SENT_HEADERS:
+        names = F.broadcast(names)
     split = lambda c: F.transform(F.split(c, sep), lambda x: F.trim(x))
     zipped = F.zip_with(split(F.col("_h")), split(F.col("value")), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
     named = F.filter(zipped, lambda e: e["k"].isNotNull() & (e["k"] != "") & e["v"].isNotNull())

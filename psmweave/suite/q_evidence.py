@@ -365,28 +365,52 @@ def f12(spark, sf):
     return _missing_cols(out, "NL_")
 
 
-def _feature_parts(spark, sf):
-    m = V.matched(spark, sf)
-    miss = G.missing_frag_features(_evidence(spark, sf)).select("spectrum_id", "missing_frag_sites")
-    return [G.peak_features(V.peaks(spark, sf), _S), miss, G.hyperscore(m, _S)]
-
-
-@query(
-    "F13_feature_table",
+_FEATURE_SQL = (
     "WITH " + _HYPER_SQL + ", " + _ev_sql() + """,
 t AS (SELECT spectrum_id, sum(intensity) AS tic, count(*) AS peak_count FROM peaks GROUP BY 1),
 ms AS (SELECT spectrum_id, count(*) FILTER (WHERE NOT e) AS missing_frag_sites FROM ev GROUP BY 1)
 SELECT spectrum_id, peptide, round(tic, 3) AS tic, peak_count, missing_frag_sites, round(hyperscore, 5) AS hyperscore
 FROM spectrum_psms JOIN t USING (spectrum_id) JOIN ms USING (spectrum_id) JOIN hs USING (spectrum_id)
-""",
+"""
 )
-def f13(spark, sf):
-    psms = V.spectrum_psms(spark, sf).select("spectrum_id", "peptide")
-    out = G.feature_table(psms, _feature_parts(spark, sf), _S)
-    out = out.withColumn("missing_frag_sites", F.col("missing_frag_sites").cast("long"))
+
+
+def _annotated(spark, sf):
+    return G.Annotated(
+        V.spectrum_psms(spark, sf), V.peaks(spark, sf), V.fragments(spark, sf), V.matched(spark, sf),
+        _isotopes(spark, sf), _S,
+    )
+
+
+def _shown(features):
+    out = features.select(
+        "spectrum_id", "peptide", "tic", "peak_count", F.col("missing_frag_sites").cast("long").alias("missing_frag_sites"),
+        "hyperscore",
+    )
     return _r(_r(out, "tic", places=3), "hyperscore", places=5)
 
 
+@query("F13_feature_table", _FEATURE_SQL)
+def f13(spark, sf):
+    """Generators run by name."""
+    return _shown(G.generate_features(_annotated(spark, sf), ["peaks", "missing_fragmentation", "hyperscore"]))
+
+
+@query("F13_regenerate", _FEATURE_SQL)
+def f13_regenerate(spark, sf):
+    """One generator's outdated columns are computed anew, the others stay."""
+    x = _annotated(spark, sf)
+    old = G.generate_features(x, ["peaks", "missing_fragmentation", "hyperscore"]).withColumn("hyperscore", F.lit(-1.0))
+    return _shown(G.regenerate(old, G.GENERATORS["hyperscore"](x), _S))
+
+
+@query("F13_all_generators")
+def f13_all(spark, sf):
+    return G.generate_features(_annotated(spark, sf), sorted(G.GENERATORS)).select(
+        "spectrum_id", "missing_frag_sites", "NL_missing_frag_sites", "tic", "hyperscore", "ppm_mean_all", "pct_peaks_annotated"
+    )
+
+
 @query(
     "F14_ion_counts",
     "SELECT spectrum_id, ion_type, count(DISTINCT ion_index) AS n_ions, round(count(DISTINCT ion_index) / 7, 6) AS share "

@@ -319,18 +319,16 @@ def s7b(spark, sf):
     return _load_csv(spark, sf, "instanovo_legacy", _notation("C(+57.02)", "M(+15.99)"), line, "preds,log_probs")
 
 
-def _load_csv(spark, sf, engine, peptide, line, header, extra=(), rows_per_file=None):
-    """CSV needs its header in every file, so each run is written as one file."""
+def _load_csv(spark, sf, engine, peptide, line, header, extra=()):
+    """Lines of a run in several files, in order; the writer puts the header line on top of each."""
     preds = _preds(spark, sf)
     side = _pred_spectra(preds)
     rows = preds.join(side.select("run", "id", "ordinal"), ["run", "id"]).withColumn("p", peptide)
     body = rows.select("run", "ordinal", line.alias("value"))
-    top = preds.select("run").distinct().select(
-        "run", F.lit(-1).cast("long").alias("ordinal"), F.lit(header).alias("value")
-    )
     path = scratch_path(spark, engine)
-    one_file = body.unionByName(top).repartition("run").sortWithinPartitions("run", "ordinal")
-    one_file.select("run", "value").write.partitionBy("run").text(path)
+    ordered = body.repartitionByRange("run", "ordinal").sortWithinPartitions("run", "ordinal")
+    plain = {"header": True, "sep": "\u0001", "quote": "\u0000", "escapeQuotes": False}
+    ordered.select("run", F.col("value").alias(header)).write.partitionBy("run").options(**plain).csv(path)
     out = results.load_psms(spark, engine, path, side)
     return out.select(
         "run", "spectrum_id", "engine", F.col("rank").cast("int").alias("rank"), "peptide",

@@ -272,3 +272,26 @@ def test_aa_scores_leading_extra(spark):
     df = spark.createDataFrame([(1, [0.2, 0.4, 0.9], [True, False])], "id int, aa_scores array<double>, aa_match array<boolean>")
     out = U.aa_score_rows(df, ["id"]).orderBy("pos").collect()
     assert [(round(r.score, 6), r.correct) for r in out] == [(0.3, True), (0.9, False)]
+
+
+def test_rescoring_loads_saved_models(spark, tmp_path):
+    from psmweave.operators import confidence as M
+    from psmweave.plans.rescoring import rescore_with_models
+
+    df = spark.range(400).selectExpr(
+        "concat('run_', CAST(id % 2 AS STRING)) AS run", "id AS spectrum_id", "concat('engine_', CAST(id % 3 AS STRING)) AS engine",
+        "id % 4 = 3 AS is_decoy", "CAST(CASE WHEN id % 4 = 3 THEN id % 50 ELSE id % 90 + 20 END AS DOUBLE) AS score",
+        "CAST(id % 7 AS DOUBLE) AS other",
+    )
+    out, models = str(tmp_path / "out"), str(tmp_path / "models")
+    features = ["score", "other"]
+    small = {"rounds": 1, "iterations": 3, "train_fdr": 0.1}
+    first = rescore_with_models(df.filter("run = 'run_0'"), out, models, features, **small)
+    assert {r.run for r in first.select("run").distinct().collect()} == {"run_0"}
+    done = rescore_with_models(df, out, models, features, **small)
+    loaded = M.FoldModels.load(models, features)
+    want = M.rescoring_apply(df, loaded)
+    key = ["run", "engine", "spectrum_id", "score_rescored"]
+    assert sorted(map(tuple, done.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
+    with pytest.raises(ValueError, match="other features"):
+        rescore_with_models(df, out, models, ["score"], **small)
