@@ -106,12 +106,13 @@ def j4b(spark, sf):
     "J5_attach_refinement",
     """
 WITH n AS (SELECT run, spectrum_id, engine, count(*) AS n FROM psms GROUP BY ALL)
-SELECT r.run, r.spectrum_id, r.engine, r.rank, r.refiner, 'matched' AS status,
+SELECT r.run, r.spectrum_id, r.engine, r.rank, r.refiner, CASE WHEN p.rank IS NULL THEN 'no_base' ELSE 'matched' END AS status,
  replace(p.peptide, 'L', 'I') = replace(r.refined_peptide, 'L', 'I') AS unchanged,
  CASE WHEN replace(p.peptide, 'L', 'I') <> replace(r.refined_peptide, 'L', 'I')
   THEN r.refined_peptide END AS refined_peptide,
  round(r.refined_score, 6) AS refined_score
-FROM refinements r JOIN psms p USING (run, spectrum_id, engine, rank)
+FROM refinements r LEFT JOIN psms p ON p.run = r.run AND p.spectrum_id = r.spectrum_id AND p.engine = r.engine
+ AND p.rank = r.rank
 """,
 )
 def j5(spark, sf):
@@ -153,14 +154,15 @@ def j6(spark, sf):
 
 
 _FEATURE_SQL = (
-    "SELECT run, spectrum_id, engine, rank, length(peptide) AS n_residues, score * score AS squared "
-    "FROM psms WHERE psm_no <> 3"
+    "SELECT run, spectrum_id, engine, CASE WHEN psm_no = 3 THEN rank + 1000 ELSE rank END AS rank, "
+    "length(peptide) AS n_residues, score * score AS squared FROM psms"
 )
 
 
 def _features(spark, sf):
-    return V.psms(spark, sf).filter("psm_no <> 3").selectExpr(
-        "run", "spectrum_id", "engine", "rank", "length(peptide) AS n_residues", "score * score AS squared"
+    """Features of all PSMs; some stand under ranks that no PSM has."""
+    return V.psms(spark, sf).selectExpr(
+        "run", "spectrum_id", "engine", "CASE WHEN psm_no = 3 THEN rank + 1000 ELSE rank END AS rank", "length(peptide) AS n_residues", "score * score AS squared"
     )
 
 
@@ -343,13 +345,13 @@ def j22(spark, sf):
     "J23_identified_scans",
     """
 SELECT g.run, g.spectrum_id AS scan_number, p.engine, p.peptide
-FROM gt g JOIN top_psms p ON p.run = g.run AND p.spectrum_id = g.spectrum_id
-WHERE g.spectrum_id % 2 = 0
+FROM (SELECT run, CASE WHEN spectrum_id % 2 = 0 THEN spectrum_id ELSE -1 - spectrum_id END AS spectrum_id FROM gt) g
+JOIN top_psms p ON p.run = g.run AND p.spectrum_id = g.spectrum_id
 """,
 )
 def j23(spark, sf):
-    spectra = V.gt(spark, sf).filter("spectrum_id % 2 = 0").select(
-        "run", F.col("spectrum_id").alias("scan_number")
+    spectra = V.gt(spark, sf).selectExpr(
+        "run", "CASE WHEN spectrum_id % 2 = 0 THEN spectrum_id ELSE -1 - spectrum_id END AS scan_number"
     )
     psms = V.psms(spark, sf).withColumn(
         "spectrum_id",
@@ -377,7 +379,9 @@ def j24(spark, sf):
         .agg(F.min(F.substring_index("proforma", "/", 1)).alias("peptide"))
     )
     requests = J.score_requests(psms, spectra, "casanovo", "novor")
-    returned = spectra.filter("ordinal % 3 <> 0").selectExpr("run", "ordinal", "ordinal * 2 AS returned")
+    returned = spectra.selectExpr(
+        "run", "CASE WHEN ordinal % 3 = 0 THEN -1 - ordinal ELSE ordinal END AS ordinal", "ordinal * 2 AS returned"
+    )
     return J.attach_returned_scores(requests, returned, ["run", "ordinal"]).select(
         "run", "spectrum_id", "ordinal", "sequence", "returned"
     )

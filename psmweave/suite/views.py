@@ -131,11 +131,12 @@ VIEW_SQL: dict[str, str] = {
     "WHEN correct THEN 'isobaric_aa' WHEN score > gt_score THEN 'Higher score' "
     "WHEN score < gt_score THEN 'Lower score' ELSE 'Different' END AS error_type FROM joined",
     "top_eval": "SELECT * FROM evaluated WHERE rank = 1",
-    "refinements": "SELECT run, spectrum_id, engine, rank, "
+    "refinements": "SELECT run, CASE WHEN (spectrum_id + psm_no) % 5 = 0 THEN -1 - spectrum_id "
+    "ELSE spectrum_id END AS spectrum_id, engine, rank, "
     "concat('refiner_', CAST(psm_no % 2 AS STRING)) AS refiner, "
     "CASE WHEN psm_no % 3 = 0 THEN peptide ELSE concat(translate(CAST(spectrum_id % 5 AS STRING), "
     "'01234', 'GASPV'), 'ITDEK') END AS refined_peptide, "
-    "score / 2 + 0.25 AS refined_score FROM psms WHERE (spectrum_id + psm_no) % 5 <> 0",
+    "score / 2 + 0.25 AS refined_score FROM psms",
     "mod_rows": "SELECT " + ", ".join(_MOD_COLS) + " FROM lineitem",
     "scored": "SELECT " + ", ".join(_SCORED_COLS) + " FROM events",
     "proteins": "SELECT doc_id AS protein_id, lang AS organism, source, "
@@ -200,12 +201,12 @@ def top_eval(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def refinements(spark: SparkSession, sf: str) -> DataFrame:
+    """A refinement of every PSM; a fifth stands under spectra that no PSM has."""
     return (
         psms(spark, sf)
-        .filter("(spectrum_id + psm_no) % 5 <> 0")
         .selectExpr(
             "run",
-            "spectrum_id",
+            "CASE WHEN (spectrum_id + psm_no) % 5 = 0 THEN -1 - spectrum_id ELSE spectrum_id END AS spectrum_id",
             "engine",
             "rank",
             "concat('refiner_', CAST(psm_no % 2 AS STRING)) AS refiner",
