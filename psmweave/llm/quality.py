@@ -36,8 +36,9 @@ class Rule:
     rejects: Column
 
 
-def n_chars_without(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def n_of(text: Column, chars: str) -> Column:
+    """How many characters of a text belong to a class."""
+    return F.coalesce(F.regexp_count(text, F.lit(f"[{chars}]")), F.lit(0)).cast("long")
 
 
 def word_chars(tokens: Column) -> Column:
@@ -46,7 +47,7 @@ def word_chars(tokens: Column) -> Column:
 
 
 def n_symbols(text: Column) -> Column:
-    return F.coalesce(n_chars_without(text, SYMBOLS), F.lit(0)).cast("long")
+    return n_of(text, SYMBOLS)
 
 
 def lines_with_words(text: Column) -> Column:
@@ -118,7 +119,7 @@ def default_rules(text: Column, tokens: Column, measured: dict[str, Column] | No
         Rule("word_length", (m["word_chars"] < 2 * n) | (m["word_chars"] > 25 * n)),
         Rule("symbols", 5 * m["n_symbols"] > n),
         Rule("shouting", 2 * F.size(F.filter(tokens, lambda w: w.endswith("!"))) > n),
-        Rule("digits", 2 * n_chars_without(F.coalesce(text, F.lit("")), "0123456789") > m["word_chars"]),
+        Rule("digits", 2 * n_of(text, "0-9") > m["word_chars"]),
         Rule("lines", 2 * m["n_dup_lines"] > F.size(lines_with_words(text))),
         Rule("repetition", 100 * m["n_repeat_words"] > 20 * n),
     ]
@@ -165,13 +166,18 @@ def cascade(rules: Sequence[Rule]) -> Column:
 def judge(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Rows of ``docs`` as ``__row`` with ``rejected_by``, the rule that ended the cascade, or null.
 
-    Words are cut once; everything else is evaluated only where the cascade reaches it. Which of
-    several rejecting rules is named depends on the measured order.
+    Words are cut once, inside the verdict's own expression, so that a filter on the verdict may move
+    below without cutting them for every rule; everything else is evaluated only where the cascade
+    reaches it. Which of several rejecting rules is named depends on the measured order.
     """
-    cut = rows_of(docs, __text=docs["text"], __words=words(docs["text"]))
-    text, tokens = F.col("__text"), F.col("__words")
-    ordered = [e.rule for e in estimate(cut, default_rules(text, tokens), sample_rows)]
-    return cut.select("__row", cascade(ordered).alias("rejected_by"))
+    cut = docs.select(docs["text"].alias("__text"), words(docs["text"]).alias("__words"))
+    ordered = [e.rule.name for e in estimate(cut, default_rules(F.col("__text"), F.col("__words")), sample_rows)]
+
+    def verdict(tokens: Column) -> Column:
+        rules = {r.name: r for r in default_rules(docs["text"], tokens)}
+        return cascade([rules[name] for name in ordered])
+
+    return rows_of(docs, rejected_by=let(words(docs["text"]), verdict))
 
 
 def keep_good(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
