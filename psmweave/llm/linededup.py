@@ -137,11 +137,13 @@ def find_duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     )
     postings = written(texts.mapInArrow(_postings, _POSTINGS), "postings")
     line = ["h", "g", "k"]
-    first = (
+    # Written, so that the join deals both sides anew and can split a line that very many documents share.
+    first = written(
         postings.groupBy(*line)
         .agg(F.min(F.struct("doc_id", "t", "seq", "once")).alias("first"), F.max(F.struct("doc_id", "t")).alias("last"))
         .filter((F.col("first.doc_id") != F.col("last.doc_id")) | (F.col("first.t") != F.col("last.t")))
-        .drop("last")
+        .drop("last"),
+        "first-holders",
     )
     shared = written(postings.join(first, line), "shared-lines")
     later = shared.filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("t") != F.col("first.t"))).select(
