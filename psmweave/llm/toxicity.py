@@ -114,28 +114,31 @@ def fit(
     rate = (toxic + 0.5) / (n + 1.0)
     if not 0 < toxic < n:
         return np.empty(0, np.int64), np.empty(0), float(np.log(rate / (1 - rate)))
-    row = np.repeat(np.arange(n), [len(a) for a in x])
-    column = np.concatenate(x)
-    once = np.unique(row * DIMENSIONS + column)
-    per_class = [np.bincount(once[labels[once // DIMENSIONS] == k] % DIMENSIONS, minlength=DIMENSIONS) for k in (0, 1)]
+    per_class = np.zeros((2, DIMENSIONS), np.int32)
+    for y, a in zip(labels, x):
+        per_class[y, np.unique(a)] += 1
     clean, bad = ((c + 0.5) / (m + 1.0) for c, m in zip(per_class, (n - toxic, toxic)))
     spread = np.sqrt(clean * (1 - clean) / (n - toxic) + bad * (1 - bad) / toxic)
-    telling = (per_class[0] + per_class[1] >= min_texts) & (bad - clean > 2 * spread)
-    kept = np.flatnonzero(telling)
+    kept = np.flatnonzero((per_class.sum(axis=0) >= min_texts) & (bad - clean > 2 * spread))
     number = np.full(DIMENSIONS, -1)
     number[kept] = np.arange(len(kept))
 
-    def sparse(rows: np.ndarray, columns: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ok = number[columns] >= 0
-        return rows[ok], number[columns[ok]], values[ok]
-
-    r, c, v = sparse(row, column, np.ones(len(column)))
+    def sparse(rows: list[list[tuple[np.ndarray, float]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, column and value of the kept features of sums of weighted feature lists."""
+        r, c, v = [], [], []
+        for i, parts in enumerate(rows):
+            for a, weight in parts:
+                found = number[a]
+                found = found[found >= 0]
+                r.append(np.full(len(found), i))
+                c.append(found)
+                v.append(np.full(len(found), weight))
+        return np.concatenate(r), np.concatenate(c), np.concatenate(v)
+
+    r, c, v = sparse([[(a, 1.0)] for a in x])
     pairs = [i for i in range(n) if len(other[i])]
     if pairs:
-        dr = np.concatenate([np.full(len(x[i]) + len(other[i]), k) for k, i in enumerate(pairs)])
-        dc = np.concatenate([np.concatenate((x[i], other[i])) for i in pairs])
-        dv = np.concatenate([np.concatenate((np.ones(len(x[i])), -np.ones(len(other[i])))) for i in pairs])
-        dr, dc, dv = sparse(dr, dc, dv)
+        dr, dc, dv = sparse([[(x[i], 1.0), (other[i], -1.0)] for i in pairs])
     w, b = np.zeros(len(kept)), float(np.log(rate / (1 - rate)))
     mean, square = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for step in range(1, steps + 1):
@@ -159,8 +162,8 @@ def _trainer(fairness: float, l2: float):
         labels, x, other = [], [], []
         for batch in batches:
             labels += batch.column(0).to_pylist()
-            x += [np.asarray(a.values, dtype=np.int64) for a in batch.column(1)]
-            other += [np.asarray(a.values, dtype=np.int64) for a in batch.column(2)]
+            x += [np.array(a.values, dtype=np.int32) for a in batch.column(1)]
+            other += [np.array(a.values, dtype=np.int32) for a in batch.column(2)]
         kept, w, b = fit(np.array(labels, np.int64), x, other, fairness, l2)
         yield pa.RecordBatch.from_arrays(
             [pa.array([kept.tolist()], pa.list_(pa.int64())), pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([b])],
@@ -186,7 +189,7 @@ def train(
         .select("label", "text")
         .mapInArrow(_examples, _EXAMPLE)
     )
-    model = examples.coalesce(1).mapInArrow(
+    model = examples.repartition(1).mapInArrow(
         _trainer(fairness, l2), "features array<bigint>, weights array<double>, intercept double"
     ).first()
     weights = np.zeros(DIMENSIONS)
