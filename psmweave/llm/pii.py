@@ -177,12 +177,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _pattern_scores(edges: DataFrame, known: DataFrame, accept: float, support: int, prior: float) -> DataFrame:
+def _pattern_scores(edges: DataFrame, known: DataFrame | None, accept: float, support: int, prior: float) -> DataFrame:
     """``pattern, kind, score`` of the patterns that reach ``accept``.
 
-    ``edges``: distinct ``pattern, value, seed`` (kind or empty); ``known``: accepted ``value, kind, score``.
+    ``edges``: distinct ``pattern, value, seed`` (kind or empty); ``known``: accepted ``value, kind, score``,
+    if there are any yet.
     """
-    held = edges.join(known, "value", "left").select(
+    nothing = {"kind": F.lit(None).cast("string"), "score": F.lit(None).cast("double")}
+    scored_edges = edges.withColumns(nothing) if known is None else edges.join(known, "value", "left")
+    held = scored_edges.select(
         "pattern",
         F.when(F.col("seed") != "", F.col("seed")).otherwise(F.col("kind")).alias("kind"),
         F.when(F.col("seed") != "", F.lit(1.0)).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"),
@@ -209,9 +212,9 @@ def bootstrap(
     edges: DataFrame, accept: float = ACCEPT, support: int = SUPPORT, prior: float = PRIOR, rounds: int = ROUNDS
 ) -> tuple[DataFrame, DataFrame]:
     """Accepted patterns (``pattern, kind, score``) and candidates (``value, kind, score``) after some rounds."""
-    spark = edges.sparkSession
-    known = spark.createDataFrame([], "value string, kind string, score double")
-    patterns = None
+    if rounds < 1:
+        raise ValueError("at least one round is needed")
+    known = patterns = None
     for step in range(rounds):
         patterns = written(_pattern_scores(edges, known, accept, support, prior), f"patterns-{step}")
         best = F.max(F.struct("score", "kind")).alias("b")
