@@ -1,14 +1,14 @@
 """Line deduplication by pairwise alignment of overlapping documents.
 
-1. Every line with a word becomes a posting: a 128-bit hash of the trimmed line and, where a document
-   repeats a line, which repeat it is, so that a posting is unique within its document.
-2. A posting that other documents share names one partner: its first holder, the smallest document.
-   That is one pair for each posting whatever its frequency, so the index needs no bound on frequent
-   lines and a group of thousands of copies gives thousands of pairs, not their square.
-3. A document is aligned with each partner by patience diff: lines that both hold once are anchors,
+1. Every text becomes the 128-bit hashes of its trimmed lines with a word. Of documents with equal lines
+   the first stands for all; the others lose every line, so thousands of copies cost no pairs.
+2. A block of ``min_words`` words holds, around each of its lines, a shortest run of lines with so many
+   words. Documents that could share a block therefore hold equal shortest runs, and meet through them.
+3. Pairs are aligned over all lines they share by patience diff: lines that both hold once are anchors,
    the longest increasing run of anchors is kept, and repeated lines are placed between anchors the
-   same way. With its main partner (most shared words) it is aligned over everything they share; with
-   the others over the lines they held first.
+   same way. A document is aligned with the first holder of each of its runs. Runs that this does not
+   delete (their order differs there) are aligned with ever more of their earlier holders, twice as many
+   in each step, until they are deleted or all holders have been tried: the result is that of all pairs.
 4. Aligned lines that follow each other in both documents (blank lines aside) form a block. Blocks of
    ``min_words`` words or more are deleted from the later document, the one with the larger ``doc_id``.
 
@@ -34,42 +34,84 @@ from psmweave.llm.text import BLANKS
 
 MIN_WORDS = 5
 
-_POSTINGS = "doc_id long, t long, h long, g long, k int, pos int, seq int, n_words int, once boolean"
+_DOCS = "doc_id long, t long, s long, z long, lines binary, n_words array<int>, pos array<int>"
+_RUNS = "doc_id long, t long, a int, b int, h long, g long"
+_DIGEST = 16
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows: list[tuple] = []
-        for doc_id, t, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            lines = [(pos, w, line) for pos, line in enumerate(text.split(b"\n")) if (w := len(line.split()))]
-            total = Counter(line.strip() for _, _, line in lines)
-            seen: Counter[bytes] = Counter()
-            for seq, (pos, n_words, line) in enumerate(lines):
-                line = line.strip()
-                h = xxhash.xxh3_128_intdigest(line)
-                rows.append(
-                    (doc_id, t, _signed(h >> 64), _signed(h & (1 << 64) - 1), seen[line], pos, seq, n_words, total[line] == 1)
-                )
-                seen[line] += 1
-            if len(rows) >= 100_000:
-                yield _batch(rows)
-                rows = []
-        yield _batch(rows)
-
-
-_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("t", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("k", pa.int32()),
-     ("pos", pa.int32()), ("seq", pa.int32()), ("n_words", pa.int32()), ("once", pa.bool_())]
+def _halves(data: bytes) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(data)
+    return _signed(h >> 64), _signed(h & (1 << 64) - 1)
+
+
+def _lines(min_words: int):
+    """Texts to their lines with words: digests, numbers of words, line numbers, and a hash of the whole sequence."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, t, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines = [(pos, w, line) for pos, line in enumerate(text.split(b"\n")) if (w := len(line.split()))]
+                if sum(w for _, w, _ in lines) >= min_words:
+                    digests = b"".join(xxhash.xxh3_128_digest(line.strip()) for _, _, line in lines)
+                    out.append((doc_id, t, *_halves(digests), digests, [w for _, w, _ in lines], [p for p, _, _ in lines]))
+            yield _batch(out, _DOCS_ARROW)
+
+    return rows
+
+
+_DOCS_ARROW = pa.schema(
+    [("doc_id", pa.int64()), ("t", pa.int64()), ("s", pa.int64()), ("z", pa.int64()), ("lines", pa.binary()),
+     ("n_words", pa.list_(pa.int32())), ("pos", pa.list_(pa.int32()))]
+)
+_RUNS_ARROW = pa.schema(
+    [("doc_id", pa.int64()), ("t", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("h", pa.int64()), ("g", pa.int64())]
 )
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [()] * len(_ARROW)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def least_runs(n_words: list[int], min_words: int) -> set[tuple[int, int]]:
+    """First and last line of the shortest runs of ``min_words`` words from each line on and up to each line."""
+    out, a, total = set(), 0, 0
+    for b, w in enumerate(n_words):  # up to b
+        total += w
+        while total - n_words[a] >= min_words:
+            total -= n_words[a]
+            a += 1
+        if total >= min_words:
+            out.add((a, b))
+    b, total = len(n_words) - 1, 0
+    for a in range(len(n_words) - 1, -1, -1):  # from a on
+        total += n_words[a]
+        while total - n_words[b] >= min_words:
+            total -= n_words[b]
+            b -= 1
+        if total >= min_words:
+            out.add((a, b))
+    return out
+
+
+def _runs(min_words: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, t, lines, n_words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for a, b in least_runs(n_words, min_words):
+                    out.append((doc_id, t, a, b, *_halves(lines[a * _DIGEST : (b + 1) * _DIGEST])))
+                if len(out) >= 100_000:
+                    yield _batch(out, _RUNS_ARROW)
+                    out = []
+            yield _batch(out, _RUNS_ARROW)
+
+    return rows
 
 
 def longest_increasing(values: list[int]) -> list[int]:
@@ -128,6 +170,53 @@ def deletions(shared: list[dict], min_words: int) -> list[int]:
     return sorted(gone)
 
 
+def _numbered(lines: bytes) -> list[tuple[bytes, int]]:
+    """Lines with the number of equal lines before them."""
+    seen: Counter[bytes] = Counter()
+    out = []
+    for at in range(0, len(lines), _DIGEST):
+        line = lines[at : at + _DIGEST]
+        out.append((line, seen[line]))
+        seen[line] += 1
+    return out
+
+
+def gone_lines(lines: bytes, n_words: list[int], there: bytes, min_words: int) -> list[int]:
+    """Lines (by their place among the lines with words) that aligned blocks with one other document delete."""
+    here, other = _numbered(lines), _numbered(there)
+    total, p_total = Counter(x for x, _ in here), Counter(x for x, _ in other)
+    places = {key: i for i, key in enumerate(other)}
+    shared = [
+        {"pos": i, "seq": i, "n_words": n_words[i], "p_doc": 0, "p_t": 0, "p_seq": places[key],
+         "once": total[key[0]] == p_total[key[0]] == 1}
+        for i, key in enumerate(here) if key in places
+    ]
+    return deletions(shared, min_words)
+
+
+def _aligned(pairs: DataFrame, documents: DataFrame, min_words: int) -> DataFrame:
+    """``doc_id, t, gone`` of every pair ``doc_id, t, p_doc, p_t`` that deletes something."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, n_words, there = (c.to_pylist() for c in batch.columns[2:])
+            gone = [gone_lines(*x, min_words) for x in zip(lines, n_words, there, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "t", "gone"])
+
+    partners = documents.select(F.col("doc_id").alias("p_doc"), F.col("t").alias("p_t"), F.col("lines").alias("there"))
+    return (
+        pairs.join(documents.select("doc_id", "t", "lines", "n_words"), ["doc_id", "t"])
+        .join(partners, ["p_doc", "p_t"])
+        .select("doc_id", "t", "lines", "n_words", "there")
+        .mapInArrow(run, "doc_id long, t long, gone array<int>")
+        .filter(F.size("gone") > 0)
+    )
+
+
+def _union(gone: DataFrame) -> DataFrame:
+    return gone.groupBy("doc_id", "t").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
+
+
 def find_duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, t, gone``: the line numbers (from 0) to delete; ``t`` is XXH64 of the text."""
     texts = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
@@ -135,55 +224,57 @@ def find_duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
         F.xxhash64("text").alias("t"),
         F.col("text").cast("binary").alias("text"),
     )
-    postings = written(texts.mapInArrow(_postings, _POSTINGS), "postings")
-    line = ["h", "g", "k"]
-    # Written, so that the join deals both sides anew and can split a line that very many documents share.
-    first = written(
-        postings.groupBy(*line)
-        .agg(F.min(F.struct("doc_id", "t", "seq", "once")).alias("first"), F.max(F.struct("doc_id", "t")).alias("last"))
-        .filter((F.col("first.doc_id") != F.col("last.doc_id")) | (F.col("first.t") != F.col("last.t")))
+    every = written(texts.mapInArrow(_lines(min_words), _DOCS), "lines")
+    # What is joined with hot keys is written, so that the join deals both sides anew and can split them.
+    first = F.min(F.struct("doc_id", "t")).alias("first")
+    copied = every.join(written(every.groupBy("s", "z").agg(first), "first-copies"), ["s", "z"])
+    is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
+    copies = copied.filter(~is_first).select("doc_id", "t", F.col("pos").alias("gone"))
+    documents = written(
+        copied.filter(is_first).select("doc_id", "t", "lines", "n_words", "pos").dropDuplicates(["doc_id", "t"]), "documents"
+    )
+
+    runs = written(documents.select("doc_id", "t", "lines", "n_words").mapInArrow(_runs(min_words), _RUNS), "runs")
+    holders = written(
+        runs.groupBy("h", "g")
+        .agg(first, F.max(F.struct("doc_id", "t")).alias("last"), F.count("*").alias("n"))
+        .filter(F.col("first") != F.col("last"))
         .drop("last"),
         "first-holders",
     )
-    shared = written(postings.join(first, line), "shared-lines")
-    later = shared.filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("t") != F.col("first.t"))).select(
-        "doc_id", "t", "pos", "seq", "n_words", "once",
-        F.col("first.doc_id").alias("p_doc"), F.col("first.t").alias("p_t"),
-        F.col("first.seq").alias("p_seq"), F.col("first.once").alias("p_once"),
-    )
-    weight = F.struct("w", (-F.col("p_doc")).alias("d"), "p_t")
-    main = (
-        later.groupBy("doc_id", "t", "p_doc", "p_t")
-        .agg(F.sum("n_words").alias("w"))
-        .groupBy("doc_id", "t")
-        .agg(F.max_by(F.struct("p_doc", "p_t"), weight).alias("m"))
-        .select("doc_id", "t", F.col("m.p_doc").alias("p_doc"), F.col("m.p_t").alias("p_t"))
-    )
-    there = shared.select(
-        F.col("doc_id").alias("p_doc"), F.col("t").alias("p_t"), *line,
-        F.col("seq").alias("p_seq"), F.col("once").alias("p_once"),
-    )
-    with_main = (
-        shared.select("doc_id", "t", *line, "pos", "seq", "n_words", "once")
-        .join(main, ["doc_id", "t"])
-        .join(there, ["p_doc", "p_t", *line])
-    )
-    columns = ["doc_id", "t", "pos", "seq", "n_words", "p_doc", "p_t", "p_seq"]
-    once = (F.col("once") & F.col("p_once")).alias("once")
-    pairs = later.select(*columns, once).unionByName(with_main.select(*columns, once))
-    fields = ["pos", "seq", "n_words", "p_doc", "p_t", "p_seq", "once"]
-    grouped = pairs.groupBy("doc_id", "t").agg(F.collect_set(F.struct(*fields)).alias("shared"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, ts, lists = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ts, pa.int64()),
-                 pa.array([deletions(x, min_words) for x in lists], pa.list_(pa.int32()))],
-                names=["doc_id", "t", "gone"],
-            )
-
-    return grouped.mapInArrow(run, "doc_id long, t long, gone array<int>").filter(F.size("gone") > 0)
+    shared = written(runs.join(holders, ["h", "g"]), "shared-runs")
+    later = shared.filter(~is_first).select("doc_id", "t", "a", "b", "h", "g", "n", "first")
+    ways = shared.count()
+    pairs = later.select("doc_id", "t", F.col("first.doc_id").alias("p_doc"), F.col("first.t").alias("p_t")).distinct()
+    gone = written(_union(_aligned(written(pairs, "pairs-0"), documents, min_words)), "gone-0")
+    dealt = F.pmod(F.xxhash64("p_doc", "p_t"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    step = 0
+    while True:
+        step += 1
+        kept = F.exists(F.sequence("a", "b"), lambda i: ~F.array_contains("gone", i))
+        later = written(
+            later.join(gone, ["doc_id", "t"], "left").filter(F.col("gone").isNull() | kept).drop("gone"), f"open-{step}"
+        )
+        left = later.agg(F.sum("n").alias("ways"), F.max("n").alias("most")).first()
+        if not left.ways:
+            break
+        whole = left.ways <= ways or 1 << step >= left.most
+        tried = F.lit(True) if whole else dealt * F.col("n") < float(1 << step)
+        partners = (
+            shared.select("h", "g", "n", F.col("doc_id").alias("p_doc"), F.col("t").alias("p_t"))
+            .filter(tried)
+            .select("h", "g", "p_doc", "p_t")
+            .distinct()
+        )
+        before = (F.col("p_doc") < F.col("doc_id")) | ((F.col("p_doc") == F.col("doc_id")) & (F.col("p_t") < F.col("t")))
+        pairs = later.join(partners, ["h", "g"]).filter(before).select("doc_id", "t", "p_doc", "p_t").distinct()
+        found = _aligned(written(pairs, f"pairs-{step}"), documents, min_words)
+        gone = written(_union(gone.unionByName(found)), f"gone-{step}")
+        if whole:
+            break
+    at = F.array_sort(F.transform("gone", lambda i: F.col("pos")[i]))
+    cut = documents.select("doc_id", "t", "pos").join(gone, ["doc_id", "t"]).select("doc_id", "t", at.alias("gone"))
+    return cut.unionByName(copies.dropDuplicates(["doc_id", "t"]))
 
 
 def _remaining(text: Column, gone: Column) -> Column:

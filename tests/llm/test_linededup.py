@@ -102,3 +102,49 @@ def test_odd_rows_and_columns(spark):
 def test_n_chars_follows_the_text(spark):
     docs = documents(spark, [(1, "some line of quite enough words"), (2, "own\nsome line of quite enough words")])
     assert {r.doc_id: (r.text, r.n_chars) for r in linededup.drop_duplicate_lines(docs).collect()}[2] == ("own", 3)
+
+
+def _all_pairs(docs, min_words=5):
+    """Texts after every document has been aligned with every earlier one."""
+    import xxhash
+
+    cut = {
+        d: [(p, len(x.split()), xxhash.xxh3_128_digest(x.strip())) for p, x in enumerate(t.encode().split(b"\n")) if x.split()]
+        for d, t in docs.items()
+    }
+    joined = {d: b"".join(x for _, _, x in rows) for d, rows in cut.items()}
+    out = {}
+    for d, rows in cut.items():
+        gone = set()
+        for o in cut:
+            if o < d:
+                gone.update(rows[i][0] for i in linededup.gone_lines(joined[d], [n for _, n, _ in rows], joined[o], min_words))
+        out[d] = "\n".join(x for i, x in enumerate(docs[d].split("\n")) if i not in gone)
+    return out
+
+
+def test_every_earlier_document_is_a_partner(spark):
+    p, q, r = (f"{x} line with some words of its own" for x in "PQR")
+    short = ["a b", "c d", "e f", "g"]
+    docs = {
+        1: "\n".join([p, q, r]), 2: "\n".join([r, q, p]), 3: "\n".join([r, q, p]),
+        4: "\n".join(["some first line of six words", "a b", "x", "g"]), 5: "\n".join(["other text here", *short]),
+        6: "\n".join(["some first line of six words", "more own words", *short]),
+    }
+    got = {x.doc_id: x.text for x in _digest(documents(spark, list(docs.items()))).collect()}
+    assert got == _all_pairs(docs)
+    assert got[3] == "" and got[6] == "more own words"
+
+
+def test_all_pairs_of_random_documents(spark):
+    r = random.Random(5)
+    lines = [" ".join(f"w{i}" for _ in range(n)) for i, n in enumerate([1, 1, 2, 2, 3, 3, 4, 5, 6, 7])]
+    docs = {d: "\n".join(r.choice(lines) for _ in range(r.randint(1, 9))) for d in range(300)}
+    got = {x.doc_id: x.text for x in _digest(documents(spark, list(docs.items()))).collect()}
+    assert got == _all_pairs(docs)
+
+
+def test_query_of_all_pairs(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r.text for r in QUERIES["op8_line_dedup"](spark, SF).collect()}
+    assert got == _all_pairs(docs)

@@ -45,3 +45,10 @@ def test_stages_keep_the_columns(spark):
         assert out.columns == docs.columns, name
         assert out.filter("doc_id = 50").count() == 1, name
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_pipeline_of_all_pairs(spark, tmp_path, monkeypatch):
+    from test_linededup import _all_pairs
+
+    monkeypatch.setitem(globals(), "_expected", _all_pairs)
+    test_pipeline_by_brute_force(spark, tmp_path)
