@@ -5,8 +5,8 @@
 2. A block of ``min_words`` words holds, around each of its lines, a shortest run of lines with so many
    words. Documents that could share a block therefore hold equal shortest runs, and meet through them.
 3. Pairs are aligned over all lines they share by patience diff: lines that both hold once are anchors,
-   the longest increasing run of anchors is kept, and repeated lines are placed between anchors the
-   same way. A document is aligned with the first holder of each of its runs. Runs that this does not
+   the longest increasing run of anchors is kept, and the gaps between anchors are aligned the same way;
+   a gap without anchors gets a longest common subsequence. A document is aligned with the first holder of each of its runs. Runs that this does not
    delete (their order differs there) are aligned with ever more of their earlier holders, twice as many
    in each step, until they are deleted or all holders have been tried: the result is that of all pairs.
 4. Aligned lines that follow each other in both documents (blank lines aside) form a block. Blocks of
@@ -170,27 +170,75 @@ def deletions(shared: list[dict], min_words: int) -> list[int]:
     return sorted(gone)
 
 
-def _numbered(lines: bytes) -> list[tuple[bytes, int]]:
-    """Lines with the number of equal lines before them."""
-    seen: Counter[bytes] = Counter()
-    out = []
-    for at in range(0, len(lines), _DIGEST):
-        line = lines[at : at + _DIGEST]
-        out.append((line, seen[line]))
-        seen[line] += 1
-    return out
+def longest_common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; rows of bits, of which every ``step``-th is kept for the way back."""
+    masks: dict[int, int] = defaultdict(int)
+    for j, x in enumerate(b):
+        masks[x] |= 1 << j
+    full = (1 << len(b)) - 1
+    step = max(1, int(len(a) ** 0.5))
+
+    def ahead(row: int, x: int) -> int:
+        u = row & masks.get(x, 0)
+        return ((row + u) | (row - u)) & full
+
+    kept, row = [], full
+    for i, x in enumerate(a):
+        if i % step == 0:
+            kept.append(row)
+        row = ahead(row, x)
+    out: list[tuple[int, int]] = []
+    j = len(b) - 1
+    for k in range(len(kept) - 1, -1, -1):
+        rows = [kept[k]]
+        for x in a[k * step : (k + 1) * step]:
+            rows.append(ahead(rows[-1], x))
+        i = len(rows) - 2
+        while i >= 0 and j >= 0:
+            if rows[i + 1] >> j & 1:  # nothing gained by this place there
+                j -= 1
+            elif not rows[i] >> j & 1:  # gained without this place here
+                i -= 1
+            else:
+                out.append((k * step + i, j))
+                i, j = i - 1, j - 1
+    return out[::-1]
+
+
+def places(here: list, there: list) -> list[tuple[int, int]]:
+    """Aligned places of two documents by patience diff, which goes on inside the gaps between anchors.
+
+    A gap without a line that both sides hold once gets a longest common subsequence.
+    """
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(here), 0, len(there))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and here[a] == there[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        one, two = Counter(here[a:b]), Counter(there[c:d])
+        at = {x: j for j, x in enumerate(there[c:d], c) if two[x] == 1}
+        single = [(i, at[x]) for i, x in enumerate(here[a:b], a) if one[x] == 1 and x in at]
+        anchors = [single[k] for k in longest_increasing([j for _, j in single])]
+        if anchors:
+            out += anchors
+            ends = [(a - 1, c - 1), *anchors, (b, d)]
+            todo += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(ends, ends[1:]) if i + 1 < k and j + 1 < m]
+        else:
+            both = one.keys() & two.keys()
+            left = [i for i in range(a, b) if here[i] in both]
+            right = [j for j in range(c, d) if there[j] in both]
+            out += [(left[i], right[j]) for i, j in longest_common([here[i] for i in left], [there[j] for j in right])]
+    return sorted(out)
 
 
 def gone_lines(lines: bytes, n_words: list[int], there: bytes, min_words: int) -> list[int]:
     """Lines (by their place among the lines with words) that aligned blocks with one other document delete."""
-    here, other = _numbered(lines), _numbered(there)
-    total, p_total = Counter(x for x, _ in here), Counter(x for x, _ in other)
-    places = {key: i for i, key in enumerate(other)}
+    here, other = ([x[i : i + _DIGEST] for i in range(0, len(x), _DIGEST)] for x in (lines, there))
     shared = [
-        {"pos": i, "seq": i, "n_words": n_words[i], "p_doc": 0, "p_t": 0, "p_seq": places[key],
-         "once": total[key[0]] == p_total[key[0]] == 1}
-        for i, key in enumerate(here) if key in places
-    ]
+        {"pos": i, "seq": i, "n_words": n_words[i], "p_doc": 0, "p_t": 0, "p_seq": j, "once": True} for i, j in places(here, other)
+    ]
     return deletions(shared, min_words)
 
 

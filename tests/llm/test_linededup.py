@@ -148,3 +148,23 @@ def test_query_of_all_pairs(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id: r.text for r in QUERIES["op8_line_dedup"](spark, SF).collect()}
     assert got == _all_pairs(docs)
+
+
+def test_repeated_lines_meet_at_any_repeat(spark):
+    docs = {1: "a b\nc d\nx y\ne f", 2: "x y\na b\nc d\nx y\ne f"}
+    got = {x.doc_id: x.text for x in _digest(documents(spark, list(docs.items()))).collect()}
+    assert got == {1: docs[1], 2: "x y"}
+
+
+def test_longest_common_by_brute_force():
+    r = random.Random(6)
+    for _ in range(500):
+        a, b = ([r.randrange(4) for _ in range(r.randint(0, 15))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        for got in (linededup.longest_common(a, b), linededup.places(a, b)):
+            assert all(a[i] == b[j] for i, j in got)
+            assert all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:]))
+        assert len(linededup.longest_common(a, b)) == best[-1][-1]
