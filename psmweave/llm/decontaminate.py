@@ -11,8 +11,10 @@ item with fewer words is one shingle of all its words).
 3. Four blocks of 16 bits index the fingerprints of the items. Of fingerprints at most 15 bits apart
    one block differs in three bits at most, so items are listed under every block value within three
    bits and a window looks up its four block values: all pairs within the radius meet.
-4. Pairs within the radius are verified by their weighted Jaccard similarity, with a shingle's count
-   in the window or item as its weight.
+4. Pairs beyond the radius meet through shingles: a window of n shingles that shares the k needed with an
+   item has one of it among any n - k + 1 of its own. This loses nothing, so the radius changes no result.
+5. All these pairs are verified by their weighted Jaccard similarity, with a shingle's count in the
+   window or item as its weight.
 
 Windows of equal content are compared once, so a passage that a third of the corpus holds costs one
 fingerprint. Shingle hashes of the benchmark and the list of texts with windows may be broadcast, but
@@ -196,6 +198,12 @@ def _blocks(fingerprint: Column) -> Column:
     )
 
 
+def _least(window: Column, length: Column, similarity: float) -> Column:
+    """Shingles that a window and an item must share to reach ``similarity``."""
+    share = similarity / (1 + similarity)
+    return F.greatest(F.ceil((window + length) * F.lit(share) - 1e-9), F.lit(1)).cast("int")
+
+
 def _windows(docs: DataFrame, items: DataFrame, width: int, similarity: float) -> DataFrame:
     """``doc_id, length, start, hashes``: windows that hold enough shingles of items of ``length`` shingles."""
     lengths = items.select(F.explode("hashes").alias("h"), F.size("hashes").alias("length")).distinct()
@@ -208,8 +216,7 @@ def _windows(docs: DataFrame, items: DataFrame, width: int, similarity: float) -
         "seeds",
     )
     window = F.least(F.col("length"), F.size("hashes"))
-    share = similarity / (1 + similarity)
-    least = F.greatest(F.ceil((window + F.col("length")) * F.lit(share) - 1e-9), F.lit(1)).cast("int")
+    least = _least(window, F.col("length"), similarity)
     starts = _starts(F.col("positions"), F.col("window"), F.size("hashes"), F.col("least"))
     return (
         texts.join(_counted(seeds), "doc_id")
@@ -223,6 +230,7 @@ def _windows(docs: DataFrame, items: DataFrame, width: int, similarity: float) -
 
 def _find(docs: DataFrame, items: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
     windows = written(_windows(docs, items, width, similarity), "windows")
+    contents = written(windows.select("length", "hashes").distinct().withColumn("window", F.monotonically_increasing_id()), "contents")
     listed = items.select("row", "item_id", F.size("hashes").alias("length"), F.col("hashes").alias("item_hashes"))
     masks = F.array(*[F.lit(m) for m in flips(16, radius // BLOCKS)])
     index = (
@@ -231,18 +239,26 @@ def _find(docs: DataFrame, items: DataFrame, width: int, similarity: float, radi
         .select("row", "length", "item_print", "b.k", F.explode(F.transform(masks, lambda m: F.col("b.v").bitwiseXOR(m))).alias("v"))
     )
     looked = (
-        windows.select("length", "hashes")
-        .distinct()
-        .select("length", "hashes", simhash(F.col("hashes")).alias("print"))
-        .select("length", "hashes", "print", F.explode(_blocks(F.col("print"))).alias("b"))
-        .select("length", "hashes", "print", "b.k", "b.v")
+        contents.select("length", "window", simhash(F.col("hashes")).alias("print"))
+        .select("length", "window", "print", F.explode(_blocks(F.col("print"))).alias("b"))
+        .select("length", "window", "print", "b.k", "b.v")
     )
-    matches = (
+    near = (
         looked.join(index, ["length", "k", "v"])
         .filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-        .select("length", "hashes", "row")
+        .select("window", "row")
+    )
+    spare = F.size("hashes") - _least(F.size("hashes"), F.col("length"), similarity) + 1
+    sharing = (
+        contents.select("length", "window", F.explode(F.array_distinct(F.slice(F.sort_array("hashes"), F.lit(1), spare))).alias("h"))
+        .join(listed.select("length", "row", F.explode(F.array_distinct("item_hashes")).alias("h")), ["length", "h"])
+        .select("window", "row")
+    )
+    matches = (
+        near.unionAll(sharing)
         .distinct()
-        .join(listed.select("row", "item_id", "item_hashes"), "row")
+        .join(contents.drop("length"), "window")
+        .join(listed, "row")
         .withColumn("similarity", weighted_jaccard(F.col("hashes"), F.col("item_hashes")))
         .filter(F.col("similarity") >= similarity)
         .select("length", "hashes", "item_id", "similarity")

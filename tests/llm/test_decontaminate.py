@@ -96,3 +96,16 @@ def test_simhash_by_brute_force(spark):
 def test_radius_is_checked(spark):
     with pytest.raises(ValueError):
         decontaminate.find_leaks(documents(spark, []), documents(spark, []), radius=64)
+
+
+def test_pairs_beyond_the_radius_are_found(spark):
+    r = random.Random(7)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
+    items = [(i, [r.choice(vocabulary) for _ in range(49)]) for i in range(60)]
+    docs = [(i, " ".join([*x[:24], "changed", *x[25:]])) for i, x in items]
+    items = [(i, " ".join(x)) for i, x in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = _all(docs, items)
+    assert len(want) == 60
+    for radius in (0, decontaminate.RADIUS):
+        assert _found(decontaminate.find_leaks(documents(spark, docs), bench, radius=radius)) == want
