@@ -6,12 +6,13 @@
    the article's own container says otherwise; all others are open.
 2. The words of a page outside its article form its stream, menus included, as their text may return
    on other pages without markup. A separator of its own ends every block, and blocks of fewer than
-   ``RUN`` words are filled up, so that a short block is compared as a whole. Equal streams of a host are one. Streams are dealt to chunks of a
+   ``RUN`` words are filled up, so that a short block is compared as a whole. Equal streams of a host are
+   one, with the number of pages that have it; pages of equal text, article included, count once. Streams are dealt to chunks of a
    host of about ``CHUNK_WORDS`` words, so a host with a third of all pages is many groups.
 3. In each chunk the streams are concatenated and the suffix array is sorted by prefix doubling up to
    ``RUN`` words. Neighbours that agree on ``RUN`` words form
-   a repeated substring; their streams are counted over all chunks of the host.
-4. A substring in ``MIN_PAGES`` distinct streams and ``MIN_SHARE`` of the host's is boilerplate. Open
+   a repeated substring; the pages of their streams are counted over all chunks of the host.
+4. A substring on ``MIN_PAGES`` distinct pages and ``MIN_SHARE`` of the host's is boilerplate. Open
    blocks lose the words it covers; the unique runs stay. Article blocks keep every word: equal or
    quoted articles are no boilerplate.
 
@@ -227,10 +228,11 @@ def _streams(run: int):
         for batch in batches:
             found = [blocks(html or "") for html in batch.column(1).to_pylist()]
             keys = [stream_key(f) for f in found]
+            whole = [_hash("\n".join(f"{s} {t}" for s, t in f)) for f in found]
             words = [None if k is None else stream_words(f, run) for f, k in zip(found, keys, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.int64()), pa.array(words, pa.list_(pa.int64()))],
-                names=["host", "stream", "words"],
+                [batch.column(0), pa.array(keys, pa.int64()), pa.array(whole, pa.int64()), pa.array(words, pa.list_(pa.int64()))],
+                names=["host", "stream", "page", "words"],
             )
 
     return rows
@@ -275,10 +277,10 @@ def repeated_runs(streams: list[np.ndarray], run: int) -> Iterator[tuple[int, np
 def _runs(run: int):
     def of_chunk(part: pa.Table) -> pa.Table:
         host = part["host"][0].as_py()
-        ids = part["stream"].to_numpy()
+        ids, pages = part["stream"].to_numpy(), part["pages"].to_numpy()
         streams = [np.asarray(x.values) for x in part["words"]]
         rows = [
-            (host, h, len(np.unique(owner)), ids[owner].tolist(), place.tolist())
+            (host, h, int(pages[np.unique(owner)].sum()), ids[owner].tolist(), place.tolist())
             for h, owner, place in repeated_runs(streams, run)
         ]
         types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
@@ -292,19 +294,22 @@ def _runs(run: int):
 def covered_places(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``host, stream, places``: where boilerplate runs start in each distinct stream of a host."""
     hosted = pages.select(_host(pages["url"]).alias("host"), F.col("html"))
-    streams = written(
-        hosted.mapInArrow(_streams(run), "host string, stream long, words array<long>")
+    distinct = written(
+        hosted.mapInArrow(_streams(run), "host string, stream long, page long, words array<long>")
         .filter("stream IS NOT NULL")
-        .groupBy("host", "stream")
+        .groupBy("host", "stream", "page")
         .agg(F.first("words").alias("words")),
-        "streams",
+        "distinct-pages",
+    )
+    streams = written(
+        distinct.groupBy("host", "stream").agg(F.first("words").alias("words"), F.count("*").alias("pages")), "streams"
     )
     sizes = streams.groupBy("host").agg(
-        F.count("*").alias("n"), F.ceil(F.sum(F.size("words")) / F.lit(CHUNK_WORDS)).cast("int").alias("chunks")
+        F.sum("pages").alias("n"), F.ceil(F.sum(F.size("words")) / F.lit(CHUNK_WORDS)).cast("int").alias("chunks")
     )
     runs = (
         streams.join(sizes, "host")
-        .select("host", "stream", "words", F.pmod(F.xxhash64("stream"), F.col("chunks")).alias("chunk"))
+        .select("host", "stream", "words", "pages", F.pmod(F.xxhash64("stream"), F.col("chunks")).alias("chunk"))
         .groupBy("host", "chunk")
         .applyInArrow(_runs(run), "host string, run long, pages long, streams array<long>, places array<int>")
     )

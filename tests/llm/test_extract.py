@@ -91,3 +91,10 @@ def test_odd_rows(spark):
     assert df.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((r.page_id or 0, r.n_chars) for r in df.collect()) == [(0, 1), (1, 0), (2, 0), (3, 4), (3, 4), (4, 99_999)]
     assert extract.main_text(_pages(spark, [])).count() == 0
+
+
+def test_equal_surroundings_of_different_articles_are_boilerplate(spark):
+    boiler = "<div>Join our club today and get ten percent off</div>"
+    rows = [(i, "http://a.example/x", f"{boiler}<article>own text {i}</article>") for i in range(6)]
+    rows += [(10 + i, "http://b.example/x", f"{boiler}<article>the same text</article>") for i in range(6)]
+    assert _texts(spark, rows) == [f"own text {i}" for i in range(6)] + ["Join our club today and get ten percent off the same text"] * 6
