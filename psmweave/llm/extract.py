@@ -12,7 +12,7 @@
 3. In each chunk the streams are concatenated and the suffix array is sorted by prefix doubling up to
    ``RUN`` words. Neighbours that agree on ``RUN`` words form
    a repeated substring; the pages of their streams are counted over all chunks of the host.
-4. A substring on ``MIN_PAGES`` distinct pages and ``MIN_SHARE`` of the host's is boilerplate. Open
+4. A substring on ``MIN_PAGES`` distinct pages is boilerplate, whatever the size of the host. Open
    blocks lose the words it covers; the unique runs stay. Article blocks keep every word: equal or
    quoted articles are no boilerplate.
 
@@ -37,9 +37,8 @@ from pyspark.sql import functions as F
 
 from psmweave.llm.store import written
 
-RUN = 5
+RUN = 20
 MIN_PAGES = 3
-MIN_SHARE = 0.05
 CHUNK_WORDS = 200_000
 
 #: Elements of HTML by their role.
@@ -291,7 +290,7 @@ def _runs(run: int):
     return of_chunk
 
 
-def covered_places(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def covered_places(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES) -> DataFrame:
     """``host, stream, places``: where boilerplate runs start in each distinct stream of a host."""
     hosted = pages.select(_host(pages["url"]).alias("host"), F.col("html"))
     distinct = written(
@@ -305,7 +304,7 @@ def covered_places(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES,
         distinct.groupBy("host", "stream").agg(F.first("words").alias("words"), F.count("*").alias("pages")), "streams"
     )
     sizes = streams.groupBy("host").agg(
-        F.sum("pages").alias("n"), F.ceil(F.sum(F.size("words")) / F.lit(CHUNK_WORDS)).cast("int").alias("chunks")
+        F.ceil(F.sum(F.size("words")) / F.lit(CHUNK_WORDS)).cast("int").alias("chunks")
     )
     runs = (
         streams.join(sizes, "host")
@@ -317,8 +316,7 @@ def covered_places(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES,
     boilerplate = (
         runs.groupBy("host", "run")
         .agg(F.sum("pages").alias("pages"))
-        .join(sizes.select("host", "n"), "host")
-        .filter((F.col("pages") >= min_pages) & (F.col("pages") >= min_share * F.col("n")))
+        .filter(F.col("pages") >= min_pages)
         .select("host", "run")
     )
     return (
@@ -362,9 +360,9 @@ def _finish(run: int):
     return rows
 
 
-def main_text(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES) -> DataFrame:
     """``page_id, url, text, n_chars`` for every page."""
-    places = covered_places(pages, run, min_pages, min_share)
+    places = covered_places(pages, run, min_pages)
     parsed = pages.select(F.col("page_id").cast("long"), "url", _host(F.col("url")).alias("host"), "html").mapInArrow(_parse, _PARSED)
     decided = parsed.filter("blocks IS NULL").select("page_id", "url", "text")
     open_ = (

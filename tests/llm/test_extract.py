@@ -98,3 +98,10 @@ def test_equal_surroundings_of_different_articles_are_boilerplate(spark):
     rows = [(i, "http://a.example/x", f"{boiler}<article>own text {i}</article>") for i in range(6)]
     rows += [(10 + i, "http://b.example/x", f"{boiler}<article>the same text</article>") for i in range(6)]
     assert _texts(spark, rows) == [f"own text {i}" for i in range(6)] + ["Join our club today and get ten percent off the same text"] * 6
+
+
+def test_a_notice_on_few_pages_of_a_large_host_goes_and_a_phrase_stays(spark):
+    notice = "<div>Our shop is closed on all public holidays of this year</div>"
+    own = lambda i: f"Page{i} on the other hand of course has{i} own{i} words{i}"
+    rows = [(i, "http://a.example/x", f"{notice if i < 3 else ''}<div>{own(i)}</div>") for i in range(80)]
+    assert _texts(spark, rows) == [own(i) for i in range(80)]
