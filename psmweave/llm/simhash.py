@@ -267,7 +267,32 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = np.fromiter((fingerprint(t or b"") for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints.view(np.int64))], names=["doc_id", "t", "print"])
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, the one with the smallest ``doc_id``; rows without an id stay."""
-    gone = near_duplicates(docs, radius).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """One document of each component, the one with the smallest ``doc_id``; rows without an id stay.
+
+    Rows that repeat both ``doc_id`` and text are one document and stay or go together; rows that repeat
+    only the ``doc_id`` are documents of their own, ordered by the hash of their text.
+    """
+    t = F.xxhash64(docs["text"])
+    texts = docs.filter(docs["doc_id"].isNotNull()).select(
+        docs["doc_id"].cast("long").alias("doc_id"), t.alias("t"), docs["text"].cast("binary").alias("text")
+    )
+    prints = written(texts.mapInArrow(_texts, "doc_id long, t long, print long"), "text-prints")
+    entries = written(prints.select(F.col("print").alias("rep"), "print").distinct(), "print-entries")
+    roots = components(links(entries, radius))
+    classes = entries.join(roots, entries["rep"] == roots["node"], "left").select("print", F.coalesce("root", "rep").alias("root"))
+    members = written(prints.join(classes, "print").select("root", "doc_id", "t"), "members")
+    first = written(members.groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("first")), "first-members")
+    gone = (
+        members.join(first, "root")
+        .filter(F.struct("doc_id", "t") != F.col("first"))
+        .select(F.col("doc_id").alias("__gone"), F.col("t").alias("__t"))
+        .distinct()
+    )
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["__gone"]) & (t == gone["__t"]), "left_anti")

@@ -94,3 +94,9 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 160)] + [(200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)}
+
+
+def test_texts_under_a_repeated_id_are_documents_of_their_own(spark):
+    a, b, c = ("alpha beta gamma delta", "one two three four five", "red green blue white black grey")
+    docs = documents(spark, [(3, b), (5, a), (5, b), (7, c), (7, a), (9, c)])
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == [(3, b), (5, a), (7, c)]
