@@ -54,7 +54,7 @@ def _lines(min_words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, t, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, t, text in ((x.as_py() for x in row) for row in zip(*batch.columns, strict=True)):
                 lines = [(pos, w, line) for pos, line in enumerate(text.split(b"\n")) if (w := len(line.split()))]
                 if sum(w for _, w, _ in lines) >= min_words:
                     digests = b"".join(xxhash.xxh3_128_digest(line.strip()) for _, _, line in lines)
@@ -103,10 +103,10 @@ def _runs(min_words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, t, lines, n_words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, t, lines, n_words in ((x.as_py() for x in row) for row in zip(*batch.columns, strict=True)):
                 for a, b in least_runs(n_words, min_words):
                     out.append((doc_id, t, a, b, *_halves(lines[a * _DIGEST : (b + 1) * _DIGEST])))
-                if len(out) >= 100_000:
+                if len(out) >= 20_000:
                     yield _batch(out, _RUNS_ARROW)
                     out = []
             yield _batch(out, _RUNS_ARROW)
@@ -246,10 +246,14 @@ def _aligned(pairs: DataFrame, documents: DataFrame, min_words: int) -> DataFram
     """``doc_id, t, gone`` of every pair ``doc_id, t, p_doc, p_t`` that deletes something."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines, n_words, there = (c.to_pylist() for c in batch.columns[2:])
-            gone = [gone_lines(*x, min_words) for x in zip(lines, n_words, there, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "t", "gone"])
+        for whole in batches:
+            # One pair at a time as Python objects, and results in small pieces.
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                gone = [gone_lines(*(x.as_py() for x in pair), min_words) for pair in zip(*batch.columns[2:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:2], pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "t", "gone"]
+                )
 
     partners = documents.select(F.col("doc_id").alias("p_doc"), F.col("t").alias("p_t"), F.col("lines").alias("there"))
     return (
@@ -262,7 +266,9 @@ def _aligned(pairs: DataFrame, documents: DataFrame, min_words: int) -> DataFram
 
 
 def _union(gone: DataFrame) -> DataFrame:
-    return gone.groupBy("doc_id", "t").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
+    """Every line of a document once: what partners delete in common is counted before the shuffle."""
+    lines = gone.select("doc_id", "t", F.explode("gone").alias("line")).distinct()
+    return lines.groupBy("doc_id", "t").agg(F.collect_list("line").alias("gone"))
 
 
 def find_duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

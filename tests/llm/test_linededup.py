@@ -1,5 +1,4 @@
 import random
-from collections import defaultdict
 
 from helpers import ODD, documents
 
@@ -29,46 +28,6 @@ def test_alignment_is_increasing_and_keeps_anchors():
     assert linededup.align(shared) == [0, 1, 3, 4, 6]
 
 
-def _expected(docs, min_words=5):
-    """Texts after deletion by plain dictionaries: first holders, main partner, alignment."""
-    holders, lines = defaultdict(list), {}
-    for d in sorted(docs):
-        seen, total, rows = defaultdict(int), defaultdict(int), []
-        cut = [(p, x.strip(linededup.BLANKS), len(x.encode().split())) for p, x in enumerate(docs[d].split("\n"))]
-        cut = [c for c in cut if c[2]]
-        for _, x, _ in cut:
-            total[x] += 1
-        for seq, (p, x, n) in enumerate(cut):
-            rows.append(((x, seen[x]), p, seq, n, total[x] == 1))
-            holders[(x, seen[x])].append(d)
-            seen[x] += 1
-        lines[d] = rows
-    out = {}
-    for d in docs:
-        weight = defaultdict(int)
-        for key, _, _, n, _ in lines[d]:
-            if holders[key][0] != d:
-                weight[holders[key][0]] += n
-        main = max(weight, key=lambda o: (weight[o], -o)) if weight else None
-        shared = []
-        for o in weight:
-            there = {key: (seq, once) for key, _, seq, _, once in lines[o]}
-            shared += [
-                {"pos": p, "seq": seq, "n_words": n, "p_doc": o, "p_t": 0, "p_seq": there[key][0], "once": once and there[key][1]}
-                for key, p, seq, n, once in lines[d]
-                if key in there and (o == main or holders[key][0] == o)
-            ]
-        gone = set(linededup.deletions(shared, min_words))
-        out[d] = "\n".join(x for i, x in enumerate(docs[d].split("\n")) if i not in gone)
-    return out
-
-
-def test_query_by_brute_force(spark):
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    got = {r.doc_id: r.text for r in QUERIES["op8_line_dedup"](spark, SF).collect()}
-    assert got == _expected(docs)
-
-
 def test_copies_blocks_and_short_lines(spark):
     long = [f"line {i} with some words of its own here" for i in range(12)]
     docs = {
@@ -77,7 +36,7 @@ def test_copies_blocks_and_short_lines(spark):
         8: f"{long[0]}\n{long[0]}",
     }
     got = {r.doc_id: (r.text, r.emptied) for r in _digest(documents(spark, list(docs.items()))).collect()}
-    assert {d: t for d, (t, _) in got.items()} == _expected(docs)
+    assert {d: t for d, (t, _) in got.items()} == all_pairs(docs)
     assert got[1] == (docs[1], False) and got[2] == ("", True)
     assert got[3][0] == "own words in this very first line\n"
     assert got[4][0] == "thanks" and got[5][0] == docs[5]
@@ -104,21 +63,73 @@ def test_n_chars_follows_the_text(spark):
     assert {r.doc_id: (r.text, r.n_chars) for r in linededup.drop_duplicate_lines(docs).collect()}[2] == ("own", 3)
 
 
-def _all_pairs(docs, min_words=5):
-    """Texts after every document has been aligned with every earlier one."""
-    import xxhash
-
+def _increasing(values):
+    """A longest increasing run by all pairs; of equally long ones, that of the latest elements."""
+    best = []
+    for i, v in enumerate(values):
+        best.append(1 + max((best[j] for j in range(i) if values[j] < v), default=0))
+    out, need, limit = [], max(best, default=0), len(values)
+    while need:
+        limit = max(i for i in range(limit) if best[i] == need)
+        out.append(limit)
+        need -= 1
+    return out[::-1]
+
+
+def _common(a, b):
+    """A longest common subsequence by the full table; of equally long ones, that of the earliest places."""
+    n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            n[i + 1][j + 1] = n[i][j] + 1 if x == y else max(n[i][j + 1], n[i + 1][j])
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if n[i][j] == n[i][j - 1]:
+            j -= 1
+        elif n[i - 1][j] > n[i - 1][j - 1]:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def _patience(here, there):
+    """Aligned places by the definition: equal beginnings, lines that both hold once, then the gaps between them."""
+    if not here or not there:
+        return []
+    if here[0] == there[0]:
+        return [(0, 0), *((i + 1, j + 1) for i, j in _patience(here[1:], there[1:]))]
+    once = [(i, there.index(x)) for i, x in enumerate(here) if here.count(x) == there.count(x) == 1]
+    anchors = [once[k] for k in _increasing([j for _, j in once])]
+    if not anchors:
+        a, b = ([i for i, x in enumerate(s) if x in t] for s, t in ((here, there), (there, here)))
+        return [(a[i], b[j]) for i, j in _common([here[i] for i in a], [there[j] for j in b])]
+    out, ends = list(anchors), [(-1, -1), *anchors, (len(here), len(there))]
+    for (i, j), (k, m) in zip(ends, ends[1:]):
+        out += [(i + 1 + x, j + 1 + y) for x, y in _patience(here[i + 1 : k], there[j + 1 : m])]
+    return sorted(out)
+
+
+def all_pairs(docs, min_words=5):
+    """Texts after every document has been aligned with every earlier one, by plain Python of its own."""
     cut = {
-        d: [(p, len(x.split()), xxhash.xxh3_128_digest(x.strip())) for p, x in enumerate(t.encode().split(b"\n")) if x.split()]
-        for d, t in docs.items()
+        d: [(p, len(x.split()), x.strip()) for p, x in enumerate(t.encode().split(b"\n")) if x.split()] for d, t in docs.items()
     }
-    joined = {d: b"".join(x for _, _, x in rows) for d, rows in cut.items()}
+    held = {d: {x for _, _, x in rows} for d, rows in cut.items()}
     out = {}
     for d, rows in cut.items():
         gone = set()
-        for o in cut:
-            if o < d:
-                gone.update(rows[i][0] for i in linededup.gone_lines(joined[d], [n for _, n, _ in rows], joined[o], min_words))
+        for o, other in cut.items():
+            if o >= d or not held[d] & held[o]:
+                continue
+            block = []
+            for i, j in [*_patience([x for *_, x in rows], [x for *_, x in other]), (-9, -9)]:
+                if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
+                    if sum(rows[k][1] for k, _ in block) >= min_words:
+                        gone.update(rows[k][0] for k, _ in block)
+                    block = []
+                block.append((i, j))
         out[d] = "\n".join(x for i, x in enumerate(docs[d].split("\n")) if i not in gone)
     return out
 
@@ -132,7 +143,7 @@ def test_every_earlier_document_is_a_partner(spark):
         6: "\n".join(["some first line of six words", "more own words", *short]),
     }
     got = {x.doc_id: x.text for x in _digest(documents(spark, list(docs.items()))).collect()}
-    assert got == _all_pairs(docs)
+    assert got == all_pairs(docs)
     assert got[3] == "" and got[6] == "more own words"
 
 
@@ -141,13 +152,13 @@ def test_all_pairs_of_random_documents(spark):
     lines = [" ".join(f"w{i}" for _ in range(n)) for i, n in enumerate([1, 1, 2, 2, 3, 3, 4, 5, 6, 7])]
     docs = {d: "\n".join(r.choice(lines) for _ in range(r.randint(1, 9))) for d in range(300)}
     got = {x.doc_id: x.text for x in _digest(documents(spark, list(docs.items()))).collect()}
-    assert got == _all_pairs(docs)
+    assert got == all_pairs(docs)
 
 
-def test_query_of_all_pairs(spark):
+def test_query_ofall_pairs(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id: r.text for r in QUERIES["op8_line_dedup"](spark, SF).collect()}
-    assert got == _all_pairs(docs)
+    assert got == all_pairs(docs)
 
 
 def test_repeated_lines_meet_at_any_repeat(spark):
@@ -168,3 +179,10 @@ def test_longest_common_by_brute_force():
             assert all(a[i] == b[j] for i, j in got)
             assert all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:]))
         assert len(linededup.longest_common(a, b)) == best[-1][-1]
+
+
+def test_very_long_texts_of_one_line(spark):
+    same = "one line of six equal words\n"
+    docs = {1: same * 20_000 + "end of the first text here", 2: same * 20_000 + "another end of a text", 3: "own line of some few words"}
+    got = {x.doc_id: x.text for x in _digest(documents(spark, list(docs.items()))).collect()}
+    assert got == {1: docs[1], 2: "another end of a text", 3: docs[3]}

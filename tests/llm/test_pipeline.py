@@ -3,7 +3,7 @@ from helpers import ODD, documents
 import corpus_pipeline
 from psmweave.llm import pieces, sentences
 from test_decontaminate import _best
-from test_linededup import _expected
+from test_linededup import all_pairs
 from test_simhash import _classes, _print
 
 SF = "/root/testdata/sf0.001"
@@ -25,7 +25,7 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     good = _good(spark, docs, tmp_path)
     left = {d: t for d, t in docs.items() if d in good}
-    shorter = _expected(left)
+    shorter = all_pairs(left)
     left = {d: t for d, t in shorter.items() if t == left[d] or t.strip()}
     classes = _classes({d: _print(t) for d, t in left.items()})
     left = {d: t for d, t in left.items() if classes[d] == d}
@@ -46,9 +46,3 @@ def test_stages_keep_the_columns(spark):
         assert out.filter("doc_id = 50").count() == 1, name
         assert stage(spark, docs.limit(0), SF).count() == 0
 
-
-def test_pipeline_of_all_pairs(spark, tmp_path, monkeypatch):
-    from test_linededup import _all_pairs
-
-    monkeypatch.setitem(globals(), "_expected", _all_pairs)
-    test_pipeline_by_brute_force(spark, tmp_path)
