@@ -19,17 +19,23 @@ def with_distinct(rows: DataFrame, first: str, second: str, **made: Column) -> D
 
     Rows where either is null get null.
     """
-    pairs = rows.filter(F.col(first).isNotNull() & F.col(second).isNotNull()).select(
-        F.col(first).alias("_first"), F.col(second).alias("_second")
-    )
-    renamed = {name: F.col(f"_made_{name}") for name in made}
-    done = pairs.distinct().withColumnsRenamed({"_first": first, "_second": second})
-    done = done.select(
+    pairs = _distinct_pairs(rows, first, second).withColumnsRenamed({"_first": first, "_second": second})
+    done = pairs.select(
         F.col(first).alias("_first"), F.col(second).alias("_second"),
         *[c.alias(f"_made_{name}") for name, c in made.items()],
     )
+    return _joined_back(rows, first, second, done, list(made))
+
+
+def _distinct_pairs(rows: DataFrame, first: str, second: str) -> DataFrame:
+    pairs = rows.filter(F.col(first).isNotNull() & F.col(second).isNotNull())
+    return pairs.select(F.col(first).alias("_first"), F.col(second).alias("_second")).distinct()
+
+
+def _joined_back(rows: DataFrame, first: str, second: str, done: DataFrame, names: Sequence[str]) -> DataFrame:
     same = (rows[first] == done["_first"]) & (rows[second] == done["_second"])
-    return rows.join(done, same, "left").withColumns(renamed).drop("_first", "_second", *[f"_made_{n}" for n in made])
+    renamed = {name: F.col(f"_made_{name}") for name in names}
+    return rows.join(done, same, "left").withColumns(renamed).drop("_first", "_second", *[f"_made_{n}" for n in names])
 
 
 def aligned(
@@ -137,15 +143,20 @@ def edit_distances(pairs: DataFrame, source: str = "source", target: str = "targ
 
 def sequence_comparison(pairs: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """Add edit sites in both directions, merged and unmerged."""
-    sites = E.sequence_comparison(F.col(source), F.col(target))
-    return with_distinct(pairs, source, target, comparison=sites)
+    done = E.with_comparison(_distinct_pairs(pairs, source, target), "_first", "_second", "_made_comparison")
+    return _joined_back(pairs, source, target, done, ["comparison"])
 
 
 def site_rows(compared: DataFrame, key: Sequence[str], sites: str = "forward") -> DataFrame:
     """One row per edit site: (key, site_no, source, target, indices, mass_difference, ...)."""
-    return compared.select(*key, F.posexplode(F.col("comparison")[sites]).alias("site_no", "s")).select(
-        *key, "site_no", "s.*"
-    )
+    return _site_per_row(compared, key, F.col("comparison")[sites])
+
+
+def _site_per_row(compared: DataFrame, key: Sequence[str], sites: Column) -> DataFrame:
+    """One row per element. An inner explode would infer a filter on the number of sites and compare all
+    pairs for it below the join, so rows without sites go afterwards."""
+    rows = compared.select(*key, F.posexplode_outer(sites).alias("site_no", "s"))
+    return rows.filter(F.col("s").isNotNull()).select(*key, "site_no", "s.*")
 
 
 def _annotated(sites: Column, evidence: Column, n_residues: Column, n_term_mods: Column) -> Column:
@@ -204,7 +215,7 @@ def site_evidence(
             ((f["annotation"] != "partly") & (f["annotation"] == b["annotation"])).alias("ambiguous"),
         ),
     )
-    return compared.select(*key, F.posexplode(pairs).alias("site_no", "s")).select(*key, "site_no", "s.*")
+    return _site_per_row(compared, key, pairs)
 
 
 def refinement_outcome(matched: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from psmweave.functions import aligned as A
+from psmweave.functions import edits as E
 from psmweave.functions import peptide as P
 from psmweave.operators import compare as C
 from psmweave.operators import curves as U
@@ -305,6 +306,108 @@ def c5(spark, sf):
     )
 
 
+_MASS_LIST = ", ".join(f"'{c}': {m!r}::DOUBLE" for c, m in E.LETTER_MASS.items())
+_TAG = "coalesce(list_sum(list_transform(string_split({0}, ''), lambda c: coalesce(map {{" + _MASS_LIST + "}}[c], 0.0::DOUBLE))), 0.0::DOUBLE)"
+
+
+def _tag(text: str) -> str:
+    """Mass of a tag; its empty spelling has the one letter '' without a mass."""
+    return _TAG.format(text)
+
+
+def _common_sql(a: str, b: str, side: str = "left") -> str:
+    return f"list_max(list_filter(range(0, least(length({a}), length({b})) + 1), lambda k: {side}({a}, k::INT) = {side}({b}, k::INT)))"
+
+
+#: Edit scripts by a recursive matrix and a recursive way back, sites by gaps and islands, in both directions.
+_SITES_SQL = f"""WITH RECURSIVE lp AS (
+  SELECT run, spectrum_id, engine, rank, peptide, gt_peptide, replace(gt_peptide, 'L', 'I') AS s, replace(peptide, 'L', 'I') AS t
+  FROM joined WHERE rank = 1 AND replace(gt_peptide, 'L', 'I') <> replace(peptide, 'L', 'I')),
+pr AS (SELECT DISTINCT s, t FROM lp),
+hd AS (SELECT s, t, {_common_sql("s", "t")} AS h FROM pr),
+co AS (SELECT s, t, h, substr(s, h + 1, length(s) - h - e) AS x, substr(t, h + 1, length(t) - h - e) AS y FROM (
+  SELECT s, t, h, {_common_sql("substr(s, h + 1)", "substr(t, h + 1)", "right")} AS e FROM hd)),
+mx AS (SELECT s, t, 0::BIGINT AS i, range(0, length(y) + 1) AS d FROM co UNION ALL
+  SELECT mx.s, mx.t, i + 1, list_transform(range(0, length(y) + 1), lambda j: list_min(list_transform(range(0, j + 1),
+    lambda k: j - k + CASE k WHEN 0 THEN i + 1 ELSE least(d[k + 1] + 1,
+      d[k] + (substr(x, (i + 1)::INT, 1) <> substr(y, k::INT, 1))::BIGINT) END)))
+  FROM mx JOIN co ON mx.s = co.s AND mx.t = co.t WHERE i < length(x)),
+mt AS (SELECT s, t, list(d ORDER BY i) AS m FROM mx GROUP BY s, t),
+tr AS (SELECT s, t, length(x) AS i, length(y) AS j, 0 AS k, 'keep' AS action FROM co UNION ALL
+  SELECT s, t, i - (act <> 'insert')::BIGINT, j - (act <> 'delete')::BIGINT, k + 1, act FROM (
+    SELECT tr.s, tr.t, i, j, k, CASE WHEN i > 0 AND (j = 0 OR m[i + 1][j + 1] = m[i][j + 1] + 1) THEN 'delete'
+      WHEN j > 0 AND (i = 0 OR (j > 1 AND m[i + 1][j] < m[i][j])) THEN 'insert'
+      WHEN substr(x, i::INT, 1) <> substr(y, j::INT, 1) THEN 'replace' ELSE 'keep' END AS act
+    FROM tr JOIN co ON tr.s = co.s AND tr.t = co.t JOIN mt ON tr.s = mt.s AND tr.t = mt.t WHERE i + j > 0)),
+op AS (SELECT s, t, -k AS k, action, i + h AS i, j + h AS j FROM tr JOIN co USING (s, t) WHERE action <> 'keep'),
+bo AS (SELECT 'f' AS side, s, t, s AS a, t AS b, k, action, i, j FROM op UNION ALL
+  SELECT 'b', s, t, t, s, k, CASE action WHEN 'insert' THEN 'delete' WHEN 'delete' THEN 'insert' ELSE action END, j, i FROM op),
+nb AS (SELECT *, lag(j + (action <> 'delete')::BIGINT) OVER w AS pj, lag(action) OVER w AS pa FROM bo
+  WINDOW w AS (PARTITION BY side, s, t ORDER BY k)),
+mv AS (SELECT *, coalesce(j - pj = 1 AND action <> pa AND 'replace' NOT IN (action, pa), FALSE) AS moves FROM nb),
+il AS (SELECT *, sum((NOT coalesce(moves OR j = pj, FALSE))::BIGINT) OVER (PARTITION BY side, s, t ORDER BY k) - 1 AS site_no FROM mv),
+si AS (SELECT side, s, t, a, b, site_no, min(i) AS a0, max(i + (action <> 'insert')::BIGINT) AS a1, min(j) AS b0,
+  max(j + (action <> 'delete')::BIGINT) AS b1, list(j - (moves AND action = 'delete')::BIGINT ORDER BY k) AS idx FROM il GROUP BY ALL),
+st AS (SELECT *, substr(a, (a0 + 1)::INT, (a1 - a0)::INT) AS source, substr(b, (b0 + 1)::INT, (b1 - b0)::INT) AS target FROM si),
+sd AS (SELECT *, {_tag("target")} - {_tag("source")} AS diff FROM st)
+"""
+
+#: Runs of sites by a recursion over the sites, whose state is the open run, its mass and the precursor's difference.
+_MERGED_SQL = _SITES_SQL + f""", pc AS (SELECT s, t, {_tag("t")} - {_tag("s")} AS p FROM pr),
+mr AS (SELECT s, t, -1::BIGINT AS k, NULL::BIGINT AS run_at, 0.0::DOUBLE AS level,
+    CASE WHEN round(round(p, 2), 2) <> 0 THEN round(p, 2) END AS shift, NULL::BIGINT AS from_no FROM pc UNION ALL
+  SELECT s, t, k + 1,
+    CASE WHEN run_at IS NULL THEN CASE WHEN alone OR round(d, 2) = 0 THEN NULL ELSE k + 1 END
+      WHEN alone THEN run_at WHEN done THEN NULL ELSE run_at END,
+    CASE WHEN run_at IS NULL THEN CASE WHEN alone OR round(d, 2) = 0 THEN 0.0 ELSE d END
+      WHEN alone THEN level WHEN done THEN 0.0 ELSE level + d END,
+    CASE WHEN alone OR (run_at IS NOT NULL AND by_shift) THEN NULL ELSE shift END,
+    CASE WHEN run_at IS NOT NULL AND NOT alone AND done THEN run_at END
+  FROM (SELECT *, by_shift OR (round(level + d, 2) = 0 AND round(d, 2) <> 0) AS done FROM (
+    SELECT mr.*, sd.diff AS d, shift IS NOT NULL AND round(sd.diff - shift, 2) = 0 AS alone,
+      shift IS NOT NULL AND round(sd.diff + level - shift, 2) = 0 AS by_shift
+    FROM mr JOIN sd ON sd.side = 'f' AND sd.s = mr.s AND sd.t = mr.t AND sd.site_no = mr.k + 1))),
+rn AS (SELECT s, t, from_no, k AS to_no FROM mr WHERE from_no IS NOT NULL),
+sg AS (SELECT sd.*, coalesce(rn.from_no, sd.site_no) AS first_no, rn.from_no IS NOT NULL AS in_run FROM sd
+  LEFT JOIN rn ON rn.s = sd.s AND rn.t = sd.t AND sd.site_no BETWEEN rn.from_no AND rn.to_no WHERE side = 'f'),
+jo AS (SELECT s, t, first_no, in_run, substr(any_value(a), (min(a0) + 1)::INT, (max(a1) - min(a0))::INT) AS so,
+    substr(any_value(b), (min(b0) + 1)::INT, (max(b1) - min(b0))::INT) AS ta,
+    CASE WHEN in_run THEN range(list_min(flatten(list(idx))), list_max(flatten(list(idx))) + 1) ELSE any_value(idx) END AS idx
+  FROM sg GROUP BY s, t, first_no, in_run),
+j1 AS (SELECT *, CASE WHEN in_run THEN {_common_sql("so", "ta")} ELSE 0 END AS hd FROM jo),
+j2 AS (SELECT *, CASE WHEN in_run THEN {_common_sql("substr(so, hd + 1)", "substr(ta, hd + 1)", "right")} ELSE 0 END AS tl FROM j1),
+j3 AS (SELECT s, t, row_number() OVER (PARTITION BY s, t ORDER BY first_no) - 1 AS site_no,
+    substr(so, (hd + 1)::INT, (length(so) - hd - tl)::INT) AS source, substr(ta, (hd + 1)::INT, (length(ta) - hd - tl)::INT) AS target,
+    idx[(hd + 1):(len(idx) - tl)] AS idx FROM j2)
+"""
+
+_SITE_COLUMNS = "run, spectrum_id, engine, rank, site_no::BIGINT AS site_no, source, target, array_to_string(idx, ',') AS indices"
+
+_CATEGORY_SQL = _SITES_SQL + """, one AS (SELECT s, t FROM sd WHERE side = 'f' GROUP BY s, t HAVING count(*) = 1),
+ec AS (SELECT engine, CASE WHEN list_sort(string_split(source, '')) = list_sort(string_split(target, '')) THEN 'reordering'
+  WHEN round(abs(diff), 4) < 0.001 THEN 'isobaric_alternative' ELSE 'other' END AS category
+  FROM lp JOIN one USING (s, t) JOIN sd USING (s, t) WHERE side = 'f')
+"""
+
+#: Residue r is unsure if a site without evidence lies at it or beside it.
+_SUPPORT = """CASE WHEN bool_and(NOT unsure) THEN 'complete' WHEN bool_and(unsure) THEN 'absent' ELSE 'partly' END"""
+
+_EVIDENCE_SQL = _SITES_SQL + f""", un AS (
+  SELECT run, spectrum_id, engine, rank, side, lp.s, lp.t, site_no, source, target, idx, r, length(b) AS n,
+    coalesce(list_bool_or(list_transform([r - 1, r, r + 1], lambda i: i BETWEEN 1 AND length(b) - 1 AND (spectrum_id + i) % 3 = 0)), FALSE) AS unsure
+  FROM lp JOIN st USING (s, t), unnest(idx) u(r)),
+ld AS (SELECT side, s, t, j, arg_max(action, k) AS action FROM bo GROUP BY ALL),
+an AS (SELECT run, spectrum_id, engine, rank, un.side, site_no, any_value(source) AS source, any_value(target) AS target,
+  {_SUPPORT} AS annotation, any_value(idx[1]) AS n_term,
+  any_value(n - idx[-1] - 1 + coalesce((ld.action = 'delete')::BIGINT, 0)) AS c_term
+  FROM un LEFT JOIN ld ON ld.side = un.side AND ld.s = un.s AND ld.t = un.t AND ld.j = un.idx[-1]
+  GROUP BY run, spectrum_id, engine, rank, un.side, site_no),
+se AS (SELECT run, spectrum_id, engine, rank, site_no, f.source, f.target, f.annotation, b.annotation AS source_annotation,
+  f.n_term, f.c_term, f.annotation <> 'partly' AND f.annotation = b.annotation AS ambiguous
+  FROM (FROM an WHERE side = 'f') f FULL JOIN (FROM an WHERE side = 'b') b USING (run, spectrum_id, engine, rank, site_no))
+"""
+
+
 def _letter_pairs(spark, sf):
     return V.joined(spark, sf).filter("rank = 1").withColumns(
         {"source": P.to_letter_string("gt_peptide"), "target": P.to_letter_string("peptide")}
@@ -335,7 +438,10 @@ def _compared(spark, sf):
     return C.sequence_comparison(_letter_pairs(spark, sf).filter("source <> target"))
 
 
-@query("C7_edit_sites")
+@query(
+    "C7_edit_sites",
+    _SITES_SQL + f"SELECT {_SITE_COLUMNS}, round(diff, 4) AS mass_difference FROM lp JOIN sd USING (s, t) WHERE side = 'f'",
+)
 def c7(spark, sf):
     out = C.site_rows(_compared(spark, sf), J.PSM_KEY)
     return out.select(
@@ -357,12 +463,16 @@ def _site_evidence(spark, sf, merged=False):
     )
 
 
-@query("C8_site_evidence")
+@query("C8_site_evidence", _EVIDENCE_SQL + "SELECT * FROM se")
 def c8(spark, sf):
     return _site_evidence(spark, sf).drop("mass_difference")
 
 
-@query("C9_merge_mass_neutral_sites")
+@query(
+    "C9_merge_mass_neutral_sites",
+    _MERGED_SQL + f"SELECT {_SITE_COLUMNS}, round({_tag('target')} - {_tag('source')}, 4) AS mass_difference "
+    "FROM lp JOIN j3 USING (s, t)",
+)
 def c9(spark, sf):
     out = C.site_rows(_compared(spark, sf), J.PSM_KEY, "forward_merged")
     return out.select(
@@ -393,7 +503,7 @@ def c11(spark, sf):
     return S.count_by(_outcomes(spark, sf), "engine", "refiner", "outcome")
 
 
-@query("C12_error_category")
+@query("C12_error_category", _CATEGORY_SQL + "SELECT engine, category, count(*) AS n FROM ec GROUP BY ALL")
 def c12(spark, sf):
     sites = C.site_rows(_compared(spark, sf), J.PSM_KEY)
     return S.count_by(C.error_category(sites, J.PSM_KEY), "engine", "category")
@@ -485,24 +595,43 @@ def a15(spark, sf):
     return _r(out, "threshold", "precision", "recall", "coverage")
 
 
-@query("A23_substitution_counts")
+@query(
+    "A23_substitution_counts",
+    _SITES_SQL + """, su AS (SELECT engine, concat(source, ' -> ', target) AS substitution, count(*) AS n
+  FROM lp JOIN sd USING (s, t) WHERE side = 'f' GROUP BY ALL)
+SELECT engine, substitution, n, round(n / sum(n) OVER (PARTITION BY engine), 6) AS share FROM su""",
+)
 def a23(spark, sf):
     return _r(S.substitution_counts(C.site_rows(_compared(spark, sf), J.PSM_KEY)), "share")
 
 
-@query("A23_top_substitutions")
+@query(
+    "A23_top_substitutions",
+    _SITES_SQL + """, su AS (SELECT concat(source, ' -> ', target) AS substitution, count(*) AS n
+  FROM lp JOIN sd USING (s, t) WHERE side = 'f' GROUP BY ALL)
+SELECT substitution, n, round(n / sum(n) OVER (), 6) AS share FROM su ORDER BY n DESC, substitution LIMIT 10""",
+)
 def a23b(spark, sf):
     counts = S.substitution_counts(C.site_rows(_compared(spark, sf), J.PSM_KEY), [])
     return _r(counts, "share").orderBy(F.desc("n"), "substitution").limit(10)
 
 
-@query("A24_site_number_counts")
+@query(
+    "A24_site_number_counts",
+    _SITES_SQL + """, nu AS (SELECT s, t, count(*) AS n_sites FROM sd WHERE side = 'f' GROUP BY ALL),
+co2 AS (SELECT engine, n_sites, count(*) AS n FROM lp JOIN nu USING (s, t) GROUP BY ALL)
+SELECT engine, n_sites, n, round(n / sum(n) OVER (PARTITION BY engine), 6) AS share FROM co2""",
+)
 def a24(spark, sf):
     rows = _compared(spark, sf).withColumn("n_sites", F.size(F.col("comparison")["forward"]))
     return _r(W.share_in_group(S.count_by(rows, "engine", "n_sites"), ["engine"]), "share")
 
 
-@query("A25_terminus_counts")
+@query(
+    "A25_terminus_counts",
+    _EVIDENCE_SQL + """SELECT engine, CASE WHEN n_term < c_term THEN 'N' ELSE 'C' END AS terminus,
+  least(n_term, c_term) AS distance, count(*) AS n, round(avg(ambiguous::DOUBLE), 6) AS share_ambiguous FROM se GROUP BY ALL""",
+)
 def a25(spark, sf):
     near = S.nearest_terminus(_site_evidence(spark, sf))
     counts = near.groupBy("engine", "terminus", "distance").agg(

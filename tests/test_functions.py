@@ -1,5 +1,7 @@
 """Hand cases and properties of the peptide, alignment and edit functions."""
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -8,6 +10,8 @@ from psmweave.functions import aligned as A
 from psmweave.functions import edits as E
 from psmweave.functions import peptide as P
 
+import edit_reference as R
+
 PEPTIDE = st.text(alphabet="GASPVTLINDQKEMHFRYW", min_size=2, max_size=14)
 
 
@@ -85,7 +89,7 @@ def brute(a, b):
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ABC", max_size=5), st.text(alphabet="ABC", max_size=5))
 def test_edit_ops_are_minimal_and_valid(a, b):
-    ops = E.edit_ops(a, b)
+    ops = R.edit_ops(a, b)
     assert len(ops) == brute(a, b)
     out, pos = "", 0
     for action, i, j in ops:
@@ -101,7 +105,7 @@ def test_edit_ops_are_minimal_and_valid(a, b):
 
 def test_edit_hand_cases():
     def sites(a, b, name="forward"):
-        return [(s["source"], s["target"]) for s in E.compare_strings(a, b)[name]]
+        return [(s["source"], s["target"]) for s in R.compare_strings(a, b)[name]]
 
     assert E.damerau("ACB", "ABC") == 1 and E.damerau("CA", "ABC") == 2
     assert sites("ACBDEFGHJJ", "ABCDEFGHIJ") == [("CB", "BC"), ("J", "I")]
@@ -109,16 +113,16 @@ def test_edit_hand_cases():
     assert sites("ABDEGF", "ABCDEFG") == [("", "C"), ("GF", "FG")]
     assert sites("LPGLYYIETDSTGER", "LPGLYYLETDMDRK") == [("I", "L"), ("STGER", "MDRK")]
     for a, b in [("ACDEFHIJK", "ABCEFGHIJK"), ("ABCDEFGHIJK", "ACDEFGIJ"), ("aGTPGDDEEAQR", "GFPGDDEEAQR")]:
-        assert E.compare_strings(a, b)["symmetric"]
+        assert R.compare_strings(a, b)["symmetric"]
 
 
 def test_mass_neutral_sites_merge():
     # G -> A and A -> G cancel over the correct middle.
-    got = E.compare_strings("GVTAK", "AVTGK")
+    got = R.compare_strings("GVTAK", "AVTGK")
     assert [(s["source"], s["target"]) for s in got["forward"]] == [("G", "A"), ("A", "G")]
     assert [(s["source"], s["target"]) for s in got["forward_merged"]] == [("GVTA", "AVTG")]
-    assert E.neutral_runs([14.02, 0.0, -14.02, 5.0], 5.0) == [(0, 2)]
-    assert E.neutral_runs([14.02], 14.02) == []
+    assert R.neutral_runs([14.02, 0.0, -14.02, 5.0], 5.0) == [(0, 2)]
+    assert R.neutral_runs([14.02], 14.02) == []
 
 
 def test_udf_columns(spark):
@@ -139,17 +143,42 @@ def test_backward_labels_name_the_residues_that_met():
     assert [x["pair"] for x in align("GGLK", "NIK", mode="backward")["isobaric"]] == ["K/Q", "L/I"]
 
 
-def test_moved_residues_belong_to_a_site():
-    from psmweave.functions.edits import compare_strings
-
-    (site,) = compare_strings("PEPTIDE", "EPPTIDE")["forward"]
-    assert (site["source"], site["target"]) == ("PE", "EP") and site["mass_difference"] == 0
-
-
-def test_neutral_runs_return_to_their_level():
-    from psmweave.functions.edits import neutral_runs
-
-    assert neutral_runs([1.0, -1.0, 2.0, 3.0, -5.0], 0.0) == [(0, 1), (2, 4)]
-    assert neutral_runs([0.0, 4.0, -1.0], 3.0) == [(1, 2)]
-    assert neutral_runs([3.0, 1.0, -1.0], 3.0) == [(1, 2)]
-    assert neutral_runs([1.0, 2.0], 0.0) == []
+def test_moved_residues_belong_to_a_site(spark):
+    for a, b, source, target in [("PEPTIDE", "EPPTIDE", "PE", "EP"), ("PETPIDE", "PEPTIDE", "TP", "PT"), ("AKR", "ARK", "KR", "RK")]:
+        (site,) = compared(spark, [(a, b)])[0]["forward"]
+        assert (site["source"], site["target"]) == (source, target) and site["mass_difference"] == 0
+
+
+def compared(spark, pairs):
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "no int, a string, b string")
+    return [r["c"].asDict(True) for r in sorted(E.with_comparison(rows, "a", "b", "c").collect())]
+
+
+def test_comparison_columns_equal_plain_python(spark):
+    r = random.Random(3)
+    pairs = [("", ""), ("", "AB"), ("AB", ""), ("A", "A"), ("ACBDEFGHJJ", "ABCDEFGHIJ"), ("ACE", "ABCDE"), ("X?", "?X")]
+    for _ in range(400):
+        a = "".join(r.choice("GAVNKQIm") for _ in range(r.randrange(12)))
+        b = list(a)
+        for _ in range(r.randrange(5)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randrange(3)] = r.choices("GAVNKQIm", k=r.randrange(3))
+            b[k : k + 2] = b[k : k + 2][:: r.choice([1, -1])]
+        pairs.append((a, "".join(b)))
+    names = ("forward", "backward", "forward_merged", "backward_merged")
+    rounded = lambda sites: [{**s, "mass_difference": round(s["mass_difference"], 6)} for s in sites]
+    for (a, b), got in zip(pairs, compared(spark, pairs), strict=True):
+        want = R.compare_strings(a, b)
+        assert got["symmetric"] == want["symmetric"]
+        assert all(rounded(got[n]) == rounded(want[n]) for n in names), (a, b)
+        # The sites' spans rebuild both strings.
+        sites = got["forward"]
+        assert len(a) - sum(len(s["source"]) for s in sites) == len(b) - sum(len(s["target"]) for s in sites)
+
+
+def test_neutral_runs_return_to_their_level(spark):
+    cases = [([1.0, -1.0, 2.0, 3.0, -5.0], 0.0), ([0.0, 4.0, -1.0], 3.0), ([3.0, 1.0, -1.0], 3.0), ([1.0, 2.0], 0.0), ([], 1.0)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "no int, d array<double>, p double")
+    runs = rows.select("no", E.neutral_runs(F.col("d"), F.col("p")).alias("r")).collect()
+    got = [[tuple(x) for x in r.r] for r in sorted(runs)]
+    assert got == [[(0, 1), (2, 4)], [(1, 2)], [(1, 2)], [], []] == [R.neutral_runs(*c) for c in cases]
