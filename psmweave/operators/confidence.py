@@ -3,39 +3,22 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from psmweave.operators.joins import KEY
+from psmweave.operators.mixtures import Mixture, fit_mixtures
 from psmweave.operators.running import running
+from psmweave.operators.training import Trainer, accepted_from, begin, fit_all, scales, scored
 from psmweave.runtime import checkpoint
 
 # -- Gaussian mixtures ---------------------------------------------------------------
 
 
-def _score_vectors(df: DataFrame, score: str) -> DataFrame:
-    """Distinct scores as vectors with their row count as weight."""
-    levels = df.groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).cast("double").alias("_w"))
-    return VectorAssembler(inputCols=["_s"], outputCol="_v").transform(levels)
-
-
-def _fit(levels: DataFrame, k: int, seed: int, iterations: int):
-    mixture = GaussianMixture(
-        featuresCol="_v", weightCol="_w", k=k, seed=seed, maxIter=iterations, tol=1e-3,
-        predictionCol="_component", probabilityCol="_probability",
-    )
-    return mixture.fit(levels)
-
-
 @dataclass
 class TwoGaussians:
     """Parameters of a two-component mixture, the lower mean first."""
@@ -45,56 +28,57 @@ class TwoGaussians:
     weight: tuple[float, float]
 
 
-def _two(model) -> TwoGaussians:
-    rows = model.gaussiansDF.collect()  # k rows
-    parts = sorted(
-        (float(r["mean"][0]), math.sqrt(float(r["cov"].toArray()[0][0])), w)
-        for r, w in zip(rows, model.weights)
-    )
-    return TwoGaussians(*[tuple(p[i] for p in parts) for i in range(3)])
+def _two(m: Mixture) -> TwoGaussians:
+    return TwoGaussians(m.means, tuple(math.sqrt(v) for v in m.variances), m.weights)
 
 
-def gmm_clusters(
-    df: DataFrame, score: str = "score", seed: int = 10, iterations: int = 100
-) -> tuple[DataFrame, TwoGaussians]:
-    """Mark rows with the higher (1) or lower (0) of two score components (M1).
+_PARAMETERS = [f"{name}_{side}" for name in ("mean", "std", "weight") for side in ("low", "high")]
 
-    Distinct scores are modelled with their counts, so repeated scores cost nothing.
+
+def mark_clusters(df: DataFrame, params: dict[str, TwoGaussians], score: str = "score", group: str = "engine") -> DataFrame:
+    """Mark rows with 1 where the component that the group's highest score belongs to is likelier, else 0.
+
+    The parameters of the row's group, one row per group, are added as columns. Rows of a group without
+    parameters, and rows without a score (null or no number), get no mark.
     """
-    levels = _score_vectors(df, score).persist()
-    try:
-        model = _fit(levels, 2, seed, iterations)
-        labelled = model.transform(levels).select("_s", "_component")
-        top = labelled.orderBy(F.desc("_s")).first()  # the component of the highest score
-    finally:
-        levels.unpersist()
-    high = top["_component"] if top else 1
-    marks = labelled.select(
-        "_s", F.when(F.col("_component") == high, 1).otherwise(0).alias("gmm_cluster")
-    )
-    return df.join(marks, F.col(score).eqNullSafe(F.col("_s")), "left").drop("_s"), _two(model)
+    rows = [(g, *p.mean, *p.std, *p.weight) for g, p in params.items()]
+    kinds = ", ".join(["_g string", *(f"{c} double" for c in _PARAMETERS)])
+    table = df.sparkSession.createDataFrame(rows, kinds)
 
+    def likelihood(x: Column, side: str) -> Column:
+        away = (x - F.col(f"mean_{side}")) / F.col(f"std_{side}")
+        return F.log(f"weight_{side}") - F.log(f"std_{side}") - away * away / 2
 
-def gmm_by_engine(
-    df: DataFrame, engines: Sequence[str], score: str = "score", seed: int = 10, iterations: int = 100
-) -> DataFrame:
-    """:func:`gmm_clusters` for each engine, with the mixture's parameters (M1)."""
-    parts = []
-    for engine in engines:
-        marked, params = gmm_clusters(df.filter(F.col("engine") == engine), score, seed, iterations)
-        parts.append(
-            marked.withColumns(
-                {
-                    f"{name}_{side}": F.lit(getattr(params, name)[i])
-                    for name in ("mean", "std", "weight")
-                    for i, side in enumerate(("low", "high"))
-                }
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    def upper(x: Column) -> Column:
+        return likelihood(x, "high") > likelihood(x, "low")
+
+    value = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
+    top = df.groupBy(F.col(group).cast("string").alias("_of")).agg(F.max(value).alias("_top"))
+    known = table.join(top, F.col("_g") == F.col("_of"), "left").withColumn("_side", upper(F.col("_top"))).drop("_of", "_top")
+    marked = df.join(F.broadcast(known), F.col(group).cast("string") == F.col("_g"), "left")  # one row per group
+    cluster = (upper(value) == F.col("_side")).cast("int")
+    return marked.select(*[df[c] for c in df.columns], cluster.alias("gmm_cluster"), *_PARAMETERS)
+
+
+def gmm_by_engine(df: DataFrame, score: str = "score", group: str = "engine") -> DataFrame:
+    """Mark rows with the higher (1) or lower (0) of two score components of their engine (M1).
+
+    The mixtures of all engines are fitted in the same passes, until they converge.
+    """
+    fitted = fit_mixtures(df, group, score)
+    return mark_clusters(df, {g: _two(m) for (g, _), m in fitted.items()}, score, group)
+
+
+def gmm_clusters(df: DataFrame, score: str = "score") -> tuple[DataFrame, TwoGaussians]:
+    """:func:`gmm_by_engine` of all rows together, and the parameters."""
+    params = fit_two(df, score)
+    marked = mark_clusters(df.withColumn("_all", F.lit("")), {"": params}, score, "_all")
+    return marked.select(*[marked[c] for c in df.columns], "gmm_cluster"), params
+
+
+def fit_two(df: DataFrame, score: str = "score") -> TwoGaussians:
+    """The mixture of two components of all rows."""
+    return _two(fit_mixtures(df, None, score)[("", 2)])
 
 
 def gmm_summary(marked: DataFrame, score: str = "score") -> DataFrame:
@@ -103,13 +87,12 @@ def gmm_summary(marked: DataFrame, score: str = "score") -> DataFrame:
     The cutoff lies halfway between the lowest accepted and the highest rejected score.
     """
     one = F.col("gmm_cluster") == 1
-    params = [c for c in marked.columns if c.split("_")[0] in ("mean", "std", "weight")]
     return marked.groupBy("engine").agg(
         F.count(F.lit(1)).alias("n_all"),
         F.count(F.when(one, 1)).alias("n_accepted"),
         F.count(F.when(~one, 1)).alias("n_filtered"),
         ((F.min(F.when(one, F.col(score))) + F.max(F.when(~one, F.col(score)))) / 2).alias("cutoff"),
-        *[F.first(c).alias(c) for c in params],
+        *[F.first(c).alias(c) for c in _PARAMETERS],
     )
 
 
@@ -117,27 +100,13 @@ def filter_gmm(marked: DataFrame, keep: int = 1) -> DataFrame:
     return marked.filter(F.col("gmm_cluster") == keep)
 
 
-def gmm_bic(
-    df: DataFrame, score: str = "score", max_components: int = 10, seed: int = 0, iterations: int = 50
-) -> DataFrame:
-    """BIC for 1..max_components components, the best one marked (M2)."""
-    levels = _score_vectors(df, score).persist()
-    try:
-        n = levels.agg(F.sum("_w")).first()[0]
-        rows = []
-        for k in range(1, max_components + 1):
-            if k == 1:
-                # One Gaussian needs no iteration.
-                spread_ = df.agg(F.var_pop(score)).first()[0]
-                fit = -n / 2 * (math.log(2 * math.pi * spread_) + 1)
-            else:
-                fit = _fit(levels, k, seed, iterations).summary.logLikelihood
-            rows.append((k, float(-2 * fit + (3 * k - 1) * math.log(n))))
-    finally:
-        levels.unpersist()
-    best = min(rows, key=lambda r: r[1])[0]
+def gmm_bic(df: DataFrame, score: str = "score", max_components: int = 10) -> DataFrame:
+    """BIC for 1..max_components components, the best one marked (M2); all are fitted in the same passes."""
+    fitted = fit_mixtures(df, None, score, range(1, max_components + 1))
+    rows = [(k, m.bic, m.passes) for (_, k), m in sorted(fitted.items())]
+    best = min(rows, key=lambda r: (r[1], r[0]))[0] if rows else None
     return df.sparkSession.createDataFrame(
-        [(k, bic, k == best) for k, bic in rows], "components int, bic double, best boolean"
+        [(k, bic, passes, k == best) for k, bic, passes in rows], "components int, bic double, passes int, best boolean"
     )
 
 
@@ -214,19 +183,38 @@ def peptide_q_values(
 
 @dataclass
 class FoldModels:
-    """One linear model per fold and the features they read."""
+    """One linear model per fold on the features' own scale, and the weights on their common scale."""
 
     features: list[str]
-    models: list[PipelineModel]
-
-    def save(self, path: str) -> None:
-        for i, model in enumerate(self.models):
-            model.write().overwrite().save(f"{path}/fold_{i}")
+    coefficients: list[list[float]]
+    intercepts: list[float]
+    weights: list[list[float]]
+
+    def score(self, fold: int) -> Column:
+        terms = [F.lit(c) * F.col(f).cast("double") for f, c in zip(self.features, self.coefficients[fold])]
+        return reduce(Column.__add__, terms, F.lit(self.intercepts[fold]))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """As a table with one row per fold and feature, and one per intercept."""
+        rows = [
+            (fold, f, c, w)
+            for fold, (cs, ws) in enumerate(zip(self.coefficients, self.weights))
+            for f, c, w in zip(self.features, cs, ws)
+        ]
+        rows += [(fold, None, b, None) for fold, b in enumerate(self.intercepts)]
+        table = spark.createDataFrame(rows, "fold int, feature string, coefficient double, weight double")
+        table.coalesce(1).write.mode("overwrite").parquet(path)
 
     @staticmethod
-    def load(path: str, features: Sequence[str], folds: int = 3) -> FoldModels:
+    def load(spark: SparkSession, path: str, features: Sequence[str]) -> FoldModels:
+        rows = spark.read.parquet(path).collect()  # folds x (features + 1) rows
+        known = {(r.fold, r.feature): r for r in rows}
+        folds = range(1 + max(r.fold for r in rows))
         return FoldModels(
-            list(features), [PipelineModel.load(f"{path}/fold_{i}") for i in range(folds)]
+            list(features),
+            [[known[fold, f].coefficient for f in features] for fold in folds],
+            [known[fold, None].coefficient for fold in folds],
+            [[known[fold, f].weight for f in features] for fold in folds],
         )
 
 
@@ -235,29 +223,9 @@ def with_fold(df: DataFrame, key: Sequence[str] = tuple(KEY), folds: int = 3, se
     return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(folds)))
 
 
-def _margin(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("_score", F.get(vector_to_array("_raw"), F.lit(1)))
-
-
-def _fit_svc(train: DataFrame, features: Sequence[str], iterations: int) -> PipelineModel:
-    stages = [
-        VectorAssembler(inputCols=list(features), outputCol="_x"),
-        StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True),
-        LinearSVC(
-            featuresCol="_z", labelCol="_label", rawPredictionCol="_raw", predictionCol="_p",
-            maxIter=iterations, regParam=0.01, standardization=False,
-        ),
-    ]
-    return Pipeline(stages=stages).fit(train)
-
-
-def _accepted(df, score: str, decoy: str, fdr: float, group=()) -> DataFrame:
-    return q_values(df, score, decoy, group).withColumn("_ok", ~F.col(decoy) & (F.col("qvalue") <= fdr))
-
-
-def rescoring_train(
+def train_sets(
     df: DataFrame,
-    features: Sequence[str],
+    subsets: dict[str, Sequence[str]],
     decoy: str = "is_decoy",
     key: Sequence[str] = tuple(KEY),
     folds: int = 3,
@@ -265,94 +233,93 @@ def rescoring_train(
     rounds: int = 3,
     iterations: int = 20,
     seed: int = 8,
-) -> FoldModels:
-    """Linear models that separate confident targets from decoys, one per fold (M4).
+) -> dict[str, FoldModels]:
+    """Linear models that separate confident targets from decoys, for every feature set and fold at once (M4, M7).
 
-    Each model trains on the other folds.  It starts from the single feature (either
-    direction) that accepts most targets at ``train_fdr`` and re-selects its confident
-    targets in every round.
+    Each model trains on the other folds, on rows that have all its features. It starts from the single
+    feature (either direction) that accepts most targets at ``train_fdr`` and selects its confident targets
+    anew in every round. A pass over the rows returns the sums that one step of all models needs.
     """
-    features = list(features)
-    base = checkpoint(with_fold(df.select(*key, decoy, *features), key, folds, seed).na.drop(subset=features))
-    models = []
-    for fold in range(folds):
-        train = base.filter(F.col("fold") != fold)
-        choices = F.array(
-            *[
-                F.struct(F.lit(f).alias("name"), F.lit(s).alias("sign"), (F.col(f) * s).alias("_score"))
-                for f in features
-                for s in (1.0, -1.0)
-            ]
-        )
-        # All features and directions in one pass; at most 2 x features rows return.
-        single = train.select(decoy, F.inline(choices))
-        start = (
-            _accepted(single, "_score", decoy, train_fdr, ["name", "sign"])
-            .groupBy("name", "sign")
-            .agg(F.count(F.when(F.col("_ok"), 1)).alias("n"))
-            .orderBy(F.desc("n"), "name", F.desc("sign"))
-            .first()
-        )
-        scored = train.withColumn("_score", F.col(start["name"]) * start["sign"])
-        model = None
-        for _ in range(rounds):
-            labelled = _accepted(scored, "_score", decoy, train_fdr).filter(F.col("_ok") | F.col(decoy))
-            labelled = labelled.withColumn("_label", F.when(F.col("_ok"), 1.0).otherwise(0.0))
-            rows = labelled.select("_label", *features).persist()
-            model = _fit_svc(rows, features, iterations)
-            rows.unpersist()
-            scored = _margin(model.transform(train)).select(*key, decoy, *features, "_score")
-        models.append(model)
-    return FoldModels(features, models)
+    every = sorted({f for features in subsets.values() for f in features})
+    rows = df.select(*key, F.col(decoy).alias("is_decoy"), *[F.col(f).cast("double").alias(f) for f in every])
+    base = checkpoint(with_fold(rows, key, folds, seed).select("fold", "is_decoy", *every).filter("is_decoy IS NOT NULL"))
+    scale = scales(base, subsets, folds)
+    trainers = {
+        (name, fold): Trainer(fold, tuple(every.index(f) for f in features), *scale[name, fold])
+        for name, features in subsets.items()
+        for fold in range(folds)
+    }
+    begin(base, trainers, every, folds, train_fdr)
+    for done in range(rounds):
+        if done:
+            cuts = {(r["set"], r.fold): r.cut for r in accepted_from(scored(base, trainers), train_fdr, ["set", "fold"]).collect()}
+            for which, t in trainers.items():
+                t.select_by(cuts.get(which))
+        fit_all(base, trainers, iterations)
+    return {
+        name: FoldModels(list(features), *map(list, zip(*(trainers[name, fold].on_raw_scale() for fold in range(folds)))))
+        for name, features in subsets.items()
+    }
+
+
+def rescoring_train(df: DataFrame, features: Sequence[str], decoy: str = "is_decoy", key: Sequence[str] = tuple(KEY), **options):
+    """:func:`train_sets` for one set of features (M4)."""
+    return train_sets(df, {"all": list(features)}, decoy, key, **options)["all"]
 
 
 def rescoring_apply(df: DataFrame, models: FoldModels, name: str = "score_rescored") -> DataFrame:
     """Mean score of the fold models (M5); the same models score every engine."""
-    columns = df.columns
-    total = None
-    for i, model in enumerate(models.models):
-        df = _margin(model.transform(df)).withColumnRenamed("_score", f"_s{i}")
-        df = df.drop("_x", "_z", "_raw", "_p")
-        total = F.col(f"_s{i}") if total is None else total + F.col(f"_s{i}")
-    return df.select(*columns, (total / len(models.models)).alias(name))
+    total = reduce(Column.__add__, [models.score(fold) for fold in range(len(models.intercepts))])
+    return df.withColumn(name, total / len(models.intercepts))
 
 
 def coefficient_summary(models: FoldModels, spark) -> DataFrame:
-    """Mean coefficient per feature over the folds (M8)."""
-    rows = [
-        (fold, f, float(c))
-        for fold, model in enumerate(models.models)
-        for f, c in zip(models.features, model.stages[-1].coefficients)
-    ]
+    """Mean weight per feature over the folds, on the features' common scale (M8)."""
+    rows = [(fold, f, w) for fold, ws in enumerate(models.weights) for f, w in zip(models.features, ws)]
     table = spark.createDataFrame(rows, "fold int, feature string, coefficient double")
     return table.groupBy("feature").agg(
         F.avg("coefficient").alias("mean_coefficient"), F.stddev_samp("coefficient").alias("sd")
     )
 
 
+def accepted_by_models(
+    df: DataFrame, models: dict[str, FoldModels], decoy: str = "is_decoy", cutoff: float = 0.01
+) -> DataFrame:
+    """Accepted and rejected targets, and decoys, per set of models (M7).
+
+    Rows count where they have all features of the set. All sets are scored in one pass.
+    """
+    sets = [
+        F.struct(
+            F.lit(name).alias("features"),
+            (reduce(Column.__add__, [m.score(fold) for fold in range(len(m.intercepts))]) / len(m.intercepts)).alias("score"),
+        )
+        for name, m in models.items()
+    ]
+    scores = df.select(F.col(decoy).alias("is_decoy"), F.inline(F.array(*sets))).filter("score IS NOT NULL AND NOT isnan(score)")
+    levels = scores.groupBy("features", "score").agg(
+        F.count(F.when(~F.col("is_decoy"), 1)).alias("_t"), F.count(F.when(F.col("is_decoy"), 1)).alias("_d")
+    )
+    acc = running(levels, ["features"], [("score", False)], {"_ct": ("sum", "_t"), "_cd": ("sum", "_d")}, True, "split")
+    below = (F.col("_ct") > 0) & ((F.col("_cd") + 1) / F.greatest("_ct", F.lit(1)) < cutoff)
+    total = acc.groupBy("features").agg(
+        F.sum("_d").alias("decoy"), F.sum("_t").alias("targets"),
+        F.coalesce(F.max(F.when(below, F.col("_ct"))), F.lit(0)).cast("long").alias("target_accepted"),
+    )
+    counts = F.create_map(
+        F.lit("decoy"), F.col("decoy"), F.lit("target_accepted"), F.col("target_accepted"),
+        F.lit("target_rejected"), F.col("targets") - F.col("target_accepted"),
+    )
+    return total.select("features", F.explode(counts).alias("psm_type", "n")).filter("n > 0")
+
+
 def feature_subset_ablation(
     df: DataFrame,
     subsets: dict[str, Sequence[str]],
     decoy: str = "is_decoy",
     key: Sequence[str] = tuple(KEY),
     cutoff: float = 0.01,
-    train: Callable[..., FoldModels] = rescoring_train,
     **options,
 ) -> DataFrame:
-    """Accepted and rejected targets after training on each feature set (M7)."""
-    parts = []
-    for name, features in subsets.items():
-        models = train(df, features, decoy, key, **options)
-        scored = q_values(rescoring_apply(df.na.drop(subset=list(features)), models, "_new"), "_new", decoy)
-        kind = (
-            F.when(F.col(decoy), "decoy")
-            .when(F.col("qvalue") < cutoff, "target_accepted")
-            .otherwise("target_rejected")
-        )
-        parts.append(
-            scored.groupBy(kind.alias("psm_type")).agg(F.count(F.lit(1)).alias("n")).withColumn("features", F.lit(name))
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Accepted and rejected targets after training on each feature set (M7); all models train together."""
+    return accepted_by_models(df, train_sets(df, subsets, decoy, key, **options), decoy, cutoff)

@@ -50,14 +50,14 @@ def incremental_rescore(
 def stored_models(spark: SparkSession, path: str, features: Sequence[str]) -> FoldModels | None:
     """Models saved below ``path``, or None where none have been saved."""
     try:
-        known = spark.read.text(f"{path}/features").collect()  # one line per feature
+        known = [r.feature for r in spark.read.parquet(path).select("feature").distinct().collect()]  # one row per feature
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    if sorted(r.value for r in known) != sorted(features):
+    if sorted(f for f in known if f is not None) != sorted(features):
         raise ValueError(f"the models below {path} read other features; retrain them")
-    return FoldModels.load(path, features)
+    return FoldModels.load(spark, path, features)
 
 
 def rescore_with_models(
@@ -78,8 +78,5 @@ def rescore_with_models(
     models = None if retrain else stored_models(spark, model_path, features)
     if models is None:
         models = rescoring_train(inputs, features, **training)
-        models.save(model_path)
-        spark.createDataFrame([(f,) for f in features], "value string").write.mode("overwrite").text(
-            f"{model_path}/features"
-        )
+        models.save(spark, model_path)
     return incremental_rescore(inputs, path, lambda df: rescoring_apply(df, models), redo or retrain)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from psmweave import constants as K
@@ -18,25 +20,70 @@ def _r(df, *cols, places=6):
     return df.withColumns({c: F.round(c, places) for c in cols})
 
 
-@query("M1_gmm_clusters")
+def _em_sql(groups: str, components) -> str:
+    """Mixtures by expectation and maximisation in a recursion; ``em`` keeps the rows that have converged as ``done``."""
+    starts = ", ".join(
+        f"({k}, [{', '.join(f'{NormalDist().inv_cdf((j + 0.5) / k)!r}::DOUBLE' for j in range(k))}])" for k in components
+    )
+    return f"""WITH RECURSIVE lv AS (SELECT {groups} AS g, score AS x, count(*)::DOUBLE AS c FROM scored GROUP BY ALL),
+s1 AS (SELECT g, sum(c) AS n, sum(c * x) / sum(c) AS mean FROM lv GROUP BY g),
+s2 AS (SELECT g, n, mean, sum(c * (x - mean) ** 2) / n AS var FROM lv JOIN s1 USING (g) GROUP BY g, n, mean),
+em AS (
+  SELECT g, k, n, 0 AS passes, list_transform(zs, lambda z: 1.0::DOUBLE / k) AS w, list_transform(zs, lambda z: mean + z * sqrt(var)) AS mu,
+    list_transform(zs, lambda z: var / k + 1e-6) AS v, '-inf'::DOUBLE AS ll, FALSE AS done FROM s2, (VALUES {starts}) t(k, zs)
+  UNION ALL
+  SELECT g, k, n, passes + 1, CASE WHEN stop THEN w ELSE list_transform(s0, lambda a: a / list_sum(s0)) END,
+    CASE WHEN stop THEN mu ELSE list_transform(range(1, k + 1), lambda j: mu[j] + s1[j] / s0[j]) END,
+    CASE WHEN stop THEN v ELSE list_transform(range(1, k + 1), lambda j: greatest(s2[j] / s0[j] - (s1[j] / s0[j]) ** 2, 0) + 1e-6) END,
+    new, stop
+  FROM (SELECT g, k, n, passes, w, mu, v, any_value(new) AS new, abs(any_value(new) - ll) < 1e-3 * n AS stop,
+      list(s0 ORDER BY j) AS s0, list(s1 ORDER BY j) AS s1, list(s2 ORDER BY j) AS s2
+    FROM (SELECT g, k, n, passes, w, mu, v, ll, j, sum(c * lse) AS new, sum(c * exp(ld[j] - lse)) + 2.220446049250313e-15 AS s0,
+        sum(c * exp(ld[j] - lse) * (x - mu[j])) AS s1, sum(c * exp(ld[j] - lse) * (x - mu[j]) ** 2) AS s2
+      FROM (SELECT *, unnest(range(1, k + 1)) AS j FROM (SELECT *, list_max(ld) +
+          ln(list_sum(list_transform(ld, lambda a: exp(a - list_max(ld))))) AS lse
+        FROM (SELECT em.*, x, c, list_transform(range(1, k + 1), lambda j: ln(w[j]) - 0.5 * (ln(2 * pi() * v[j]) + (x - mu[j]) ** 2 / v[j])) AS ld
+          FROM em JOIN lv ON lv.g = em.g WHERE NOT done)))
+      GROUP BY g, k, n, passes, w, mu, v, ll, j)
+    GROUP BY g, k, n, passes, w, mu, v, ll))
+"""
+
+
+_PARAMS = [f"{name}_{side}" for name in ("mean", "std", "weight") for side in ("low", "high")]
+
+
+@query(
+    "M1_gmm_clusters",
+    _em_sql("engine", [2]) + """, pa AS (SELECT g, lo, 3 - lo AS hi, w, mu, v FROM (SELECT *, CASE WHEN mu[1] <= mu[2] THEN 1 ELSE 2 END AS lo
+  FROM em WHERE done)),
+ma AS (SELECT lv.g, x, c, ln(w[hi]) - ln(v[hi]) / 2 - (x - mu[hi]) ** 2 / v[hi] / 2 > ln(w[lo]) - ln(v[lo]) / 2 - (x - mu[lo]) ** 2 / v[lo] / 2
+  AS up FROM lv JOIN pa USING (g)),
+cl AS (SELECT *, up = arg_max(up, x) OVER (PARTITION BY g) AS one FROM ma)
+SELECT g AS engine, sum(c)::BIGINT AS n_all, (sum(c) FILTER (WHERE one))::BIGINT AS n_accepted,
+  coalesce((sum(c) FILTER (WHERE NOT one))::BIGINT, 0) AS n_filtered,
+  round((min(x) FILTER (WHERE one) + max(x) FILTER (WHERE NOT one)) / 2, 6) AS cutoff,
+  any_value(round(mu[lo], 6)) AS mean_low, any_value(round(mu[hi], 6)) AS mean_high, any_value(round(sqrt(v[lo]), 6)) AS std_low,
+  any_value(round(sqrt(v[hi]), 6)) AS std_high, any_value(round(w[lo], 6)) AS weight_low, any_value(round(w[hi], 6)) AS weight_high
+FROM cl JOIN pa USING (g) GROUP BY g""",
+)
 def m1(spark, sf):
-    scored = V.scored(spark, sf)
-    engines = sorted(r[0] for r in scored.select("engine").distinct().collect())  # a handful of tools
-    marked = M.gmm_by_engine(scored, engines, iterations=30)
-    return _r(M.gmm_summary(marked), "cutoff", places=3)
+    return _r(M.gmm_summary(M.gmm_by_engine(V.scored(spark, sf))), "cutoff", *_PARAMS)
 
 
-@query("M2_gmm_bic")
+@query(
+    "M2_gmm_bic",
+    _em_sql("''", range(1, 11)) + """, bi AS (SELECT k AS components, -2 * ll + (3 * k - 1) * ln(n) AS bic, passes FROM em WHERE done)
+SELECT components, round(bic, 3) AS bic, passes, bic = min(bic) OVER () AS best FROM bi""",
+)
 def m2(spark, sf):
-    return _r(M.gmm_bic(V.scored(spark, sf), iterations=10), "bic", places=1)
+    return _r(M.gmm_bic(V.scored(spark, sf)), "bic", places=3)
 
 
 @query("M3_gmm_fdr_threshold")
 def m3(spark, sf):
     """Rows above the score with 5 % of the low component, per run."""
     scored = V.scored(spark, sf)
-    _, params = M.gmm_clusters(scored, iterations=30)
-    cut = M.gmm_fdr_threshold(params, 0.05)
+    cut = M.gmm_fdr_threshold(M.fit_two(scored), 0.05)
     counts = S.count_by(scored.filter(F.col("score") >= cut), "run") if cut is not None else scored.select(
         F.lit(None).cast("string").alias("run"), F.lit(0).cast("long").alias("n")
     ).limit(1)
@@ -147,6 +194,48 @@ def m7(spark, sf):
     )
 
 
+#: Fold models that are given, for what follows from coefficients.
+_GIVEN = {
+    "score": M.FoldModels(["score"], [[1.5], [2.0], [2.5]], [0.25, 0.0, -0.25], [[0.5], [0.75], [0.25]]),
+    "price": M.FoldModels(
+        ["score", "price"], [[1.5, 0.0617], [2.0, -0.0311], [1.0, 0.1233]], [0.0, 0.5, 1.0], [[0.5, 0.125], [1.0, -0.25], [0.75, 0.5]]
+    ),
+}
+
+
+def _given_sql(m: M.FoldModels) -> str:
+    folds = [" + ".join([repr(b), *(f"{c!r} * {f}" for f, c in zip(m.features, cs))]) for cs, b in zip(m.coefficients, m.intercepts)]
+    return f"({' + '.join(f'({x})::DOUBLE' for x in folds)}) / {len(folds)}"
+
+
+@query(
+    "M5_apply_given_models",
+    "WITH " + _RESCORE_SQL.rstrip(",\n") + f" SELECT run, spectrum_id, line, round({_given_sql(_GIVEN['price'])}, 3) AS score_rescored FROM rr",
+)
+def m5_given(spark, sf):
+    """Every row rescored by given models."""
+    out = M.rescoring_apply(_rescore_rows(spark, sf), _GIVEN["price"])
+    return _r(out.select("run", "spectrum_id", "line", "score_rescored"), "score_rescored", places=3)
+
+
+_ACCEPTED_SQL = (
+    "SELECT '{name}' AS features, CASE WHEN is_decoy THEN 'decoy' WHEN qvalue < 0.2 THEN 'target_accepted' "
+    "ELSE 'target_rejected' END AS psm_type, count(*) AS n FROM (WITH sc AS (SELECT round({score}, 9) AS score, is_decoy FROM rr),\n"
+    + _Q_SQL.format(s="score", src="sc") + "SELECT is_decoy, qvalue FROM sc JOIN q USING (score)) GROUP BY ALL"
+)
+
+
+@query(
+    "M7_accepted_by_given_models",
+    "WITH " + _RESCORE_SQL.rstrip(",\n") + " " + " UNION ALL ".join(
+        _ACCEPTED_SQL.format(name=n, score=_given_sql(m)) for n, m in _GIVEN.items()
+    ),
+)
+def m7_given(spark, sf):
+    """Targets accepted by given models, all sets in one pass."""
+    return M.accepted_by_models(_rescore_rows(spark, sf), _GIVEN, cutoff=0.2)
+
+
 @query("M8_coefficient_summary")
 def m8(spark, sf):
     return _r(M.coefficient_summary(_models(spark, sf), spark), "mean_coefficient", "sd", places=3)

@@ -181,11 +181,115 @@ def test_rescoring_improves_and_is_repeatable(spark, tmp_path):
     scored = M.rescoring_apply(df, models)
     means = {r.is_decoy: r.m for r in scored.groupBy("is_decoy").agg(F.avg("score_rescored").alias("m")).collect()}
     assert means[False] > means[True]
-    models.save(str(tmp_path / "m"))
-    again = M.rescoring_apply(df, M.FoldModels.load(str(tmp_path / "m"), ["a", "b"]))
+    models.save(spark, str(tmp_path / "m"))
+    again = M.rescoring_apply(df, M.FoldModels.load(spark, str(tmp_path / "m"), ["a", "b"]))
     assert rows(again.select("spectrum_id", F.round("score_rescored", 9))) == rows(scored.select("spectrum_id", F.round("score_rescored", 9)))
 
 
+def _plain_em(x, k, tol=1e-3):
+    """The same mixture by a loop over plain lists."""
+    from statistics import NormalDist, pvariance
+
+    n, mean, var = len(x), sum(x) / len(x), pvariance(x)
+    w, mu, v = [1 / k] * k, [mean + NormalDist().inv_cdf((j + 0.5) / k) * var**0.5 for j in range(k)], [var / k + 1e-6] * k
+    before = -math.inf
+    while True:
+        dens = [[w[j] * math.exp(-((s - mu[j]) ** 2) / (2 * v[j])) / math.sqrt(2 * math.pi * v[j]) for j in range(k)] for s in x]
+        like = sum(math.log(sum(d)) for d in dens)
+        if abs(like - before) < tol * n:
+            return like, w, mu, v
+        before = like
+        share = [[y / sum(d) for y in d] for d in dens]
+        for j in range(k):
+            c = sum(r[j] for r in share)
+            w[j], mu[j] = c / n, sum(r[j] * s for r, s in zip(share, x)) / c
+            v[j] = sum(r[j] * (s - mu[j]) ** 2 for r, s in zip(share, x)) / c + 1e-6
+
+
+def test_mixtures_equal_plain_em(spark):
+    from psmweave.operators.mixtures import fit_mixtures
+
+    rnd = random.Random(4)
+    x = {g: [round(rnd.gauss(0, 1) if rnd.random() < 0.4 else rnd.gauss(4 + g, 0.7), 2) for _ in range(400)] for g in range(3)}
+    odd = [("0", None), ("1", float("nan")), (None, 1.0)]
+    df = spark.createDataFrame([(str(g), s) for g, xs in x.items() for s in xs] + odd, "engine string, score double")
+    found = fit_mixtures(df, components=(1, 2, 4))
+    assert len(found) == 9
+    for (g, k), m in found.items():
+        like, w, mu, v = _plain_em(x[int(g)], k)
+        assert abs(m.log_likelihood - like) < 1e-6 * abs(like) and m.n == 400
+        for got, want in ((m.weights, w), (m.means, mu), (m.variances, v)):
+            assert all(abs(a - b) < 1e-6 for a, b in zip(got, [b for _, b in sorted(zip(mu, want))]))
+    assert fit_mixtures(df.limit(0)) == {}
+    marked = M.gmm_by_engine(df)
+    assert marked.filter("gmm_cluster IS NULL").count() == 3
+    top = marked.filter("gmm_cluster = 1").groupBy("engine").agg(F.min("score").alias("m")).collect()
+    assert {r.engine: r.m > 1 for r in top} == {"0": True, "1": True, "2": True}
+    one = spark.createDataFrame([("e", 1.0)] * 5, "engine string, score double")
+    assert {r.gmm_cluster for r in M.gmm_by_engine(one).collect()} == {1}
+
+
+def _dense_svm(z, y, penalty):
+    """Minimum of the squared hinge loss by plain gradient descent."""
+    import numpy as np
+
+    w = np.zeros(z.shape[1])
+    rate = 1 / (2 * (np.linalg.norm(z, 2) ** 2 / len(z) + penalty.max()))
+    for _ in range(60_000):
+        gap = np.maximum(1 - y * (z @ w), 0)
+        grad = -2 * (z.T @ (y * gap)) / len(z) + 2 * penalty * w
+        w = w - rate * grad
+        if np.abs(grad).max() < 1e-10:
+            break
+    return w
+
+
+def test_joint_training_minimises_the_loss(spark):
+    import numpy as np
+
+    rnd = random.Random(9)
+    data = [
+        ("r", i, i % 3 == 0, rnd.gauss(0 if i % 3 == 0 else 1, 1), 10 * rnd.gauss(0 if i % 3 == 0 else 0.5, 1),
+         None if i % 50 == 0 else rnd.gauss(0, 1)) for i in range(900)
+    ]
+    df = spark.createDataFrame(data, "run string, spectrum_id int, is_decoy boolean, a double, b double, c double")
+    sets = {"a": ["a"], "ab": ["a", "b"], "all": ["c", "b", "a"]}
+    models = M.train_sets(df, sets, train_fdr=0.2, rounds=1)
+    folds = {r.spectrum_id: r.fold for r in M.with_fold(df).collect()}
+    for name, features in sets.items():
+        for fold in range(3):
+            rows_ = [r for r in data if folds[r[1]] != fold]
+            full = [r for r in rows_ if None not in (r[3 + "abc".index(f)] for f in features)]
+            x = np.array([[r[3 + "abc".index(f)] for f in features] for r in full])
+            decoy = np.array([r[2] for r in full])
+            # The start: the feature and direction that accept most targets among all training rows.
+            best = None
+            for f in features:
+                for sign in (1, -1):
+                    s = [(sign * r[3 + "abc".index(f)], r[2]) for r in rows_ if r[3 + "abc".index(f)] is not None]
+                    for cut in sorted({v for v, _ in s}):
+                        t, d = (sum(v >= cut and q == want for v, q in s) for want in (False, True))
+                        if t and (d + 1) / t <= 0.2:
+                            best = max(best or (0,), (t, f, sign, cut), key=lambda o: o[0])
+                            break
+            use = decoy | (best[2] * x[:, features.index(best[1])] >= best[3] - 1e-9) if best else decoy
+            mean, scale = x.mean(axis=0), x.std(axis=0)
+            z = np.column_stack([(x - mean) / scale, np.ones(len(x))])[use]
+            want = _dense_svm(z, np.where(decoy[use], -1.0, 1.0), np.array([0.01] * len(features) + [1e-9]))
+            assert np.allclose(models[name].weights[fold], want[:-1], atol=1e-3), (name, fold)
+
+
+def test_accepted_counts_equal_q_values(spark):
+    df = spark.range(300).selectExpr("id % 5 = 0 AS is_decoy", "CAST(id * 37 % 101 AS DOUBLE) + id % 5 AS x", "CAST(id % 7 AS DOUBLE) AS y")
+    models = {"x": M.FoldModels(["x"], [[1.0], [3.0]], [0.0, 1.0], [[1.0], [3.0]]), "xy": M.FoldModels(["x", "y"], [[1.0, -2.0]], [0.5], [[1.0, -2.0]])}
+    got = {(r.features, r.psm_type): r.n for r in M.accepted_by_models(df, models, cutoff=0.2).collect()}
+    for name, m in models.items():
+        q = M.q_values(M.rescoring_apply(df, m), "score_rescored")
+        accepted = q.filter("NOT is_decoy AND qvalue < 0.2").count()
+        assert got.get((name, "target_accepted"), 0) == accepted
+        assert got[name, "decoy"] == 60 and got.get((name, "target_rejected"), 0) == 240 - accepted
+
+
 def test_gmm_threshold():
     params = M.TwoGaussians((0.0, 5.0), (1.0, 1.0), (0.5, 0.5))
     t = M.gmm_fdr_threshold(params, 0.01)
@@ -289,7 +393,7 @@ def test_rescoring_loads_saved_models(spark, tmp_path):
     first = rescore_with_models(df.filter("run = 'run_0'"), out, models, features, **small)
     assert {r.run for r in first.select("run").distinct().collect()} == {"run_0"}
     done = rescore_with_models(df, out, models, features, **small)
-    loaded = M.FoldModels.load(models, features)
+    loaded = M.FoldModels.load(spark, models, features)
     want = M.rescoring_apply(df, loaded)
     key = ["run", "engine", "spectrum_id", "score_rescored"]
     assert sorted(map(tuple, done.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
