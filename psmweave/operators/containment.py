@@ -1,10 +1,11 @@
 """Which peptides occur in a protein database.
 
-Proteins are cut into seeds at every ``stride``-th letter; a peptide looks up
-``stride`` consecutive seeds of its own, so every occurrence meets one aligned seed.
-Each peptide uses its rarest run of seeds, which keeps frequent words from pairing
-everything with everything.  The whole peptide is checked against the text around
-the seed.  Peptides too short for that are looked up as whole words.
+A first pass over the proteins cuts them into seeds at every ``stride``-th letter and stores where the
+seeds of some peptide lie; a peptide looks up ``stride`` consecutive seeds of its own, so every occurrence
+meets one stored seed.  Each peptide uses its rarest run of seeds, which keeps frequent words from pairing
+everything with everything.  A second pass checks the whole peptide at the place that its seed gives; no
+text travels with a seed, so a long peptide costs nothing but its own length.  Peptides too short for
+seeds are looked up as whole words in the first pass.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from psmweave.functions import peptide as P
+from psmweave.runtime import checkpoint
 
 SEED = 8
 STRIDE = 4
-_CHUNK = 120  # letters per piece; a multiple of STRIDE
+_CHUNK = 4096  # letters per piece; a multiple of STRIDE
 
 
 def _plain(c: str, equate_il: bool) -> Column:
@@ -26,47 +28,34 @@ def _plain(c: str, equate_il: bool) -> Column:
     return F.translate(text, "L", "I") if equate_il else text
 
 
-def _pieces(proteins: DataFrame, reach: int) -> DataFrame:
-    """Protein text in pieces, each with ``reach`` letters of its neighbours on both sides."""
-    # Enough neighbouring pieces to cover ``reach`` letters.
-    hops = -(-reach // _CHUNK)
-    parts = F.col("_parts")
-
-    def around(i: Column, sign: int) -> Column:
-        pieces = [F.coalesce(F.get(parts, i + sign * h), F.lit("")) for h in range(1, hops + 1)]
-        return F.concat(*(reversed(pieces) if sign < 0 else pieces))
-
-    rows = proteins.withColumn(
-        "_parts", F.regexp_extract_all("_seq", F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
-    )
-    piece = F.transform(
-        parts,
-        lambda body, i: F.struct(
-            F.right(around(i, -1), F.lit(reach)).alias("left"),
-            body.alias("body"),
-            F.left(around(i, 1), F.lit(reach)).alias("right"),
-        ),
-    )
-    return rows.select("protein_id", F.posexplode(piece).alias("piece_no", "_x")).select(
-        "protein_id", "piece_no", "_x.*"
-    )
+def _pieces(proteins: DataFrame, beyond: int) -> DataFrame:
+    """Protein text in pieces, each with the first ``beyond`` letters of what follows."""
+    parts = F.regexp_extract_all("_seq", F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    return proteins.select("protein_id", F.posexplode(F.transform(
+        F.array(parts),
+        lambda p: F.transform(p, lambda body, i: F.struct(
+            body.alias("body"), F.left(F.coalesce(F.get(p, i + 1), F.lit("")), F.lit(beyond)).alias("next")
+        )),
+    )[0]).alias("piece_no", "_x")).select("protein_id", "piece_no", "_x.*")
 
 
 def _words(length: int, step: int) -> Column:
-    """Words of a piece at every ``step``-th letter, in order; one pass over its text.
-
-    Words may reach into the next piece.
-    """
-    text = F.concat("body", F.left("right", F.lit(length - 1)))
+    """Words of a piece at every ``step``-th letter, in order; one pass over its text."""
+    text = F.concat("body", F.left("next", F.lit(length - 1)))
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}})).{{{step}}}"), F.lit(1))
 
 
-def _seeds(pieces: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(protein, piece, number, seed) for the seeds some peptide has; no other text moves."""
-    rows = pieces.select(
-        "protein_id", "piece_no", F.posexplode(_words(SEED, STRIDE)).alias("seed_no", "seed")
-    )
-    return rows.join(wanted, "seed", "left_semi")
+def _found_words(proteins: DataFrame, wanted: DataFrame, seeds: bool, short: Sequence[int]) -> DataFrame:
+    """``word, protein_id, at`` for the words that some peptide wants; ``at`` counts letters, null for short peptides."""
+    kinds = []
+    if seeds:
+        place = F.col("piece_no").cast("long") * _CHUNK
+        kinds.append(F.transform(_words(SEED, STRIDE), lambda w, i: F.struct(w.alias("word"), (place + i * STRIDE).alias("at"))))
+    for n in short:
+        none = F.lit(None).cast("long")
+        kinds.append(F.transform(F.array_distinct(_words(n, 1)), lambda w: F.struct(w.alias("word"), none.alias("at"))))
+    rows = _pieces(proteins, SEED + STRIDE - 2).select("protein_id", F.inline(F.concat(*kinds)))
+    return rows.join(wanted, "word", "left_semi")
 
 
 def _peptide_seeds(peptides: DataFrame, counts: DataFrame) -> DataFrame:
@@ -105,41 +94,32 @@ def kmer_contains_join(
     pep = pep.filter(F.length("_pep") > 0)
     prot = proteins.select("protein_id", _plain("sequence", equate_il).alias("_seq"))
     need = SEED + STRIDE - 1
-    # One row: the distinct short lengths (fewer than ``need``) and the longest peptide.
+    pep = checkpoint(pep)
+    # One row: the distinct short lengths (fewer than ``need``) and whether there are others.
     short_len = F.when(F.length("_pep") < need, F.length("_pep"))
-    stats = pep.agg(F.collect_set(short_len).alias("short"), F.max(F.length("_pep")).alias("longest")).first()
-    found = []
-    if stats.longest is not None and stats.longest >= need:
-        reach = int(stats.longest)
-        long = pep.filter(F.length("_pep") >= need).select("_pep").distinct()
-        wanted = long.select(
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.length("_pep") - SEED + 1),
-                    lambda i: F.substring(F.col("_pep"), i, F.lit(SEED)),
-                )
-            ).alias("seed")
-        ).distinct()
-        pieces = _pieces(prot, reach)
-        seeds = _seeds(pieces, wanted)
-        counts = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
-        candidates = _peptide_seeds(long, counts).join(seeds, "seed").drop("seed")
-        # Where the peptide would have to start in left + body + right, counted from 1.
-        text = F.concat("left", "body", "right")
-        start = F.length("left") + F.col("seed_no") * STRIDE + 1 - F.col("off")
-        hit = (start >= 1) & (F.substring(text, start, F.length("_pep")) == F.col("_pep"))
-        found.append(
-            candidates.join(pieces, ["protein_id", "piece_no"]).filter(hit).select("_pep", "protein_id")
-        )
-    if stats.short:
-        every = F.concat(*[_words(int(n), 1) for n in sorted(stats.short)])
-        words = _pieces(prot, need).select("protein_id", F.explode(every).alias("_pep"))
-        brief = pep.filter(F.length("_pep") < need).select("_pep").distinct()
-        found.append(words.join(brief, "_pep", "left_semi").select("_pep", "protein_id"))
-    if not found:
+    stats = pep.agg(F.sort_array(F.collect_set(short_len)).alias("short"), F.max(F.length("_pep") >= need).alias("long")).first()
+    if not stats.short and not stats.long:
         return proteins.select(F.lit(None).cast("string").alias("peptide"), "protein_id").limit(0)
-    pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    return pep.join(pairs.distinct(), "_pep").select("peptide", "protein_id")
+    long = pep.filter(F.length("_pep") >= need).select("_pep").distinct()
+    offsets = F.sequence(F.lit(1), F.length("_pep") - SEED + 1)
+    wanted = long.select(
+        F.explode(F.transform(offsets, lambda i: F.substring(F.col("_pep"), i, F.lit(SEED)))).alias("word")
+    ).unionAll(pep.filter(F.length("_pep") < need).select("_pep"))
+    words = checkpoint(_found_words(prot, wanted.distinct(), bool(stats.long), stats.short))
+    found = words.filter("at IS NULL").select(F.col("word").alias("_pep"), "protein_id").distinct()
+    if stats.long:
+        seeds = words.filter("at IS NOT NULL").withColumnRenamed("word", "seed")
+        counts = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+        # Where the peptide would have to start, counted from 1.
+        start = F.col("at") - F.col("off") + 1
+        places = (
+            _peptide_seeds(long, counts).join(seeds, "seed")
+            .select("_pep", F.col("protein_id").alias("_of"), start.alias("start")).filter("start >= 1").distinct()
+        )
+        there = F.substring(F.col("_seq"), F.col("start").cast("int"), F.length("_pep")) == F.col("_pep")
+        hits = prot.join(checkpoint(places), F.col("protein_id").eqNullSafe(F.col("_of")) & there)
+        found = found.unionByName(hits.select("_pep", "protein_id").distinct())
+    return pep.join(found, "_pep").select("peptide", "protein_id")
 
 
 def contained_in_proteome(
