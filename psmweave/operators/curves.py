@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from psmweave.operators.running import attach_group_values, running
+from psmweave.operators.running import _null_safe, _way, attach_group_values, running
+from psmweave.runtime import checkpoint
 
 
 def _ratio(a, b) -> Column:
@@ -271,15 +272,31 @@ def prc_coverage_grid(
 ) -> DataFrame:
     """Curve at equal steps of coverage over rows sorted by score.
 
-    Step k of ``points - 1`` looks at the first ceil(k n / (points - 1)) rows.
+    Step k of ``points - 1`` looks at the first ceil(k n / (points - 1)) rows. Counts per score level tell in
+    which levels a step ends; only rows of those levels are put in order, to count what stands before it.
     """
     group = list(group)
-    flags = df.withColumns({"_one": F.lit(1), "_c": F.when(F.col(correct), 1).otherwise(0)})
-    ranked = running(
-        flags, group, order, {"r": ("sum", "_one"), "cc": ("sum", "_c")}, True, strategy
-    ).select(*group, "r", "cc")
-    ranked = attach_group_values(ranked, group, {"n": F.count(F.lit(1))}, _fits(strategy))
+    (score, rising), *ties = order
     steps = points - 1
+    flags = df.select(*group, *[c for c, _ in order], F.when(F.col(correct), 1).otherwise(0).alias("_c"))
+    if _way(strategy, group) == "single":
+        ranked = running(
+            flags.withColumn("_one", F.lit(1)), group, order, {"r": ("sum", "_one"), "cc": ("sum", "_c")}, True, "single"
+        )
+        ranked = attach_group_values(ranked, group, {"n": F.count(F.lit(1))}, True)
+    else:
+        flags = checkpoint(flags)
+        levels = flags.groupBy(*group, score).agg(F.count(F.lit(1)).alias("_n"), F.sum("_c").alias("_nc"))
+        levels = checkpoint(
+            running(levels, group, [(score, rising)], {"_before": ("sum", "_n"), "_before_c": ("sum", "_nc")}, False, "split")
+        )
+        levels = attach_group_values(levels, group, {"n": F.sum("_n")}, False)
+        ends = F.expr(f"({steps} * (_before + _n)) div n > ({steps} * _before) div n")
+        ends = levels.filter(ends).select(*group, score, "_before", "_before_c", "n")  # as many as points per group
+        rows = _null_safe(flags, ends, [*group, score], "inner")
+        ranked = running(
+            rows.withColumn("_one", F.lit(1)), [*group, score], ties or [("_c", False)], {"r": ("sum", "_one"), "cc": ("sum", "_c")}, True, "split"
+        ).withColumns({"r": F.col("r") + F.col("_before"), "cc": F.col("cc") + F.col("_before_c")})
     # Row r is the last one of the steps k with steps (r - 1) / n < k <= steps r / n.
     first = F.expr(f"({steps} * (r - 1)) div n + 1")
     last = F.expr(f"({steps} * r) div n")
