@@ -15,33 +15,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from psmweave.llm import decontaminate, linededup, quality, sentences, simhash
-from psmweave.llm.store import written
+from psmweave.llm.store import bound_batches, written
 from psmweave.runtime import ship_package
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _prepare(spark: SparkSession) -> None:
     ship_package(spark)
+    bound_batches(spark)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _prepare(spark)
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _prepare(spark)
     return linededup.drop_duplicate_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _prepare(spark)
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _prepare(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.drop_leaks(docs, decontaminate.find_leaks(docs, benchmark))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _prepare(spark)
     return sentences.round_trip(docs)
 
 

@@ -242,31 +242,47 @@ def gone_lines(lines: bytes, n_words: list[int], there: bytes, min_words: int) -
     return deletions(shared, min_words)
 
 
+#: Lines of documents whose deletions a task unites before it hands them on.
+_UNITED = 200_000
+_GONE_ARROW = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("gone", pa.list_(pa.int32()))])
+
+
+def _united(gone: dict[tuple[int, int], set[int]]) -> pa.RecordBatch:
+    return _batch([(*key, sorted(lines)) for key, lines in gone.items() if lines], _GONE_ARROW)
+
+
 def _aligned(pairs: DataFrame, documents: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id, t, gone`` of every pair ``doc_id, t, p_doc, p_t`` that deletes something."""
+    """``doc_id, t, gone`` of all pairs ``doc_id, t, p_doc, p_t`` that delete something.
+
+    The pairs of a document come together, so that what several partners delete is handed on once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            # One pair at a time as Python objects, and results in small pieces.
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                gone = [gone_lines(*(x.as_py() for x in pair), min_words) for pair in zip(*batch.columns[2:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:2], pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "t", "gone"]
-                )
+        united: dict[tuple[int, int], set[int]] = {}
+        held = 0
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):  # one pair at a time as Python objects
+                doc_id, t, lines, n_words, there = (x.as_py() for x in row)
+                if held > _UNITED and (doc_id, t) not in united:
+                    yield _united(united)
+                    united, held = {}, 0
+                before = united.setdefault((doc_id, t), set())
+                size = len(before)
+                before.update(gone_lines(lines, n_words, there, min_words))
+                held += 1 + len(before) - size
+        yield _united(united)
 
     partners = documents.select(F.col("doc_id").alias("p_doc"), F.col("t").alias("p_t"), F.col("lines").alias("there"))
     return (
-        pairs.join(documents.select("doc_id", "t", "lines", "n_words"), ["doc_id", "t"])
-        .join(partners, ["p_doc", "p_t"])
+        pairs.join(partners, ["p_doc", "p_t"])
+        .join(documents.select("doc_id", "t", "lines", "n_words"), ["doc_id", "t"])
         .select("doc_id", "t", "lines", "n_words", "there")
         .mapInArrow(run, "doc_id long, t long, gone array<int>")
-        .filter(F.size("gone") > 0)
     )
 
 
 def _union(gone: DataFrame) -> DataFrame:
-    """Every line of a document once: what partners delete in common is counted before the shuffle."""
+    """Every line of a document once, however many tasks have found it."""
     lines = gone.select("doc_id", "t", F.explode("gone").alias("line")).distinct()
     return lines.groupBy("doc_id", "t").agg(F.collect_list("line").alias("gone"))
 

@@ -23,6 +23,7 @@ from psmweave.llm import (
     tokencount,
     toxicity,
 )
+from psmweave.llm.store import bound_batches
 from psmweave.runtime import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         @wraps(fn)
         def run(spark: SparkSession, sf: str) -> DataFrame:
             ship_package(spark)
+            bound_batches(spark)
             return fn(spark, sf)
 
         QUERIES[name] = run
