@@ -5,7 +5,7 @@ seeds of some peptide lie; a peptide looks up ``stride`` consecutive seeds of it
 meets one stored seed.  Each peptide uses its rarest run of seeds, which keeps frequent words from pairing
 everything with everything.  A second pass checks the whole peptide at the place that its seed gives; no
 text travels with a seed, so a long peptide costs nothing but its own length.  Peptides too short for
-seeds are looked up as whole words in the first pass.
+seeds are looked up by their first letters in the first pass.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from psmweave.runtime import checkpoint
 
 SEED = 8
 STRIDE = 4
+KEY = 4  # letters by which short peptides are looked up
 _CHUNK = 4096  # letters per piece; a multiple of STRIDE
 
 
@@ -39,21 +40,41 @@ def _pieces(proteins: DataFrame, beyond: int) -> DataFrame:
     )[0]).alias("piece_no", "_x")).select("protein_id", "piece_no", "_x.*")
 
 
-def _words(length: int, step: int) -> Column:
-    """Words of a piece at every ``step``-th letter, in order; one pass over its text."""
-    text = F.concat("body", F.left("next", F.lit(length - 1)))
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}})).{{{step}}}"), F.lit(1))
+def _words(least: int, most: int, step: int) -> Column:
+    """Words of ``most`` letters of a piece at every ``step``-th letter, in order; one pass over its text.
+
+    At the end of the protein they may be shorter, down to ``least`` letters.
+    """
+    text = F.concat("body", F.left("next", F.lit(most - 1)))
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{least},{most}}})).{{{step}}}"), F.lit(1))
 
 
 def _found_words(proteins: DataFrame, wanted: DataFrame, seeds: bool, short: Sequence[int]) -> DataFrame:
-    """``word, protein_id, at`` for the words that some peptide wants; ``at`` counts letters, null for short peptides."""
+    """``word, protein_id, at, more`` for the words that some peptide wants.
+
+    ``at`` counts letters and is null but for seeds; ``more`` is what stands from the word on, for peptides of ``KEY``
+    letters or more that have no seeds.
+    """
     kinds = []
+
+    def entries(words: Column, word, at, more) -> Column:
+        return F.transform(
+            words,
+            lambda w, i: F.struct(
+                word(w).alias("word"), at(i).cast("long").alias("at"), more(w).cast("string").alias("more")
+            ),
+        )
+
+    none = lambda _: F.lit(None)
     if seeds:
         place = F.col("piece_no").cast("long") * _CHUNK
-        kinds.append(F.transform(_words(SEED, STRIDE), lambda w, i: F.struct(w.alias("word"), (place + i * STRIDE).alias("at"))))
+        kinds.append(entries(_words(SEED, SEED, STRIDE), lambda w: w, lambda i: place + i * STRIDE, none))
+    if any(n >= KEY for n in short):
+        windows = F.array_distinct(_words(KEY, max(short), 1))
+        kinds.append(entries(windows, lambda w: F.left(w, F.lit(KEY)), none, lambda w: w))
     for n in short:
-        none = F.lit(None).cast("long")
-        kinds.append(F.transform(F.array_distinct(_words(n, 1)), lambda w: F.struct(w.alias("word"), none.alias("at"))))
+        if n < KEY:
+            kinds.append(entries(F.array_distinct(_words(n, n, 1)), lambda w: w, none, none))
     rows = _pieces(proteins, SEED + STRIDE - 2).select("protein_id", F.inline(F.concat(*kinds)))
     return rows.join(wanted, "word", "left_semi")
 
@@ -104,9 +125,11 @@ def kmer_contains_join(
     offsets = F.sequence(F.lit(1), F.length("_pep") - SEED + 1)
     wanted = long.select(
         F.explode(F.transform(offsets, lambda i: F.substring(F.col("_pep"), i, F.lit(SEED)))).alias("word")
-    ).unionAll(pep.filter(F.length("_pep") < need).select("_pep"))
+    ).unionAll(pep.filter(F.length("_pep") < need).select(F.left("_pep", F.lit(KEY))))
     words = checkpoint(_found_words(prot, wanted.distinct(), bool(stats.long), stats.short))
-    found = words.filter("at IS NULL").select(F.col("word").alias("_pep"), "protein_id").distinct()
+    brief = pep.filter(F.length("_pep") < need).select("_pep", F.left("_pep", F.lit(KEY)).alias("word")).distinct()
+    whole = F.when(F.length("_pep") < KEY, F.col("more").isNull()).otherwise(F.startswith("more", F.col("_pep")))
+    found = words.filter("at IS NULL").join(brief, "word").filter(whole).select("_pep", "protein_id").distinct()
     if stats.long:
         seeds = words.filter("at IS NOT NULL").withColumnRenamed("word", "seed")
         counts = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))

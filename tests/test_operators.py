@@ -399,3 +399,23 @@ def test_rescoring_loads_saved_models(spark, tmp_path):
     assert sorted(map(tuple, done.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
     with pytest.raises(ValueError, match="other features"):
         rescore_with_models(df, out, models, ["score"], **small)
+
+
+def test_containment_of_random_peptides(spark):
+    from psmweave.operators.containment import kmer_contains_join
+
+    rnd = random.Random(11)
+    texts = {i: "".join(rnd.choices("AIK", k=rnd.choice([0, 3, 7, 20, 200, 9000]))) for i in range(12)}
+    texts[12] = "A" * 5000
+    peptides = {"I", "AK", "W", "A" * 4999, "A" * 5001, "AIKAIKAIK"}
+    for n in (1, 2, 3, 4, 5, 8, 10, 11, 12, 30, 5000):
+        for t in texts.values():
+            if len(t) >= n:
+                at = rnd.randrange(len(t) - n + 1)
+                peptides |= {t[at : at + n], t[at : at + n - 1] + "K", t[:n], t[len(t) - n :]}
+    got = kmer_contains_join(
+        spark.createDataFrame([(p,) for p in peptides] + [(None,), ("",)], "peptide string"),
+        spark.createDataFrame([*texts.items(), (13, None)], "protein_id int, sequence string"),
+    )
+    want = {(p, i) for p in peptides for i, t in texts.items() if p in t}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
