@@ -57,6 +57,11 @@ MARKED_WORDS = frozenset(
     "pager popup promo promoted related replies reply respond search share sharing sidebar signup skip social sponsor "
     "sponsored subscribe subscription toolbar widget widgets masthead".split()
 )
+#: Words that make an ``article`` element a comment, a teaser or an advert.
+NO_ARTICLE = frozenset(
+    "ad ads adv advert advertisement adverts comment comments disqus promo promoted related replies reply respond "
+    "sponsor sponsored teaser teasers".split()
+)
 ARTICLE_NAMES = frozenset(
     "article articlebody article-body article-content article-text article__body content-body entry-content main "
     "main-content maincontent post-body post-content post-text story story-body".split()
@@ -108,9 +113,13 @@ class Blocks(HTMLParser):
             or "display:none" in (attrs.get("style") or "").lower().replace(" ", "")
         ):
             return DROPPED
+        words = {w for n in names for w in re.split("[-_]+", n)}
+        if tag == "article" and words & NO_ARTICLE:
+            return DROPPED
         if tag in ("article", "main") or names & ARTICLE_NAMES:
             return ARTICLE
-        words = {w for n in names for w in re.split("[-_]+", n)}
+        if within == ARTICLE and tag not in BLOCK and tag != "ins":
+            return None  # a word of the article's text, whatever its style is called
         if words & MARKED_WORDS or ((tag == "header" or "header" in words) and within != ARTICLE):
             return DROPPED
         return None

@@ -105,3 +105,14 @@ def test_a_notice_on_few_pages_of_a_large_host_goes_and_a_phrase_stays(spark):
     own = lambda i: f"Page{i} on the other hand of course has{i} own{i} words{i}"
     rows = [(i, "http://a.example/x", f"{notice if i < 3 else ''}<div>{own(i)}</div>") for i in range(80)]
     assert _texts(spark, rows) == [own(i) for i in range(80)]
+
+
+def test_comments_and_teasers_in_articles_go_and_inline_words_stay(spark):
+    pages = [
+        (1, "http://h/1", '<article>Main</article><article class="comment">I think so</article>'),
+        (2, "http://h/2", '<main><p>Main</p><article class="comment-reply">I think so</article><p>end</p></main>'),
+        (3, "http://h/3", '<article>Main</article><article class="related teaser">Read this too</article>'),
+        (4, "http://h/4", '<article><p>Body <span class="search">term</span> <a class="social">link</a> end</p><div class="share">Share</div></article>'),
+        (5, "http://h/5", '<article><p>Body</p><ins class="adsbygoogle ads">Buy</ins></article>'),
+    ]
+    assert _texts(spark, pages) == ["Main", "Main end", "Main", "Body term link end", "Body"]
