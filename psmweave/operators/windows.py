@@ -196,8 +196,8 @@ def best_annotation(
 def sample_per_group(
     rows: DataFrame, key: Sequence[str], n: int, identity: Sequence[str], seed: int = 0
 ) -> DataFrame:
-    """Up to ``n`` rows per group in a seeded hash order (T4); repeatable on any cluster."""
-    h = rows.withColumn("_h", F.xxhash64(F.lit(seed), *identity))
+    """Up to ``n`` rows per group in the order of a seeded MD5 (T4); repeatable on any cluster and engine."""
+    h = rows.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in identity])))
     order = [("_h", True)] + [(c, True) for c in identity]
     return top_k(h, n, key, order).drop("_h")
 

@@ -37,7 +37,7 @@ def parse_headers(df: DataFrame) -> DataFrame:
     tagged = cut.select("*", described.alias("_described"), tags.alias("_tags"))
 
     def tag(name: str) -> Column:
-        return F.substring(F.col("_tags")[name], len(name) + 2, 1_000_000)
+        return F.substr(F.col("_tags")[name], F.lit(len(name) + 2))
 
     return tagged.select(
         *df.columns,

@@ -52,12 +52,24 @@ def read_features(
     return df.select(*key, *names)
 
 
-def read_partitions(spark: SparkSession, pattern: str, target: str | None = None, files: int = 1) -> DataFrame:
-    """Many partition files as one table, optionally rewritten as ``files`` files."""
+#: Size that rewritten files should have.
+FILE_BYTES = 256 << 20
+
+
+def read_partitions(
+    spark: SparkSession, pattern: str, target: str | None = None, file_bytes: int = FILE_BYTES
+) -> DataFrame:
+    """Many partition files as one table, optionally rewritten as files of about ``file_bytes``.
+
+    The number of files follows from the sizes of those there are; whole ones are put together by as many
+    tasks, without a shuffle. Files larger than that are left to Spark's own splits.
+    """
     df = spark.read.option("mergeSchema", True).parquet(pattern)
     if target is None:
         return df
-    df.coalesce(files).write.parquet(target)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
+    size = listed.load(pattern).agg(F.sum("length")).first()[0] or 0  # lists the files, reads none
+    df.coalesce(max(1, -(-size // file_bytes))).write.parquet(target)
     return spark.read.parquet(target)
 
 

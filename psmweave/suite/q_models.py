@@ -243,8 +243,7 @@ def m8(spark, sf):
 
 @query(
     "M9_incremental_rescore",
-    "SELECT run, engine, count(*) AS n, round(sum(CASE WHEN run = 'run_0' THEN score ELSE score * 2 END), 3) AS total "
-    "FROM psms GROUP BY 1, 2",
+    "SELECT run, spectrum_id, engine, psm_no, round(CASE WHEN run = 'run_0' THEN score ELSE score * 2 END, 6) AS score FROM psms",
 )
 def m9(spark, sf):
     """run_0 exists already; the second pass only writes the other runs."""
@@ -255,9 +254,7 @@ def m9(spark, sf):
     psms = V.psms(spark, sf)
     incremental_rescore(psms.filter("run = 'run_0'"), path, lambda df: df)
     out = incremental_rescore(psms, path, lambda df: df.withColumn("score", F.col("score") * 2))
-    return out.groupBy("run", "engine").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 3).alias("total")
-    )
+    return _r(out.select("run", "spectrum_id", "engine", "psm_no", "score"), "score")
 
 
 @query("M9_rescore_with_models")

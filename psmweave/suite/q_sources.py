@@ -544,20 +544,26 @@ def s21(spark, sf):
     return tables.read_features(spark, path, ["n_residues", "squared"])
 
 
-@query("S22_read_partitions", "SELECT run, engine, count(*) AS n FROM psms GROUP BY 1, 2")
+_PSM_ROWS = ["run", "spectrum_id", "engine", "psm_no", "peptide", "score", "rank"]
+_PSM_ROWS_SQL = "SELECT run, spectrum_id, engine, psm_no, peptide, round(score, 6) AS score, rank FROM psms"
+
+
+def _psm_rows(df):
+    return df.select(*_PSM_ROWS).withColumn("score", F.round("score", 6))
+
+
+@query("S22_read_partitions", _PSM_ROWS_SQL)
 def s22(spark, sf):
     path, target = scratch_path(spark, "parts"), scratch_path(spark, "collapsed")
     V.psms(spark, sf).repartition(5).write.parquet(path)
-    return S.count_by(tables.read_partitions(spark, path, target, files=2), "run", "engine")
+    return _psm_rows(tables.read_partitions(spark, path, target, file_bytes=64 << 10))
 
 
-@query("S23_write_psm_table", "SELECT run, engine, count(*) AS n, round(sum(score), 3) AS total FROM psms GROUP BY 1, 2")
+@query("S23_write_psm_table", _PSM_ROWS_SQL)
 def s23(spark, sf):
     path = scratch_path(spark, "psms")
     tables.write_psm_table(V.psms(spark, sf), path)
-    return spark.read.parquet(path).groupBy("run", "engine").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 3).alias("total")
-    )
+    return _psm_rows(spark.read.parquet(path))
 
 
 _PROT_SQL = "SELECT protein_id, organism, sequence FROM proteins WHERE sequence <> ''"

@@ -692,12 +692,16 @@ def t3(spark, sf):
     return combos.filter("n >= 20").select("combination", "n")
 
 
-@query("T4_sample_per_group")
+@query(
+    "T4_sample_per_group",
+    "SELECT run, spectrum_id, engine, psm_no FROM psms QUALIFY row_number() OVER (PARTITION BY run, spectrum_id "
+    "ORDER BY md5(concat_ws('|', '7', engine, psm_no::VARCHAR)), engine, psm_no) <= 3",
+)
 def t4(spark, sf):
     """Seeded sample: 3 PSMs per spectrum (the sampling operator itself)."""
     return W.sample_per_group(
         V.psms(spark, sf), J.KEY, 3, ["engine", "psm_no"], seed=7
-    ).select(*J.PSM_KEY)
+    ).select(*J.KEY, "engine", "psm_no")
 
 
 @query(
