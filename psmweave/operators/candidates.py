@@ -71,6 +71,12 @@ def _pick(
     return sample_per_group(alternatives, [mass], n, ["alternative"], seed)
 
 
+def _modification_mass(mod: Column) -> Column:
+    """Mass of a terminal modification ``[name]-``; none and unknown ones weigh nothing."""
+    masses = F.create_map(*[F.lit(x) for kv in K.MODIFICATION_MASS.items() for x in kv])
+    return F.coalesce(F.element_at(masses, F.regexp_extract(mod, r"\[([^\]]*)\]", 1)), F.lit(0.0))
+
+
 def terminal_variants(
     psms: DataFrame,
     table: DataFrame,
@@ -100,13 +106,7 @@ def terminal_variants(
                 "_mod": F.regexp_extract("peptide", r"^(\[[^\]]*\]-)", 1),
             }
         )
-        mod_mass = F.coalesce(
-            F.element_at(
-                F.create_map(*[F.lit(x) for kv in K.MODIFICATION_MASS.items() for x in kv]),
-                F.regexp_extract("_mod", r"\[([^\]]*)\]", 1),
-            ),
-            F.lit(0.0),
-        )
+        mod_mass = _modification_mass(F.col("_mod"))
         plain = rows.withColumn("_keep", F.lit(""))
         kept = rows.filter("_mod <> ''").withColumns(
             {"_keep": F.col("_mod"), "tag_mass": F.round(F.col("tag_mass") - mod_mass, 6)}
@@ -126,6 +126,37 @@ def terminal_variants(
     return sample_per_group(variants.distinct(), key, n, ["variant"], seed)
 
 
+#: Numbers of combinations beyond this are drawn from with a hash per further stretch.
+_MOST = 1 << 55
+
+
+def _drawn(parts: Sequence[Column]) -> Column:
+    """A number of 52 bits from the MD5 of some values."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("long")
+
+
+def _windows(rows: DataFrame, key: Sequence[str], max_tag: int) -> DataFrame:
+    """Every window of the unsupported stretches: ``site_no, start, width, keep, tag_mass``.
+
+    A stretch at the N-terminus has its first residues as the only window, with the terminal modification
+    either counted to the replaced mass or kept; others have a window at every place.
+    """
+    sites = rows.select(*key, "_m", "_mod", "_mod_mass", F.posexplode(ambiguous_ranges("evidence")).alias("site_no", "r"))
+    length = F.col("r.end") - F.col("r.start")
+    shifts = F.when(F.col("r.start") == 0, F.array(F.lit(0))).otherwise(
+        F.sequence(F.lit(0), F.greatest(length - max_tag, F.lit(0)))
+    )
+    plain = sites.select(
+        *key, "site_no", "_m", "_mod", "_mod_mass", F.explode(F.transform(shifts, lambda x: x + F.col("r.start"))).alias("start"),
+        F.least(length, F.lit(max_tag)).alias("width"), F.lit("").alias("keep"),
+    )
+    plain = plain.withColumn("tag_mass", _sum(F.slice("_m", F.col("start") + 1, F.col("width"))))
+    kept = plain.filter("start = 0 AND _mod <> ''").withColumns(
+        {"keep": F.col("_mod"), "tag_mass": F.round(F.col("tag_mass") - F.col("_mod_mass"), 6)}
+    )
+    return plain.unionByName(kept).select(*key, "site_no", "start", "width", "keep", "tag_mass")
+
+
 def ambiguous_variants(
     psms: DataFrame,
     table: DataFrame,
@@ -134,56 +165,77 @@ def ambiguous_variants(
     max_tag: int = 5,
     seed: int = 0,
 ) -> DataFrame:
-    """Peptides whose unsupported stretches are replaced at random by equal mass.
+    """Peptides whose unsupported stretches are replaced by equal mass, in ``n`` random combinations.
 
-    Every draw picks one alternative per stretch by a seeded hash; stretches longer than
-    ``max_tag`` pick one window of that length first.  Distinct peptides remain.  The
-    replaced window always keeps its mass.
+    A combination is a number below the product of the stretches' options, read digit by digit. With more
+    than ``n`` combinations one is drawn from each of ``n`` equal parts, so all draws differ; otherwise all
+    are taken. The options of a stretch are up to ``n`` strings for each of its windows (see
+    :func:`_windows`), and the replaced window always keeps its mass; a stretch without options stays.
     """
+    key = list(key)
     rows = psms.select(*key, P.drop_charge("peptide").alias("peptide"), "evidence").withColumns(
-        {"_t": residue_tokens("peptide"), "_m": residue_masses("peptide")}
+        {"_t": residue_tokens("peptide"), "_m": residue_masses("peptide"), "_mod": F.regexp_extract("peptide", r"^(\[[^\]]*\]-)", 1)}
     )
-    sites = rows.select(*key, "_t", "_m", F.posexplode(ambiguous_ranges("evidence")).alias("site_no", "r"))
-    draws = sites.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    length = F.col("r.end") - F.col("r.start")
-    shift = F.when(
-        length > max_tag,
-        F.pmod(F.xxhash64(F.lit(seed), *key, "site_no", "draw"), length - max_tag + 1),
-    ).otherwise(F.lit(0)).cast("int")
-    draws = draws.withColumn("start", F.col("r.start") + shift).withColumn(
-        "width", F.least(length, F.lit(max_tag))
+    rows = rows.withColumn("_mod_mass", _modification_mass(F.col("_mod")))
+    windows = _windows(rows, key, max_tag)
+    picked = _pick(mass_alternatives(windows, table), "tag_mass", n, seed)
+    strings = picked.groupBy("tag_mass").agg(F.array_sort(F.collect_list("alternative")).alias("alts"))  # at most n
+    option = lambda a: F.struct(
+        F.col("start"), F.col("width"), F.concat("keep", a).alias("text")
     )
-    draws = draws.withColumn("tag_mass", _sum(F.slice("_m", F.col("start") + 1, F.col("width"))))
-    options = _pick(mass_alternatives(draws, table), "tag_mass", n, seed)
-    numbered = options.groupBy("tag_mass").agg(F.array_sort(F.collect_list("alternative")).alias("alts"))
-    # ``alts`` holds at most n strings.
-    choice = F.get(
-        "alts", F.pmod(F.xxhash64(F.lit(seed + 1), *key, "site_no", "draw"), F.size("alts")).cast("int")
+    sites = (
+        windows.join(strings, "tag_mass", "left")
+        .withColumn("options", F.transform(F.coalesce("alts", F.array().cast("array<string>")), option))
+        .groupBy(*key, "site_no")
+        .agg(F.flatten(F.array_sort(F.collect_list("options"))).alias("options"))  # one entry per window of the stretch
+        .filter(F.size("options") > 0)
+        .groupBy(*key)
+        .agg(F.array_sort(F.collect_list(F.struct("site_no", "options"))).alias("s"))  # one entry per stretch
     )
-    picked = draws.join(numbered, "tag_mass", "left").select(
-        *key, "draw", "start", "width", "_t",
-        F.coalesce(choice, F.array_join(F.slice("_t", F.col("start") + 1, F.col("width")), "")).alias("alt"),
+    size = lambda x: F.size(x["options"]).cast("long")
+    total = F.aggregate(
+        "s", F.lit(1).cast("long"), lambda t, x: F.when(t <= F.lit(_MOST) / size(x), t * size(x)).otherwise(t)
     )
-    per_draw = picked.groupBy(*key, "draw").agg(
-        F.first("_t").alias("_t"), F.array_sort(F.collect_list(F.struct("start", "width", "alt"))).alias("s")
-    )  # one entry per stretch of the peptide
+    counted = sites.withColumn("total", total).withColumn("draws", F.least("total", F.lit(n).cast("long")))
+    low, high = (F.expr(f"(CAST(draw AS BIGINT) + {k}) * total div draws") for k in (0, 1))
+    drawn = counted.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1))).withColumn(
+        "number", low + F.pmod(_drawn([F.lit(seed), *map(F.col, key), F.col("draw")]), high - low)
+    )
+
+    def choose(acc: Column, x: Column) -> Column:
+        fits = acc["product"] <= F.col("total") / size(x)
+        digit = F.when(fits, F.pmod(acc["rest"], size(x))).otherwise(
+            F.pmod(_drawn([F.lit(seed), *map(F.col, key), F.col("draw"), x["site_no"]]), size(x))
+        )
+        taken = F.get(x["options"], digit.cast("int"))
+        return F.struct(
+            F.when(fits, F.floor(acc["rest"] / size(x))).otherwise(acc["rest"]).cast("long").alias("rest"),
+            F.when(fits, acc["product"] * size(x)).otherwise(acc["product"]).alias("product"),
+            F.array_append(acc["chosen"], taken).alias("chosen"),
+        )
+
+    empty = F.array().cast("array<struct<start: int, width: int, text: string>>")
+    start = F.struct(F.col("number").alias("rest"), F.lit(1).cast("long").alias("product"), empty.alias("chosen"))
+    chosen = drawn.select(*key, F.aggregate("s", start, choose, lambda a: a["chosen"]).alias("chosen"))
+    _t = F.col("_t")
     built = F.aggregate(
-        "s",
+        "chosen",
         F.struct(F.lit("").alias("text"), F.lit(0).alias("at")),
         lambda acc, x: F.struct(
             F.concat(
                 acc["text"],
-                F.array_join(F.slice(F.col("_t"), acc["at"] + 1, x["start"] - acc["at"]), ""),
-                x["alt"],
+                F.array_join(F.slice(_t, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))), ""),
+                x["text"],
             ).alias("text"),
             (x["start"] + x["width"]).alias("at"),
         ),
         lambda acc: F.concat(
-            acc["text"],
-            F.array_join(F.slice(F.col("_t"), acc["at"] + 1, F.greatest(F.size("_t") - acc["at"], F.lit(0))), ""),
+            acc["text"], F.array_join(F.slice(_t, acc["at"] + 1, F.greatest(F.size(_t) - acc["at"], F.lit(0))), "")
         ),
     )
-    return per_draw.select(*key, built.alias("variant")).distinct()
+    tokens = rows.select(*[F.col(c).alias(f"_k_{c}") for c in key], "_t")
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key]
+    return chosen.join(tokens, same).select(*key, built.alias("variant")).distinct()
 
 
 def candidate_set(

@@ -340,16 +340,73 @@ def _with_evidence(spark, sf):
     )
 
 
-@query("G3_ambiguous_variants")
-def g3(spark, sf):
-    table = G.mass_table(spark)
-    return G.ambiguous_variants(_with_evidence(spark, sf), table, J.KEY, n=5)
+_DRAWN = "('0x' || substr(md5({0}), 1, 13))::BIGINT"
+
+#: The evidence leaves single sites out, so every stretch has two residues and one window.
+_G3_SQL = """
+sp AS (SELECT DISTINCT run, spectrum_id, gt_peptide AS peptide FROM gt_ok),
+ws AS (SELECT run, spectrum_id, peptide, i - 1 AS start, substr(peptide, i::INT, 2) AS tag,
+  row_number() OVER (PARTITION BY run, spectrum_id, peptide ORDER BY i) - 1 AS site_no
+  FROM sp, range(1, 40) r(i) WHERE i < length(peptide) AND (spectrum_id + i) % 3 = 0),
+tm AS (SELECT tag, round(a.m + b.m, 6) AS tag_mass FROM (SELECT DISTINCT tag FROM ws)
+  JOIN residue_mass a ON a.aa = substr(tag, 1, 1) JOIN residue_mass b ON b.aa = substr(tag, 2, 1)),
+al AS (SELECT tag_mass, aa FROM (SELECT DISTINCT tag_mass FROM tm) JOIN mt ON abs(mt.mass - tag_mass) < 0.02
+  QUALIFY row_number() OVER (PARTITION BY tag_mass ORDER BY md5('0|' || aa), aa) <= 100),
+ao AS (SELECT tag_mass, list(aa ORDER BY aa) AS options FROM al GROUP BY 1),
+si AS (SELECT ws.*, options, len(options) AS n FROM ws JOIN tm USING (tag) JOIN ao USING (tag_mass)),
+tt AS (SELECT run, spectrum_id, peptide, product(n)::BIGINT AS total, least(product(n)::BIGINT, 100) AS draws,
+  list(start ORDER BY site_no) AS starts, list(options ORDER BY site_no) AS options, list(n ORDER BY site_no) AS ns FROM si GROUP BY ALL),
+dr AS (SELECT *, (d * total) // draws + """ + _DRAWN.format("concat_ws('|', '0', run, spectrum_id, {id}d)") + """
+  % (((d + 1) * total) // draws - (d * total) // draws) AS number FROM tt, range(0, 100) r(d) WHERE d < draws),
+bu AS (SELECT run, spectrum_id, peptide, number AS rest, 0 AS k, 0::BIGINT AS pos, '' AS text, starts, options, ns FROM dr UNION ALL
+  SELECT run, spectrum_id, peptide, rest // ns[k + 1], k + 1, starts[k + 1] + 2,
+    text || substr(peptide, (pos + 1)::INT, (starts[k + 1] - pos)::INT) || options[k + 1][rest % ns[k + 1] + 1], starts, options, ns
+  FROM bu WHERE k < len(ns)),
+va AS (SELECT DISTINCT run, spectrum_id, text || substr(peptide, (pos + 1)::INT) AS variant FROM bu WHERE k = len(ns))
+"""
 
 
-@query("G4_candidate_set")
-def g4(spark, sf):
+def _variants(df, *group):
+    """All variants of a group as one hash, so that every one of them counts."""
+    spelled = F.array_join(F.array_sort(F.collect_list("variant")), ",")
+    return df.groupBy(*J.KEY, *group).agg(F.count(F.lit(1)).alias("n"), F.md5(spelled).alias("variants"))
+
+
+_VARIANTS_SQL = "count(*) AS n, md5(string_agg(variant, ',' ORDER BY variant)) AS variants"
+
+
+@query(
+    "G3_ambiguous_variants",
+    "WITH RECURSIVE " + _TABLE_SQL.rstrip() + "," + _G3_SQL.format(id="")
+    + f"SELECT run, spectrum_id, {_VARIANTS_SQL} FROM va GROUP BY ALL",
+)
+def g3(spark, sf):
     table = G.mass_table(spark)
-    out = G.candidate_set(_with_evidence(spark, sf), table, J.KEY, n=5)
-    return S.count_by(out, *J.KEY, "source")
+    return _variants(G.ambiguous_variants(_with_evidence(spark, sf), table, J.KEY))
+
+
+#: Terminal variants: 100 strings per mass, 100 variants per peptide and end, without the peptides themselves.
+_ENDS_SQL = """,
+en AS (SELECT run, spectrum_id, peptide, 'n' AS side, substr(peptide, 1, 3) AS tag, substr(peptide, 4) AS rest FROM sp UNION ALL
+  SELECT run, spectrum_id, peptide, 'c', right(peptide, 3), left(peptide, greatest(length(peptide) - 3, 0)::INT) FROM sp),
+em AS (SELECT tag, round(sum(m), 6) AS tag_mass FROM (SELECT tag, unnest(string_split(tag, '')) AS aa FROM (SELECT DISTINCT tag FROM en))
+  JOIN residue_mass USING (aa) GROUP BY 1),
+ea AS (SELECT tag_mass, mt.aa FROM (SELECT DISTINCT tag_mass FROM em) JOIN mt ON abs(mt.mass - tag_mass) < 0.02
+  QUALIFY row_number() OVER (PARTITION BY tag_mass ORDER BY md5('0|' || mt.aa), mt.aa) <= 100),
+ev AS (SELECT DISTINCT run, spectrum_id, peptide, side, CASE side WHEN 'n' THEN aa || rest ELSE rest || aa END AS variant
+  FROM en JOIN em USING (tag) JOIN ea USING (tag_mass)),
+e1 AS (SELECT run, spectrum_id, variant FROM (SELECT DISTINCT run, spectrum_id, variant FROM (SELECT * FROM ev
+    QUALIFY row_number() OVER (PARTITION BY run, spectrum_id, peptide, side ORDER BY md5('0|' || variant), variant) <= 100)
+  ) e WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.run = e.run AND sp.spectrum_id = e.spectrum_id AND sp.peptide = e.variant)),
+e2 AS (SELECT * FROM e1 QUALIFY row_number() OVER (PARTITION BY run, spectrum_id ORDER BY md5('0|' || variant), variant) <= 1000)
+"""
 
 
+@query(
+    "G4_candidate_set",
+    "WITH RECURSIVE " + _TABLE_SQL.rstrip() + "," + _G3_SQL.format(id="peptide, ").rstrip() + _ENDS_SQL
+    + f"SELECT run, spectrum_id, source, {_VARIANTS_SQL} FROM (SELECT run, spectrum_id, variant, 'Ambiguous' AS source FROM va "
+    "UNION ALL SELECT run, spectrum_id, variant, 'Terminal-variant' FROM e2) GROUP BY ALL",
+)
+def g4(spark, sf):
+    return _variants(G.candidate_set(_with_evidence(spark, sf), G.mass_table(spark), J.KEY), "source")
