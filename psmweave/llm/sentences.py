@@ -33,8 +33,8 @@ from psmweave.llm import pieces
 from psmweave.llm.pieces import BPE, MARK, Vocabulary
 
 #: Characters of text handled at once, and encoded words a worker remembers between chunks.
-CHUNK = 2_000_000
-REMEMBERED = 200_000
+CHUNK = 4_000_000
+REMEMBERED = 500_000
 
 
 def merged(text: str, ranks: dict[str, int]) -> list[str]:
