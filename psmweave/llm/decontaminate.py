@@ -8,21 +8,27 @@ item with fewer words is one shingle of all its words).
    without that many benchmark shingles inside cannot pass and get no fingerprint. This loses nothing.
 2. A window's 64-bit SimHash counts the set bits of its shingle hashes, weighted by how often a
    shingle occurs, in 16-bit lanes of 16 integers.
-3. Four blocks of 16 bits index the fingerprints of the items. Of fingerprints at most 15 bits apart
-   one block differs in three bits at most, so items are listed under every block value within three
-   bits and a window looks up its four block values: all pairs within the radius meet.
-4. Pairs beyond the radius meet through shingles: a window of n shingles that shares the k needed with an
-   item has one of it among any n - k + 1 of its own. This loses nothing, so the radius changes no result.
-5. All these pairs are verified by their weighted Jaccard similarity, with a shingle's count in the
+3. Four blocks of 16 bits index the fingerprints of the items. Of fingerprints at most ``radius`` bits
+   apart one block differs in ``radius // 4`` bits at most. Items are listed under every block value within
+   two bits, and a window looks up its block values with the flips that are left (two, for a radius of 19):
+   all pairs within the radius meet.
+4. These candidates are verified by their weighted Jaccard similarity, with a shingle's count in the
    window or item as its weight.
 
+Recall: a window of similarity s differs from its item in each bit with probability
+``arccos(2 s / (1 + s)) / pi``, 0.151 at 0.8, so of the pairs at exactly 0.8 about one in a thousand lies beyond
+19 bits, and far fewer of those above. ``exact=True`` also compares pairs that meet through shingles they must
+share (a window of n shingles that shares the k needed with an item has one of it among any n - k + 1 of its
+own; the rarest of the benchmark are taken), which is brute force's result whatever the radius.
+
 Windows of equal content are compared once, so a passage that a third of the corpus holds costs one
-fingerprint. Shingle hashes of the benchmark and the list of texts with windows may be broadcast, but
-only after counting them (``BROADCAST_ROWS``); beyond that the same joins are shuffled.
+fingerprint. Shingle hashes of the benchmark, the list of texts with windows and the index are broadcast only
+after counting them (``BROADCAST_ROWS``, ``INDEX_ROWS``); beyond that the same joins are shuffled.
 
-Defined results: null, empty and blank texts match nothing; a text shorter than an item is one
-window; rows under the same ids give one row, that of the best window; empty tables give no rows; other columns are not read. ``doc_id`` and ``item_id`` identify rows; texts under a null id
-are left alone.
+Defined results: null, empty and blank texts match nothing; a text shorter than an item is one window; a null
+``doc_id`` is a value like any other; rows that repeat ``doc_id`` and text count once, rows that share an id but
+not a text are judged each on its own; items of one ``item_id`` give one row, that of the best window; items
+under a null id are left out; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,12 +44,18 @@ from psmweave.llm.text import let, shingle_hashes, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 15
+RADIUS = 19
 BLOCKS = 4
 
+#: Bits of a block that the index flips; the lookup flips the rest.
+LISTED_FLIPS = 2
+
 #: Rows (of a few hundred bytes at most) up to which a counted table is sent to every executor.
 BROADCAST_ROWS = 100_000
 
+#: Rows of the index (four numbers, at most 160 bytes each in memory) up to which it is sent to every executor.
+INDEX_ROWS = 500_000
+
 _LANES = 16
 _LANE_BITS = 0x0001000100010001
 
@@ -164,38 +176,56 @@ def _starts(positions: Column, length: Column, size: Column, least: Column) -> C
     )
 
 
-def _counted(small: DataFrame) -> DataFrame:
-    """``small``, with a broadcast hint if its rows are few enough."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+def _counted(small: DataFrame, most: int | None = None) -> DataFrame:
+    """``small`` for a broadcast if its rows are few enough, else for a sort-merge join."""
+    bound = BROADCAST_ROWS if most is None else most
+    return F.broadcast(small) if small.count() <= bound else small.hint("merge")
+
+
+def text_hash(docs: DataFrame) -> Column:
+    """Tells texts under one ``doc_id`` apart."""
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def _same_text(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS
+    docs: DataFrame,
+    benchmark: DataFrame,
+    similarity: float = SIMILARITY,
+    radius: int = RADIUS,
+    exact: bool = False,
 ) -> DataFrame:
-    """``doc_id, item_id, start, n_words, similarity``: per document and item the best window.
+    """``doc_id, text_hash, item_id, start, n_words, similarity``: per text and item the best window.
 
     ``start`` is the window's first word (from 0), ``n_words`` its length; of equally similar windows
-    the first is taken.
+    the first is taken. ``exact`` adds the pairs beyond the radius.
     """
     if not 0 <= radius < 64:
         raise ValueError("the radius must lie between 0 and 63")
     items = written(_items(benchmark), "benchmark-items")
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most SHINGLE values
     found = [
-        _find(docs, items.filter(F.col("width") == k), k, similarity, radius) for k in widths or [SHINGLE]
+        _find(docs, items.filter(F.col("width") == k), k, similarity, radius, exact) for k in widths or [SHINGLE]
     ]
     return (
         reduce(DataFrame.unionAll, found)
-        .groupBy("doc_id", "item_id")
+        .groupBy("doc_id", "text_hash", "item_id")
         .agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words")).alias("b"))
-        .select("doc_id", "item_id", (-F.col("b.s")).alias("start"), "b.n_words", "b.similarity")
+        .select("doc_id", "text_hash", "item_id", (-F.col("b.s")).alias("start"), "b.n_words", "b.similarity")
     )
 
 
-def _blocks(fingerprint: Column) -> Column:
-    return F.array(
-        *[F.struct(F.lit(k).alias("k"), block(fingerprint, k).alias("v")) for k in range(BLOCKS)]
-    )
+def _keys(fingerprint: Column, most: int) -> Column:
+    """Block numbers and values within ``most`` flips of a fingerprint's four blocks, as one integer each."""
+    masks = F.array(*[F.lit(m) for m in flips(16, most)])
+
+    def of_block(k: int) -> Column:
+        return let(block(fingerprint, k), lambda v: F.transform(masks, lambda m: v.bitwiseXOR(m) + F.lit(k << 16)))
+
+    return F.flatten(F.array(*[of_block(k) for k in range(BLOCKS)]))
 
 
 def _least(window: Column, length: Column, similarity: float) -> Column:
@@ -205,13 +235,15 @@ def _least(window: Column, length: Column, similarity: float) -> Column:
 
 
 def _windows(docs: DataFrame, items: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``doc_id, length, start, hashes``: windows that hold enough shingles of items of ``length`` shingles."""
+    """``doc_id, text_hash, length, start, hashes``: windows that hold enough shingles of items of ``length`` shingles."""
     lengths = items.select(F.explode("hashes").alias("h"), F.size("hashes").alias("length")).distinct()
-    texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
+    texts = docs.select("doc_id", text_hash(docs).alias("text_hash"), "text")
     seeds = written(
-        texts.select("doc_id", F.posexplode(shingle_hashes(words(F.lower("text")), width)).alias("pos", "h"))
+        texts.select(
+            "doc_id", "text_hash", F.posexplode(shingle_hashes(words(F.lower("text")), width)).alias("pos", "h")
+        )
         .join(_counted(lengths), "h")
-        .groupBy("doc_id", "length")
+        .groupBy("doc_id", "text_hash", "length")
         .agg(F.sort_array(F.collect_set("pos")).alias("positions")),
         "seeds",
     )
@@ -219,44 +251,58 @@ def _windows(docs: DataFrame, items: DataFrame, width: int, similarity: float) -
     least = _least(window, F.col("length"), similarity)
     starts = _starts(F.col("positions"), F.col("window"), F.size("hashes"), F.col("least"))
     return (
-        texts.join(_counted(seeds), "doc_id")
-        .select("doc_id", "length", "positions", shingle_hashes(words(F.lower("text")), width).alias("hashes"))
+        texts.join(_counted(seeds), _same_text(texts, seeds))
+        .select(texts["doc_id"], texts["text_hash"], "length", "positions", shingle_hashes(words(F.lower("text")), width).alias("hashes"))
         .select("*", window.alias("window"), least.alias("least"))
         .filter(F.size("positions") >= F.col("least"))
-        .select("doc_id", "length", "window", "hashes", F.explode(starts).alias("start"))
-        .select("doc_id", "length", "start", F.slice("hashes", F.col("start") + 1, F.col("window")).alias("hashes"))
+        .select("doc_id", "text_hash", "length", "window", "hashes", F.explode(starts).alias("start"))
+        .select("doc_id", "text_hash", "length", "start", F.slice("hashes", F.col("start") + 1, F.col("window")).alias("hashes"))
     )
 
 
-def _find(docs: DataFrame, items: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
-    windows = written(_windows(docs, items, width, similarity), "windows")
-    contents = written(windows.select("length", "hashes").distinct().withColumn("window", F.monotonically_increasing_id()), "contents")
-    listed = items.select("row", "item_id", F.size("hashes").alias("length"), F.col("hashes").alias("item_hashes"))
-    masks = F.array(*[F.lit(m) for m in flips(16, radius // BLOCKS)])
-    index = (
-        listed.select("row", "length", simhash(F.col("item_hashes")).alias("item_print"))
-        .select("row", "length", "item_print", F.explode(_blocks(F.col("item_print"))).alias("b"))
-        .select("row", "length", "item_print", "b.k", F.explode(F.transform(masks, lambda m: F.col("b.v").bitwiseXOR(m))).alias("v"))
-    )
-    looked = (
-        contents.select("length", "window", simhash(F.col("hashes")).alias("print"))
-        .select("length", "window", "print", F.explode(_blocks(F.col("print"))).alias("b"))
-        .select("length", "window", "print", "b.k", "b.v")
+def _near(contents: DataFrame, listed: DataFrame, radius: int) -> DataFrame:
+    """``window, row``: windows and items of one length whose fingerprints differ in ``radius`` bits at most."""
+    most = radius // BLOCKS
+    index = written(
+        listed.select("row", "length", simhash(F.col("item_hashes")).alias("item_print")).select(
+            "row", "length", "item_print", F.explode(_keys(F.col("item_print"), min(most, LISTED_FLIPS))).alias("key")
+        ),
+        "fingerprint-index",
     )
-    near = (
-        looked.join(index, ["length", "k", "v"])
+    prints = written(contents.select("length", "window", simhash(F.col("hashes")).alias("print")), "prints")
+    return (
+        prints.select("length", "window", "print", F.explode(_keys(F.col("print"), max(most - LISTED_FLIPS, 0))).alias("key"))
+        .join(_counted(index, INDEX_ROWS), ["length", "key"])
         .filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
         .select("window", "row")
     )
-    spare = F.size("hashes") - _least(F.size("hashes"), F.col("length"), similarity) + 1
-    sharing = (
-        contents.select("length", "window", F.explode(F.array_distinct(F.slice(F.sort_array("hashes"), F.lit(1), spare))).alias("h"))
-        .join(listed.select("length", "row", F.explode(F.array_distinct("item_hashes")).alias("h")), ["length", "h"])
-        .select("window", "row")
+
+
+def _sharing(contents: DataFrame, listed: DataFrame, similarity: float) -> DataFrame:
+    """``window, row``: pairs that share one of the window's shingles that are rarest in the benchmark."""
+    shingles = listed.select("length", "row", F.explode(F.array_distinct("item_hashes")).alias("h"))
+    holders = shingles.groupBy("length", "h").agg(F.count("*").alias("items"))
+    spare = F.size("ranked") - _least(F.size("ranked"), F.col("length"), similarity) + 1
+    rarest = (
+        contents.select("window", "length", F.explode("hashes").alias("h"))
+        .join(holders, ["length", "h"], "left")
+        .groupBy("window", "length")
+        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("items", F.lit(0)).alias("items"), "h"))).alias("ranked"))
+        .select("window", "length", F.explode(F.array_distinct(F.slice("ranked", F.lit(1), spare))).alias("at"))
+        .select("window", "length", "at.h")
     )
+    return rarest.join(shingles, ["length", "h"]).select("window", "row")
+
+
+def _find(docs: DataFrame, items: DataFrame, width: int, similarity: float, radius: int, exact: bool) -> DataFrame:
+    windows = written(_windows(docs, items, width, similarity), "windows")
+    contents = written(windows.select("length", "hashes").distinct().withColumn("window", F.monotonically_increasing_id()), "contents")
+    listed = items.select("row", "item_id", F.size("hashes").alias("length"), F.col("hashes").alias("item_hashes"))
+    pairs = _near(contents, listed, radius)
+    if exact:
+        pairs = pairs.unionAll(_sharing(contents, listed, similarity))
     matches = (
-        near.unionAll(sharing)
-        .distinct()
+        pairs.distinct()
         .join(contents.drop("length"), "window")
         .join(listed, "row")
         .withColumn("similarity", weighted_jaccard(F.col("hashes"), F.col("item_hashes")))
@@ -264,11 +310,12 @@ def _find(docs: DataFrame, items: DataFrame, width: int, similarity: float, radi
         .select("length", "hashes", "item_id", "similarity")
     )
     return windows.join(matches, ["length", "hashes"]).select(
-        "doc_id", "item_id", "start", (F.size("hashes") + width - 1).alias("n_words"), "similarity"
+        "doc_id", "text_hash", "item_id", "start", (F.size("hashes") + width - 1).alias("n_words"), "similarity"
     )
 
 
 def drop_leaks(docs: DataFrame, leaks: DataFrame) -> DataFrame:
-    """The documents without any leak, with their columns unchanged."""
-    gone = leaks.select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__leaked"], "left_anti")
+    """The documents whose text holds no leak, with their columns unchanged."""
+    gone = leaks.select(F.col("doc_id").alias("__leaked"), F.col("text_hash").alias("__leaked_text")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["__leaked"]) & (text_hash(docs) == gone["__leaked_text"])
+    return docs.join(gone, same, "left_anti")

@@ -32,7 +32,7 @@ def _best(text, item):
 
 
 def _all(docs, items):
-    return {(d, i): b for d, t in docs for i, x in items if d is not None and (b := _best(t, x))}
+    return {(d, i): b for d, t in docs for i, x in items if (b := _best(t, x))}
 
 
 def _found(df):
@@ -67,19 +67,23 @@ def test_edited_passages_and_odd_rows(spark):
     left = decontaminate.drop_leaks(table, decontaminate.find_leaks(table, bench))
     assert left.columns == table.columns
     assert sorted(x.doc_id or 0 for x in left.collect()) == sorted(d or 0 for d, _ in docs if d not in {a for a, _ in want})
+    assert _found(decontaminate.find_leaks(table, bench, exact=True)) == want
     assert decontaminate.find_leaks(table.limit(0), bench).count() == 0
     assert decontaminate.find_leaks(table, bench.limit(0)).count() == 0
 
 
-def test_index_lists_every_print_within_the_radius():
+def test_lookup_meets_every_print_within_the_radius():
     r = random.Random(2)
-    masks = set(decontaminate.flips(16, decontaminate.RADIUS // decontaminate.BLOCKS))
-    for _ in range(2000):
+    most = decontaminate.RADIUS // decontaminate.BLOCKS
+    listed = set(decontaminate.flips(16, decontaminate.LISTED_FLIPS))
+    looked = decontaminate.flips(16, most - decontaminate.LISTED_FLIPS)
+    for _ in range(500):
         a = r.getrandbits(64)
         b = a
         for bit in r.sample(range(64), decontaminate.RADIUS):
             b ^= 1 << bit
-        assert any((a >> 16 * k & 0xFFFF) ^ (b >> 16 * k & 0xFFFF) in masks for k in range(decontaminate.BLOCKS))
+        blocks = [(a >> 16 * k & 0xFFFF) ^ (b >> 16 * k & 0xFFFF) for k in range(decontaminate.BLOCKS)]
+        assert any(x ^ m in listed for x in blocks for m in looked)
 
 
 def test_simhash_by_brute_force(spark):
@@ -98,14 +102,41 @@ def test_radius_is_checked(spark):
         decontaminate.find_leaks(documents(spark, []), documents(spark, []), radius=64)
 
 
-def test_pairs_beyond_the_radius_are_found(spark):
+def _border_pairs(n):
+    """Items of 49 words and texts with one word changed: a similarity of exactly 0.8, the hardest to find."""
     r = random.Random(7)
     vocabulary = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
-    items = [(i, [r.choice(vocabulary) for _ in range(49)]) for i in range(60)]
+    items = [(i, [r.choice(vocabulary) for _ in range(49)]) for i in range(n)]
     docs = [(i, " ".join([*x[:24], "changed", *x[25:]])) for i, x in items]
-    items = [(i, " ".join(x)) for i, x in items]
+    return docs, [(i, " ".join(x)) for i, x in items]
+
+
+def test_recall_at_the_border(spark):
+    docs, items = _border_pairs(600)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(d, i): _best(t, x) for (d, t), (i, x) in zip(docs, items, strict=True)}
+    got = _found(decontaminate.find_leaks(documents(spark, docs), bench))
+    assert all(want[k] == v for k, v in got.items())
+    assert len(got) >= 0.99 * len(want)
+
+
+def test_radius_and_exact_mode_decide(spark, monkeypatch):
+    docs, items = _border_pairs(40)
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = _all(docs, items)
-    assert len(want) == 60
-    for radius in (0, decontaminate.RADIUS):
-        assert _found(decontaminate.find_leaks(documents(spark, docs), bench, radius=radius)) == want
+    table = documents(spark, docs)
+    assert len(want) == 40
+    assert _found(decontaminate.find_leaks(table, bench, radius=0)) == {}
+    assert _found(decontaminate.find_leaks(table, bench, radius=0, exact=True)) == want
+    monkeypatch.setattr(decontaminate, "INDEX_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert _found(decontaminate.find_leaks(table, bench)) == want
+
+
+def test_texts_under_one_id_or_none_are_judged_each(spark):
+    item = " ".join(f"word{i}" for i in range(20))
+    clean = " ".join(f"other{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    table = documents(spark, [(1, item), (1, clean), (None, item), (None, clean), (None, None), (2, clean)])
+    left = decontaminate.drop_leaks(table, decontaminate.find_leaks(table, bench)).collect()
+    assert sorted((x.doc_id or 0, x.text or "") for x in left) == [(0, ""), (0, clean), (1, clean), (2, clean)]
