@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade, in Spark functions only.
 
 Every rule says when a text is rejected. A bounded sample tells how often each rule rejects and how
-long it takes; the rules are then tried in the order of rejections per second, and the first that
-rejects ends the evaluation of a text (``CASE WHEN`` evaluates lazily). The order changes only the
-time: a text is kept if no rule rejects it, whatever the order.
+long it takes: one job evaluates every rule ``REPEATS`` times on each sampled row, between two readings of
+the executor's clock, and takes the median of the repeats' sums less that of a rule that does nothing, so
+neither the start of a job nor the order of the rules counts. The rules are then tried in the order of
+rejections per second, and the first that rejects ends the evaluation of a text (``CASE WHEN`` evaluates
+lazily). The order changes only the time: a text is kept if no rule rejects it, whatever the order.
 
 Defined results: null, empty and blank texts have no words and are rejected by the length rule;
 repeated rows are judged one by one; an empty table gives an empty table; other columns are neither
@@ -12,8 +14,7 @@ read nor changed.
 
 from __future__ import annotations
 
-import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,6 +28,9 @@ SYMBOLS = "#*$%&|<>"
 #: Rows of the sample on which cost and selectivity of the rules are estimated.
 SAMPLE_ROWS = 2000
 
+#: Evaluations of each rule per sampled row.
+REPEATS = 5
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -136,23 +140,62 @@ class Estimate:
         return self.rejected / max(self.seconds, 1e-6)
 
 
-def estimate(df: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Cost and selectivity of each rule on about ``sample_rows`` random rows, best rejection per second first.
+def _sampled(docs: DataFrame, sample_rows: int) -> DataFrame:
+    """About ``sample_rows`` random rows; only the sample is bounded, the cascade then runs over every row."""
+    return docs.sample(min(1.0, sample_rows / max(docs.count(), 1)), seed=7)
+
+
+def _timed(rules: Sequence[Rule]) -> Column:
+    """``repeat, rule, gone, nanos`` of every evaluation, in order; rule 0 does nothing."""
+    clock = F.expr("reflect('java.lang.System', 'nanoTime')").cast("long")
+
+    def reading(repeat: int, n: int, rejects: Column) -> Column:
+        return F.struct(
+            F.lit(repeat).alias("repeat"),
+            F.lit(n).alias("rule"),
+            clock.alias("began"),
+            F.coalesce(rejects, F.lit(False)).alias("gone"),
+            clock.alias("ended"),
+        )
+
+    tried = [F.lit(False), *[r.rejects for r in rules]]
+    return F.array(*[reading(k, n, rejects) for k in range(REPEATS) for n, rejects in enumerate(tried)])
+
 
-    Only the sample is bounded; the cascade itself then runs over every row.
+def estimate(
+    sample: DataFrame, tokens: Column, rules_of: Callable[[Column], Sequence[Rule]]
+) -> list[Estimate]:
+    """Cost and selectivity of each rule on ``sample``, best rejection per second first.
+
+    ``rules_of`` gives the rules from ``tokens``, which are cut once per row and not timed. Rules are
+    timed as parts of one expression per row, as the cascade evaluates them.
     """
-    share = min(1.0, sample_rows / max(df.count(), 1))
-    sample = df.sample(share, seed=7).persist()
-    try:
-        rows = sample.count()
-        found = []
-        for rule in rules:
-            began = time.perf_counter()
-            gone = sample.agg(F.count_if(F.coalesce(rule.rejects, F.lit(True)))).first()[0]
-            found.append(Estimate(rule, gone / max(rows, 1), time.perf_counter() - began))
-    finally:
-        sample.unpersist()
-    return sorted(found, key=lambda e: (-e.gain, e.seconds, e.rule.name))
+    names: list[Rule] = []
+
+    def readings(x: Column) -> Column:
+        names[:] = rules_of(x)
+        return _timed(names)
+
+    sums = (
+        sample.select(F.explode(let(tokens, readings)).alias("at"))
+        .groupBy("at.rule", "at.repeat")
+        .agg(
+            F.sum(F.col("at.ended") - F.col("at.began")).alias("nanos"),
+            F.avg(F.col("at.gone").cast("double")).alias("rejected"),
+        )
+        .groupBy("rule")
+        .agg(F.median("nanos").alias("nanos"), F.max("rejected").alias("rejected"))
+    )
+    found = {r.rule: r for r in sums.collect()}  # one row per rule
+    idle = found[0].nanos if found else 0.0
+
+    def of_rule(n: int, rule: Rule) -> Estimate:
+        if n not in found:
+            return Estimate(rule, 0.0, 0.0)
+        return Estimate(rule, found[n].rejected, max(found[n].nanos - idle, 0.0) / 1e9)
+
+    made = [of_rule(n, rule) for n, rule in enumerate(names, 1)]
+    return sorted(made, key=lambda e: (-e.gain, e.seconds, e.rule.name))
 
 
 def cascade(rules: Sequence[Rule]) -> Column:
@@ -170,8 +213,9 @@ def judge(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     below without cutting them for every rule; everything else is evaluated only where the cascade
     reaches it. Which of several rejecting rules is named depends on the measured order.
     """
-    cut = docs.select(docs["text"].alias("__text"), words(docs["text"]).alias("__words"))
-    ordered = [e.rule.name for e in estimate(cut, default_rules(F.col("__text"), F.col("__words")), sample_rows)]
+    sample = _sampled(docs.select(docs["text"]), sample_rows)
+    tried = estimate(sample, words(F.col("text")), lambda tokens: default_rules(F.col("text"), tokens))
+    ordered = [e.rule.name for e in tried]
 
     def verdict(tokens: Column) -> Column:
         rules = {r.name: r for r in default_rules(docs["text"], tokens)}
@@ -186,15 +230,27 @@ def keep_good(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def quality_digest(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Figures and verdict of every row; the cascade runs over the figures already measured."""
-    cut = docs.select("doc_id", F.col("text").alias("text"), words(docs["text"]).alias("words"))
-    text, tokens = F.col("text"), F.col("words")
-    measured = cut.select("doc_id", "text", "words", *[c.alias(k) for k, c in digest_columns(text, tokens).items()])
+    """Figures of every row and a verdict.
+
+    The figures are asked for in every row, so the rules are timed with the figures at hand, where those
+    that look at the text once more are the dear ones; the cascade runs only where the base limits hold.
+    """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    ordered = [e.rule for e in estimate(cut, default_rules(text, tokens), sample_rows)]
-    on_figures = {r.name: r for r in default_rules(text, tokens, {k: F.col(k) for k in names})}
-    verdict = cascade([on_figures[r.name] for r in ordered])
-    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    return measured.select(
-        "doc_id", *names, failed.alias("base_failed"), (~failed & verdict.isNull()).alias("kept")
+    figures = {k: F.col(k) for k in names}
+
+    def measured(df: DataFrame) -> DataFrame:
+        cut = df.select("doc_id", "text", words(df["text"]).alias("words"))
+        return cut.select("*", *[c.alias(k) for k, c in digest_columns(F.col("text"), F.col("words")).items()])
+
+    def rules(tokens: Column) -> list[Rule]:
+        return default_rules(F.col("text"), tokens, figures)
+
+    sample = measured(_sampled(docs.select("doc_id", "text"), sample_rows))
+    ordered = [e.rule.name for e in estimate(sample, F.col("words"), rules)]
+    by_name = {r.name: r for r in rules(F.col("words"))}
+    verdict = cascade([by_name[name] for name in ordered])
+    return (
+        measured(docs)
+        .withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
+        .select("doc_id", *names, "base_failed", F.when(F.col("base_failed"), False).otherwise(verdict.isNull()).alias("kept"))
     )

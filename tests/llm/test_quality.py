@@ -55,8 +55,24 @@ def test_order_changes_only_the_name(spark):
     assert names[2] is None and names[0] and names[1]
 
 
+def _order(docs, *rules):
+    found = quality.estimate(docs, quality.words(docs["text"]), lambda tokens: rules)
+    return [e.rule.name for e in found]
+
+
 def test_best_rule_comes_first(spark):
     docs = documents(spark, ["short", "also short", "one two three four five six seven eight nine ten"])
     text = docs["text"]
-    rules = [quality.Rule("never", text.isNull()), quality.Rule("often", ~text.contains("ten"))]
-    assert [e.rule.name for e in quality.estimate(docs, rules)] == ["often", "never"]
+    assert _order(docs, quality.Rule("never", text.isNull()), quality.Rule("often", ~text.contains("ten"))) == ["often", "never"]
+    assert sorted(_order(docs.limit(0), quality.Rule("a", text.isNull()), quality.Rule("b", text == ""))) == ["a", "b"]
+
+
+def test_a_cheap_rule_comes_before_a_dear_one_on_every_run(spark):
+    docs = documents(spark, [f"some words of row {i} " * 40 for i in range(200)] + ["x" * 40] * 50)
+    text = docs["text"]
+    dear = quality.Rule("dear", quality.F.size(quality.F.filter(quality.F.split(text, ""), lambda c: c.endswith("x"))) > 20)
+    middling = quality.Rule("middling", quality.n_of(text, "x") > 20)
+    cheap = quality.Rule("cheap", text.startswith("xx"))
+    for _ in range(3):
+        assert _order(docs, dear, middling, cheap) == ["cheap", "middling", "dear"]
+        assert _order(docs, cheap, dear, middling) == ["cheap", "middling", "dear"]
