@@ -34,3 +34,13 @@ def test_kept_ions_are_not_broadcast(spark):
     joins = [line for line in _plan(out).splitlines() if "BroadcastHashJoin" in line]
     assert not any("ion_index" in line for line in joins)
     assert {round(r.explained_y_pct, 6) for r in out.collect()} == {0.5}
+
+
+def test_psms_of_a_task_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "PSM_ROWS", 20)
+    spark.range(400).selectExpr(
+        "id AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "CAST(1 AS INT) AS l_linenumber", "CAST(id % 50 AS DOUBLE) AS l_quantity"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = V.psms(spark, str(tmp_path))
+    assert rows.count() == 400
+    assert rows.select(F.spark_partition_id().alias("p"), "*").agg(F.countDistinct("p")).first()[0] >= 15
