@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from psmweave.operators import candidates as G
 from psmweave.operators import fragments as E
 from psmweave.operators.ranges import binned_range_join
 from psmweave.suite import views as V
@@ -44,3 +45,22 @@ def test_psms_of_a_task_are_bounded(spark, tmp_path, monkeypatch):
     rows = V.psms(spark, str(tmp_path))
     assert rows.count() == 400
     assert rows.select(F.spark_partition_id().alias("p"), "*").agg(F.countDistinct("p")).first()[0] >= 15
+
+
+def test_terminal_variants_once_per_peptide(spark, monkeypatch):
+    given = []
+    plain = G.terminal_variants
+
+    def noted(psms, *args, **kw):
+        given.append(psms.count())
+        return plain(psms, *args, **kw)
+
+    monkeypatch.setattr(G, "terminal_variants", noted)
+    rows = [("r", i, p, [True] * 6) for i in range(30) for p in ("GLTDEKK", "LGTDEKK")]
+    psms = spark.createDataFrame(rows, "run string, spectrum_id long, peptide string, evidence array<boolean>")
+    table = G.mass_table(spark, lengths=(2, 3))
+    out = G.candidate_set(psms, table, ["run", "spectrum_id"], n=5, max_terminal=7)
+    ends = out.filter("source = 'Terminal-variant'").groupBy("spectrum_id").agg(F.sort_array(F.collect_list("variant")).alias("v")).collect()
+    assert given == [2, 2]
+    assert len(ends) == 30 and len({tuple(r.v) for r in ends}) == 1 and len(set(ends[0].v)) == 7
+    assert not {"GLTDEKK", "LGTDEKK"} & set(ends[0].v)
