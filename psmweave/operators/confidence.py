@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from psmweave.operators.joins import KEY
 from psmweave.operators.mixtures import Mixture, fit_mixtures
 from psmweave.operators.running import running
-from psmweave.operators.training import Trainer, accepted_from, begin, fit_all, scales, scored
+from psmweave.operators.training import Trainer, begin, fit_all, in_blocks, scales, select_anew
 from psmweave.runtime import checkpoint
 
 # -- Gaussian mixtures ---------------------------------------------------------------
@@ -249,13 +249,12 @@ def train_sets(
         for name, features in subsets.items()
         for fold in range(folds)
     }
-    begin(base, trainers, every, folds, train_fdr)
+    blocks = checkpoint(in_blocks(base))
+    begin(blocks, trainers, train_fdr)
     for done in range(rounds):
         if done:
-            cuts = {(r["set"], r.fold): r.cut for r in accepted_from(scored(base, trainers), train_fdr, ["set", "fold"]).collect()}
-            for which, t in trainers.items():
-                t.select_by(cuts.get(which))
-        fit_all(base, trainers, iterations)
+            select_anew(blocks, trainers, train_fdr)
+        fit_all(blocks, trainers, iterations)
     return {
         name: FoldModels(list(features), *map(list, zip(*(trainers[name, fold].on_raw_scale() for fold in range(folds)))))
         for name, features in subsets.items()
