@@ -64,3 +64,16 @@ def test_terminal_variants_once_per_peptide(spark, monkeypatch):
     assert given == [2, 2]
     assert len(ends) == 30 and len({tuple(r.v) for r in ends}) == 1 and len(set(ends[0].v)) == 7
     assert not {"GLTDEKK", "LGTDEKK"} & set(ends[0].v)
+
+
+def test_ambiguous_variants_meet_once_per_spectrum(spark):
+    """Options and draws are not shuffled again once a spectrum's windows have met."""
+    from psmweave.operators import candidates as G
+
+    table = spark.createDataFrame([(128.058578, ["AG", "GA", "Q"]), (184.121178, ["AL", "LA"])], "mass double, aa array<string>")
+    psms = spark.createDataFrame([("r", 1, "AGK", [False, True]), ("r", 2, "KAL", [True, False])], "run string, spectrum_id long, peptide string, evidence array<boolean>")
+    out = G.ambiguous_variants(psms, table, ["run", "spectrum_id"])
+    got = {(r.spectrum_id, r.variant) for r in out.collect()}
+    assert got == {(1, "AGK"), (1, "GAK"), (1, "QK"), (2, "KAL"), (2, "KLA")}
+    plan = out._jdf.queryExecution().sparkPlan().toString() + out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning(run#") == 1
