@@ -160,9 +160,11 @@ def _site_per_row(compared: DataFrame, key: Sequence[str], sites: Column) -> Dat
 
 
 def _annotated(sites: Column, evidence: Column, n_residues: Column, n_term_mods: Column) -> Column:
-    ranges = ambiguous_ranges(evidence)
+    # What holds for the whole row is worked out once for it: inside ``add`` it would be for every residue of every site.
+    whole = F.struct(ambiguous_ranges(evidence).alias("ranges"), (n_residues - 1 + n_term_mods).alias("last"))
 
-    def add(site: Column) -> Column:
+    def add(site: Column, row: Column) -> Column:
+        ranges = row["ranges"]
         # A range counts its end residue as well.
         unsure = F.transform(
             site["indices"], lambda i: F.exists(ranges, lambda r: (i >= r["start"]) & (i <= r["end"]))
@@ -178,10 +180,11 @@ def _annotated(sites: Column, evidence: Column, n_residues: Column, n_term_mods:
             .otherwise("partly")
             .alias("annotation"),
             F.element_at(site["indices"], 1).alias("n_term"),
-            (n_residues - last - 1 + n_term_mods + F.when(site["ends_deleted"], 1).otherwise(0)).alias("c_term"),
+            (row["last"] - last + F.when(site["ends_deleted"], 1).otherwise(0)).alias("c_term"),
         )
 
-    return F.transform(F.filter(sites, lambda s: F.size(s["indices"]) > 0), add)
+    found = F.filter(sites, lambda s: F.size(s["indices"]) > 0)
+    return F.transform(F.array(whole), lambda row: F.transform(found, lambda s: add(s, row)))[0]
 
 
 def site_evidence(

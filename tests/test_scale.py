@@ -77,3 +77,19 @@ def test_ambiguous_variants_meet_once_per_spectrum(spark):
     assert got == {(1, "AGK"), (1, "GAK"), (1, "QK"), (2, "KAL"), (2, "KLA")}
     plan = out._jdf.queryExecution().sparkPlan().toString() + out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning(run#") == 1
+
+
+def test_site_annotation_works_out_its_row_once(spark):
+    """The ranges without evidence are made per row, not for every residue of every site."""
+    from pyspark.sql import functions as F
+
+    from psmweave.operators import compare as C
+    from psmweave.operators.fragments import ambiguous_ranges
+
+    made = C._annotated(F.col("sites"), F.col("e"), F.lit(5), F.lit(0))
+    assert str(made).count("sequence(") == str(ambiguous_ranges("e")).count("sequence(") > 0
+    sites = "array<struct<source: string, target: string, indices: array<int>, mass_difference: double, ends_deleted: boolean>>"
+    rows = [([("A", "G", [0], 1.0, False), ("K", "R", [2, 3], 2.0, True)], [False, True, True, True]), (None, [True]), ([("A", "G", [0], 1.0, False)], [])]
+    got = spark.createDataFrame(rows, f"sites {sites}, e array<boolean>").select(made.alias("m")).collect()
+    assert [(s.annotation, s.n_term, s.c_term) for s in got[0].m] == [("absent", 0, 4), ("partly", 2, 2)]
+    assert got[1].m is None and [s.annotation for s in got[2].m] == ["complete"]
