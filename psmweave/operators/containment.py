@@ -1,86 +1,165 @@
 """Which peptides occur in a protein database.
 
-A first pass over the proteins cuts them into seeds at every ``stride``-th letter and stores where the
-seeds of some peptide lie; a peptide looks up ``stride`` consecutive seeds of its own, so every occurrence
+A first pass over the proteins looks at seeds at every ``stride``-th letter and stores where the seeds of
+some peptide lie; a peptide looks up ``stride`` consecutive seeds of its own, so every occurrence
 meets one stored seed.  Each peptide uses its rarest run of seeds, which keeps frequent words from pairing
-everything with everything.  A second pass checks the whole peptide at the place that its seed gives; no
-text travels with a seed, so a long peptide costs nothing but its own length.  Peptides too short for
-seeds are looked up by their first letters in the first pass.
+everything with everything.  A second pass checks the whole peptide at the place that its seed gives; only
+a seed's neighbours travel with it, so a long peptide costs nothing but its own length.  Peptides too short for
+seeds are found whole in the first pass.  Letters are compared as bytes of UTF-8, where a text holds a
+word exactly if its bytes hold the word's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from psmweave.functions import peptide as P
+from psmweave.operators.training import _map_blocks
 from psmweave.runtime import checkpoint
 
 SEED = 8
 STRIDE = 4
-KEY = 4  # letters by which short peptides are looked up
-_CHUNK = 4096  # letters per piece; a multiple of STRIDE
+KEY = 4  # letters that are looked for before a short peptide's own length
+_SEEDS, _KEYS = 0, -1  # kinds of words; short peptides have their length as kind
+_BITS = 23  # bits of the filter of words; one MB, whatever it holds
+_BLOCK = 1 << 17  # letters looked at together
 
 
 def _plain(c: str, equate_il: bool) -> Column:
     text = F.col(c)
-    return F.translate(text, "L", "I") if equate_il else text
+    return (F.replace(text, F.lit("L"), F.lit("I")) if equate_il else text).cast("binary")
 
 
-def _pieces(proteins: DataFrame, beyond: int) -> DataFrame:
-    """Protein text in pieces, each with the first ``beyond`` letters of what follows."""
-    parts = F.regexp_extract_all("_seq", F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
-    return proteins.select("protein_id", F.posexplode(F.transform(
-        F.array(parts),
-        lambda p: F.transform(p, lambda body, i: F.struct(
-            body.alias("body"), F.left(F.coalesce(F.get(p, i + 1), F.lit("")), F.lit(beyond)).alias("next")
-        )),
-    )[0]).alias("piece_no", "_x")).select("protein_id", "piece_no", "_x.*")
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values, with some behind them, and where each value ends, after a zero."""
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(2 * SEED, np.uint8), np.zeros(1, np.int64)
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return np.concatenate([data, np.zeros(2 * SEED, np.uint8)]), ends - ends[0]
 
 
-def _words(least: int, most: int, step: int) -> Column:
-    """Words of ``most`` letters of a piece at every ``step``-th letter, in order; one pass over its text.
+def _heads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
 
-    At the end of the protein they may be shorter, down to ``least`` letters.
-    """
-    text = F.concat("body", F.left("next", F.lit(most - 1)))
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{least},{most}}})).{{{step}}}"), F.lit(1))
+
+def _slots(heads: np.ndarray, at: np.ndarray | slice, n: int, kind: int) -> np.ndarray:
+    """The bit of the word of ``n`` bytes at each place."""
+    h = heads[at] & np.uint64((1 << 8 * min(n, 8)) - 1)
+    if n > 8:
+        h = h * np.uint64(0xC2B2AE3D27D4EB4F) ^ heads[at + (n - 8)]
+    h ^= h >> np.uint64(32)
+    h += np.uint64(kind + 1)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(64 - _BITS)).view(np.int64)
+
+
+def _cut(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """The bytes between each two places."""
+    ends = np.concatenate([[0], np.cumsum(stop - start)])
+    at = np.repeat(start - ends[:-1], stop - start) + np.arange(ends[-1])
+    buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[at])]
+    return pa.Array.from_buffers(pa.binary(), len(start), buffers)
+
+
+def _strides(ends: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Every ``STRIDE``-th place of each text, as far as it lies between two places."""
+    row = np.arange(np.searchsorted(ends, lo, "right") - 1, np.searchsorted(ends, hi, "left"))
+    first = ends[row] - np.maximum(lo - ends[row], 0) // -STRIDE * STRIDE
+    n = np.maximum(-((first - np.minimum(hi, ends[row + 1])) // STRIDE), 0)
+    return np.repeat(first - STRIDE * (np.cumsum(n) - n), n) + STRIDE * np.arange(n.sum())
+
+
+def _word_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bits of wanted words, counted from 1."""
+    for batch in batches:
+        kinds = batch.column("kind").to_numpy()
+        data, ends = _joined(batch.column("word"))
+        for kind in np.unique(kinds):
+            of = np.flatnonzero(kinds == kind)
+            slots = _slots(_heads(data), ends[of], int(ends[of[0] + 1] - ends[of[0]]), int(kind))
+            yield pa.RecordBatch.from_arrays([pa.array(slots + 1)], ["slot"])
+
+
+def _filter_bits(wanted: DataFrame) -> bytes:
+    """One bit per wanted word; some words share theirs, which lets a few others through."""
+    slots = wanted.mapInArrow(_word_slots, "slot long")
+    bits = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
+    )
+    whole = np.zeros(1 << _BITS - 3, np.uint8)
+    for r in bits.collect():  # at most 256 rows of 4 KB
+        part = np.frombuffer(r["bits"], np.uint8)
+        whole[(r["bucket"] - 1) * len(part) :][: len(part)] = part
+    return whole.tobytes()
+
+
+def _scan(sent: Broadcast, seeds: bool, short: Sequence[int], names: Sequence[str]):
+    """Finds the places in proteins whose words are in the filter."""
+
+    def found(wanted: np.ndarray, ids: pa.Array, data: np.ndarray, ends: np.ndarray, lo: int) -> Iterator[list[pa.Array]]:
+        heads, hi = _heads(data), min(lo + _BLOCK, int(ends[-1]))
+
+        def places(kind: int, n: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+            """Where a word of a kind lies within a text, and the text's number."""
+            hit = wanted[_slots(heads, slice(lo, hi) if at is None else at, n, kind)]
+            at = np.flatnonzero(hit) + lo if at is None else at[hit]
+            row = np.searchsorted(ends, at, "right") - 1
+            fits = at + n <= ends[row + 1]
+            return at[fits], row[fits]
+
+        if seeds:
+            at, row = places(_SEEDS, SEED, _strides(ends, lo, hi))
+            yield [
+                ids.take(pa.array(row)), _cut(data, at, at + SEED), pa.array(at - ends[row]),
+                _cut(data, np.maximum(at - SEED, ends[row]), at),
+                _cut(data, at + SEED, np.minimum(at + 2 * SEED, ends[row + 1])),
+            ]
+        keyed = places(_KEYS, KEY)[0] if any(n >= KEY for n in short) else None
+        for n in short:
+            at, row = places(n, n, keyed if n >= KEY else None)
+            once = pa.table({"row": row, "word": _cut(data, at, at + n)}).group_by(["row", "word"], use_threads=False).aggregate([])
+            none = [pa.nulls(len(once), t) for t in (pa.int64(), pa.binary(), pa.binary())]
+            yield [ids.take(once["row"].combine_chunks()), once["word"].combine_chunks(), *none]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little").view(bool)
+        for batch in batches:
+            data, ends = _joined(batch.column(1))
+            for lo in range(0, int(ends[-1]), _BLOCK):
+                for columns in found(wanted, batch.column(0), data, ends, lo):
+                    if len(columns[0]):
+                        yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
 
 
 def _found_words(proteins: DataFrame, wanted: DataFrame, seeds: bool, short: Sequence[int]) -> DataFrame:
-    """``word, protein_id, at, more`` for the words that some peptide wants.
+    """``protein_id, word, at, before, after`` for the words that some peptide wants.
 
-    ``at`` counts letters and is null but for seeds; ``more`` is what stands from the word on, for peptides of ``KEY``
-    letters or more that have no seeds.
+    ``at`` counts the bytes before a seed, ``before`` and ``after`` are up to eight on its sides; these are null for
+    short peptides.
     """
-    kinds = []
-
-    def entries(words: Column, word, at, more) -> Column:
-        return F.transform(
-            words,
-            lambda w, i: F.struct(
-                word(w).alias("word"), at(i).cast("long").alias("at"), more(w).cast("string").alias("more")
-            ),
-        )
-
-    none = lambda _: F.lit(None)
-    if seeds:
-        place = F.col("piece_no").cast("long") * _CHUNK
-        kinds.append(entries(_words(SEED, SEED, STRIDE), lambda w: w, lambda i: place + i * STRIDE, none))
-    if any(n >= KEY for n in short):
-        windows = F.array_distinct(_words(KEY, max(short), 1))
-        kinds.append(entries(windows, lambda w: F.left(w, F.lit(KEY)), none, lambda w: w))
-    for n in short:
-        if n < KEY:
-            kinds.append(entries(F.array_distinct(_words(n, n, 1)), lambda w: w, none, none))
-    rows = _pieces(proteins, SEED + STRIDE - 2).select("protein_id", F.inline(F.concat(*kinds)))
-    return rows.join(wanted, "word", "left_semi")
+    sent = proteins.sparkSession.sparkContext.broadcast(_filter_bits(wanted))
+    kind = StructType([proteins.schema["protein_id"]]).add("word", "binary").add("at", "long")
+    kind = kind.add("before", "binary").add("after", "binary")
+    # No filter: it would work the letters out once more, before the rows are spread.
+    whole = proteins.select("protein_id", F.coalesce("_seq", F.lit(b"")))
+    rows = _map_blocks(whole, _scan(sent, seeds, short, kind.names), kind)
+    return rows.join(wanted.select("word").distinct(), "word", "left_semi")
 
 
 def _peptide_seeds(peptides: DataFrame, counts: DataFrame) -> DataFrame:
-    """The rarest run of STRIDE consecutive seeds of each peptide."""
+    """The rarest run of STRIDE consecutive seeds of each peptide, with what stands on their sides."""
     offsets = F.sequence(F.lit(0), F.length("_pep") - SEED)
     every = peptides.select("_pep", F.explode(offsets).alias("off")).withColumn(
         "seed", F.substring(F.col("_pep"), F.col("off") + 1, F.lit(SEED))
@@ -98,9 +177,12 @@ def _peptide_seeds(peptides: DataFrame, counts: DataFrame) -> DataFrame:
         ),
     )
     best = known.withColumn("_r", F.array_min(runs)).filter(F.col("_r.cost") > 0)
+    off, letters = F.col("off"), F.col("_pep")
     return best.select("_pep", F.inline(F.slice("s", F.col("_r.i"), F.lit(STRIDE)))).filter("n > 0").select(
-        "_pep", "off", "seed"
-    )
+        "_pep", "off", "seed",
+        F.substring(letters, F.greatest(off - SEED, F.lit(0)) + 1, F.least(off, F.lit(SEED))).alias("left"),
+        F.substring(letters, off + SEED + 1, F.lit(SEED)).alias("right"),
+    )
 
 
 def kmer_contains_join(
@@ -122,25 +204,33 @@ def kmer_contains_join(
     if not stats.short and not stats.long:
         return proteins.select(F.lit(None).cast("string").alias("peptide"), "protein_id").limit(0)
     long = pep.filter(F.length("_pep") >= need).select("_pep").distinct()
+    brief = pep.filter(F.length("_pep") < need).select(F.col("_pep").alias("word")).distinct()
     offsets = F.sequence(F.lit(1), F.length("_pep") - SEED + 1)
     wanted = long.select(
-        F.explode(F.transform(offsets, lambda i: F.substring(F.col("_pep"), i, F.lit(SEED)))).alias("word")
-    ).unionAll(pep.filter(F.length("_pep") < need).select(F.left("_pep", F.lit(KEY))))
-    words = checkpoint(_found_words(prot, wanted.distinct(), bool(stats.long), stats.short))
-    brief = pep.filter(F.length("_pep") < need).select("_pep", F.left("_pep", F.lit(KEY)).alias("word")).distinct()
-    whole = F.when(F.length("_pep") < KEY, F.col("more").isNull()).otherwise(F.startswith("more", F.col("_pep")))
-    found = words.filter("at IS NULL").join(brief, "word").filter(whole).select("_pep", "protein_id").distinct()
+        F.lit(_SEEDS).alias("kind"),
+        F.explode(F.transform(offsets, lambda i: F.substring(F.col("_pep"), i, F.lit(SEED)))).alias("word"),
+    ).unionAll(brief.select(F.length("word"), "word")).unionAll(
+        brief.filter(F.length("word") >= KEY).select(F.lit(_KEYS), F.substring("word", 1, KEY))
+    )
+    words = checkpoint(_found_words(prot, wanted, bool(stats.long), stats.short))
+    found = words.filter("at IS NULL").join(brief, "word").select(F.col("word").alias("_pep"), "protein_id").distinct()
     if stats.long:
         seeds = words.filter("at IS NOT NULL").withColumnRenamed("word", "seed")
         counts = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
         # Where the peptide would have to start, counted from 1.
         start = F.col("at") - F.col("off") + 1
-        places = (
-            _peptide_seeds(long, counts).join(seeds, "seed")
+        beside = F.endswith("before", F.col("left")) & F.startswith("after", F.col("right"))
+        places = checkpoint(
+            _peptide_seeds(long, counts).join(seeds, "seed").filter(beside)
             .select("_pep", F.col("protein_id").alias("_of"), start.alias("start")).filter("start >= 1").distinct()
         )
         there = F.substring(F.col("_seq"), F.col("start").cast("int"), F.length("_pep")) == F.col("_pep")
-        hits = prot.join(checkpoint(places), F.col("protein_id").eqNullSafe(F.col("_of")) & there)
+        there = F.coalesce(there, F.lit(False))  # lest Spark filters by the letters before the rows are spread
+        # Texts without a place are left out by their ids alone.
+        holders = places.select(F.col("_of").alias("_holder")).distinct()
+        held = prot.join(holders, F.col("protein_id").eqNullSafe(F.col("_holder")), "left_semi")
+        # A broadcast of the places would work a text's letters out again for each of its places.
+        hits = held.join(places.hint("merge"), F.col("protein_id").eqNullSafe(F.col("_of")) & there)
         found = found.unionByName(hits.select("_pep", "protein_id").distinct())
     return pep.join(found, "_pep").select("peptide", "protein_id")
 

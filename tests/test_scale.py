@@ -1,8 +1,14 @@
 """How rows are spread: joins of generated rows, rows per task."""
 
+import random
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from psmweave.operators import candidates as G
+from psmweave.operators import containment as N
 from psmweave.operators import fragments as E
 from psmweave.operators.ranges import binned_range_join
 from psmweave.suite import views as V
@@ -93,3 +99,66 @@ def test_site_annotation_works_out_its_row_once(spark):
     got = spark.createDataFrame(rows, f"sites {sites}, e array<boolean>").select(made.alias("m")).collect()
     assert [(s.annotation, s.n_term, s.c_term) for s in got[0].m] == [("absent", 0, 4), ("partly", 2, 2)]
     assert got[1].m is None and [s.annotation for s in got[2].m] == ["complete"]
+
+
+def test_containment_stores_only_places_that_may_hold(spark, monkeypatch):
+    kept = []
+    plain = N.checkpoint
+
+    def noted(df):
+        kept.append(plain(df))
+        return kept[-1]
+
+    monkeypatch.setattr(N, "checkpoint", noted)
+    # Each text has the seeds of PEPTIDEKAVG and other letters on their sides, and THAT before ever other letters.
+    rnd = random.Random(3)
+    texts = [(i, f"CCC{'PEPTIDEKAVG'[:8 + i % 4]}{'THAT'.join(rnd.choices('MNQR', k=30))}") for i in range(40)]
+    peptides = ["PEPTIDEKAVG", "THAT", "HATQ"]
+    got = N.kmer_contains_join(
+        spark.createDataFrame([(p,) for p in peptides], "peptide string"), spark.createDataFrame(texts, "protein_id int, sequence string")
+    )
+    want = sorted((p, i) for p in peptides for i, t in texts if p in t)
+    assert sorted(map(tuple, got.collect())) == want
+    _, words, places = kept
+    assert words.filter("at IS NULL").count() == sum(len(p) < 11 for p, _ in want)
+    assert places.count() == sum(len(p) >= 11 for p, _ in want) == 10
+
+
+def test_containment_works_letters_out_after_spreading(spark, tmp_path):
+    spark.createDataFrame(
+        [(i, "de", "web", f"Some text {i} of many words, and more.") for i in range(30)], "doc_id long, lang string, source string, text string"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
+    peptides = spark.createDataFrame([("OFMANYWORDSANDMORE",), ("ND",)], "peptide string")
+    out = N.kmer_contains_join(peptides, V.proteins(spark, str(tmp_path)))
+    filters = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert not any("regexp" in line for line in filters)
+    assert out.count() == 60
+
+
+def test_scan_finds_words_across_blocks(monkeypatch):
+    rnd = random.Random(5)
+    texts = [None, "", *("".join(rnd.choices("AIKé", k=k)) for k in (0, 1, 5, 11, 60, 333, 90, 0)), ""]
+    texts = [t if t is None else t.encode() for t in texts]
+    seeds = {t[a : a + 8] for t in texts[4:9] for a in range(0, len(t) - 7, 3)}
+    short = {n: {t[a : a + n] for t in texts[4:9] for a in range(0, len(t) - n + 1, 40)} for n in (1, 2, 3, 4, 7, 8, 9, 10)}
+    wanted = [(0, w) for w in seeds] + [(n, w) for n in short for w in short[n]] + [(-1, w[:4]) for n in short if n >= 4 for w in short[n]]
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in wanted], pa.int32()), pa.array([w for _, w in wanted], pa.binary())], ["kind", "word"])
+    bits = np.zeros(1 << N._BITS, bool)
+    for slots in N._word_slots([batch]):
+        bits[slots.column(0).to_numpy() - 1] = True
+    sent = SimpleNamespace(value=np.packbits(bits, bitorder="little").tobytes())
+    names = ["protein_id", "word", "at", "before", "after"]
+    proteins = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], ["protein_id", "seq"])
+    held = {i: t for i, t in enumerate(texts) if t}
+    for block in (7, 64, 1 << 17):
+        monkeypatch.setattr(N, "_BLOCK", block)
+        for given in (proteins, proteins.slice(3)):
+            out = [tuple(r.values()) for b in N._scan(sent, True, sorted(short), names)([given]) for r in b.to_pylist()]
+            left = {i: t for i, t in held.items() if i >= len(texts) - len(given)}
+            at = sorted(r for r in out if r[2] is not None and r[1] in seeds)
+            assert at == sorted(
+                (i, t[a : a + 8], a, t[max(a - 8, 0) : a], t[a + 8 : a + 16])
+                for i, t in left.items() for a in range(0, len(t) - 7, 4) if t[a : a + 8] in seeds
+            )
+            whole = {r[:2] for r in out if r[2] is None and r[1] in short[len(r[1])]}
+            assert whole == {(i, w) for i, t in left.items() for n in short for w in short[n] if w in t}
