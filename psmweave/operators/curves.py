@@ -11,9 +11,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from psmweave.operators.running import _null_safe, _way, attach_group_values, running
-from psmweave.runtime import checkpoint
+from psmweave.runtime import stored
 
 
 def _ratio(a, b) -> Column:
@@ -261,6 +262,38 @@ def prc_linspace(
     )
 
 
+#: Bins of a whole number among the ties of a score, and distinct texts up to which each is a bin.
+TIE_BINS = 16
+TIE_TEXTS = 64
+
+
+def _tie_bins(rows: DataFrame, ties: Sequence[tuple[str, bool]]) -> list[tuple[str, Column, bool]]:
+    """(name, bin, ascending) of the leading columns of a tie order: rows in order are in order of their bins, too.
+
+    A text of few values is a bin itself; a whole number is divided evenly, and what follows it has no bin. Nulls
+    stay nulls. Bins only decide how many rows are put in order afterwards, so other columns need none.
+    """
+    kinds = {f.name: f.dataType for f in rows.schema}
+    whole = [c for c, _ in ties if isinstance(kinds[c], T.IntegralType)]
+    texts = [c for c, _ in ties if kinds[c] == T.StringType()]
+    if not whole and not texts:
+        return []
+    seen = rows.agg(
+        *[f(c).alias(f"{k}_{c}") for c in whole for k, f in (("lo", F.min), ("hi", F.max))],
+        *[F.approx_count_distinct(c).alias(f"n_{c}") for c in texts],
+    ).first()
+    bins = []
+    for i, (c, up) in enumerate(ties):
+        if c in texts and seen[f"n_{c}"] <= TIE_TEXTS:
+            bins.append((f"_bin{i}", F.col(c), up))
+            continue
+        if c in whole and seen[f"lo_{c}"] is not None:
+            width = (seen[f"hi_{c}"] - seen[f"lo_{c}"]) // TIE_BINS + 1
+            bins.append((f"_bin{i}", F.call_function("div", F.col(c).cast("long"), F.lit(width).cast("long")), up))
+        break
+    return bins
+
+
 def prc_coverage_grid(
     df: DataFrame,
     group: Sequence[str] = ("engine",),
@@ -273,7 +306,8 @@ def prc_coverage_grid(
     """Curve at equal steps of coverage over rows sorted by score.
 
     Step k of ``points - 1`` looks at the first ceil(k n / (points - 1)) rows. Counts per score level tell in
-    which levels a step ends; only rows of those levels are put in order, to count what stands before it.
+    which levels a step ends, counts per bin of those levels (see :func:`_tie_bins`) in which bins; only rows of
+    those bins are put in order, to count what stands before it.
     """
     group = list(group)
     (score, rising), *ties = order
@@ -285,17 +319,30 @@ def prc_coverage_grid(
         )
         ranked = attach_group_values(ranked, group, {"n": F.count(F.lit(1))}, True)
     else:
-        flags = checkpoint(flags)
-        levels = flags.groupBy(*group, score).agg(F.count(F.lit(1)).alias("_n"), F.sum("_c").alias("_nc"))
-        levels = checkpoint(
-            running(levels, group, [(score, rising)], {"_before": ("sum", "_n"), "_before_c": ("sum", "_nc")}, False, "split")
-        )
-        levels = attach_group_values(levels, group, {"n": F.sum("_n")}, False)
+        flags = stored(flags)
+        counts = F.count(F.lit(1)).alias("_n"), F.sum("_c").alias("_nc")
+        levels = running(
+            flags.groupBy(*group, score).agg(*counts), group, [(score, rising)],
+            {"_before": ("sum", "_n"), "_before_c": ("sum", "_nc")}, False, "split",
+        )
+        levels = attach_group_values(stored(levels), group, {"n": F.sum("_n")}, False)
         ends = F.expr(f"({steps} * (_before + _n)) div n > ({steps} * _before) div n")
-        ends = levels.filter(ends).select(*group, score, "_before", "_before_c", "n")  # as many as points per group
-        rows = _null_safe(flags, ends, [*group, score], "inner")
+        found = ["_before", "_before_c", "n"]
+        cell = [*group, score]
+        last = stored(levels.filter(ends).select(*cell, *found))  # as many as points per group
+        bins = _tie_bins(flags, ties)
+        if bins:
+            flags = flags.withColumns({name: c for name, c, _ in bins})
+            names = [name for name, *_ in bins]
+            cells = _null_safe(flags.groupBy(*cell, *names).agg(*counts), last, cell, "inner")
+            cells = running(
+                cells, cell, [(name, up) for name, _, up in bins], {"_b": ("sum", "_n"), "_bc": ("sum", "_nc")}, False, "single"
+            ).withColumns({"_before": F.col("_before") + F.col("_b"), "_before_c": F.col("_before_c") + F.col("_bc")})
+            cell = [*cell, *names]
+            last = stored(cells.filter(ends).select(*cell, *found))
+        rows = _null_safe(flags, last, cell, "inner")
         ranked = running(
-            rows.withColumn("_one", F.lit(1)), [*group, score], ties or [("_c", False)], {"r": ("sum", "_one"), "cc": ("sum", "_c")}, True, "split"
+            rows.withColumn("_one", F.lit(1)), cell, ties or [("_c", False)], {"r": ("sum", "_one"), "cc": ("sum", "_c")}, True, "split"
         ).withColumns({"r": F.col("r") + F.col("_before"), "cc": F.col("cc") + F.col("_before_c")})
     # Row r is the last one of the steps k with steps (r - 1) / n < k <= steps r / n.
     first = F.expr(f"({steps} * (r - 1)) div n + 1")

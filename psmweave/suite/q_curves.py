@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from psmweave.operators import curves as C
 from psmweave.operators import joins as J
+from psmweave.runtime import shared_shuffle
 from psmweave.suite import views as V
 from psmweave.suite.registry import query
 
@@ -179,11 +180,12 @@ rj AS (SELECT j.run, j.spectrum_id, j.engine, j.rank, r.refiner, j.score, j.corr
 """
 
 
-def _refined(spark, sf):
+def _refined(spark, sf, rows=None):
     from psmweave.functions import peptide as P
 
-    top = _top(spark, sf)
-    ref = J.attach_refinement(V.psms(spark, sf), V.refinements(spark, sf))
+    rows = V.psms(spark, sf) if rows is None else rows
+    top = V.joined(spark, sf, rows).filter("rank = 1")
+    ref = J.attach_refinement(rows, V.refinements(spark, sf, rows))
     truth = top.select(*J.PSM_KEY, "gt_peptide")
     out = ref.join(truth, J.PSM_KEY)
     return top, out.withColumn(
@@ -251,25 +253,26 @@ FROM s JOIN (SELECT range AS k FROM range(1, 200)) ON r = (k * n + 198) // 199
 def a13(spark, sf):
     from psmweave.plans.benchmark import score_tables
 
-    top, ref = _refined(spark, sf)
-    refined = C.match_score_table(top, J.PSM_KEY, ref)
-    long = score_tables(
-        [
-            ("engine_score", top.select(*J.KEY, "engine", "score", "correct")),
-            (
-                "gap_score",
-                top.select(
-                    *J.KEY, "engine", (F.col("score") - F.col("gt_score")).alias("score"), "correct"
+    with shared_shuffle(V.psms(spark, sf)) as psms:
+        top, ref = _refined(spark, sf, psms)
+        refined = C.match_score_table(top, J.PSM_KEY, ref)
+        long = score_tables(
+            [
+                ("engine_score", top.select(*J.KEY, "engine", "score", "correct")),
+                (
+                    "gap_score",
+                    top.select(
+                        *J.KEY, "engine", (F.col("score") - F.col("gt_score")).alias("score"), "correct"
+                    ),
                 ),
-            ),
-        ],
-        [("refiner_score", refined.withColumnRenamed("match", "correct"))],
-    )
-    out = C.prc_coverage_grid(
-        long,
-        ["engine", "scoring", "refinement"],
-        [("score", False), ("run", True), ("spectrum_id", True)],
-    )
+            ],
+            [("refiner_score", refined.withColumnRenamed("match", "correct"))],
+        )
+        out = C.prc_coverage_grid(
+            long,
+            ["engine", "scoring", "refinement"],
+            [("score", False), ("run", True), ("spectrum_id", True)],
+        )
     return _r(out, "precision", "recall", "coverage")
 
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from psmweave.operators import candidates as G
 from psmweave.operators import containment as N
+from psmweave.operators import curves as C
 from psmweave.operators import fragments as E
 from psmweave.operators.ranges import binned_range_join
+from psmweave.runtime import shared_shuffle, stored
 from psmweave.suite import views as V
 
 
@@ -162,3 +164,58 @@ def test_scan_finds_words_across_blocks(monkeypatch):
             )
             whole = {r[:2] for r in out if r[2] is None and r[1] in short[len(r[1])]}
             assert whole == {(i, w) for i, t in left.items() for n in short for w in short[n] if w in t}
+
+
+def test_coverage_grid_orders_only_bins_that_hold_a_step(spark, monkeypatch):
+    """Few scores, many ties: of the tied rows few are put in order, and every step is exact, nulls included."""
+    ordered = []
+    plain = C.running
+
+    def noted(df, group, order, *args, **kw):
+        if order[0][0] != "score" and "split" in args:
+            ordered.append(df.count())
+        return plain(df, group, order, *args, **kw)
+
+    monkeypatch.setattr(C, "running", noted)
+    dice = random.Random(3)
+    rows = [
+        ("e", dice.choice([0.5, 0.25]), dice.choice(["r0", "r1", None]), dice.choice([None, *range(-4000, 4000)]), dice.random() < 0.4)
+        for _ in range(8000)
+    ]
+    rows = [*{(r[1:4]): r for r in rows}.values()]  # a total order
+    df = spark.createDataFrame(rows, "engine string, score double, run string, spectrum_id long, correct boolean")
+    for rising, first in ((True, lambda x: (x is not None, x or 0)), (False, lambda x: (x is None, -(x or 0)))):
+        order = [("score", False), ("run", True), ("spectrum_id", rising)]
+        got = {r.k: (r.precision, r.recall, r.coverage) for r in C.prc_coverage_grid(df, ["engine"], order, points=21).collect()}
+        best = sorted(rows, key=lambda r: (-r[1], (r[2] is not None, r[2] or ""), first(r[3])))
+        n, want = len(best), {}
+        for k in range(1, 21):
+            r = -(-k * n // 20)
+            c = sum(x[4] for x in best[:r])
+            want[k] = (c / r, c / n, r / n)
+        assert got == want
+        assert 0 < ordered.pop() < n / 3
+
+
+def test_joins_use_a_kept_shuffle(spark):
+    """Rows kept by spectrum are joined on more columns without another shuffle; the session is left as it was."""
+    names = "spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.shuffle.partitions"
+    before = [spark.conf.get(k, None) for k in names]
+    rows = spark.range(400).selectExpr("id % 100 AS spectrum_id", "concat('e', id % 4) AS engine", "id AS v").repartition(3, "spectrum_id")
+    other = spark.range(400).selectExpr("id % 100 AS spectrum_id", "concat('e', id % 4) AS engine", "id AS w").hint("merge")
+    with shared_shuffle(rows) as kept:
+        out = kept.join(other, ["spectrum_id", "engine"])
+        n = out.count()
+        plan = stored(out).count(), out._jdf.queryExecution().executedPlan().toString()
+        assert kept.storageLevel.useDisk and not kept.storageLevel.useMemory
+    assert plan[0] == n == 1600
+    assert "hashpartitioning(engine" not in plan[1] and "hashpartitioning(spectrum_id#" in plan[1]
+    assert [spark.conf.get(k, None) for k in names] == before == [None, "4"] and not rows.storageLevel.useDisk
+
+
+def test_stored_rows_equal_those_before(spark):
+    df = spark.createDataFrame([(1, None, [1.5], ("a", True)), (None, "x", None, None)], "a long, b string, c array<double>, d struct<e: string, f: boolean>")
+    back = stored(df)
+    assert back.schema == df.schema and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    assert "Scan parquet" in _plan(back)
+    assert stored(df.select("a", F.lit(None).alias("n"))).count() == 2
