@@ -219,3 +219,21 @@ def test_stored_rows_equal_those_before(spark):
     assert back.schema == df.schema and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
     assert "Scan parquet" in _plan(back)
     assert stored(df.select("a", F.lit(None).alias("n"))).count() == 2
+
+
+def test_candidates_are_grouped_where_they_are_made(spark, monkeypatch):
+    """Hundreds of candidates per spectrum are neither shuffled nor in few tasks."""
+    monkeypatch.setattr(G, "TASK_PSMS", 4, raising=False)
+    rows = [("r" if i % 9 else None, i, p, [True, True, False, False, True, True]) for i in range(40) for p in ("GLTDEKK", "LGTDEKK")]
+    psms = spark.createDataFrame(rows, "run string, spectrum_id long, peptide string, evidence array<boolean>")
+    table = G.mass_table(spark, lengths=(2, 3))
+    made = G.candidate_set(psms, table, ["run", "spectrum_id"])
+    made = made.withColumn("p", F.spark_partition_id())
+    out = made.groupBy("run", "spectrum_id", "source").agg(F.collect_list("variant").alias("v"), F.min("p").alias("p"))
+    got = out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(run#" in plan
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "source#" in line]
+    assert len(got) == 80 and len({r.p for r in got}) >= 10
+    ends = {r.run: set(r.v) for r in got if r.source == "Terminal-variant"}
+    assert ends[None] - ends["r"] == {"GLTDEKK", "LGTDEKK"} and ends["r"] < ends[None]  # spectra without a run have no known peptides
