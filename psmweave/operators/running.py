@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from psmweave.runtime import checkpoint
+from psmweave.runtime import stored
 
 Order = Sequence[tuple[str, bool]]  # (column, ascending)
 
@@ -82,7 +82,7 @@ def running(
     keys = [F.col(c) for c in group] + _sort(order)
     ranged = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
     # The part number must not change when a task is repeated: fix it on disk.
-    ranged = checkpoint(ranged.withColumn("_part", F.spark_partition_id()))
+    ranged = stored(ranged.withColumn("_part", F.spark_partition_id()))
     w = (
         Window.partitionBy(*group, "_part")
         .orderBy(*_sort(order))
@@ -105,7 +105,8 @@ def running(
             for name, (fn, _) in outputs.items()
         ],
     )
-    out = _null_safe(inner, carry, [*group, "_part"], "left")
+    # One row per group and part: with its size known, the rows are not shuffled to be joined.
+    out = _null_safe(inner, stored(carry), [*group, "_part"], "left")
     combined = {}
     for name, (fn, _) in outputs.items():
         a, b = F.col(f"_in_{name}"), F.col(f"_carry_{name}")

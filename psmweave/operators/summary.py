@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from psmweave.operators.joins import KEY, PSM_KEY
-from psmweave.operators.running import rank_rows
+from psmweave.operators.running import rank_rows, small_groups
 from psmweave.operators.windows import share_in_group
 
 
@@ -62,9 +62,12 @@ def group_engines(
     """(spectrum, peptide) with its engines and the composite title.
 
     Counts per engine are formed first, so a collected list is as long as the number of
-    engines.  A separator inside an id is an error when the row is read.
+    engines.  A separator inside an id is an error when the row is read.  Rows are shuffled once,
+    by spectrum where its PSMs are few by their meaning, and a join on the spectrum needs no more.
     """
     keys = [c for c in ("run", spectrum, peptide) if c in psms.columns]
+    if small_groups(keys):
+        psms = psms.select(*keys, "engine").repartition(*[k for k in keys if k != peptide])
     counts = psms.groupBy(*keys, "engine").agg(F.count(F.lit(1)).alias("n"))
     engines = F.array_sort(F.collect_list(F.struct("engine", "n")))
     title = F.when(

@@ -36,7 +36,8 @@ def with_ordinal(located: DataFrame, name: str = "ordinal") -> DataFrame:
     """0-based position inside the run, from ``_place``; store it, later joins use it.
 
     Records are counted per file split; a split's first number is the sum over the splits before it,
-    and its records, which one task has read anyway, are numbered on their own.
+    and its records, which one task has read anyway, are numbered on their own. Every split has a first number, so
+    a left join loses nothing, and Spark leaves it out with the numbering where nothing reads the position.
     """
     split = ["run", "_file", "_block"]
     rows = located.withColumns({"_file": F.col("_place.file"), "_block": F.col("_place.block")})
@@ -45,7 +46,7 @@ def with_ordinal(located: DataFrame, name: str = "ordinal") -> DataFrame:
         *split, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")
     )
     place = F.row_number().over(Window.partitionBy(*split).orderBy("_place.row"))
-    numbered = rows.withColumn(name, place).join(first, split)
+    numbered = rows.withColumn(name, place).join(first, split, "left")
     return numbered.withColumn(name, F.col(name) - 1 + F.col("_first")).select(*located.columns, name)
 
 

@@ -136,14 +136,16 @@ def mgf_text(seq: Column | None = None) -> Column:
 
 
 def write_mgf(
-    spectra: DataFrame, path: str, order: str = "ordinal", seq: Column | None = None, by: str = "run"
+    spectra: DataFrame, path: str, order: str = "ordinal", seq: Column | None = None, by: str = "run",
+    compression: str | None = None,
 ) -> None:
     """Spectra as MGF text below ``path/run=<run>/``, in order inside each run.
 
     A run is range-partitioned by its order, so a very large run is written by many tasks.
+    ``compression`` is that of Spark's text files; :func:`read_mgf` reads them all, a gzip file in one task.
     """
     ordered = spectra.repartitionByRange(by, order).sortWithinPartitions(by, order)
-    ordered.select(by, mgf_text(seq).alias("value")).write.partitionBy(by).text(path)
+    ordered.select(by, mgf_text(seq).alias("value")).write.partitionBy(by).text(path, compression=compression)
 
 
 def columnar_spectra(

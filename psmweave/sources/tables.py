@@ -103,9 +103,9 @@ def annotated_spectra(spectra: DataFrame, grouped: DataFrame) -> DataFrame:
     )
 
 
-def write_annotated_mgf(spectra: DataFrame, grouped: DataFrame, path: str) -> None:
+def write_annotated_mgf(spectra: DataFrame, grouped: DataFrame, path: str, compression: str | None = None) -> None:
     """Annotated spectra as MGF."""
-    write_mgf(annotated_spectra(spectra, grouped), path, seq=F.col("seq"))
+    write_mgf(annotated_spectra(spectra, grouped), path, seq=F.col("seq"), compression=compression)
 
 
 def refiner_input(psms: DataFrame, spectra: DataFrame, engine: str) -> DataFrame:

@@ -640,7 +640,7 @@ GROUP BY run, psms.spectrum_id, peptide
 def s26(spark, sf):
     path = scratch_path(spark, "annotated")
     grouped = S.group_engines(_titled(V.psms(spark, sf)))
-    tables.write_annotated_mgf(_with_peaks(spark, sf), grouped, path)
+    tables.write_annotated_mgf(_with_peaks(spark, sf), grouped, path, compression="gzip")  # the text is larger than the tables
     return spectra.read_mgf(spark, path).select("run", "spectrum_id", "scans", "seq")
 
 

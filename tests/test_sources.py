@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from psmweave.operators import summary
 from psmweave.sources import fasta, results, spectra, tables
 
 
@@ -69,3 +70,30 @@ def test_manifest_from_files(spark, tmp_path):
     runs = spark.createDataFrame([("r1",)], "run string")
     path = tables.result_paths(runs, "/d", ["casanovo"]).first().path
     assert path == "/d/casanovo/r1.casanovo.mztab"
+
+
+def test_annotated_mgf_is_shuffled_once_and_packed(spark, tmp_path):
+    """Engines are grouped and joined by spectrum in one shuffle; packed text reads as it was written, without one."""
+    spec = spark.range(60).selectExpr(
+        "concat('run_', id % 2) AS run", "concat('scan=', id) AS spectrum_id", "id AS ordinal", "400.5D AS precursor_mz",
+        "2 AS charge", "1.0D AS retention_time", "array(100.5D, 200.25D) AS mz", "array(10.0D, CAST(id AS DOUBLE)) AS intensity",
+    )
+    psms = spark.range(180).selectExpr(
+        "concat('run_', id % 60 % 2) AS run", "concat('scan=', id % 60) AS spectrum_id", "concat('engine_', id % 4) AS engine", "'PEPTIDE' AS peptide"
+    )
+    grouped = summary.group_engines(psms)
+    joined = tables.annotated_spectra(spec.hint("merge"), grouped)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "peptide#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    plain, packed = str(tmp_path / "plain"), str(tmp_path / "packed")
+    tables.write_annotated_mgf(spec, grouped, plain)
+    tables.write_annotated_mgf(spec, grouped, packed, compression="gzip")
+    assert list(tmp_path.glob("plain/run=*/*.txt")) and not list(tmp_path.glob("packed/run=*/*.txt"))
+    size = lambda name: sum(f.stat().st_size for f in tmp_path.glob(f"{name}/run=*/part-*"))
+    assert size("packed") < size("plain") / 4
+    was, now = spectra.read_mgf(spark, plain), spectra.read_mgf(spark, packed)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(now) == rows(was) and now.count() == 60
+    assert sorted(r.ordinal for r in now.filter("run = 'run_1'").collect()) == list(range(30))
+    assert "Exchange" not in now.select("run", "spectrum_id", "scans", "seq")._jdf.queryExecution().executedPlan().toString()
+    assert {r.scans for r in now.collect()} >= {"scan=3||engine_3|engine_3|engine_3"}
